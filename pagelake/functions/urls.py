@@ -345,10 +345,14 @@ def _endswith_any(x: Column, exts: list[str]) -> Column:
     return cond
 
 
+def _suffix_re(exts: list[str]) -> str:
+    return r"\.(" + "|".join(e.lstrip(".") for e in exts) + r")\z"
+
+
 def is_image_url(url) -> Column:
     """ASCII-lowercased URL ends with an image extension (a query string
     defeats it)."""
-    return F.coalesce(_endswith_any(ascii_lower(url), IMAGE_EXTENSIONS), F.lit(False))
+    return F.coalesce(ascii_lower(url).rlike(_suffix_re(IMAGE_EXTENSIONS)), F.lit(False))
 
 
 def has_excluded_extension(url) -> Column:
@@ -362,9 +366,12 @@ def has_excluded_extension(url) -> Column:
 
 
 def is_webpage_url(url) -> Column:
-    """lowercased URL path does not end in a download extension."""
-    path = F.lower(urlparse_path(url))
-    return ~F.coalesce(_endswith_any(path, NON_PAGE_EXTENSIONS), F.lit(False))
+    """lowercased URL path (``;params`` of the last segment excluded)
+    does not end in a download extension.  One reference to ``url`` so the
+    predicate stays small when a filter is pushed through projections."""
+    pat = r"\.(" + "|".join(e.lstrip(".") for e in NON_PAGE_EXTENSIONS) + r")(;[^/]*)?\z"
+    path = F.regexp_extract(_c(url), URLPARSE_PATH_RE, 1)
+    return ~F.coalesce(F.lower(path).rlike(pat), F.lit(False))
 
 
 def is_followable_href(href) -> Column:
