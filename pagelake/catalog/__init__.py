@@ -37,4 +37,4 @@ def load_all() -> None:
         importlib.import_module(f"pagelake.catalog.{mod}")
 
 
-MODULES = ["urls", "extraction"]
+MODULES = ["urls", "extraction", "graph"]
