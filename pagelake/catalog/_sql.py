@@ -52,3 +52,40 @@ def count_char(e: str, ch: str) -> str:
 def after(e: str, pos: str) -> str:
     """Characters of e from 1-based position pos to the end."""
     return f"substring({e}, {pos})"
+
+
+def strict_depth(e: str) -> str:
+    p1 = f"regexp_replace({strict_path(e)}, '^/', '')"
+    p2 = f"(CASE WHEN suffix({p1}, '/') THEN substring({p1}, 1, length({p1}) - 1) ELSE {p1} END)"
+    return (f"(CASE WHEN NOT {strict_valid(e)} OR {p2} = '' THEN 0 "
+            f"ELSE length({p2}) - length(replace({p2}, '/', '')) + 1 END)")
+
+
+def crawled_pages() -> str:
+    return (f"(SELECT page_id, url, {search_domain('url')} AS domain, "
+            f"CAST({strict_depth('url')} AS INTEGER) AS crawl_depth, "
+            f"CAST(1704067200 + page_id * 60 AS BIGINT) AS ts_epoch, CAST(strlen(html) AS BIGINT) AS bytes "
+            f"FROM pages)")
+
+
+def discovered_images() -> str:
+    from pagelake.functions import html as H
+    img_pages = ("(SELECT page_id, url, regexp_replace(html, '<a href=\"([^\"]*)\">', "
+                 "'<img src=\"\\1.png\" alt=\"\\1\">', 'g') AS html FROM pages)")
+    origin = f"({strict_scheme('url')} || '://' || {strict_host('url')})"
+    d = f"regexp_extract({strict_path('url')}, '^(.*/)', 1)"
+    resolve = (f"CASE WHEN prefix(src, 'http://') OR prefix(src, 'https://') THEN src "
+               f"WHEN prefix(src, '/') THEN {origin} || src "
+               f"ELSE {origin} || (CASE WHEN {d} = '' THEN '/' ELSE {d} END) || src END")
+    return f"""(SELECT page_id, {search_domain('url')} AS domain, {resolve} AS image_url,
+   ['jpg', 'png', 'gif', 'webp'][page_id % 4 + 1] AS image_type,
+   CAST(10 + length(html) % 500 AS BIGINT) AS size_kb,
+   CAST(1704067200 + page_id * 60 + pos AS BIGINT) AS ts_epoch
+ FROM (SELECT page_id, url, html, unnest(l) AS src, unnest(range(len(l))) AS pos
+       FROM (SELECT page_id, url, html, regexp_extract_all(html, {q(H.IMG_ANY_QUOTE_RE)}, 1) AS l
+             FROM {img_pages})))"""
+
+
+def url_log() -> str:
+    return ("(SELECT event_id, user_id, event_type, value, ts, "
+            "'https://h' || CAST(user_id AS VARCHAR) || '.example.com/' || event_type AS url FROM events)")
