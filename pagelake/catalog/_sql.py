@@ -89,3 +89,10 @@ def discovered_images() -> str:
 def url_log() -> str:
     return ("(SELECT event_id, user_id, event_type, value, ts, "
             "'https://h' || CAST(user_id AS VARCHAR) || '.example.com/' || event_type AS url FROM events)")
+
+
+def pre_sql(e: str) -> str:
+    """T1 text preprocessing in DuckDB."""
+    return (f"regexp_replace(regexp_replace(regexp_replace(translate({e}, '{UP}', '{LO}'), "
+            f"'<[^>]*>', '', 'g'), '[^a-z0-9 \\t\\n\\x0B\\f\\r]', ' ', 'g'), "
+            f"'[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')")
