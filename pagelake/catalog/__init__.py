@@ -37,4 +37,4 @@ def load_all() -> None:
         importlib.import_module(f"pagelake.catalog.{mod}")
 
 
-MODULES = ["urls", "extraction", "graph", "reports", "tables", "text", "robots", "limits", "sources"]
+MODULES = ["urls", "extraction", "graph", "reports", "tables", "text", "robots", "limits", "sources", "streams"]
