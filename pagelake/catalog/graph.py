@@ -119,3 +119,60 @@ def crawl_report(spark, sf_dir):
     out = crawl.crawl_plan(pages, seeds=pages.select(F.col("url").alias("node")),
                            allowed=CRAWL_ALLOWED, max_depth=CRAWL_DEPTH - 1, budget=CRAWL_BUDGET)
     return crawl.crawl_report(out)
+
+
+_RULE_DOMAINS = ["example.com", "thther.example.org", "example"]
+
+
+@register("domain_rule_counts", f"""
+WITH {_links_sql().replace('SELECT', 'l0 AS (SELECT url, ', 1)}),
+t AS (SELECT DISTINCT {_resolve_strict_sql('href')} AS target FROM l0),
+h AS (SELECT target, {search_domain('target')} AS host FROM t),
+r AS (SELECT unnest([{", ".join(q(d) for d in _RULE_DOMAINS)}]) AS d)
+SELECT 'exact' AS rule, count(*) AS passing FROM h WHERE EXISTS (SELECT 1 FROM r WHERE host = d)
+UNION ALL SELECT 'suffix', count(*) FROM h WHERE EXISTS (SELECT 1 FROM r WHERE host = d OR suffix(host, '.' || d))
+UNION ALL SELECT 'substring', count(*) FROM h WHERE EXISTS (SELECT 1 FROM r WHERE contains(host, d))
+""")
+def domain_rule_counts(spark, sf_dir):
+    """F1 exact / F2 dot-suffix / F3 substring allowed-domain rules over every
+    distinct link target."""
+    from pyspark.sql.functions import lit
+    from pagelake.operators.extract import link_edges
+    targets = link_edges(table(spark, sf_dir, "pages"), "strict").select("target").distinct()
+    out = None
+    for rule in ("exact", "suffix", "substring"):
+        c = crawl.domain_filter(targets, "target", _RULE_DOMAINS, rule).agg(F.count("*").alias("passing"))
+        c = c.select(lit(rule).alias("rule"), "passing")
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+def _g5_sql() -> str:
+    allowed = ", ".join(q(d) for d in CRAWL_ALLOWED)
+    img = ("(SELECT url, regexp_replace(html, '<a href=\"([^\"]*)\">', "
+           "'<img src=\"\\1.png\" alt=\"\\1\">', 'g') AS html FROM pages)")
+    return f"""
+WITH pg AS (SELECT DISTINCT url FROM pages),
+links AS (SELECT {_resolve_strict_sql('href')} AS dst
+  FROM (SELECT url, unnest(regexp_extract_all(html, {q(H.LINK_ANY_QUOTE_RE)}, 1)) AS href FROM pages)),
+ok AS (SELECT DISTINCT dst FROM links, (SELECT unnest([{allowed}]) AS d) r
+       WHERE {search_domain('dst')} = r.d OR suffix({search_domain('dst')}, '.' || r.d)),
+imgs AS (SELECT DISTINCT {_resolve_strict_sql('src')} AS dst
+  FROM (SELECT url, unnest(regexp_extract_all(html, {q(H.IMG_ANY_QUOTE_RE)}, 1)) AS src FROM {img})),
+l1 AS (SELECT dst AS node FROM ok UNION SELECT dst FROM imgs EXCEPT SELECT url FROM pg),
+plan AS (SELECT url AS node, 0 AS depth FROM pg UNION ALL SELECT node, 1 FROM l1)
+SELECT node AS url, CAST(depth AS BIGINT) AS depth,
+       CASE WHEN regexp_matches(translate(node, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '\\.(jpg|jpeg|png|gif|bmp|webp|svg)\\z') THEN 'image' ELSE 'page' END AS kind
+FROM plan"""
+
+
+@register("crawl_with_images", _g5_sql())
+def crawl_with_images(spark, sf_dir):
+    """Image references are scheduled at depth+1 without the domain rule
+    and stay leaves (image input: the derived image fixture)."""
+    from pagelake.operators.extract import derive_image_pages
+    pages = table(spark, sf_dir, "pages")
+    out = crawl.crawl_plan(pages, seeds=pages.select(F.col("url").alias("node")), allowed=CRAWL_ALLOWED,
+                           max_depth=2, images_from=derive_image_pages(pages))
+    return out.select("url", F.col("depth").cast("bigint").alias("depth"), "kind")

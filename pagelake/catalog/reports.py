@@ -132,7 +132,20 @@ def domain_counts_lookup(spark, sf_dir):
     return wanted.join(counts, "domain", "left").select("domain", F.coalesce("pages", F.lit(0)).alias("pages"))
 
 
-@register("crawl_stats", None)
+def _crawl_stats_sql() -> str:
+    from pagelake.catalog.graph import CRAWL_BUDGET, _crawl_sql
+    base = _crawl_sql(False).rsplit("SELECT node AS url", 1)[0]
+    return base + f""", sized AS (SELECT url, max(strlen(html)) AS b FROM pages GROUP BY url),
+st AS (SELECT plan.node, plan.node IN (SELECT url FROM pg) AS fetched, s.b FROM plan LEFT JOIN sized s ON s.url = plan.node)
+SELECT count(*) AS total, count_if(fetched) AS visited, count_if(NOT fetched) AS queued,
+       count_if(NOT fetched) AS failed, CAST(coalesce(sum(b) FILTER (WHERE fetched), 0) AS BIGINT) AS bytes,
+       CAST(0 AS BIGINT) AS images,
+       CAST(least(100, floor(count_if(fetched) * 100 / {CRAWL_BUDGET})) AS BIGINT) AS progress_pct,
+       coalesce(sum(b) FILTER (WHERE fetched), 0) / 1024.0 AS kb
+FROM st"""
+
+
+@register("crawl_stats", _crawl_stats_sql())
 def crawl_stats(spark, sf_dir):
     """A8/A9/A10/A17 over the G4 crawl plan (oracle: crawl_stats_sql)."""
     from pagelake.catalog.graph import CRAWL_ALLOWED, CRAWL_BUDGET, CRAWL_DEPTH

@@ -199,3 +199,11 @@ def exact_duplicate_texts(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.md5(preprocess(F.col("text"))).alias("text_key"))
     return (d.groupBy("text_key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
             .where(F.col("copies") > 1))
+
+
+@register("near_duplicate_docs")
+def near_duplicate_docs(spark, sf_dir):
+    """B5 near: MinHash-LSH candidates verified by exact shingle Jaccard
+    (rows-only check here; tests/test_dedupe.py compares with brute force)."""
+    from pagelake.operators.dedupe import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))

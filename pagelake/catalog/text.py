@@ -254,3 +254,33 @@ def crawl_times(spark, sf_dir):
     """Epoch seconds rendered as ``%Y-%m-%d %H:%M:%S`` (UTC)."""
     cp = FX.crawled_pages(spark, sf_dir)
     return cp.select("page_id", TX.epoch_to_text(F.col("ts_epoch")).alias("crawled_at"))
+
+
+@register("canonical_keys", """
+SELECT page_id, coalesce(nullif(
+  regexp_extract(regexp_extract(html, '(?i)<link\\b[^>]*\\brel=["'']?canonical["'']?[^>]*>', 0),
+                 '(?is)[\\s<]href\\s*=\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s"''>]+))', 1), ''), url) AS page_key
+FROM pages
+""")
+def canonical_keys(spark, sf_dir):
+    """the page key is the declared canonical URL when present."""
+    from pagelake.functions.html import CANONICAL_TAG_RE, attr
+    p = table(spark, sf_dir, "pages")
+    tag = F.regexp_extract("html", CANONICAL_TAG_RE, 0)
+    canon = attr(tag, "href")
+    return p.select("page_id", F.when(canon != "", canon).otherwise(F.col("url")).alias("page_key"))
+
+
+@register("quarantine_split", """
+SELECT count(*) FILTER (WHERE coalesce(l.toxic, 0) <> 1) AS stored,
+       count(*) FILTER (WHERE l.toxic = 1) AS quarantined
+FROM documents d LEFT JOIN labels l USING (doc_id)
+""")
+def quarantine_split(spark, sf_dir):
+    """flagged rows are not stored (labels.toxic stands for the flag)."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    lab = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    j = d.join(lab, "doc_id", "left")
+    flagged = F.col("toxic") == 1
+    return j.agg(F.count_if(~F.coalesce(flagged, F.lit(False))).alias("stored"),
+                 F.count_if(F.coalesce(flagged, F.lit(False))).alias("quarantined"))

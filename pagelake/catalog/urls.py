@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagelake.catalog import register
+from pagelake.catalog._sql import discovered_images as DI
 from pagelake.catalog._sql import (
     count_char, lower_ascii, pop_slash, q, search_domain, strict_host, strict_path,
     strict_scheme, strict_valid,
@@ -157,3 +158,41 @@ FROM (SELECT {_D} AS d FROM pages) GROUP BY 1
 def wiki_language_counts(spark, sf_dir):
     """Language code of the first host label."""
     return _profile(spark, sf_dir).groupBy("wiki_lang").agg(F.count("*").alias("pages"))
+
+
+_IMG_A = q(U.IMAGE_EXT_A_RE)
+_IMG_B = q(U.IMAGE_EXT_B_RE)
+
+
+@register("image_extensions", f"""
+SELECT image_url,
+  CASE WHEN regexp_extract(image_url, {_IMG_A}, 1) = '' THEN 'jpg' ELSE regexp_extract(image_url, {_IMG_A}, 1) END
+    AS ext_any,
+  CASE WHEN regexp_extract(image_url, {_IMG_B}, 1) = '' THEN '.jpg' ELSE '.' || regexp_extract(image_url, {_IMG_B}, 1) END
+    AS ext_known,
+  coalesce(regexp_matches({lower_ascii('image_url')}, '\\.(jpg|jpeg|png|gif|bmp|webp|svg)\\z'), false) AS is_image
+FROM (SELECT DISTINCT image_url FROM {DI()}
+      UNION SELECT url FROM pages)
+""")
+def image_extensions(spark, sf_dir):
+    """U19/U20/F4 over every image URL discovered plus every page URL."""
+    from pagelake.plans import fixtures as FX
+    urls = (FX.discovered_images(spark, sf_dir).select("image_url").distinct()
+            .union(table(spark, sf_dir, "pages").select(F.col("url").alias("image_url"))).distinct())
+    return urls.select("image_url", U.image_extension_any("image_url").alias("ext_any"),
+                       U.image_extension_known("image_url").alias("ext_known"),
+                       U.is_image_url("image_url").alias("is_image"))
+
+
+@register("title_word_lists", """
+SELECT item_id, CAST(len(items) AS BIGINT) AS n_items, array_to_string(items, ',') AS rejoined FROM (
+  SELECT item_id, list_filter(list_transform(string_split(text, ','),
+                   lambda s: regexp_replace(s, '^[ \\t]+|[ \\t]+$', '', 'g')), lambda s: s <> '') AS items
+  FROM benchmark)
+""")
+def title_word_lists(spark, sf_dir):
+    """Comma-separated lists parsed (trimmed, empties dropped) and
+    joined back, over every benchmark text."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", U.split_list("text").alias("items"))
+    return b.select("item_id", F.size("items").cast("bigint").alias("n_items"),
+                    U.join_list("items").alias("rejoined"))

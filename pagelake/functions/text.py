@@ -76,12 +76,14 @@ def tokenize(text) -> Column:
 
 
 def softmax(vec) -> Column:
-    """M1: softmax with max subtraction, in double."""
+    """M1: softmax with max subtraction, in double.  The max and the sum are
+    bound once per row (not re-evaluated per element)."""
+    from pagelake.functions.rfc import let
     v = F.transform(_c(vec), lambda x: x.cast("double"))
-    m = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(x - m))
-    s = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / s)
+    e = let(F.struct(v.alias("v"), F.array_max(v).alias("m")),
+            lambda s: F.transform(s["v"], lambda x: F.exp(x - s["m"])))
+    return let(F.struct(e.alias("e"), F.aggregate(e, F.lit(0.0), lambda a, x: a + x).alias("total")),
+               lambda s: F.transform(s["e"], lambda x: x / s["total"]))
 
 
 def argmax(vec) -> Column:

@@ -43,16 +43,16 @@ def parse_robots(robots: DataFrame, domain: str = "domain", content: str = "cont
     w_prev = Window.partitionBy("domain").orderBy("ln").rowsBetween(Window.unboundedPreceding, -1)
     struct_kind = F.when(F.col("kind").isin("ua", "allow", "disallow"), F.col("kind"))
     lines = lines.withColumn("prev_struct", F.last(struct_kind, ignorenulls=True).over(w_prev))
-    opens = (F.col("kind") == "ua") & F.col("prev_struct").isin("allow", "disallow")
+    opens = F.coalesce((F.col("kind") == "ua") & F.col("prev_struct").isin("allow", "disallow"), F.lit(False))
     w_run = Window.partitionBy("domain").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("group_id", F.sum(opens.cast("int")).over(w_run))
 
     delay_val = F.coalesce(F.regexp_extract(F.col("value"), r"^[+-]?[0-9]+", 0).try_cast("int"), F.lit(0))
     rule = F.struct(F.col("ln"), F.col("value"))
     g = lines.groupBy("domain", "group_id").agg(
-        F.max_by(F.when(F.col("has_value"), F.col("value")), F.when((F.col("kind") == "ua") & F.col("has_value"),
-                                                                     F.col("ln"))).alias("agent"),
-        F.max_by(delay_val, F.when(F.col("kind") == "delay", F.col("ln"))).alias("crawl_delay"),
+        # last value of each directive in the group (max of (line, value) ignores other lines)
+        F.max(F.when((F.col("kind") == "ua") & F.col("has_value"), F.struct("ln", "value")))["value"].alias("agent"),
+        F.max(F.when(F.col("kind") == "delay", F.struct(F.col("ln"), delay_val.alias("d"))))["d"].alias("crawl_delay"),
         F.array_sort(F.collect_list(F.when(F.col("kind") == "allow", rule))).alias("allow_rules"),
         F.array_sort(F.collect_list(F.when(F.col("kind") == "disallow", rule))).alias("disallow_rules"))
     g = g.where((F.size("allow_rules") > 0) | (F.size("disallow_rules") > 0))

@@ -20,9 +20,10 @@ DOMAIN_RULES = ("exact", "suffix", "substring")
 
 def host_suffixes(host) -> "F.Column":
     """All dot-suffixes of a host: a.b.c -> [a.b.c, b.c, c]."""
-    parts = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))),
-                       lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    from pagelake.functions.rfc import let
+    return let(F.split(host, r"\."), lambda parts: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))),
+        lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")))
 
 
 def domain_filter(df: DataFrame, url_col: str, allowed: DataFrame | list[str] | None,
