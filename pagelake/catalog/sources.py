@@ -189,22 +189,20 @@ def config_filtered_pages(spark, sf_dir):
     tables; pages from allowed domains, not under an excluded path, with an
     allowed or no extension, within the size cap, not images (should-index)."""
     from pagelake.plans.crawl import domain_filter
-    from pagelake.session import bounded_broadcast
     path = scratch_path(spark, "config")
     CFG.write_config(spark, path, CONFIG)
     cfg = CFG.read_config(spark, path)
+    lists = CFG.filter_lists(cfg)  # one config document: bounded
     max_bytes = int(cfg.select("crawler.max_file_size_mb").first()[0] * 1024 * 1024)
     pages = table(spark, sf_dir, "pages").withColumn("path", U.urlparse_path("url"))
     kept = domain_filter(pages, "url", CFG.filter_table(cfg, "allowed_domains"), "suffix")
-    excl = CFG.filter_table(cfg, "excluded_paths")
-    kept = kept.join(bounded_broadcast(excl), F.col("path").startswith(F.col("value")), "left_anti")
-    ext = F.regexp_extract("path", r"\.[^./]*$", 0)
-    exts = CFG.filter_table(cfg, "allowed_extensions").select(F.col("value").alias("ext"))
-    kept = kept.join(bounded_broadcast(exts), F.lower(ext) == F.col("ext"), "left")
-    kept = kept.where((ext == "") | F.col("ext").isNotNull()).drop("ext")
-    kept = kept.where(F.octet_length("html") <= max_bytes)
-    imgs = [r.value for r in CFG.filter_table(cfg, "image_extensions").collect()]  # config-sized list
+    excluded = F.lit(False)
+    for prefix in lists["excluded_paths"]:
+        excluded = excluded | F.col("path").startswith(prefix)
+    ext = F.lower(F.regexp_extract("path", r"\.[^./]*$", 0))
     is_img = F.lit(False)
-    for e in imgs:
+    for e in lists["image_extensions"]:
         is_img = is_img | F.lower("url").endswith(e)
-    return kept.where(~is_img).select("page_id", "url")
+    kept = kept.where(~excluded & ((ext == "") | ext.isin(*lists["allowed_extensions"]))
+                      & (F.octet_length("html") <= max_bytes) & ~is_img)
+    return kept.select("page_id", "url")

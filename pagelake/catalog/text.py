@@ -214,7 +214,11 @@ def content_search(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     qs = table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), F.split(F.trim("text"), " ").getItem(0).alias("q"))
-    terms = [r.q for r in qs.select("q").distinct().collect()]  # benchmark-sized query list
+    from pagelake.session import row_count_at_most
+    distinct_q = qs.select("q").distinct()
+    if not row_count_at_most(distinct_q, FE.QUERY_WORD_LIMIT):
+        raise ValueError("query list too large to ship with tasks")
+    terms = [r.q for r in distinct_q.collect()]  # bounded by the check above
     hits = pages.select("url", F.explode(FE.matched_terms(F.col("html"), terms)).alias("q"))
     return hits.join(F.broadcast(qs), "q").select("query_id", "url")
 

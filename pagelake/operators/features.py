@@ -145,3 +145,29 @@ def page_metadata(pages: DataFrame) -> DataFrame:
         F.filter(entries, lambda e: e["key"] != "").alias("meta"),
         F.regexp_extract(h, r"(?is)<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z0-9_-]+)", 1).alias("html_lang"),
         F.lower(F.regexp_extract(h, r"(?is)<meta\b[^>]*\bcharset\s*=\s*[\"']?([A-Za-z0-9_-]+)", 1)).alias("charset"))
+
+
+def describe_image(objects, confidence, labels, ocr_text):
+    """M2: ``Detected objects: o1 (c1), o2, \\nImage categories: l1, l2, `` plus
+    ``\\nExtracted text: ...`` when OCR text exists.  Objects and confidences
+    are zipped by position; an object without a confidence is printed alone.
+    Confidences print like a C++ stream (6 significant digits)."""
+    zipped = F.arrays_zip(F.col(objects).alias("o"), F.col(confidence).alias("c"))
+    obj_part = F.array_join(F.transform(
+        F.filter(zipped, lambda z: z["o"].isNotNull()),
+        lambda z: F.when(z["c"].isNotNull(),
+                         F.concat(z["o"], F.lit(" ("), TX.format_g(z["c"].cast("double")), F.lit("), ")))
+        .otherwise(F.concat(z["o"], F.lit(", ")))), "")
+    label_part = F.array_join(F.transform(F.col(labels), lambda x: F.concat(x, F.lit(", "))), "")
+    ocr = F.col(ocr_text)
+    return F.concat(F.lit("Detected objects: "), obj_part, F.lit("\nImage categories: "), label_part,
+                    F.when(F.coalesce(ocr, F.lit("")) != "", F.concat(F.lit("\nExtracted text: "), ocr))
+                    .otherwise(F.lit("")))
+
+
+def features_to_string(language, topics, relevance, is_spam):
+    """``Language: l, Topics: t1, t2, Relevance: r, IsSpam: 0|1``."""
+    return F.concat(F.lit("Language: "), F.col(language), F.lit(", Topics: "),
+                    F.array_join(F.transform(F.col(topics), lambda t: F.concat(t, F.lit(", "))), ""),
+                    F.lit("Relevance: "), TX.format_g(F.col(relevance).cast("double")),
+                    F.lit(", IsSpam: "), F.col(is_spam).cast("int").cast("string"))

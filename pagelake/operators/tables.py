@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.session import bounded_broadcast, cut_lineage
+from pagelake.session import cut_lineage
 
 TOP_K_LIMIT = 100_000
 
@@ -92,10 +92,3 @@ def mark_visited(urls: DataFrame, done: DataFrame, key: str = "url") -> tuple[Da
                .withColumn("visited", F.col("visited") | F.coalesce(F.col("__hit"), F.lit(False)))
                .drop("__hit"))
     return updated, done.select(key).distinct().join(urls.select(key), key, "left_anti")
-
-
-def rule_semi_join(df: DataFrame, rules: DataFrame, cond) -> DataFrame:
-    """Semi join against a rule table (domain lists, lexicons) under a
-    non-equi condition; the rule side is broadcast only after its size is
-    proven small."""
-    return df.join(bounded_broadcast(rules), cond, "left_semi")

@@ -25,3 +25,10 @@ def read_config(spark: SparkSession, path: str) -> DataFrame:
 def filter_table(config: DataFrame, name: str) -> DataFrame:
     """One filter list of the config exploded to a one-column table."""
     return config.select(F.explode(F.col(f"filters.{name}")).alias("value")).distinct()
+
+
+def filter_lists(config: DataFrame) -> dict[str, list[str]]:
+    """All filter lists of a config document (one small row) as Python lists,
+    for building native predicates instead of non-equi joins."""
+    row = config.select("filters.*").first()
+    return {k: list(v or []) for k, v in row.asDict().items()}

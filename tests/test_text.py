@@ -51,3 +51,26 @@ def test_format_g(spark):
 def test_token_hash_range(spark):
     h = one(spark, TX.tokenize, "  a\tbb  ccc ")
     assert len(h) == 3 and all(0 <= x < 1 for x in h)
+
+
+def test_describe_image_and_roundtrip(spark, tmp_path):
+    """M2 description; S16 image table with array columns survives parquet."""
+    df = spark.createDataFrame(
+        [("http://h/a.png", ["cat", "dog", "ball"], [0.9, 0.25], ["pet"], "hi"),
+         ("http://h/b.png", [], [], ["x", "y"], "")],
+        "url string, objects array<string>, confidence array<float>, labels array<string>, ocr string")
+    path = str(tmp_path / "images")
+    df.write.mode("overwrite").parquet(path)
+    back = spark.read.parquet(path)
+    got = {r.url: r.d for r in back.select("url", FE.describe_image("objects", "confidence", "labels", "ocr")
+                                           .alias("d")).collect()}
+    assert got["http://h/a.png"] == ("Detected objects: cat (0.9), dog (0.25), ball, \n"
+                                     "Image categories: pet, \nExtracted text: hi")
+    assert got["http://h/b.png"] == "Detected objects: \nImage categories: x, y, "
+
+
+def test_features_to_string(spark):
+    df = spark.createDataFrame([("en", ["news", "technology"], 0.75, False)],
+                               "lang string, topics array<string>, rel double, spam boolean")
+    s = df.select(FE.features_to_string("lang", "topics", "rel", "spam").alias("s")).first().s
+    assert s == "Language: en, Topics: news, technology, Relevance: 0.75, IsSpam: 0"
