@@ -64,15 +64,26 @@ SELECT (SELECT count(*) FROM pages) AS pages_crawled,
 """)
 def live_counters(spark, sf_dir):
     """One-row counters over the crawl tables: pages, images,
-    unique vs processed URLs (duplicate work), URLs still queued."""
+    unique vs processed URLs (duplicate work), URLs still queued.  One pass:
+    the tables are tagged, unioned, and aggregated together."""
+    return _counters(spark, sf_dir)
+
+
+def _counters(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    log = FX.url_log(spark, sf_dir)
-    a = pages.agg(F.count("*").alias("pages_crawled"))
-    b = FX.discovered_images(spark, sf_dir).agg(F.count("*").alias("images_saved"))
-    c = log.agg(F.countDistinct("url").alias("unique_urls"), F.count("*").alias("urls_processed"))
-    d = (log.select("url").distinct().join(pages.select("url"), "url", "left_anti")
-         .agg(F.count("*").alias("queue_size")))
-    return a.crossJoin(b).crossJoin(c).crossJoin(d)
+    page_urls = pages.select("url").distinct().withColumn("is_page", F.lit(True))
+    tagged = (pages.select(F.lit("page").alias("tag"), "url")
+              .unionByName(FX.discovered_images(spark, sf_dir).select(F.lit("image").alias("tag"),
+                                                                      F.col("image_url").alias("url")))
+              .unionByName(FX.url_log(spark, sf_dir).select(F.lit("log").alias("tag"), "url")))
+    tagged = tagged.join(page_urls, "url", "left")
+    log = F.col("tag") == "log"
+    return tagged.agg(
+        F.count_if(F.col("tag") == "page").alias("pages_crawled"),
+        F.count_if(F.col("tag") == "image").alias("images_saved"),
+        F.countDistinct(F.when(log, F.col("url"))).alias("unique_urls"),
+        F.count_if(log).alias("urls_processed"),
+        F.countDistinct(F.when(log & F.col("is_page").isNull(), F.col("url"))).alias("queue_size"))
 
 
 @register("metrics_summary", f"""
@@ -82,12 +93,10 @@ SELECT format('Pages crawled: {{}}, Failed requests: {{}}, Images processed: {{}
 """)
 def metrics_summary(spark, sf_dir):
     """The metrics summary line (thread counts are not data: 0)."""
-    pages = table(spark, sf_dir, "pages").agg(F.count("*").alias("p"))
-    imgs = FX.discovered_images(spark, sf_dir).agg(F.count("*").alias("i"))
-    q = FX.url_log(spark, sf_dir).agg(F.countDistinct("url").alias("q"))
-    return pages.crossJoin(imgs).crossJoin(q).select(F.format_string(
+    c = _counters(spark, sf_dir)
+    return c.select(F.format_string(
         "Pages crawled: %d, Failed requests: %d, Images processed: %d, URLs queued: %d, Active threads: %d",
-        "p", F.lit(0), "i", "q", F.lit(0)).alias("summary"))
+        "pages_crawled", F.lit(0), "images_saved", "unique_urls", F.lit(0)).alias("summary"))
 
 
 @register("profiling_results", """
@@ -109,8 +118,8 @@ FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 60 MINUTE GROUP
 def recent_metrics(spark, sf_dir):
     """Metric series (name = event type) in the last 60 minutes of data."""
     e = table(spark, sf_dir, "events")
-    last = e.agg(F.max("ts").alias("__max"))
-    recent = e.crossJoin(F.broadcast(last)).where(F.col("ts") >= F.col("__max") - F.expr("INTERVAL 60 MINUTES"))
+    last = e.agg(F.max("ts")).first()[0]  # one scalar
+    recent = e.where(F.col("ts") >= F.lit(last) - F.expr("INTERVAL 60 MINUTES"))
     return recent.groupBy(F.col("event_type").alias("name")).agg(
         F.count("*").alias("n"), F.avg("value").alias("avg_value"))
 

@@ -85,9 +85,8 @@ def keywords_tfidf(docs: DataFrame, k: int = 3) -> DataFrame:
     tok = tokens(docs)
     tf = tok.groupBy("doc_id", "word").agg(F.count("*").alias("tf"))
     df_ = tf.groupBy("word").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n_docs"))
-    scored = (tf.join(df_, "word").crossJoin(F.broadcast(n))
-              .withColumn("score", F.col("tf") * F.log(F.col("n_docs") / F.col("df"))))
+    n_docs = docs.count()  # one scalar, used as a literal (no join)
+    scored = tf.join(df_, "word").withColumn("score", F.col("tf") * F.log(F.lit(float(n_docs)) / F.col("df")))
     w = Window.partitionBy("doc_id").orderBy(F.desc("score"), F.asc("word"))
     return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("doc_id", "word", "score", "rank"))
@@ -99,9 +98,8 @@ def topics_by_group(docs: DataFrame, group: str, k: int = 3) -> DataFrame:
     tok = docs.select(group, F.explode(TX.words(TX.preprocess(F.col("text")))).alias("word"))
     tf = tok.groupBy(group, "word").agg(F.count("*").alias("tf"))
     gdf = tf.groupBy("word").agg(F.count("*").alias("gdf"))
-    g = tf.agg(F.countDistinct(group).alias("n_groups"))
-    scored = (tf.join(gdf, "word").crossJoin(F.broadcast(g))
-              .withColumn("score", F.col("tf") * F.log(F.col("n_groups") / F.col("gdf"))))
+    n_groups = tf.select(group).distinct().count()  # one scalar
+    scored = tf.join(gdf, "word").withColumn("score", F.col("tf") * F.log(F.lit(float(n_groups)) / F.col("gdf")))
     w = Window.partitionBy(group).orderBy(F.desc("score"), F.asc("word"))
     return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select(group, "word", "score", "rank"))

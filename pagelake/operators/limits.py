@@ -100,20 +100,31 @@ def anchored_windows(df: DataFrame, key: str, ts: str, event_id: str, window_sec
     return df.join(flagged, F.col(event_id).cast("long") == F.col("__eid")).drop("__eid")
 
 
-def running_total(df: DataFrame, key: str, order: list[str], value: str, out: str) -> DataFrame:
-    """Running sum of ``value`` per ``key`` in ``order`` (inclusive) without
-    putting a hot key in one task: range-partition on (key, order), sum
-    within each (key, partition) slice, and add the totals of the key's
-    earlier slices (one small row per slice)."""
+def running_agg(df: DataFrame, key: str, order: list[str], value, out: str, how: str = "sum") -> DataFrame:
+    """Running ``sum`` or ``max`` of ``value`` per ``key`` in ``order``
+    (inclusive) without putting a hot key in one task: range-partition on
+    (key, order), aggregate within each (key, partition) slice, and combine
+    with the aggregate of the key's earlier slices (one small row per slice).
+    Both aggregates are associative, so slice results compose exactly."""
+    fn = {"sum": F.sum, "max": F.max}[how]
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = cut_lineage(df.repartitionByRange(n, key, *order).withColumn("__pid", F.spark_partition_id()))
+    v = F.col(value) if isinstance(value, str) else value
+    r = cut_lineage(df.withColumn("__v", v).repartitionByRange(n, key, *order)
+                    .withColumn("__pid", F.spark_partition_id()))
     w_local = Window.partitionBy(key, "__pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = r.withColumn("__local", F.sum(value).over(w_local))
-    slices = r.groupBy(key, "__pid").agg(F.sum(value).alias("__slice"))
+    local = r.withColumn("__local", fn("__v").over(w_local))
+    slices = r.groupBy(key, "__pid").agg(fn("__v").alias("__slice"))
     w_carry = Window.partitionBy(key).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    carry = slices.select(key, "__pid", F.coalesce(F.sum("__slice").over(w_carry), F.lit(0)).alias("__carry"))
-    return (local.join(bounded_broadcast(carry), [key, "__pid"])
-            .withColumn(out, F.col("__local") + F.col("__carry")).drop("__pid", "__local", "__carry"))
+    carry = slices.select(key, "__pid", fn("__slice").over(w_carry).alias("__carry"))
+    joined = local.join(bounded_broadcast(carry), [key, "__pid"])
+    combined = (F.coalesce(F.col("__local"), F.lit(0)) + F.coalesce(F.col("__carry"), F.lit(0)) if how == "sum"
+                else F.greatest(F.col("__local"), F.col("__carry")))
+    return joined.withColumn(out, combined).drop("__pid", "__local", "__carry", "__v")
+
+
+def running_total(df: DataFrame, key: str, order: list[str], value: str, out: str) -> DataFrame:
+    """Running sum per key (see ``running_agg``)."""
+    return running_agg(df, key, order, value, out, "sum")
 
 
 def disk_quota(files: DataFrame, key: str, order: list[str], size: str, quota: int) -> DataFrame:

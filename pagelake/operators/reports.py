@@ -2,8 +2,7 @@
 
 Every report is a grouped aggregate with map-side partial aggregation; the
 only global orders are top-k (TakeOrderedAndProject).  Percent-of-total uses
-a one-row total joined by broadcast (its size is one row by construction)
-instead of an unpartitioned window.
+a one-row total taken as a scalar literal, never by a join or an unpartitioned window.
 """
 
 from __future__ import annotations
@@ -37,9 +36,8 @@ def image_stats(images: DataFrame) -> DataFrame:
 def type_histogram(images: DataFrame, col: str = "image_type") -> DataFrame:
     """Count per type and its percent of all rows."""
     counts = images.groupBy(col).agg(F.count("*").alias("images"))
-    total = images.agg(F.count("*").alias("__total"))
-    return (counts.crossJoin(F.broadcast(total))
-            .withColumn("percent", F.col("images") * F.lit(100.0) / F.col("__total")).drop("__total"))
+    total = images.count()  # one scalar, used as a literal (no join)
+    return counts.withColumn("percent", F.col("images") * F.lit(100.0) / F.lit(float(total)))
 
 
 def crawl_stats(plan: DataFrame, pages: DataFrame) -> DataFrame:
@@ -75,12 +73,14 @@ def pair_start_stop(events: DataFrame, op: str, kind: str, ts: str) -> DataFrame
     same operation (a second start overwrites the first; a stop without a
     start is ignored; two stops after one start both count from it).
 
-    The latest start per stop is an as-of lookup, done with a running
-    ``max`` over the operation's rows ordered by time.
+    The latest start per stop is a running ``max`` of start times over the
+    operation's events in time order, computed slice-wise so one hot
+    operation spreads over many tasks.  At equal times a stop is ordered
+    before a start.
     """
-    from pyspark.sql import Window
-    w = Window.partitionBy(op).orderBy(F.col(ts), F.col(kind).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    started = events.withColumn("__start", F.max(F.when(F.col(kind) == "start", F.col(ts))).over(w))
+    from pagelake.operators.limits import running_agg
+    e = events.withColumn("__t", F.col(ts).cast("timestamp").cast("double")).withColumn(
+        "__o", F.when(F.col(kind) == "stop", F.lit(0)).otherwise(F.lit(1)))
+    started = running_agg(e, op, ["__t", "__o"], F.when(F.col(kind) == "start", F.col("__t")), "__start", "max")
     stops = started.where((F.col(kind) == "stop") & F.col("__start").isNotNull())
-    return stops.select(F.col(op).alias("op"),
-                        (F.col(ts).cast("double") - F.col("__start").cast("double")).alias("seconds"))
+    return stops.select(F.col(op).alias("op"), (F.col("__t") - F.col("__start")).alias("seconds"))

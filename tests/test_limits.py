@@ -74,3 +74,14 @@ def test_running_total_hot_key(spark):
     for k, o, v in sorted(rows, key=lambda r: (r[0], r[1])):
         acc[k] = acc.get(k, 0) + v
         assert got[(k, o)] == acc[k]
+
+
+def test_pair_start_stop(spark):
+    from pagelake.operators.reports import pair_start_stop, profile_summary
+    rows = [("load", "stop", 0), ("load", "start", 10), ("load", "start", 20), ("load", "stop", 25),
+            ("load", "stop", 30), ("parse", "start", 5), ("save", "stop", 7)]
+    df = spark.createDataFrame([(o, k, T0 + dt.timedelta(seconds=s)) for o, k, s in rows],
+                               "op string, kind string, ts timestamp")
+    calls = pair_start_stop(df, "op", "kind", "ts")
+    got = {r.op: (r.total_seconds, r.calls) for r in profile_summary(calls).collect()}
+    assert got == {"load": (15.0, 2)}
