@@ -72,7 +72,7 @@ def disk_quota(spark, sf_dir):
 
 
 @register("idle_rate_keys", f"""
-SELECT user_id, max(ts) AS last_request,
+SELECT user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_request,
        max(ts) < (SELECT max(ts) FROM events) - INTERVAL {RATE_WINDOW_S} SECOND AS evicted
 FROM events GROUP BY 1
 """)
@@ -82,7 +82,8 @@ def idle_rate_keys(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     now = e.agg(F.max("ts")).first()[0]
     out = L.idle_keys(e, "user_id", "ts", now, RATE_WINDOW_S)
-    return out.select("user_id", F.col("last_request").cast("timestamp_ntz").alias("last_request"), "evicted")
+    return out.select("user_id", F.date_format("last_request", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_request"),
+                      "evicted")
 
 
 @register("retention_sweep", f"""

@@ -39,20 +39,22 @@ def top_crawled_domains(spark, sf_dir):
 
 
 @register("image_stats", f"""
-SELECT count(*) AS images, sum(size_kb) / 1024.0 AS total_mb, avg(size_kb) AS avg_kb FROM {DI()}
+SELECT count(*) AS images, round(sum(size_kb) / 1024.0, 6) AS total_mb, round(avg(size_kb), 6) AS avg_kb FROM {DI()}
 """)
 def image_stats(spark, sf_dir):
     """A5 over the discovered-images table."""
-    return R.image_stats(FX.discovered_images(spark, sf_dir))
+    s = R.image_stats(FX.discovered_images(spark, sf_dir))
+    return s.select("images", F.round("total_mb", 6).alias("total_mb"), F.round("avg_kb", 6).alias("avg_kb"))
 
 
 @register("image_type_histogram", f"""
-SELECT image_type, count(*) AS images, count(*) * 100.0 / (SELECT count(*) FROM {DI()}) AS percent
+SELECT image_type, count(*) AS images, round(count(*) * 100.0 / (SELECT count(*) FROM {DI()}), 6) AS percent
 FROM {DI()} GROUP BY 1
 """)
 def image_type_histogram(spark, sf_dir):
     """Image-type histogram with percent of total."""
-    return R.type_histogram(FX.discovered_images(spark, sf_dir))
+    h = R.type_histogram(FX.discovered_images(spark, sf_dir))
+    return h.select("image_type", "images", F.round("percent", 6).alias("percent"))
 
 
 @register("live_counters", f"""
@@ -100,19 +102,21 @@ def metrics_summary(spark, sf_dir):
 
 
 @register("profiling_results", """
-SELECT event_type AS op, sum(value) / 1000.0 AS total_seconds, count(value) AS calls,
-       coalesce(sum(value) / 1000.0 / nullif(count(value), 0), 0.0) AS avg_seconds
+SELECT event_type AS op, round(sum(value) / 1000.0, 6) AS total_seconds, count(value) AS calls,
+       round(coalesce(sum(value) / 1000.0 / nullif(count(value), 0), 0.0), 6) AS avg_seconds
 FROM events GROUP BY 1
 """)
 def profiling_results(spark, sf_dir):
     """Events as a profiling log (op = type, elapsed = value ms)."""
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("op"),
                                               (F.col("value") / 1000.0).alias("seconds"))
-    return R.profile_summary(e)
+    p = R.profile_summary(e)
+    return p.select("op", F.round("total_seconds", 6).alias("total_seconds"), "calls",
+                    F.round("avg_seconds", 6).alias("avg_seconds"))
 
 
 @register("recent_metrics", """
-SELECT event_type AS name, count(*) AS n, avg(value) AS avg_value
+SELECT event_type AS name, count(*) AS n, round(avg(value), 6) AS avg_value
 FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 60 MINUTE GROUP BY 1
 """)
 def recent_metrics(spark, sf_dir):
@@ -121,7 +125,7 @@ def recent_metrics(spark, sf_dir):
     last = e.agg(F.max("ts")).first()[0]  # one scalar
     recent = e.where(F.col("ts") >= F.lit(last) - F.expr("INTERVAL 60 MINUTES"))
     return recent.groupBy(F.col("event_type").alias("name")).agg(
-        F.count("*").alias("n"), F.avg("value").alias("avg_value"))
+        F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("avg_value"))
 
 
 @register("domain_counts_lookup", f"""
@@ -150,7 +154,7 @@ SELECT count(*) AS total, count_if(fetched) AS visited, count_if(NOT fetched) AS
        count_if(NOT fetched) AS failed, CAST(coalesce(sum(b) FILTER (WHERE fetched), 0) AS BIGINT) AS bytes,
        CAST(0 AS BIGINT) AS images,
        CAST(least(100, floor(count_if(fetched) * 100 / {CRAWL_BUDGET})) AS BIGINT) AS progress_pct,
-       coalesce(sum(b) FILTER (WHERE fetched), 0) / 1024.0 AS kb
+       round(coalesce(sum(b) FILTER (WHERE fetched), 0) / 1024.0, 6) AS kb
 FROM st"""
 
 
@@ -164,4 +168,4 @@ def crawl_stats(spark, sf_dir):
                             CRAWL_DEPTH - 1, CRAWL_BUDGET)
     s = R.crawl_stats(plan, pages)
     return s.withColumns({"progress_pct": R.progress_percent(F.col("visited"), CRAWL_BUDGET).cast("bigint"),
-                          "kb": F.col("bytes") / 1024.0})
+                          "kb": F.round(F.col("bytes") / 1024.0, 6)})

@@ -150,7 +150,7 @@ def ctime_error_log(spark, sf_dir):
 
 
 @register("sitemap_entries", f"""
-SELECT domain, url AS loc, CAST(to_timestamp(ts_epoch) AS TIMESTAMP) AS last_modified,
+SELECT domain, url AS loc, strftime(to_timestamp(ts_epoch), '%Y-%m-%d %H:%M:%S') AS last_modified,
        CAST(CASE WHEN crawl_depth = 0 THEN 1.0 ELSE round(1.0 / (crawl_depth + 1), 1) END AS FLOAT) AS priority,
        'daily' AS change_frequency FROM {CP()}
 """)
@@ -163,7 +163,7 @@ def sitemap_entries(spark, sf_dir):
                         F.lit("daily").alias("changefreq"),
                         F.round(F.lit(1.0) / (F.col("crawl_depth") + 1), 1).alias("priority"))
     out = SM.parse_sitemaps(SM.build_sitemaps(entries))
-    return out.select("domain", "loc", F.col("last_modified").cast("timestamp_ntz").alias("last_modified"),
+    return out.select("domain", "loc", F.date_format("last_modified", "yyyy-MM-dd HH:mm:ss").alias("last_modified"),
                       "priority", "change_frequency")
 
 

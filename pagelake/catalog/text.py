@@ -41,7 +41,7 @@ vocab AS (SELECT DISTINCT w FROM qw),
 hits AS (SELECT d.doc_id, vocab.w FROM d, vocab WHERE contains(d.p, vocab.w)),
 rel AS (SELECT qw.query_id, hits.doc_id, least(1.0, sum(qw.mult) * 0.2) AS relevance
         FROM hits JOIN qw USING (w) GROUP BY 1, 2)
-SELECT query_id, doc_id, relevance, CAST(rank AS INTEGER) AS rank FROM (
+SELECT query_id, doc_id, round(CAST(relevance AS DOUBLE), 6) AS relevance, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, doc_id) AS rank FROM rel)
 WHERE rank <= 5
 """)
@@ -49,7 +49,8 @@ def relevance_top5(spark, sf_dir):
     """Benchmark passages as queries; top-5 documents per query."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     qs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return FE.relevance_top_k(docs, qs, 5)
+    r = FE.relevance_top_k(docs, qs, 5)
+    return r.select("query_id", "doc_id", F.round("relevance", 6).alias("relevance"), "rank")
 
 
 @register("entity_counts", """
