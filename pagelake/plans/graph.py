@@ -30,8 +30,13 @@ def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _expand(frontier: DataFrame, edges: DataFrame, value_cols: list[str]) -> DataFrame:
-    f = bounded_broadcast(frontier, FRONTIER_BROADCAST_ROWS)
+def _expand(frontier: DataFrame, edges: DataFrame, value_cols: list[str], size: int | None = None) -> DataFrame:
+    """Frontier x edges.  ``size`` is the frontier's already-counted row
+    count (no extra probe); unknown sizes are probed with a bounded count."""
+    if size is None:
+        f = bounded_broadcast(frontier, FRONTIER_BROADCAST_ROWS)
+    else:
+        f = F.broadcast(frontier) if size <= FRONTIER_BROADCAST_ROWS else frontier
     return f.join(edges, f["node"] == edges["src"]).select(F.col("dst").alias("node"), *value_cols)
 
 
@@ -66,7 +71,8 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, count_paths: bool =
     while size > 0 and depth < max_depth and (budget is None or accepted < budget):
         frontier = level if expandable is None else level.join(
             expandable.select(F.col("node")).distinct(), "node", "left_semi")
-        found = _expand(frontier, edges, vals)
+        # without an expandable filter the frontier is the counted level
+        found = _expand(frontier, edges, vals, size if expandable is None else None)
         if count_paths:
             found = found.groupBy("node").agg(F.sum("paths").alias("paths"))
         else:
