@@ -33,10 +33,11 @@ def _partitions(df: DataFrame) -> int:
 def _expand(frontier: DataFrame, edges: DataFrame, value_cols: list[str], size: int | None = None) -> DataFrame:
     """Frontier x edges.  ``size`` is the frontier's already-counted row
     count (no extra probe); unknown sizes are probed with a bounded count."""
+    bound = FRONTIER_BROADCAST_ROWS
     if size is None:
-        f = bounded_broadcast(frontier, FRONTIER_BROADCAST_ROWS)
+        f = bounded_broadcast(frontier, bound)
     else:
-        f = F.broadcast(frontier) if size <= FRONTIER_BROADCAST_ROWS else frontier
+        f = F.broadcast(frontier) if 0 < bound and size <= bound else frontier
     return f.join(edges, f["node"] == edges["src"]).select(F.col("dst").alias("node"), *value_cols)
 
 

@@ -91,9 +91,10 @@ def row_count_at_most(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
-def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+def bounded_broadcast(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Broadcast ``df`` only when its size is proven small; otherwise leave the
     join to a shuffle (sort-merge / shuffled-hash chosen by AQE)."""
-    if row_count_at_most(df, limit):
+    limit = BROADCAST_ROW_LIMIT if limit is None else limit
+    if limit > 0 and row_count_at_most(df, limit):
         return F.broadcast(df)
     return df
