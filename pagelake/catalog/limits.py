@@ -87,9 +87,9 @@ def idle_rate_keys(spark, sf_dir):
 
 
 @register("retention_sweep", f"""
-SELECT count_if(m - ts_epoch > {RETENTION_S}) AS removed,
+SELECT CAST(count_if(m - ts_epoch > {RETENTION_S}) AS BIGINT) AS removed,
        CAST(coalesce(sum(bytes) FILTER (WHERE m - ts_epoch > {RETENTION_S}), 0) AS BIGINT) AS bytes_freed,
-       count_if(NOT (m - ts_epoch > {RETENTION_S})) AS kept
+       CAST(count_if(NOT (m - ts_epoch > {RETENTION_S})) AS BIGINT) AS kept
 FROM {CP()}, (SELECT max(ts_epoch) AS m FROM {CP()})
 """)
 def retention_sweep(spark, sf_dir):

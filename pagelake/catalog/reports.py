@@ -150,10 +150,10 @@ def _crawl_stats_sql() -> str:
     base = _crawl_sql(False).rsplit("SELECT node AS url", 1)[0]
     return base + f""", sized AS (SELECT url, max(strlen(html)) AS b FROM pages GROUP BY url),
 st AS (SELECT plan.node, plan.node IN (SELECT url FROM pg) AS fetched, s.b FROM plan LEFT JOIN sized s ON s.url = plan.node)
-SELECT count(*) AS total, count_if(fetched) AS visited, count_if(NOT fetched) AS queued,
-       count_if(NOT fetched) AS failed, CAST(coalesce(sum(b) FILTER (WHERE fetched), 0) AS BIGINT) AS bytes,
+SELECT count(*) AS total, CAST(count_if(fetched) AS BIGINT) AS visited, CAST(count_if(NOT fetched) AS BIGINT) AS queued,
+       CAST(count_if(NOT fetched) AS BIGINT) AS failed, CAST(coalesce(sum(b) FILTER (WHERE fetched), 0) AS BIGINT) AS bytes,
        CAST(0 AS BIGINT) AS images,
-       CAST(least(100, floor(count_if(fetched) * 100 / {CRAWL_BUDGET})) AS BIGINT) AS progress_pct,
+       CAST(least(100, floor(CAST(count_if(fetched) AS BIGINT) * 100 / {CRAWL_BUDGET})) AS BIGINT) AS progress_pct,
        round(coalesce(sum(b) FILTER (WHERE fetched), 0) / 1024.0, 6) AS kb
 FROM st"""
 

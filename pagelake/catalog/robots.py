@@ -75,7 +75,7 @@ def robots_groups(spark, sf_dir):
 urls AS (SELECT DISTINCT target AS url FROM links),
 dec AS (SELECT u.url, min(f.group_id * 2 + f.ord) AS first FROM urls u
   JOIN flat f ON {search_domain('u.url')} = f.domain WHERE contains(u.url, f.path) GROUP BY 1)
-SELECT {search_domain('url')} AS domain, count_if(allowed) AS allowed, count_if(NOT allowed) AS denied
+SELECT {search_domain('url')} AS domain, CAST(count_if(allowed) AS BIGINT) AS allowed, CAST(count_if(NOT allowed) AS BIGINT) AS denied
 FROM (SELECT u.url, coalesce(d.first % 2 = 1, true) AS allowed FROM urls u LEFT JOIN dec d USING (url)) GROUP BY 1
 """)
 def robots_verdicts(spark, sf_dir):

@@ -128,7 +128,7 @@ det AS (SELECT d.doc_id, d.lang, coalesce(b.detected, 'en') AS detected FROM doc
 
 
 @register("language_accuracy", _LANG_SQL + """
-SELECT lang, count(*) AS docs, count_if(detected = lang) AS correct FROM det GROUP BY 1
+SELECT lang, count(*) AS docs, CAST(count_if(detected = lang) AS BIGINT) AS correct FROM det GROUP BY 1
 """)
 def language_accuracy(spark, sf_dir):
     """Stop-word language vote scored against ``documents.lang``."""
@@ -180,8 +180,8 @@ def feature_eav(spark, sf_dir):
 
 
 @register("spam_vs_labels", f"""
-SELECT count_if(s AND toxic = 1) AS tp, count_if(s AND toxic <> 1) AS fp,
-       count_if(NOT s AND toxic <> 1) AS tn, count_if(NOT s AND toxic = 1) AS fn
+SELECT CAST(count_if(s AND toxic = 1) AS BIGINT) AS tp, CAST(count_if(s AND toxic <> 1) AS BIGINT) AS fp,
+       CAST(count_if(NOT s AND toxic <> 1) AS BIGINT) AS tn, CAST(count_if(NOT s AND toxic = 1) AS BIGINT) AS fn
 FROM (SELECT doc_id, coalesce(regexp_matches({pre_sql('text')}, '{_SPAM}'), false) AS s FROM documents)
 JOIN labels USING (doc_id)
 """)
@@ -242,7 +242,7 @@ def embedding_softmax(spark, sf_dir):
 
 @register("predicted_class_counts", """
 SELECT CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS predicted, count(*) AS n,
-       count_if(CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) = label) AS agree
+       CAST(count_if(CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) = label) AS BIGINT) AS agree
 FROM embeddings GROUP BY 1
 """)
 def predicted_class_counts(spark, sf_dir):
