@@ -13,12 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.functions import urls as U
 from pagelake.sources import logs as LG
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 def run_available(writer, checkpoint: str) -> None:
     """Start with trigger(availableNow) and wait for it to drain."""
     q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -91,7 +87,6 @@ def limiter_step(window_us: int, cap: int, idle_ms: int | None = None):
 def rate_limited(stream: DataFrame, key: str, window_seconds: int, cap: int, out: str, ckpt: str) -> None:
     """ST4: run the limiter over a stream of (key, ts, event_id); one small
     state row per key in the state store."""
-    spark = stream.sparkSession
     src = stream.select(F.col(key).alias("k"), F.unix_micros(F.col("ts")).alias("t"), "event_id")
     res = src.groupBy("k").applyInPandasWithState(
         limiter_step(window_seconds * 1_000_000, cap, window_seconds * 1000),
@@ -135,7 +130,3 @@ def url_stream(events: DataFrame) -> DataFrame:
     return events.select("event_id", "event_type", "value", "user_id", F.col("ts").cast("timestamp").alias("ts"),
                          F.concat(F.lit("https://h"), F.col("user_id").cast("string"), F.lit(".example.com/"),
                                   F.col("event_type")).alias("url"))
-
-
-def host_of(url_col: str) -> F.Column:
-    return U.search_domain(F.col(url_col))
