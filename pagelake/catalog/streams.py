@@ -62,8 +62,8 @@ def stream_daily_counts(spark, sf_dir):
 @register("stream_rate_limit", _fold_sql("events", "user_id", f"INTERVAL {RATE_WINDOW_S} SECOND",
                                          RATE_CAP, False, "allowed"))
 def stream_rate_limit(spark, sf_dir):
-    """ST4: the A21 limiter online (transformWithStateInPandas, RocksDB state
-    with TTL), fed in two time-ordered increments resumed from one checkpoint."""
+    """ST4: the A21 limiter online (applyInPandasWithState, one state row per
+    key), fed in two time-ordered increments resumed from one checkpoint."""
     e = table(spark, sf_dir, "events")
     lo, hi = e.agg(F.min("ts"), F.max("ts")).first()
     mid = lo + (hi - lo) / 2

@@ -32,7 +32,7 @@ def _overwrite_to(path: str):
 def first_seen_urls(stream: DataFrame, out: str, ckpt: str, within: str | None = None) -> None:
     """ST1: online de-duplication of visited URLs.  ``within`` bounds the
     state with ``dropDuplicatesWithinWatermark`` (a URL may reappear after
-    that delay); without it the state holds every distinct URL (RocksDB)."""
+    that delay); without it the state holds every distinct URL."""
     if within:
         d = stream.withWatermark("ts", within).dropDuplicatesWithinWatermark(["url"])
     else:
