@@ -98,7 +98,9 @@ def topics_by_group(docs: DataFrame, group: str, k: int = 3) -> DataFrame:
     tok = docs.select(group, F.explode(TX.words(TX.preprocess(F.col("text")))).alias("word"))
     tf = tok.groupBy(group, "word").agg(F.count("*").alias("tf"))
     gdf = tf.groupBy("word").agg(F.count("*").alias("gdf"))
-    n_groups = tf.select(group).distinct().count()  # one scalar
+    # groups holding at least one token; counted without the token shuffle
+    n_groups = (docs.where(F.size(TX.words(TX.preprocess(F.col("text")))) > 0)
+                .select(group).distinct().count())
     scored = tf.join(gdf, "word").withColumn("score", F.col("tf") * F.log(F.lit(float(n_groups)) / F.col("gdf")))
     w = Window.partitionBy(group).orderBy(F.desc("score"), F.asc("word"))
     return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
