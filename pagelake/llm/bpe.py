@@ -37,7 +37,7 @@ from pagelake.llm.common import documents, register, text_or_empty
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens and bytes that a worker's memo holds at most.
-MEMO_WORDS, MEMO_BYTES = 200_000, 8 << 20
+MEMO_WORDS, MEMO_BYTES = 300_000, 8 << 20
 #: Characters of text resolved together, and matches of a longer text.
 RUN_CHARS, RUN_MATCHES = 1 << 20, 200_000
 
@@ -182,9 +182,7 @@ class Codec:
         self._forget()
 
     def _forget(self):
-        self.ids: dict[str, list[int]] = {}
-        self.shown: dict[str, str] = {}
-        self.back: dict[str, bytes] = {}
+        self.memo: dict[str, tuple[str, bytes]] = {}  # ids in decimal, decoded bytes
         self.held = 0
 
     def runs(self, text: str):
@@ -199,13 +197,13 @@ class Codec:
 
     def learn(self, words) -> None:
         """Resolve the words that the memo lacks."""
-        if len(self.ids) > MEMO_WORDS or self.held > MEMO_BYTES:
+        if len(self.memo) > MEMO_WORDS or self.held > MEMO_BYTES:
             self._forget()
-        new = list(set(words) - self.ids.keys())
+        new = list(set(words) - self.memo.keys())
         raw = [w.encode() for w in new]
         for w, b, s in zip(new, raw, self.whole.find(raw)):
             ids = [self.slot_id[s]] if s >= 0 else merge_word(b, self.ranks)
-            self.ids[w], self.shown[w], self.back[w] = ids, ",".join(map(str, ids)), self.decode(ids)
+            self.memo[w] = ",".join(map(str, ids)), self.decode(ids)
             self.held += len(b)
 
     def decode(self, ids) -> bytes:
@@ -216,7 +214,7 @@ class Codec:
         for run in self.runs(text):
             self.learn(run)
             for w in run:
-                out += self.ids[w]
+                out += map(int, self.memo[w][0].split(","))
         return out
 
     def digests(self, texts: list[str]):
@@ -247,12 +245,13 @@ class Codec:
         for run in runs:
             if not run:
                 continue
-            shown = ",".join(map(self.shown.__getitem__, run))
+            found = list(map(self.memo.__getitem__, run))
+            shown = ",".join([f[0] for f in found])
             if n:
                 ids.update(b",")
             n += shown.count(",") + 1
             ids.update(shown.encode())
-            back.update(b"".join(map(self.back.__getitem__, run)))
+            back.update(b"".join([f[1] for f in found]))
         return n, ids.hexdigest(), back.hexdigest()
 
 
