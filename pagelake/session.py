@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,9 +47,28 @@ def build_session(master: str | None = None, app: str = "pagelake", **conf) -> S
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python workers, once per
+    context: functions that run there are pickled by reference to it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_pagelake_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="pagelake-ship-"), "pagelake.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(home):
+            for n in names:
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.join("pagelake", os.path.relpath(path, home)))
+    sc.addPyFile(target)  # the driver serves it; executors fetch their own copy
+    sc._pagelake_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan one driver table (S1).  Parquet scan: filters and projections
     written downstream are pushed into the reader by Catalyst."""
+    ship_package(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
