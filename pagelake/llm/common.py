@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagelake.session import bounded_broadcast, scratch_path, table
 
 __all__ = ["ASCII_SPACE", "BYTE_LIMIT", "bounded_broadcast", "column", "documents", "fresh", "register",
-           "spill", "text_or_empty"]
+           "spill", "table", "text_or_empty"]
 
 #: The white space of every word contract here: space and tab to carriage return.
 ASCII_SPACE = r"[\x20\x09-\x0D]"

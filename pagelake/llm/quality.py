@@ -40,8 +40,8 @@ RULES = [
     ("few_words", "n_words < 20"),
     ("repeated_words", "100 * n_repeat_words > 30 * n_words"),
     ("symbols", "10 * n_symbols > n_words"),
-    ("repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
-    ("few_alphabetic", "100 * n_alpha_words < 50 * n_words"),
+    ("repeated_lines", "100 * n_dup_lines > 60 * n_lines"),
+    ("few_alphabetic", "100 * n_alpha_words < 70 * n_words"),
     ("word_length", "word_chars < 2 * n_words OR word_chars > 20 * n_words"),
     ("long_word", "longest_word > 1000"),
 ]
