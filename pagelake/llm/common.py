@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagelake.session import bounded_broadcast, scratch_path, table
 
 __all__ = ["ASCII_SPACE", "BYTE_LIMIT", "bounded_broadcast", "column", "documents", "fresh", "register",
-           "spill", "table", "text_or_empty"]
+           "scratch", "spill", "table", "text_or_empty"]
 
 #: The white space of every word contract here: space and tab to carriage return.
 ASCII_SPACE = r"[\x20\x09-\x0D]"
@@ -55,14 +55,20 @@ def text_or_empty(c: Column | str = "text") -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder; it goes when the driver's
+    file system closes."""
+    path = scratch_path(spark, name)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def spill(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared checkpoint folder and read it
     back: lineage ends there, a lost executor costs no recomputation, and later
-    readers get only the columns they ask for.  The folder goes when the
-    driver's file system closes."""
+    readers get only the columns they ask for."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = scratch(spark, name)
     df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
