@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import bounded_broadcast, register, scratch, spill, table
+from pagelake.llm.common import bounded_broadcast, map_batches, register, scratch, spill, table
 
 #: Records of an archive file at most.
 FILE_RECORDS = 1_000
@@ -183,7 +183,7 @@ def convert_arc(spark: SparkSession, path: str, bodies: bool = True) -> DataFram
                        body.decode() if bodies else "", len(body), digest, base32_sha1(block) if bodies else "",
                        base32_sha1(head) if bodies else "")
 
-    return files(spark, path).mapInArrow(lambda b: _batches(records(b), _RECORD, 6), _spark_type(_RECORD))
+    return map_batches(files(spark, path), lambda b: _batches(records(b), _RECORD, 6), _spark_type(_RECORD))
 
 
 def revisits(records: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
@@ -276,7 +276,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
                        size, digest, h.get("warc-refers-to"),
                        body.decode() if payloads and h["warc-type"] != "revisit" else None if payloads else "")
 
-    return files(spark, path).mapInArrow(lambda b: _batches(records(b), _READ, None), _spark_type(_READ))
+    return map_batches(files(spark, path), lambda b: _batches(records(b), _READ, None), _spark_type(_READ))
 
 
 def convert(spark: SparkSession, arc: str, warc: str, least: int = LEAST_REVISIT) -> None:

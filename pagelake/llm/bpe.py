@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import documents, register, text_or_empty
+from pagelake.llm.common import documents, map_batches, register, text_or_empty
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens and bytes that a worker's memo holds at most.
@@ -286,7 +286,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
                 ids = [codec.encode(t) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return _rows(docs).mapInArrow(task, "doc_id long, ids array<int>")
+    return map_batches(_rows(docs), task, "doc_id long, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
@@ -299,7 +299,7 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
             raw = [b"".join(map(token.__getitem__, ids or ())) for ids in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(raw, pa.binary())], ["doc_id", "bytes"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(task, "doc_id long, bytes binary")
+    return map_batches(tokens.select("doc_id", "ids"), task, "doc_id long, bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -319,7 +319,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_t
                 [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _rows(docs).mapInArrow(task, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(_rows(docs), task, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 @register("op10_byte_bpe")

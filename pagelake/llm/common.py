@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.session import bounded_broadcast, scratch_path, table
+from pagelake.session import bounded_broadcast, scratch_path, ship_package, table
 
-__all__ = ["ASCII_SPACE", "BYTE_LIMIT", "bounded_broadcast", "column", "documents", "fresh", "register",
+__all__ = ["ASCII_SPACE", "BYTE_LIMIT", "bounded_broadcast", "column", "documents", "fresh", "map_batches", "register",
            "scratch", "spill", "table", "text_or_empty"]
 
 #: The white space of every word contract here: space and tab to carriage return.
@@ -55,6 +55,12 @@ def text_or_empty(c: Column | str = "text") -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def map_batches(df: DataFrame, task, schema) -> DataFrame:
+    """``mapInArrow`` with this package importable on the executors."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(task, schema)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder; it goes when the driver's
     file system closes."""

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import documents, register, text_or_empty
+from pagelake.llm.common import documents, map_batches, register, text_or_empty
 
 #: Phrases that each make a label wherever their words stand consecutively.
 BASE = {
@@ -133,7 +133,7 @@ def word_weights(rows: DataFrame) -> dict[bytes, float]:
             seen[b""] = len(b)
             yield pa.RecordBatch.from_pydict({"word": [w.decode() for w in seen], "n": list(seen.values())})
 
-    counted = rows.select("text").mapInArrow(task, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = map_batches(rows.select("text"), task, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     n = {r.word.encode(): r.n for r in counted.collect()}  # a row per licence word at most
     return {w: 1.0 + math.log((1 + n.get(b"", 0)) / (1 + n.get(w, 0))) for w in known}
 
@@ -159,7 +159,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 [b.column("doc_id"), *(pa.array(c, k) for c, (_, k) in zip(columns, kinds))],
                 ["doc_id", *(name for name, _ in kinds)])
 
-    return rows.mapInArrow(task, "doc_id long, n_words long, n_base long, first_word long, last_word long, "
+    return map_batches(rows, task, "doc_id long, n_words long, n_base long, first_word long, last_word long, "
                                  "base_labels string, labels string, score double, "
                                  "spans array<struct<label: string, first: long, end: long>>")
 

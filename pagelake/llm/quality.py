@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import documents, register, text_or_empty
+from pagelake.llm.common import documents, map_batches, register, text_or_empty
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -149,7 +149,7 @@ def kept_by(policy: str) -> Column:
 def ledger(docs: DataFrame) -> DataFrame:
     """(doc_id, measurements, fail_bits) of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
-    return (rows.mapInArrow(_measure_batches, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
+    return (map_batches(rows, _measure_batches, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
             .withColumn("fail_bits", failure_bits()))
 
 

@@ -6,7 +6,7 @@ import importlib
 
 from pagelake.llm import common
 
-MODULES = ["archives", "bpe", "exact_dedup", "licenses", "mixing", "pseudonyms", "quality", "toxicity"]
+MODULES = ["archives", "bpe", "exact_dedup", "licenses", "mixing", "pseudonyms", "quality", "substrings", "toxicity"]
 
 for _m in MODULES:
     importlib.import_module(f"pagelake.llm.{_m}")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelake.llm.common import documents, fresh, register, spill, table, text_or_empty
+from pagelake.llm.common import documents, fresh, map_batches, register, spill, table, text_or_empty
 
 LABELLED_ROWS = 40_000
 LEXICON_SIZE = 4_000
@@ -126,7 +126,7 @@ def with_features(docs: DataFrame, lexicons, name: str, part: str | None = None)
                                                  [rows.schema.names[c] for c in keep] + [name])
 
     schema = T.StructType(docs.schema.fields + [T.StructField(name, T.ArrayType(T.DoubleType()))])
-    return docs.withColumn(text, text_or_empty("text")).mapInArrow(task, schema)
+    return map_batches(docs.withColumn(text, text_or_empty("text")), task, schema)
 
 
 def part_of(doc_id) -> F.Column:
@@ -170,8 +170,8 @@ def learn_lexicons(rows: DataFrame) -> dict[int, tuple[dict[str, float], dict[st
                                                   "entry": pa.array([e for _, e, _ in seen], pa.string()),
                                                   "part": pa.array([p for _, _, p in seen], pa.int32()),
                                                   "n": pa.array(list(seen.values()), pa.int64())})
-        return (rows.where(F.col("toxic") == toxic).select("text", F.col("part").cast("int").alias("part"))
-                .mapInArrow(task, "kind int, entry string, part int, n long").groupBy("kind", "entry")
+        some = rows.where(F.col("toxic") == toxic).select("text", F.col("part").cast("int").alias("part"))
+        return (map_batches(some, task, "kind int, entry string, part int, n long").groupBy("kind", "entry")
                 .agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("part") == p, F.col("n")).otherwise(0)).alias(f"n{p}")
                                               for p in PARTS]))
 
