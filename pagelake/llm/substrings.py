@@ -165,7 +165,7 @@ def identifiers(data: np.ndarray) -> np.ndarray:
     ids = np.zeros(max(n, 0), np.uint64)
     for j in range(8):
         ids |= data[j:j + n].astype(np.uint64) << _U(8 * j)
-    size = 8
+    ids, size = _mix(ids), 8
     while size < LENGTH:
         step = min(size, LENGTH - size)
         ids = _mix(ids[:-step] * _U(_BASE) + (ids[step:] ^ _U(size)) * _U(0xD6E8FEB86659FD93))
@@ -191,11 +191,15 @@ def _refine(rows: list[tuple]):
     first = np.empty(len(key), np.int64)
     first[order] = order[np.flatnonzero(opens)[np.cumsum(opens) - 1]]
     later = np.flatnonzero(first != np.arange(len(key)))
+    span = np.arange(LENGTH)
     for at in range(0, len(later), 50_000):  # the bytes decide
         some = later[at:at + 50_000]
-        span = np.arange(LENGTH)
         if (data[where[some][:, None] + span] != data[where[first[some]][:, None] + span]).any():
-            raise ValueError("two strings share an identifier")
+            seen: dict[tuple, int] = {}  # two strings share an identifier: take the bytes themselves
+            first = np.array([seen.setdefault((b, data[w:w + LENGTH].tobytes()), i)
+                              for i, (b, w) in enumerate(zip(bucket[row].tolist(), where.tolist()))], np.int64)
+            later = np.flatnonzero(first != np.arange(len(key)))
+            break
     at = np.array([r[5] for r in rows], np.int64)
     lo = at[row[later]] + place[later]
     o, lo, end = _merged(row[later], lo, lo + LENGTH)
