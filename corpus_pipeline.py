@@ -1,28 +1,52 @@
 """Training-corpus pipeline: stages over the ``documents`` table.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
-as Parquet and read again as the next stage's ``docs``.
+as Parquet and read again as the next stage's ``docs``.  All but the last return
+the columns of documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelake.llm import exact_dedup, mixing
-from pagelake.llm.common import documents, spill
+from pagelake.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
+from pagelake.llm.common import documents, spill, table
 
 
-def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not reject."""
+    return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text."""
     return exact_dedup.drop_duplicates(docs)
 
 
-def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word n-grams, Jaccard 0.8."""
+    return ngram_join.keep_one(docs, words=5, percent=80)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
     return mixing.apply_mix(docs)
 
 
-STAGES = [("exact_dedup", dedup_stage), ("mix", mix_stage)]
+def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens of each document and digests of their ids and decoded bytes."""
+    return bpe.round_trip(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("exact_dedup", exact_dedup_stage),
+    ("ngram_join", ngram_join_stage),
+    ("mixing", mixing_stage),
+    ("byte_bpe", byte_bpe_stage),
+]
 
-#: Boosted trees, tokenizer and suffix comparisons are not SQL: tested by brute force.
+#: Boosted trees and byte-level BPE are not SQL; tests/llm checks each stage by brute force.
 ORACLE_SQL = None
 
 

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import ASCII_SPACE, documents, fresh, register, spill, text_or_empty
+from pagelake.llm.common import ASCII_SPACE, bounded_broadcast, documents, fresh, register, spill, text_or_empty
 
 #: Rows of the broadcast winners table at most, and counters of the summary.
 HEAVY_DIGESTS = 1_000
@@ -93,13 +93,13 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
                           "kept")
     per = key.groupBy(sha, no).agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where(~F.col("kept") | (F.col("n") > 1))
     per = spill(per, "losers")
+    names = [f"`{c}`" for c in docs.columns]
     keyed = docs.withColumn(sha, digest("text")).withColumn(
         no, F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")))
-    out = keyed.join(per.select(sha, no), [sha, no], "left_anti").select(docs.columns)
+    out = keyed.join(bounded_broadcast(per.select(sha, no)), [sha, no], "left_anti").select(*names)
     repeated = per.where("kept").select(sha, no)
     if repeated.isEmpty():
         return out
-    names = [f"`{c}`" for c in docs.columns]
     row = fresh(docs.columns, "whole_row")
     twins = (keyed.join(repeated, [sha, no], "left_semi").groupBy(sha, no)
              .agg(F.first(F.struct(*names)).alias(row)))

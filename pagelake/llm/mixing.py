@@ -30,7 +30,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import documents, fresh, register, spill, text_or_empty
+from pagelake.llm.common import bounded_broadcast, documents, fresh, register, spill, text_or_empty
 from pagelake.operators.tables import with_global_rank
 
 WEIGHTS = (3, 1, 2)
@@ -38,6 +38,8 @@ BUDGET_SHARE = 1.5
 MAX_REPEATS = 2
 #: Documents of a queue slice, on average.
 SLICE_ROWS = 4_096
+#: Rows of a plan that is broadcast at most.
+ID_LIMIT = 1_000_000
 SEED = "mix"
 
 
@@ -149,25 +151,28 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = BUDGET_SHARE, max_repea
         "doc_id", "uid", "size", "source_size", "target", "turns", (F.col("turns") * F.col("size")).alias("taken"))
 
 
-def apply_mix(docs: DataFrame, **kw) -> DataFrame:
+def apply_mix(docs: DataFrame, max_repeats: int = MAX_REPEATS, **kw) -> DataFrame:
     """``docs`` with each row as often as the mix takes it.
 
-    Rows of one doc_id that lie in different places of the queue (repeated
-    rows) share their turns by order of their number.
-    """
-    plan = mix(docs, **kw)
-    no, turns, place = (fresh(docs.columns, c) for c in ("doc_key", "turns", "place"))
-    key = lambda c: F.coalesce(c.cast("long").cast("string"), F.lit(""))
-    want = plan.groupBy(key(F.col("doc_id")).alias(no)).agg(F.sort_array(F.collect_list("turns"), False).alias(turns))
-    want = spill(want.where(F.array_max(turns) > 0), "turns")
-    single = docs.withColumn(no, key(F.col("doc_id"))).join(want, no)
-    several = want.where(F.size(turns) > 1).isEmpty()
-    if several:
-        single = single.withColumn(turns, F.element_at(turns, 1))
+    The texts stay where they are while the plan is small enough to broadcast.
+    Rows that share a doc_id (or have none) and a size cannot be told apart by
+    the plan; they share out their turns in order of their texts."""
+    plan = mix(docs, max_repeats=max_repeats, **kw)
+    no, size, turns, place = (fresh(docs.columns, c) for c in ("doc_key", "size", "turns", "place"))
+    total, there, different = plan.agg(F.count("*"), F.count("doc_id"), F.countDistinct("doc_id")).first()
+    if total == there == different:
+        want = spill(plan.where("turns > 0").select(F.col("doc_id").alias(no), F.col("turns").alias(turns)), "turns")
+        rows = docs.withColumn(no, F.col("doc_id").cast("long")).join(bounded_broadcast(want, ID_LIMIT), no)
     else:
-        nth = Window.partitionBy(no).orderBy(text_or_empty("text"))
-        single = single.withColumn(place, F.row_number().over(nth)).withColumn(turns, F.element_at(turns, F.col(place)))
-    return single.withColumn(turns, F.explode(F.array_repeat(F.lit(1), F.col(turns)))).select(docs.columns)
+        key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
+        at_least = [F.sum((F.col("turns") >= t).cast("long")).alias(f"{turns}{t}") for t in range(1, max_repeats + 1)]
+        want = spill(plan.groupBy(key.alias(no), F.col("size").alias(size)).agg(*at_least), "turns")
+        nth = Window.partitionBy(no, size).orderBy(text_or_empty("text"))
+        rows = (docs.withColumn(no, key).withColumn(size, word_count("text")).withColumn(place, F.row_number().over(nth))
+                .join(want, [no, size])
+                .withColumn(turns, sum((F.col(place) <= F.col(f"{turns}{t}")).cast("int") for t in range(1, max_repeats + 1)))
+                .where(F.col(turns) > 0))
+    return rows.withColumn(turns, F.explode(F.sequence(F.lit(1), F.col(turns)))).select(*[f"`{c}`" for c in docs.columns])
 
 
 ORACLE = r"""

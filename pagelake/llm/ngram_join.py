@@ -400,7 +400,7 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         gone = ranked.where("place > 1").select(F.col("node").alias(no)).distinct()
         key = F.xxhash64(F.col("doc_id").cast("long"), text_or_empty("text"))
     gone = spill(gone, "gone")
-    return docs.withColumn(no, key).join(bounded_broadcast(gone, ID_LIMIT), no, "left_anti").select(docs.columns)
+    return docs.withColumn(no, key).join(bounded_broadcast(gone, ID_LIMIT), no, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 @register("op4_ngram_join")
