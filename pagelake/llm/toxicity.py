@@ -59,55 +59,59 @@ FEATURES = ["seed_rate", "seed_hits", "word_rate", "word_weight", "start_rate",
             "near_you", "you_rate", "capitals", "shouted", "exclaimed", "asked", "repeated_marks", "obfuscated",
             "undone_hits", "log_words"]
 
-_WORD = re.compile(r"\w+")
-_SHOUT = re.compile(r"\b[A-Z]{3,}\b")
+#: Everything but ASCII letters, digits and underscores, and all non-ASCII characters, parts words.
+_PARTS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c == 95 or c >= 128 else 32 for c in range(256))
+_SHOUT = re.compile(r"[A-Z]{3,}")
 _MARKS = re.compile(r"[!?.*]{2,}")
-_MIXED = re.compile(r"[^\W\d_]+(?:[\d@$*!]+[^\W\d_]+)+")
+_MIXED = re.compile(r"[a-z]+(?:[0-9@$*!]+[a-z]+)+")
+_SIGNS = "0123456789@$*!"
 _UNDO = str.maketrans("013457@$!*", "oieastasiu")
 
 
-def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
-
-
-def features(text: str, words: dict[str, float], starts: dict[str, float]) -> list[float]:
-    """FEATURES of a text under learned lexicons (entry -> log-odds)."""
-    low = text.lower()
-    found = _WORD.findall(low)
-    n = len(found)
-    if not n:
-        return [0.0] * len(FEATURES)
-    count = Counter(found)
-    seed = word_n = start_n = 0
-    word_w = start_w = 0.0
-    hits = set()
-    for w, k in count.items():
-        if w in SEED_LEXICON:
-            seed += k
-            hits.add(w)
-        if w in words:
-            word_n += k
-            word_w += words[w]
-            hits.add(w)
-        best = max((starts.get(w[:m], 0.0) for m in BEGINNINGS), default=0.0)
-        if best:
-            start_n += k
-            start_w += best
-            hits.add(w)
-    you = near = 0
-    if any(w in count for w in SECOND_PERSON):
-        places = [i for i, w in enumerate(found) if w in SECOND_PERSON]
-        you = len(places)
-        if hits:
-            near = sum(any(x in hits for x in found[max(0, i - NEAR):i + NEAR + 1]) for i in places)
-    mixed = _MIXED.findall(low)
-    undone = sum(x.translate(_UNDO) in SEED_LEXICON or x.translate(_UNDO) in words for x in mixed)
-    letters = len(text)
-    capitals = sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    shouted = len(_SHOUT.findall(text))
-    return [seed / n, math.log1p(seed), word_n / n, word_w, start_n / n, start_w, float(len(hits)),
-            near / n, you / n, capitals / letters, shouted / n, text.count("!") / letters, text.count("?") / letters,
-            len(_MARKS.findall(text)) / n, len(mixed) / n, float(undone), math.log1p(n)]
+def words_of(text: str) -> list[bytes]:
+    return text.lower().encode().translate(_PARTS).split()
+
+
+class Lexicon:
+    """Learned words and word beginnings with their log-odds."""
+
+    def __init__(self, words: dict[bytes, float], starts: dict[bytes, float]):
+        self.words, self.starts = words, starts
+        self.known, self.seed = frozenset(words), frozenset(w.encode() for w in SEED_LEXICON)
+        self.first = frozenset(w[:BEGINNINGS[0]] for w in starts)
+        self.you = frozenset(w.encode() for w in SECOND_PERSON)
+
+    def features(self, text: str) -> list[float]:
+        """FEATURES of a text."""
+        low = text.lower()
+        found = low.encode().translate(_PARTS).split()
+        n = len(found)
+        if not n:
+            return [0.0] * len(FEATURES)
+        own = set(found)
+        seeds, known = own & self.seed, own & self.known
+        seed, word_n = sum(map(found.count, seeds)), sum(map(found.count, known))
+        start_n, start_w, hits = 0, 0.0, seeds | known
+        if self.first & {w[:BEGINNINGS[0]] for w in own}:
+            for w in own:
+                best = max(self.starts.get(w[:m], 0.0) for m in BEGINNINGS)
+                if best:
+                    start_n += found.count(w)
+                    start_w += best
+                    hits.add(w)
+        present = own & self.you
+        near = 0
+        if present and hits:
+            places = [i for i, w in enumerate(found) if w in hits]
+            near = sum(not present.isdisjoint(found[max(0, i - NEAR):i + NEAR + 1]) for i in places)
+        mixed = _MIXED.findall(low) if any(map(low.__contains__, _SIGNS)) else []
+        undone = sum((x.translate(_UNDO).encode() in self.seed or x.translate(_UNDO).encode() in self.known) for x in mixed)
+        size = len(text)
+        return [seed / n, math.log1p(seed), word_n / n, sum(map(self.words.__getitem__, known)), start_n / n, start_w,
+                float(len(hits)), near / n, sum(map(found.count, present)) / n,
+                sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")) / size, len(_SHOUT.findall(text)) / n,
+                text.count("!") / size, text.count("?") / size, len(_MARKS.findall(text)) / n, len(mixed) / n,
+                float(undone), math.log1p(n)]
 
 
 def with_features(docs: DataFrame, lexicons, name: str, part: str | None = None) -> DataFrame:
@@ -116,11 +120,12 @@ def with_features(docs: DataFrame, lexicons, name: str, part: str | None = None)
     text = fresh(docs.columns, "scored_text")
 
     def task(batches):
+        known = {p: Lexicon(*x) for p, x in lexicons.items()}
         for b in batches:
             for at in range(0, max(1, len(b)), 1_000):
                 rows = b.slice(at, 1_000)
                 unseen = rows.column(part).to_pylist() if part else [0] * len(rows)
-                made = [features(t.as_py(), *lexicons[int(p)]) for t, p in zip(rows.column(text), unseen)]
+                made = [known[int(p)].features(t.as_py()) for t, p in zip(rows.column(text), unseen)]
                 keep = [c for c in range(rows.num_columns) if rows.schema.names[c] != text]
                 yield pa.RecordBatch.from_arrays([rows.column(c) for c in keep] + [pa.array(made, pa.list_(pa.float64()))],
                                                  [rows.schema.names[c] for c in keep] + [name])
@@ -145,12 +150,12 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> D
     return texts.join(F.broadcast(known), "doc_id").select("text", "toxic", "part")
 
 
-def _entries(words: list[str]) -> tuple[set[str], set[str]]:
+def _entries(words: list[bytes]) -> tuple[set[bytes], set[bytes]]:
     own = set(words)
     return own, {w[:m] for w in own for m in BEGINNINGS if len(w) > m}
 
 
-def learn_lexicons(rows: DataFrame) -> dict[int, tuple[dict[str, float], dict[str, float]]]:
+def learn_lexicons(rows: DataFrame) -> dict[int, tuple[dict[bytes, float], dict[bytes, float]]]:
     """Words and word beginnings that mark toxic rows, with their log-odds.
 
     Under key p stands the lexicon learned without the rows of part p, under 0
@@ -167,21 +172,21 @@ def learn_lexicons(rows: DataFrame) -> dict[int, tuple[dict[str, float], dict[st
                             own = wanted[kind].intersection(own)
                         seen.update((kind, e, p) for e in own)
                 yield pa.RecordBatch.from_pydict({"kind": pa.array([k for k, _, _ in seen], pa.int32()),
-                                                  "entry": pa.array([e for _, e, _ in seen], pa.string()),
+                                                  "entry": pa.array([e for _, e, _ in seen], pa.binary()),
                                                   "part": pa.array([p for _, _, p in seen], pa.int32()),
                                                   "n": pa.array(list(seen.values()), pa.int64())})
         some = rows.where(F.col("toxic") == toxic).select("text", F.col("part").cast("int").alias("part"))
-        return (map_batches(some, task, "kind int, entry string, part int, n long").groupBy("kind", "entry")
+        return (map_batches(some, task, "kind int, entry binary, part int, n long").groupBy("kind", "entry")
                 .agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("part") == p, F.col("n")).otherwise(0)).alias(f"n{p}")
                                               for p in PARTS]))
 
     sizes = {(r.toxic, int(r.part)): r.n for r in rows.groupBy("toxic", "part").agg(F.count("*").alias("n")).collect()}
     all_toxic = sum(n for (y, _), n in sizes.items() if y == 1)
     support = max(LEXICON_SUPPORT, round(0.005 * all_toxic))
-    hot = {(r.kind, r.entry): r for r in count(None, 1).where(F.col("n") >= support)
+    hot = {(r.kind, bytes(r.entry)): r for r in count(None, 1).where(F.col("n") >= support)
            .orderBy(F.desc("n"), "kind", "entry").limit(10 * LEXICON_SIZE).collect()}
     wanted = [{e for k, e in hot if k == kind} for kind in (0, 1)]
-    clean = {(r.kind, r.entry): r for r in count(wanted, 0).collect()}
+    clean = {(r.kind, bytes(r.entry)): r for r in count(wanted, 0).collect()}
     out = {}
     for without in (0, *PARTS):
         used = [p for p in PARTS if p != without]
