@@ -14,7 +14,6 @@ from pagelake.session import table
 
 MAX_DEPTH = 6
 CRAWL_ALLOWED = ["example.com", "example.org"]
-CRAWL_BUDGET = 1000
 CRAWL_DEPTH = 3
 
 
@@ -71,54 +70,64 @@ def bfs_path_counts(spark, sf_dir):
 
 # ---- crawl plan over the real URL graph ------------------------------------
 
-def _crawl_sql(with_report: bool) -> str:
+def _crawl_sql(budget: str | None = None) -> str:
+    """Oracle: ``plan`` (node, depth) level by level; ``budget`` is SQL for the
+    most nodes that are accepted, in order of level and node."""
     allowed = ", ".join(q(d) for d in CRAWL_ALLOWED)
-    base = f"""
+    cut = "" if budget is None else f" ORDER BY node LIMIT greatest(({budget}) - (SELECT count(*) FROM v0), 0)"
+    cut2 = "" if budget is None else f" ORDER BY node LIMIT greatest(({budget}) - (SELECT count(*) FROM v1), 0)"
+    seed = "" if budget is None else f" ORDER BY node LIMIT ({budget})"
+    return f"""
 WITH pg AS (SELECT DISTINCT url FROM pages),
 links AS (
   SELECT url AS src, {_resolve_strict_sql('href')} AS dst
   FROM (SELECT url, unnest(regexp_extract_all(html, {q(H.LINK_ANY_QUOTE_RE)}, 1)) AS href FROM pages)),
 ok AS (SELECT DISTINCT src, dst FROM links, (SELECT unnest([{allowed}]) AS d) r
        WHERE {search_domain('dst')} = r.d OR suffix({search_domain('dst')}, '.' || r.d)),
-l0 AS (SELECT url AS node FROM pg ORDER BY node LIMIT {CRAWL_BUDGET}),
-l1c AS (SELECT DISTINCT ok.dst AS node FROM l0 JOIN pg ON pg.url = l0.node JOIN ok ON ok.src = l0.node
-        WHERE ok.dst NOT IN (SELECT node FROM l0)),
-l1 AS (SELECT node FROM l1c ORDER BY node LIMIT greatest({CRAWL_BUDGET} - (SELECT count(*) FROM l0), 0)),
-l2c AS (SELECT DISTINCT ok.dst AS node FROM l1 JOIN pg ON pg.url = l1.node JOIN ok ON ok.src = l1.node
-        WHERE ok.dst NOT IN (SELECT node FROM l0 UNION ALL SELECT node FROM l1)),
-l2 AS (SELECT node FROM l2c ORDER BY node
-       LIMIT greatest({CRAWL_BUDGET} - (SELECT count(*) FROM l0) - (SELECT count(*) FROM l1), 0)),
-plan AS (SELECT node, 0 AS depth FROM l0 UNION ALL SELECT node, 1 FROM l1 UNION ALL SELECT node, 2 FROM l2)
+v0 AS (SELECT url AS node FROM pg{seed}),
+l1 AS (SELECT DISTINCT ok.dst AS node FROM v0 JOIN pg ON pg.url = v0.node JOIN ok ON ok.src = v0.node
+       WHERE ok.dst NOT IN (SELECT node FROM v0){cut}),
+v1 AS (SELECT node FROM v0 UNION ALL SELECT node FROM l1),
+l2 AS (SELECT DISTINCT ok.dst AS node FROM l1 JOIN pg ON pg.url = l1.node JOIN ok ON ok.src = l1.node
+       WHERE ok.dst NOT IN (SELECT node FROM v1){cut2}),
+plan AS (SELECT node, 0 AS depth FROM v0 UNION ALL SELECT node, 1 FROM l1 UNION ALL SELECT node, 2 FROM l2)
 """
-    if not with_report:
-        return base + """SELECT node AS url, CAST(depth AS BIGINT) AS depth,
+
+
+_PLAN_SQL = """SELECT node AS url, CAST(depth AS BIGINT) AS depth,
        EXISTS (SELECT 1 FROM pg WHERE pg.url = plan.node) AS fetched FROM plan"""
-    return base + f"""SELECT node AS url, {search_domain('node')} AS domain, CAST(depth AS BIGINT) AS depth,
-       CAST(row_number() OVER (ORDER BY depth, node) AS BIGINT) AS discovered
-FROM plan"""
 
 
-@register("crawl_plan", _crawl_sql(False))
+def _page_crawl(spark, sf_dir, budget: int | None = None):
+    pages = table(spark, sf_dir, "pages")
+    return crawl.crawl_plan(pages, seeds=pages.select(F.col("url").alias("node")), allowed=CRAWL_ALLOWED,
+                            max_depth=CRAWL_DEPTH - 1, budget=budget)
+
+
+@register("crawl_plan", _crawl_sql() + _PLAN_SQL)
 def crawl_plan(spark, sf_dir):
     """All fetched pages seed the crawl; links resolved (X1/U10), kept
     when the target host is an allowed domain or a sub-domain of one (F2),
     expanded only from fetched pages (S1: unfetched targets are failed
-    fetches, J8), each level accepted in URL order under a global page
-    budget (O3), depth bound (F19)."""
-    pages = table(spark, sf_dir, "pages")
-    out = crawl.crawl_plan(pages, seeds=pages.select(F.col("url").alias("node")),
-                           allowed=CRAWL_ALLOWED, max_depth=CRAWL_DEPTH - 1, budget=CRAWL_BUDGET)
-    return out.select("url", F.col("depth").cast("bigint").alias("depth"), "fetched")
+    fetches, J8), depth bound (F19), no page budget."""
+    return _page_crawl(spark, sf_dir).select("url", F.col("depth").cast("bigint").alias("depth"), "fetched")
+
 
+@register("crawl_plan_budget", _crawl_sql("SELECT count(*) * 6 // 5 FROM pg") + _PLAN_SQL)
+def crawl_plan_budget(spark, sf_dir):
+    """O3: the same crawl under a page budget of 1.2 times the stored pages,
+    used up within the first hop: levels are accepted in URL order."""
+    budget = table(spark, sf_dir, "pages").select("url").distinct().count() * 6 // 5
+    return _page_crawl(spark, sf_dir, budget).select("url", F.col("depth").cast("bigint").alias("depth"), "fetched")
 
-@register("crawl_report", _crawl_sql(True))
+
+@register("crawl_report", _crawl_sql() + f"""SELECT node AS url, {search_domain('node')} AS domain, CAST(depth AS BIGINT) AS depth,
+       CAST(row_number() OVER (ORDER BY depth, node) AS BIGINT) AS discovered
+FROM plan""")
 def crawl_report(spark, sf_dir):
     """The crawl report (URL, domain, depth, discovery order) that the
     crawled-pages CSV holds, from the G4 plan joined to the URL profile."""
-    pages = table(spark, sf_dir, "pages")
-    out = crawl.crawl_plan(pages, seeds=pages.select(F.col("url").alias("node")),
-                           allowed=CRAWL_ALLOWED, max_depth=CRAWL_DEPTH - 1, budget=CRAWL_BUDGET)
-    return crawl.crawl_report(out)
+    return crawl.crawl_report(_page_crawl(spark, sf_dir))
 
 
 _RULE_DOMAINS = ["example.com", "thther.example.org", "example"]
@@ -147,7 +156,8 @@ def domain_rule_counts(spark, sf_dir):
     return out
 
 
-def _g5_sql() -> str:
+def _g5_plan_sql() -> str:
+    """Oracle: ``kinds`` (node, depth, kind) of the crawl with images."""
     allowed = ", ".join(q(d) for d in CRAWL_ALLOWED)
     img = ("(SELECT url, regexp_replace(html, '<a href=\"([^\"]*)\">', "
            "'<img src=\"\\1.png\" alt=\"\\1\">', 'g') AS html FROM pages)")
@@ -160,19 +170,22 @@ ok AS (SELECT DISTINCT dst FROM links, (SELECT unnest([{allowed}]) AS d) r
 imgs AS (SELECT DISTINCT {_resolve_strict_sql('src')} AS dst
   FROM (SELECT url, unnest(regexp_extract_all(html, {q(H.IMG_ANY_QUOTE_RE)}, 1)) AS src FROM {img})),
 l1 AS (SELECT dst AS node FROM ok UNION SELECT dst FROM imgs EXCEPT SELECT url FROM pg),
-plan AS (SELECT url AS node, 0 AS depth FROM pg UNION ALL SELECT node, 1 FROM l1)
-SELECT node AS url, CAST(depth AS BIGINT) AS depth,
-       CASE WHEN regexp_matches(translate(node, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                '\\.(jpg|jpeg|png|gif|bmp|webp|svg)\\z') THEN 'image' ELSE 'page' END AS kind
-FROM plan"""
+plan AS (SELECT url AS node, 0 AS depth FROM pg UNION ALL SELECT node, 1 FROM l1),
+kinds AS (SELECT node, depth, CASE WHEN regexp_matches(
+    translate(node, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '\\.(jpg|jpeg|png|gif|bmp|webp|svg)\\z') THEN 'image' ELSE 'page' END AS kind FROM plan)"""
 
 
-@register("crawl_with_images", _g5_sql())
+def image_crawl(spark, sf_dir):
+    """The crawl in which image references are scheduled too."""
+    from pagelake.operators.extract import derive_image_pages
+    pages = table(spark, sf_dir, "pages")
+    return crawl.crawl_plan(pages, seeds=pages.select(F.col("url").alias("node")), allowed=CRAWL_ALLOWED,
+                            max_depth=2, images_from=derive_image_pages(pages))
+
+
+@register("crawl_with_images", _g5_plan_sql() + " SELECT node AS url, CAST(depth AS BIGINT) AS depth, kind FROM kinds")
 def crawl_with_images(spark, sf_dir):
     """Image references are scheduled at depth+1 without the domain rule
     and stay leaves (image input: the derived image fixture)."""
-    from pagelake.operators.extract import derive_image_pages
-    pages = table(spark, sf_dir, "pages")
-    out = crawl.crawl_plan(pages, seeds=pages.select(F.col("url").alias("node")), allowed=CRAWL_ALLOWED,
-                           max_depth=2, images_from=derive_image_pages(pages))
-    return out.select("url", F.col("depth").cast("bigint").alias("depth"), "kind")
+    return image_crawl(spark, sf_dir).select("url", F.col("depth").cast("bigint").alias("depth"), "kind")

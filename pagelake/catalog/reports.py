@@ -68,7 +68,7 @@ def live_counters(spark, sf_dir):
     """One-row counters over the crawl tables: pages, images,
     unique vs processed URLs (duplicate work), URLs still queued.  One pass:
     the tables are tagged, unioned, and aggregated together."""
-    return _counters(spark, sf_dir)
+    return _counters(spark, sf_dir).drop("failed_requests")
 
 
 def _counters(spark, sf_dir):
@@ -85,20 +85,47 @@ def _counters(spark, sf_dir):
         F.count_if(F.col("tag") == "image").alias("images_saved"),
         F.countDistinct(F.when(log, F.col("url"))).alias("unique_urls"),
         F.count_if(log).alias("urls_processed"),
-        F.countDistinct(F.when(log & F.col("is_page").isNull(), F.col("url"))).alias("queue_size"))
+        F.countDistinct(F.when(log & F.col("is_page").isNull(), F.col("url"))).alias("queue_size"),
+        F.count_if(log & F.col("is_page").isNull()).alias("failed_requests"))
 
 
 @register("metrics_summary", f"""
 SELECT format('Pages crawled: {{}}, Failed requests: {{}}, Images processed: {{}}, URLs queued: {{}}, Active threads: {{}}',
-              (SELECT count(*) FROM pages), 0, (SELECT count(*) FROM {DI()}),
-              (SELECT count(DISTINCT url) FROM {UL()}), 0) AS summary
+              (SELECT count(*) FROM pages),
+              (SELECT count(*) FROM {UL()} WHERE url NOT IN (SELECT url FROM pages)), (SELECT count(*) FROM {DI()}),
+              (SELECT count(DISTINCT url) FROM {UL()} WHERE url NOT IN (SELECT url FROM pages)), 0) AS summary
 """)
 def metrics_summary(spark, sf_dir):
-    """The metrics summary line (thread counts are not data: 0)."""
+    """The metrics summary line.  Failed requests are visits in the URL
+    log without a fetched page, queued URLs those not fetched yet (thread
+    counts are not data: 0)."""
     c = _counters(spark, sf_dir)
-    return c.select(F.format_string(
+    return c.select(F.format_string(  # fixed value: the summary's text
         "Pages crawled: %d, Failed requests: %d, Images processed: %d, URLs queued: %d, Active threads: %d",
-        "pages_crawled", F.lit(0), "images_saved", "unique_urls", F.lit(0)).alias("summary"))
+        "pages_crawled", "failed_requests", "images_saved", "queue_size", F.lit(0)).alias("summary"))
+
+
+@register("profiling_pairs", """
+WITH e AS (SELECT 'op' || CAST(user_id AS VARCHAR) AS op, ts, event_id,
+             CASE WHEN event_type IN ('view', 'signup') THEN 'start' WHEN event_type = 'click' THEN 'stop' END AS kind
+           FROM events WHERE event_type IN ('view', 'signup', 'click')),
+s AS (SELECT op, kind, epoch(ts) AS t, max(CASE WHEN kind = 'start' THEN epoch(ts) END)
+        OVER (PARTITION BY op ORDER BY ts, CASE kind WHEN 'stop' THEN 0 ELSE 1 END ROWS UNBOUNDED PRECEDING) AS began FROM e),
+c AS (SELECT op, t - began AS seconds FROM s WHERE kind = 'stop' AND began IS NOT NULL)
+SELECT o.op, round(coalesce(sum(c.seconds), 0.0), 3) AS total_seconds, count(c.seconds) AS calls,
+       round(coalesce(sum(c.seconds) / nullif(count(c.seconds), 0), 0.0), 3) AS avg_seconds
+FROM (SELECT DISTINCT op FROM e WHERE kind = 'start') o LEFT JOIN c USING (op) GROUP BY o.op
+""")
+def profiling_pairs(spark, sf_dir):
+    """start/stop events paired per operation; an operation that was
+    started and never stopped has 0 calls and average 0.0."""
+    kind = (F.when(F.col("event_type").isin("view", "signup"), F.lit("start"))
+            .when(F.col("event_type") == "click", F.lit("stop")))
+    e = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("op"), F.col("user_id").cast("string")).alias("op"), "ts", kind.alias("kind")).where("kind IS NOT NULL")
+    p = R.profile_summary(R.pair_start_stop(e, "op", "kind", "ts"))
+    return p.select("op", F.round("total_seconds", 3).alias("total_seconds"), "calls",
+                    F.round("avg_seconds", 3).alias("avg_seconds"))
 
 
 @register("profiling_results", """
@@ -146,26 +173,29 @@ def domain_counts_lookup(spark, sf_dir):
 
 
 def _crawl_stats_sql() -> str:
-    from pagelake.catalog.graph import CRAWL_BUDGET, _crawl_sql
-    base = _crawl_sql(False).rsplit("SELECT node AS url", 1)[0]
-    return base + f""", sized AS (SELECT url, max(strlen(html)) AS b FROM pages GROUP BY url),
-st AS (SELECT plan.node, plan.node IN (SELECT url FROM pg) AS fetched, s.b FROM plan LEFT JOIN sized s ON s.url = plan.node)
-SELECT count(*) AS total, CAST(count_if(fetched) AS BIGINT) AS visited, CAST(count_if(NOT fetched) AS BIGINT) AS queued,
-       CAST(count_if(NOT fetched) AS BIGINT) AS failed, CAST(coalesce(sum(b) FILTER (WHERE fetched), 0) AS BIGINT) AS bytes,
-       CAST(0 AS BIGINT) AS images,
-       CAST(least(100, floor(CAST(count_if(fetched) AS BIGINT) * 100 / {CRAWL_BUDGET})) AS BIGINT) AS progress_pct,
-       round(coalesce(sum(b) FILTER (WHERE fetched), 0) / 1024.0, 6) AS kb
-FROM st"""
+    from pagelake.catalog.graph import _g5_plan_sql
+    return _g5_plan_sql() + """, lim AS (SELECT count(*) * 3 // 2 AS page_limit FROM pg),
+sized AS (SELECT url, max(strlen(html)) AS b FROM pages GROUP BY url),
+st AS (SELECT p.*, row_number() OVER (ORDER BY p.depth, p.node) <= (SELECT page_limit FROM lim) AS tried,
+              p.node IN (SELECT url FROM pg) AS fetched, s.b FROM kinds p LEFT JOIN sized s ON s.url = p.node),
+c AS (SELECT count(*) AS total, CAST(count_if(tried AND fetched) AS BIGINT) AS visited,
+       CAST(count_if(NOT tried) AS BIGINT) AS queued,
+       CAST(count_if(tried AND NOT fetched AND kind = 'page') AS BIGINT) AS failed,
+       CAST(coalesce(sum(b) FILTER (WHERE tried AND fetched), 0) AS BIGINT) AS bytes,
+       CAST(count_if(tried AND kind = 'image') AS BIGINT) AS images FROM st)
+SELECT c.*, CAST(least(100, floor(visited * 100 / page_limit)) AS BIGINT) AS progress_pct,
+       round(bytes / 1024.0, 6) AS kb FROM c, lim"""
 
 
 @register("crawl_stats", _crawl_stats_sql())
 def crawl_stats(spark, sf_dir):
-    """A8/A9/A10/A17 over the G4 crawl plan (oracle: crawl_stats_sql)."""
-    from pagelake.catalog.graph import CRAWL_ALLOWED, CRAWL_BUDGET, CRAWL_DEPTH
-    from pagelake.plans import crawl
+    """A8/A9/A10/A17 over the crawl plan with images (G5); the page limit is
+    one and a half times the stored pages, so some URLs stay queued."""
+    from pagelake.catalog.graph import image_crawl
+    from pagelake.operators.tables import with_global_rank
     pages = table(spark, sf_dir, "pages")
-    plan = crawl.crawl_plan(pages, pages.select(F.col("url").alias("node")), CRAWL_ALLOWED,
-                            CRAWL_DEPTH - 1, CRAWL_BUDGET)
-    s = R.crawl_stats(plan, pages)
-    return s.withColumns({"progress_pct": R.progress_percent(F.col("visited"), CRAWL_BUDGET).cast("bigint"),
+    limit = pages.select("url").distinct().count() * 3 // 2
+    plan = with_global_rank(image_crawl(spark, sf_dir).select("depth", "url", "fetched", "kind"), ["depth", "url"], "discovered")
+    s = R.crawl_stats(plan, pages, limit)
+    return s.withColumns({"progress_pct": R.progress_percent(F.col("visited"), limit).cast("bigint"),
                           "kb": F.round(F.col("bytes") / 1024.0, 6)})

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pagelake.catalog import register
 from pagelake.catalog._sql import crawled_pages as CP
 from pagelake.catalog._sql import discovered_images as DI
-from pagelake.catalog._sql import pre_sql
+from pagelake.catalog._sql import pre_sql, q, search_domain
 from pagelake.catalog._sql import url_log as UL
+from pagelake.catalog.extraction import _resolve_strict_sql
+from pagelake.functions.html import LINK_ANY_QUOTE_RE
 from pagelake.functions.text import SPAM_TERMS
 from pagelake.functions import urls as U
 from pagelake.operators import tables as T
@@ -56,27 +58,30 @@ def conversation_row_ids(spark, sf_dir):
     return T.with_global_rank(c, ["conv_id", "turn"], "id").select(F.col("id").cast("bigint"), "conv_id", "turn")
 
 
-_EXCL = " OR ".join(f"(suffix(target, '{e}') AND length(target) > {len(e)})" for e in U.EXCLUDED_EXTENSIONS)
+_ALLOWED_HOSTS = ["example.com", "example.org"]
+_HOST_OK = " OR ".join(f"contains({search_domain('target')}, {q(d)})" for d in _ALLOWED_HOSTS)
+_RESOLVED_LINKS = f"""(SELECT page_id, url, pos, {_resolve_strict_sql('href')} AS target
+    FROM (SELECT page_id, url, unnest(l) AS href, unnest(range(len(l))) AS pos
+          FROM (SELECT page_id, url, regexp_extract_all(html, {q(LINK_ANY_QUOTE_RE)}, 1) AS l FROM pages)))"""
 
 
 @register("fanout_first5", f"""
 SELECT page_id, CAST(pos AS BIGINT) AS pos, target FROM (
-  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rn FROM (
-    SELECT page_id, pos, 'https://' || regexp_extract(url, 'https?://([^/]+)', 1) || href AS target
-    FROM (SELECT page_id, url, unnest(l) AS href, unnest(range(len(l))) AS pos
-          FROM (SELECT page_id, url, regexp_extract_all(html, '<a\\s+[^>]*href=["'']([^"'']+)["''][^>]*>', 1) AS l
-                FROM pages)))
-  WHERE strlen(target) > 8 AND NOT ({_EXCL}))
+  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rn FROM {_RESOLVED_LINKS}
+  WHERE (prefix(target, 'http://') OR prefix(target, 'https://')) AND strlen(target) > 8
+    AND target NOT IN (SELECT url FROM pages) AND ({_HOST_OK}))
 WHERE rn <= 5
 """)
 def fanout_first5(spark, sf_dir):
-    """Per page, the first 5 links that pass the filters (valid prefix,
-    no excluded extension), in document order: row_number <= 5 runs as a
+    """Per page, the first 5 resolved links that are valid, not visited
+    yet and on an allowed domain, in document order: row_number <= 5 runs as a
     WindowGroupLimit before the window sort."""
     from pyspark.sql import Window
-    links = link_edges(table(spark, sf_dir, "pages"), "strict").select(
-        "page_id", "pos", F.concat(F.lit("https://"), U.search_domain("url"), F.col("href")).alias("target"))
-    ok = links.where(U.prefix_valid("target") & ~U.has_excluded_extension("target"))
+    from pagelake.plans.crawl import domain_filter
+    pages = table(spark, sf_dir, "pages")
+    ok = link_edges(pages, "strict").select("page_id", "pos", "target").where(U.prefix_valid("target"))
+    ok = T.not_in(ok, pages.select(F.col("url").alias("target")), "target")
+    ok = domain_filter(ok, "target", _ALLOWED_HOSTS, "substring")
     w = Window.partitionBy("page_id").orderBy("pos")
     return (ok.withColumn("rn", F.row_number().over(w)).where("rn <= 5")
             .select("page_id", F.col("pos").cast("bigint").alias("pos"), "target"))
@@ -146,18 +151,16 @@ def failed_fetches(spark, sf_dir):
 
 
 @register("child_depths", f"""
-SELECT DISTINCT p.url AS parent, p.crawl_depth + 1 AS depth,
-       'https://' || p.domain || l.href AS child
-FROM {CP()} p JOIN (SELECT url, unnest(regexp_extract_all(html,
-  '<a\\s+[^>]*href=["'']([^"'']+)["''][^>]*>', 1)) AS href FROM pages) l USING (url)
+SELECT DISTINCT p.url AS parent, p.crawl_depth + 1 AS depth, l.target AS child
+FROM {CP()} p JOIN {_RESOLVED_LINKS} l USING (url)
 """)
 def child_depths(spark, sf_dir):
     """J9 (corrected): a discovered URL's depth is its parent's depth + 1."""
-    cp = FX.crawled_pages(spark, sf_dir).select("url", "domain", "crawl_depth")
-    links = link_edges(table(spark, sf_dir, "pages"), "strict").select("url", "href")
+    cp = FX.crawled_pages(spark, sf_dir).select("url", "crawl_depth")
+    links = link_edges(table(spark, sf_dir, "pages"), "strict").select("url", "target")
     return (cp.join(links, "url")
             .select(F.col("url").alias("parent"), (F.col("crawl_depth") + 1).alias("depth"),
-                    F.concat(F.lit("https://"), "domain", "href").alias("child")).distinct())
+                    F.col("target").alias("child")).distinct())
 
 
 @register("delete_spam_pages", f"""

@@ -10,16 +10,18 @@ never move the window, so the window starts depend on timestamps only:
 they are the chain ``first -> nxt -> nxt ...`` where ``nxt(e)`` is the first
 request after ``e + W``.  Computed without a per-key sequential pass:
 
-1. ``nxt`` is an as-of lookup.  Time is cut into W-wide buckets; ``e + W``
-   falls in the next bucket, so the lookup runs per (key, bucket) plus one
-   row per non-empty bucket for the fall-through: a hot key is split by time.
+1. ``nxt`` is an as-of lookup: events and probes (``e + W``) are put in
+   descending order per key and the nearest later event is a running minimum
+   (``running_agg``), which is linear and spreads a hot key over many tasks.
 2. The chain from each key's first request is marked by pointer doubling
    (``J[k+1] = J[k] o J[k]``, then ``M |= J[k](M)`` from the largest k down):
-   O(log L) equi-joins on unique event ids, L = most windows of a key.
-3. Every request's window start is in its own or the previous bucket
-   (one start per bucket at most), so it is an equi-join on (key, bucket).
+   O(log L) equi-joins on unique event ids, L = most windows of a key; rows
+   whose jump leaves the data are dropped as the jumps grow.
+3. Every request's window start is the running maximum of the marked starts.
 4. The ``cap``-th request of each window comes from a per-window top-k
    (partial top-k before the shuffle), joined back one row per window.
+
+A null key is a key of its own.
 """
 
 from __future__ import annotations
@@ -36,90 +38,82 @@ def _micros(ts) -> F.Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def _next_after(e: DataFrame, w_us: int, inclusive: bool) -> DataFrame:
-    """(eid, nxt_eid): first event of the same key with t > t_e + W
-    (t >= t_e + W when ``inclusive``), null when none."""
-    first = F.min(F.struct("t", "eid"))
-    bf = e.groupBy("k", "b").agg(first.alias("f"))
-    wk = Window.partitionBy("k").orderBy("b")
-    nb = F.struct(F.col("b").alias("bb"), F.col("f.eid").alias("eid"))
-    bf = bf.select("k", "b", F.lead(nb, 1).over(wk).alias("l1"), F.lead(nb, 2).over(wk).alias("l2"))
+def _key_code(key: str) -> F.Column:
+    """The key as a string without nulls, so that null is a key of its own."""
+    return F.when(F.col(key).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col(key).cast("string")))
 
+
+def _next_after(e: DataFrame, w_us: int, inclusive: bool) -> DataFrame:
+    """(eid, nxt): first event of the same key with t > t_e + W (t >= t_e + W
+    when ``inclusive``); events without one have no row."""
+    none = F.lit(None).cast("long")
     probe_rank = F.lit(0) if inclusive else F.lit(2)  # probe before / after equal-time events
-    events = e.select("k", "b", "t", F.lit(1).alias("o"), "eid", F.lit(None).cast("long").alias("src"))
-    probes = e.select("k", (F.col("b") + 1).alias("b"), (F.col("t") + w_us).alias("t"), probe_rank.alias("o"),
-                      F.lit(None).cast("long").alias("eid"), F.col("eid").alias("src"))
+    events = e.select("k", "t", F.lit(1).alias("o"), "eid", none.alias("src"))
+    probes = e.select("k", (F.col("t") + w_us).alias("t"), probe_rank.alias("o"), none.alias("eid"), F.col("eid").alias("src"))
     u = events.unionByName(probes)
-    wb = Window.partitionBy("k", "b").orderBy("t", "o", "eid").rowsBetween(1, Window.unboundedFollowing)
-    u = u.withColumn("nx", F.first(F.col("eid"), ignorenulls=True).over(wb))
-    found = u.where(F.col("src").isNotNull()).select(F.col("src").alias("eid"), "nx")
-
-    fb = e.join(bounded_broadcast(bf), ["k", "b"]).select(
-        "eid", F.when(F.col("l1.bb") == F.col("b") + 1, F.col("l2.eid")).otherwise(F.col("l1.eid")).alias("fall"))
-    return found.join(fb, "eid").select("eid", F.coalesce("nx", "fall").alias("nxt"))
+    event = F.when(F.col("eid").isNotNull(), F.struct("t", "eid"))
+    later = running_agg(u, "k", [F.desc("t"), F.desc("o"), F.desc("eid")], event, "later", "min")
+    return (later.where(F.col("src").isNotNull() & F.col("later").isNotNull())
+            .select(F.col("src").alias("eid"), F.col("later.eid").alias("nxt")))
 
 
 def anchored_windows(df: DataFrame, key: str, ts: str, event_id: str, window_seconds: float,
                      cap: int, inclusive_reset: bool = False) -> DataFrame:
     """Adds ``window_start`` (event id opening the request's window) and
     ``allowed`` to ``df``.  ``event_id`` must be unique; equal timestamps are
-    ordered by it."""
+    ordered by it; a null key is a key of its own."""
     w_us = int(window_seconds * 1_000_000)
-    e = df.select(F.col(key).alias("k"), _micros(ts).alias("t"), F.col(event_id).cast("long").alias("eid"))
-    e = cut_lineage(e.withColumn("b", F.floor(F.col("t") / F.lit(w_us)).cast("long")))
-
-    j0 = cut_lineage(_next_after(e, w_us, inclusive_reset))
-    longest = e.groupBy("k").agg(F.countDistinct("b").alias("n")).agg(F.max("n")).first()[0] or 1
-    levels = max(1, math.ceil(math.log2(longest + 1)))
-    jumps = [j0]
-    for _ in range(1, levels):
+    e = cut_lineage(df.select(_key_code(key).alias("k"), _micros(ts).alias("t"), F.col(event_id).cast("long").alias("eid")))
+
+    jumps = [cut_lineage(_next_after(e, w_us, inclusive_reset))]
+    bucket = F.floor(F.col("t") / F.lit(w_us))
+    longest = e.groupBy("k").agg(F.countDistinct(bucket).alias("n")).agg(F.max("n")).first()[0] or 1
+    for _ in range(1, max(1, math.ceil(math.log2(longest + 1)))):
         prev = jumps[-1]
-        nxt = (prev.alias("a").join(prev.alias("c"), F.col("a.nxt") == F.col("c.eid"), "left")
-               .select(F.col("a.eid").alias("eid"), F.col("c.nxt").alias("nxt")))
-        jumps.append(cut_lineage(nxt))
+        jumps.append(cut_lineage(prev.alias("a").join(prev.alias("c"), F.col("a.nxt") == F.col("c.eid"))
+                                 .select(F.col("a.eid").alias("eid"), F.col("c.nxt").alias("nxt"))))
 
-    heads = e.groupBy("k").agg(F.min(F.struct("t", "eid")).alias("h")).select(F.col("h.eid").alias("eid"))
-    marked = heads
+    marked = e.groupBy("k").agg(F.min(F.struct("t", "eid")).alias("h")).select(F.col("h.eid").alias("eid"))
     for j in reversed(jumps):
-        step = marked.join(j, "eid").where(F.col("nxt").isNotNull()).select(F.col("nxt").alias("eid"))
-        marked = cut_lineage(marked.unionByName(step).distinct())
-
-    starts = e.join(marked, "eid").select("k", "b", F.struct("t", "eid").alias("s"))
-    cand = starts.unionByName(starts.withColumn("b", F.col("b") + 1))
-    me = F.struct("t", "eid")
-    assigned = (e.join(cand, ["k", "b"], "left").where(F.col("s").isNull() | (F.col("s") <= me))
-                .groupBy("k", "eid", "t").agg(F.max("s").alias("s")))
+        marked = cut_lineage(marked.unionByName(marked.join(j, "eid").select(F.col("nxt").alias("eid"))).distinct())
+
+    opened = e.join(marked.withColumn("opens", F.lit(True)), "eid", "left")
+    assigned = running_agg(opened, "k", ["t", "eid"], F.when(F.col("opens"), F.struct("t", "eid")), "s", "max")
     assigned = assigned.select("k", "eid", "t", F.col("s.eid").alias("window_start"))
 
-    wr = Window.partitionBy("k", "window_start").orderBy("t", "eid")
+    wr = Window.partitionBy("window_start").orderBy("t", "eid")
     top = assigned.withColumn("rn", F.row_number().over(wr)).where(F.col("rn") <= cap)
-    last_ok = top.groupBy("k", "window_start").agg(F.max(F.struct("t", "eid")).alias("last_ok"))
-    flagged = (assigned.join(last_ok, ["k", "window_start"])
+    last_ok = top.groupBy("window_start").agg(F.max(F.struct("t", "eid")).alias("last_ok"))
+    flagged = (assigned.join(last_ok, "window_start", "left")
                .select(F.col("eid").alias("__eid"), "window_start",
-                       (F.struct("t", "eid") <= F.col("last_ok")).alias("allowed")))
+                       F.coalesce(F.struct("t", "eid") <= F.col("last_ok"), F.lit(False)).alias("allowed")))
     return df.join(flagged, F.col(event_id).cast("long") == F.col("__eid")).drop("__eid")
 
 
-def running_agg(df: DataFrame, key: str, order: list[str], value, out: str, how: str = "sum") -> DataFrame:
-    """Running ``sum`` or ``max`` of ``value`` per ``key`` in ``order``
+def running_agg(df: DataFrame, key: str, order: list, value, out: str, how: str = "sum") -> DataFrame:
+    """Running ``sum``, ``max`` or ``min`` of ``value`` per ``key`` in ``order``
     (inclusive) without putting a hot key in one task: range-partition on
     (key, order), aggregate within each (key, partition) slice, and combine
     with the aggregate of the key's earlier slices (one small row per slice).
-    Both aggregates are associative, so slice results compose exactly."""
-    fn = {"sum": F.sum, "max": F.max}[how]
+    The aggregates are associative, so slice results compose exactly.  A null
+    key is a key of its own; a running max or min before the first non-null
+    value is null."""
+    fn = {"sum": F.sum, "max": F.max, "min": F.min}[how]
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     v = F.col(value) if isinstance(value, str) else value
-    r = cut_lineage(df.withColumn("__v", v).repartitionByRange(n, key, *order)
+    r = cut_lineage(df.withColumns({"__v": v, "__key": _key_code(key)}).repartitionByRange(n, "__key", *order)
                     .withColumn("__pid", F.spark_partition_id()))
-    w_local = Window.partitionBy(key, "__pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    w_local = Window.partitionBy("__key", "__pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = r.withColumn("__local", fn("__v").over(w_local))
-    slices = r.groupBy(key, "__pid").agg(fn("__v").alias("__slice"))
-    w_carry = Window.partitionBy(key).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    carry = slices.select(key, "__pid", fn("__slice").over(w_carry).alias("__carry"))
-    joined = local.join(bounded_broadcast(carry), [key, "__pid"])
-    combined = (F.coalesce(F.col("__local"), F.lit(0)) + F.coalesce(F.col("__carry"), F.lit(0)) if how == "sum"
-                else F.greatest(F.col("__local"), F.col("__carry")))
-    return joined.withColumn(out, combined).drop("__pid", "__local", "__carry", "__v")
+    slices = r.groupBy("__key", "__pid").agg(fn("__v").alias("__slice"))
+    w_carry = Window.partitionBy("__key").orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    carry = slices.select("__key", "__pid", fn("__slice").over(w_carry).alias("__carry"))
+    joined = local.join(bounded_broadcast(carry), ["__key", "__pid"])
+    if how == "sum":
+        combined = F.coalesce(F.col("__local"), F.lit(0)) + F.coalesce(F.col("__carry"), F.lit(0))
+    else:
+        combined = (F.greatest if how == "max" else F.least)(F.col("__local"), F.col("__carry"))
+    return joined.withColumn(out, combined).drop("__pid", "__local", "__carry", "__v", "__key")
 
 
 def running_total(df: DataFrame, key: str, order: list[str], value: str, out: str) -> DataFrame:

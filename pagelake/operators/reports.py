@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelake.session import cut_lineage
+
 
 def database_stats(crawled: DataFrame) -> DataFrame:
     """A1: total pages and distinct domains."""
@@ -35,23 +37,26 @@ def image_stats(images: DataFrame) -> DataFrame:
 
 def type_histogram(images: DataFrame, col: str = "image_type") -> DataFrame:
     """Count per type and its percent of all rows."""
-    counts = images.groupBy(col).agg(F.count("*").alias("images"))
-    total = images.count()  # one scalar, used as a literal (no join)
+    counts = cut_lineage(images.groupBy(col).agg(F.count("*").alias("images")))  # one pass over the images
+    total = counts.agg(F.sum("images")).first()[0] or 0
     return counts.withColumn("percent", F.col("images") * F.lit(100.0) / F.lit(float(total)))
 
 
-def crawl_stats(plan: DataFrame, pages: DataFrame) -> DataFrame:
-    """Visited (fetched), queued (not fetched), failed fetches,
-    bytes of the fetched pages, images; total = visited + queued."""
+def crawl_stats(plan: DataFrame, pages: DataFrame, page_limit: int) -> DataFrame:
+    """A8/A10/A17 over a plan with its discovery order: the first
+    ``page_limit`` URLs were tried.  Visited URLs are those tried and found,
+    failed ones tried without a snapshot row, queued ones not tried yet; bytes
+    of the fetched pages, images among the tried URLs; total = all."""
     sizes = pages.groupBy("url").agg(F.max(F.octet_length("html")).alias("__bytes"))
-    p = plan.join(sizes, "url", "left")
+    p = plan.join(sizes, "url", "left").withColumn("__tried", F.col("discovered") <= page_limit)
+    visited = F.col("__tried") & F.col("fetched")
     return p.agg(
         F.count("*").alias("total"),
-        F.count_if(F.col("fetched")).alias("visited"),
-        F.count_if(~F.col("fetched")).alias("queued"),
-        F.count_if(~F.col("fetched") & (F.col("kind") == "page")).alias("failed"),
-        F.coalesce(F.sum(F.when(F.col("fetched"), F.col("__bytes"))), F.lit(0)).cast("bigint").alias("bytes"),
-        F.count_if(F.col("kind") == "image").alias("images"))
+        F.count_if(visited).alias("visited"),
+        F.count_if(~F.col("__tried")).alias("queued"),
+        F.count_if(F.col("__tried") & ~F.col("fetched") & (F.col("kind") == "page")).alias("failed"),
+        F.coalesce(F.sum(F.when(visited, F.col("__bytes"))), F.lit(0)).cast("bigint").alias("bytes"),
+        F.count_if(F.col("__tried") & (F.col("kind") == "image")).alias("images"))
 
 
 def progress_percent(visited, max_pages: int):
@@ -62,16 +67,20 @@ def progress_percent(visited, max_pages: int):
 
 
 def profile_summary(calls: DataFrame, op: str = "op", seconds: str = "seconds") -> DataFrame:
-    """Per operation total time, call count and average (0.0 without calls)."""
+    """Per operation total time, call count and average (0.0 without
+    calls; a row whose ``seconds`` is null names an operation that was started
+    and is no call)."""
     return calls.groupBy(op).agg(
-        F.sum(seconds).alias("total_seconds"), F.count(seconds).alias("calls"),
+        F.coalesce(F.sum(seconds), F.lit(0.0)).alias("total_seconds"), F.count(seconds).alias("calls"),
         F.coalesce(F.sum(seconds) / F.nullif(F.count(seconds), F.lit(0)), F.lit(0.0)).alias("avg_seconds"))
 
 
 def pair_start_stop(events: DataFrame, op: str, kind: str, ts: str) -> DataFrame:
     """A11 input: each ``stop`` pairs with the latest earlier ``start`` of the
     same operation (a second start overwrites the first; a stop without a
-    start is ignored; two stops after one start both count from it).
+    start is ignored; two stops after one start both count from it).  Every
+    started operation also gets a row with null seconds, so that one without a
+    stop is reported with no calls.
 
     The latest start per stop is a running ``max`` of start times over the
     operation's events in time order, computed slice-wise so one hot
@@ -83,4 +92,6 @@ def pair_start_stop(events: DataFrame, op: str, kind: str, ts: str) -> DataFrame
         "__o", F.when(F.col(kind) == "stop", F.lit(0)).otherwise(F.lit(1)))
     started = running_agg(e, op, ["__t", "__o"], F.when(F.col(kind) == "start", F.col("__t")), "__start", "max")
     stops = started.where((F.col(kind) == "stop") & F.col("__start").isNotNull())
-    return stops.select(F.col(op).alias("op"), (F.col("__t") - F.col("__start")).alias("seconds"))
+    calls = stops.select(F.col(op).alias("op"), (F.col("__t") - F.col("__start")).alias("seconds"))
+    begun = events.where(F.col(kind) == "start").select(F.col(op).alias("op")).distinct()
+    return calls.unionByName(begun.withColumn("seconds", F.lit(None).cast("double")))

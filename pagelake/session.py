@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import shlex
 import tempfile
 import uuid
 import zipfile
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +22,29 @@ DRIVER_TABLES = (
 BROADCAST_ROW_LIMIT = 100_000
 
 
+def _preset() -> set[str]:
+    """Names of the settings that the caller's cluster, submit command or
+    running session already has."""
+    running = SparkContext._active_spark_context
+    if running is not None:
+        return {k for k, _ in running.getConf().getAll()}
+    if "PYSPARK_GATEWAY_PORT" in os.environ:  # started by spark-submit
+        SparkContext._ensure_initialized()
+        return {k for k, _ in SparkConf().getAll()}
+    names, args = set(), shlex.split(os.environ.get("PYSPARK_SUBMIT_ARGS", ""))
+    for flag, value in zip(args, args[1:]):
+        if flag == "--conf":
+            names.add(value.split("=", 1)[0])
+        elif flag == "--driver-memory":
+            names.add("spark.driver.memory")
+    return names
+
+
 def build_session(master: str | None = None, app: str = "pagelake", **conf) -> SparkSession:
-    """Session with AQE on, UI off and UTC time, sized for the local tests.
+    """Session with AQE on, UI off and UTC time, sized for local tests.
 
-    On a cluster pass the cluster's own master/conf; the defaults here only
-    apply where a value is not already set.
+    Defaults apply only where neither ``conf`` nor the cluster, the submit
+    command or a running session has set a value; ``conf`` always applies.
     """
     b = SparkSession.builder.appName(app)
     if master:
@@ -36,12 +56,12 @@ def build_session(master: str | None = None, app: str = "pagelake", **conf) -> S
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.shuffle.partitions": "8",
-        "spark.driver.memory": "8g",
     }
-    defaults.update({k: str(v) for k, v in conf.items()})
-    for k, v in defaults.items():
-        b = b.config(k, v)
+    if master and master.startswith("local"):
+        defaults |= {"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"}
+    preset = _preset()
+    for k, v in {**{k: v for k, v in defaults.items() if k not in preset}, **conf}.items():
+        b = b.config(k, str(v))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

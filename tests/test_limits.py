@@ -84,4 +84,12 @@ def test_pair_start_stop(spark):
                                "op string, kind string, ts timestamp")
     calls = pair_start_stop(df, "op", "kind", "ts")
     got = {r.op: (r.total_seconds, r.calls) for r in profile_summary(calls).collect()}
-    assert got == {"load": (15.0, 2)}
+    assert got == {"load": (15.0, 2), "parse": (0.0, 0)}
+
+
+def test_null_keys_are_a_key(spark):
+    rows = [(None, 0), ("a", 0), (None, 1), (None, 2), ("a", 1)]
+    assert run(spark, rows, 60, 1) == [True, True, False, False, False]
+    df = spark.createDataFrame([(None, 1, 5), ("n", 1, 2), (None, 2, 7)], "k string, o long, v long")
+    got = sorted((r.k or "", r.o, r.run) for r in L.running_total(df, "k", ["o"], "v", "run").collect())
+    assert got == [("", 1, 5), ("", 2, 12), ("n", 1, 2)]
