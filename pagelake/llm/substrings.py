@@ -53,7 +53,7 @@ BLOCK = 1 << 18
 #: Bytes of text whose runs are settled together, and of contexts refined together.
 BATCH_BYTES, CONTEXT_BYTES = 8 << 20, 2 << 20
 #: Different runs of a bucket from which it is split, and ids that are broadcast at most.
-BUCKET_ROWS, ID_LIMIT = 10_000, 1_000_000
+BUCKET_ROWS, ID_LIMIT = 50_000, 1_000_000
 LAST = (1 << 63) - 1
 
 _U = np.uint64
