@@ -104,11 +104,15 @@ def links_absolute(spark, sf_dir):
         "page_id", F.col("pos").cast("bigint").alias("pos"), "href", "target")
 
 
+_WIKI_PAGES = ("(SELECT page_id, url, regexp_replace(html, 'href=\"/([^\"]*)\"', CASE page_id % 3 WHEN 0 THEN "
+               "'href=\"/wiki/Help/wiki/Talk:\\1\"' ELSE 'href=\"/wiki/\\1\"' END, 'g') AS html FROM pages)")
+
+
 @register("links_wiki", f"""
 SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY first_pos) - 1 AS BIGINT) AS pos,
        href, 'https://en.wikipedia.org' || href AS target
 FROM (
-  SELECT page_id, href, min(pos) AS first_pos FROM ({_exploded_sql(H.WIKI_LINK_RE)})
+  SELECT page_id, href, min(pos) AS first_pos FROM ({_exploded_sql(H.WIKI_LINK_RE, _WIKI_PAGES)})
   WHERE NOT (contains(href, '/wiki/Special:') OR contains(href, '/wiki/Help:')
      OR contains(href, '/wiki/Talk:') OR contains(href, '/wiki/Wikipedia:')
      OR contains(href, '/wiki/Template:') OR contains(href, '/wiki/File:'))
@@ -116,8 +120,12 @@ FROM (
 """)
 def links_wiki(spark, sf_dir):
     """Wiki article links, distinct per page in first-occurrence order.
-    The page corpus has none, so the oracle result is empty as well."""
-    return X.link_edges(_pages(spark, sf_dir), "wiki").select(
+    Input: pages whose links point at wiki articles (derived fixture; a third
+    of the pages links names that the rule skips)."""
+    pages = _pages(spark, sf_dir).withColumn("html", F.regexp_replace(
+        F.col("html"), F.lit(r'href="/([^"]*)"'),
+        F.when(F.col("page_id") % 3 == 0, F.lit('href="/wiki/Help/wiki/Talk:$1"')).otherwise(F.lit('href="/wiki/$1"'))))
+    return X.link_edges(pages, "wiki").select(
         "page_id", F.col("pos").cast("bigint").alias("pos"), "href", "target")
 
 
@@ -248,16 +256,23 @@ def page_records(spark, sf_dir):
                     F.md5("url").alias("storage_key")))
 
 
-@register("storage_key_collisions", r"""
-SELECT file_path, count(*) AS pages, count(DISTINCT url) AS urls FROM (
-  SELECT url, 'pages/' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(url,
+_KEY_SQL = r"""'pages/' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(url,
      '[\x{10000}-\x{10FFFF}]', '____', 'g'), '[\x{800}-\x{FFFF}]', '___', 'g'),
-     '[\x{80}-\x{7FF}]', '__', 'g'), '[^A-Za-z0-9._\-]', '_', 'g') AS file_path FROM pages)
+     '[\x{80}-\x{7FF}]', '__', 'g'), '[^A-Za-z0-9._\-]', '_', 'g')"""
+
+
+@register("storage_key_collisions", f"""
+SELECT file_path, count(*) AS pages, count(DISTINCT url) AS urls FROM (
+  SELECT url, {_KEY_SQL} AS file_path FROM (
+    SELECT url FROM pages UNION ALL SELECT replace(url, '/', '~') FROM pages WHERE page_id % 2 = 0))
 GROUP BY file_path HAVING count(DISTINCT url) > 1
 """)
 def storage_key_collisions(spark, sf_dir):
-    """Distinct URLs that sanitise to the same file path."""
-    rec = X.page_records(_pages(spark, sf_dir))
+    """Distinct URLs that sanitise to the same file path (every other
+    page also under a URL that differs only in replaced characters)."""
+    p = _pages(spark, sf_dir)
+    twins = p.where(F.col("page_id") % 2 == 0).withColumn("url", F.replace("url", F.lit("/"), F.lit("~")))
+    rec = X.page_records(p.unionByName(twins))
     return (rec.groupBy("file_path")
             .agg(F.count("*").alias("pages"), F.countDistinct("url").alias("urls"))
             .where(F.col("urls") > 1))

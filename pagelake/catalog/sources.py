@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pagelake.catalog import register
 from pagelake.catalog._sql import crawled_pages as CP
 from pagelake.catalog._sql import discovered_images as DI
+from pagelake.catalog.extraction import _KEY_SQL
+from pagelake.functions import http as HT
 from pagelake.functions import urls as U
 from pagelake.plans import fixtures as FX
 from pagelake.session import scratch_path, table
@@ -56,19 +58,124 @@ def discovered_images_csv(spark, sf_dir):
     return FS.read_csv(spark, path, FS.DISCOVERED_IMAGES_SCHEMA)
 
 
-@register("content_metadata_csv")
+def _meta_sql(ext: str, name: str, title: str) -> str:
+    return (f"SELECT url AS URL, substr({_KEY_SQL}, 7) || '{ext}' AS Filename, {title} AS {name}, "
+            f"CAST({FX.EPOCH0} + page_id AS BIGINT) AS Timestamp, false AS corrupt FROM pages")
+
+
+def _metadata(spark, sf_dir, title, ext: str, header: str, name: str):
+    from pagelake.operators.extract import sanitized_key
+    path = scratch_path(spark, "metadata")
+    t = table(spark, sf_dir, "pages").select(
+        "url", F.concat(sanitized_key("url"), F.lit(ext)).alias("file"), title.alias("title"),
+        (F.lit(FX.EPOCH0) + F.col("page_id")).alias("ts"))
+    FS.write_metadata_lines(t, path, "url", "file", "title", "ts", header)
+    m = FS.read_metadata(spark, path, header)
+    return m.select("URL", "Filename", name, "Timestamp", F.col("_corrupt_record").isNotNull().alias("corrupt"))
+
+
+@register("content_metadata_csv", _meta_sql(
+    ".html", "Title", """'A "' || regexp_extract(html, '<title>([^<]+)</title>', 1) || '", quoted'"""))
 def content_metadata_csv(spark, sf_dir):
-    """Metadata lines with a quoted, unescaped title; malformed rows
-    land in ``_corrupt_record`` (rows-only check: quoting edge cases are
-    covered by pytest)."""
-    from pagelake.operators.extract import page_titles, sanitized_key
-    path = scratch_path(spark, "content_metadata")
-    t = page_titles(table(spark, sf_dir, "pages"), keep=("page_id", "url"))
-    t = t.select("url", F.concat(sanitized_key("url"), F.lit(".html")).alias("file"),
-                 F.col("title_plain").alias("title"), (F.lit(FX.EPOCH0) + F.col("page_id")).alias("ts"))
-    FS.write_metadata_lines(t, path, "url", "file", "title", "ts")
-    m = FS.read_metadata(spark, path)
-    return m.select("URL", "Title", F.col("_corrupt_record").isNotNull().alias("corrupt"))
+    """Metadata lines of stored pages, header first, the title with inner
+    quotes and commas left as they are; written, appended and read back."""
+    from pagelake.functions.html import TITLE_RE
+    title = F.concat(F.lit('A "'), F.regexp_extract("html", TITLE_RE, 1), F.lit('", quoted'))
+    return _metadata(spark, sf_dir, title, ".html", FS.CONTENT_METADATA_HEADER, "Title")
+
+
+@register("image_metadata_csv", _meta_sql(".png", "Alt", "'alt ' || CAST(page_id AS VARCHAR)"))
+def image_metadata_csv(spark, sf_dir):
+    """The same lines for images, with the alternative text."""
+    alt = F.concat(F.lit("alt "), F.col("page_id").cast("string"))
+    return _metadata(spark, sf_dir, alt, ".png", FS.IMAGE_METADATA_HEADER, "Alt")
+
+
+@register("image_sink_by_domain", f"""
+SELECT domain, 'img_' || CAST(pos AS VARCHAR) || '_' || CAST(page_id AS VARCHAR) || '.' || image_type AS file_name,
+       CAST(size_kb AS INTEGER) AS size_kb FROM (
+  SELECT *, ts_epoch - {FX.EPOCH0} - page_id * 60 AS pos FROM {DI()})
+""")
+def image_sink_by_domain(spark, sf_dir):
+    """Image sink, one folder per domain, ``img_{{i}}_{{n}}.{{type}}`` names."""
+    path = scratch_path(spark, "image_sink")
+    di = FX.discovered_images(spark, sf_dir)
+    pos = F.col("ts_epoch") - FX.EPOCH0 - F.col("page_id") * 60
+    rows = di.select("domain", F.concat(F.lit("img_"), pos.cast("string"), F.lit("_"), F.col("page_id").cast("string"),
+                                        F.lit("."), F.col("image_type")).alias("file_name"), F.col("size_kb").cast("int").alias("size_kb"))
+    FS.write_page_files(rows, path)
+    return spark.read.schema("file_name string, size_kb int, domain string").parquet(path).select("domain", "file_name", "size_kb")
+
+
+@register("page_table_shapes", f"""
+WITH c AS (SELECT c.*, p.html, regexp_extract(p.html, '<title>([^<]+)</title>', 1) AS title FROM {CP()} c JOIN pages p USING (page_id, url))
+SELECT 'content' AS shape, page_id AS id, url, title, md5(html) AS content_md5, NULL AS depth, NULL AS visited FROM c
+UNION ALL SELECT 'depth', page_id, url, title, NULL, CAST(crawl_depth AS INTEGER), NULL FROM c
+UNION ALL SELECT 'file', page_id, url, title, md5(html), NULL, NULL FROM c
+UNION ALL SELECT 'state', page_id, url, NULL, NULL, CAST(crawl_depth AS INTEGER), page_id % 2 = 0 FROM c
+""")
+def page_table_shapes(spark, sf_dir):
+    """The four shapes of the page table (with content, with depth, with
+    a file path, URL state), each written with its schema and read back."""
+    cp = FX.crawled_pages(spark, sf_dir).select("page_id", "url", "crawl_depth", F.timestamp_seconds("ts_epoch").alias("ts"))
+    p = cp.join(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id").select(
+        F.col("page_id").alias("id"), "url", F.regexp_extract("html", "<title>([^<]+)</title>", 1).alias("title"),
+        F.col("html").alias("content"), F.col("crawl_depth").cast("int").alias("depth"), "ts",
+        F.concat(F.lit("pages/"), F.col("page_id").cast("string")).alias("file_path"), (F.col("page_id") % 2 == 0).alias("visited"))
+    shapes = {"content": "id url title content ts", "depth": "id url title depth ts", "file": "id url title content file_path",
+              "state": "id url depth visited"}
+    out = None
+    for shape, names in shapes.items():
+        path = scratch_path(spark, f"pages_{shape}")
+        rows = p.select(*names.split())
+        rows.write.parquet(path)
+        back = spark.read.schema(rows.schema).parquet(path)
+        one = back.select(F.lit(shape).alias("shape"), *[F.col(c) for c in back.columns if c not in ("ts", "file_path")])
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out.select("shape", "id", "url", "title", F.md5("content").alias("content_md5"), "depth", "visited")
+
+
+@register("content_by_url", """
+SELECT w.url, md5(p.html) AS content_md5, CAST(strlen(p.html) AS BIGINT) AS bytes
+FROM (SELECT DISTINCT url FROM pages WHERE page_id % 3 = 0) w JOIN pages p USING (url)
+""")
+def content_by_url(spark, sf_dir):
+    """Stored content of the wanted URLs; unknown URLs have no row."""
+    pages = table(spark, sf_dir, "pages")
+    wanted = (pages.where(F.col("page_id") % 3 == 0).select("url")
+              .union(FX.url_log(spark, sf_dir).select("url"))).distinct()
+    return (pages.join(wanted, "url", "left_semi")
+            .select("url", F.md5("html").alias("content_md5"), F.octet_length("html").cast("bigint").alias("bytes")))
+
+
+_TYPES = ["text/html", "text/html; charset=utf-8", "application/pdf", "image/png", "application/json", "application/xml", ""]
+_STATUS = [200, 404, 200, 500, 200]
+
+
+@register("fetch_log_flags", f"""
+WITH f AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN url || '.png' ELSE url END AS url,
+    [{", ".join(map(str, _STATUS))}][page_id % 5 + 1] AS status,
+    [{", ".join(f"'{t}'" for t in _TYPES)}][page_id % 7 + 1] AS content_type, page_id % 3 <> 0 AS robots FROM pages),
+g AS (SELECT *, NOT (contains(content_type, 'text/') OR contains(content_type, 'application/json')
+                     OR contains(content_type, 'application/xml')) AS is_binary FROM f)
+SELECT page_id, status = 200 AS ok, content_type, contains(content_type, 'text/html') OR page_id % 4 = 0 AS accepted,
+  content_type IN ({", ".join(f"'{t}'" for t in HT.SUPPORTED_CONTENT_TYPES)}) AS supported, is_binary, NOT is_binary AND robots AS follow
+FROM g
+""")
+def fetch_log_flags(spark, sf_dir):
+    """F8-F13 over a fetch log derived from the pages: status, raw response
+    headers and the verdict of the robots rules."""
+    at = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("page_id") % n + 1).cast("int"))
+    kind = at(_TYPES, 7)
+    log = table(spark, sf_dir, "pages").select(
+        "page_id", F.when(F.col("page_id") % 4 == 0, F.concat("url", F.lit(".png"))).otherwise(F.col("url")).alias("url"),
+        at(_STATUS, 5).alias("status"), (F.col("page_id") % 3 != 0).alias("robots"),
+        F.concat(F.lit("HTTP/1.1 200 OK\r\nServer: x\r\n"), F.when(kind != "", F.concat(F.lit("Content-Type: "), kind, F.lit("\r\n")))
+                 .otherwise("")).alias("headers"))
+    log = log.withColumn("content_type", HT.header_content_type("headers"))
+    return log.select("page_id", HT.is_ok_status("status").alias("ok"), "content_type",
+                      HT.accepts_body("url", "content_type").alias("accepted"), HT.is_supported_type("content_type").alias("supported"),
+                      HT.is_binary_type("content_type").alias("is_binary"), HT.should_follow("content_type", "robots").alias("follow"))
 
 
 @register("page_corpus_by_host", f"""
@@ -174,20 +281,19 @@ _IMGS = " OR ".join(f"suffix(lower(url), '{e}')" for e in CONFIG["filters"]["ima
 _MAXB = int(CONFIG["crawler"]["max_file_size_mb"] * 1024 * 1024)
 
 
-@register("config_filtered_pages", f"""
-SELECT page_id, url FROM (
-  SELECT page_id, url, html, regexp_extract(url, 'https?://([^/]+)', 1) AS host,
+_CONFIG_SQL = f"""
+  FROM (SELECT page_id, url, html, regexp_extract(url, 'https?://([^/]+)', 1) AS host,
          regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?(?://[^/?#]*)?([^?#]*)', 1) AS path FROM pages)
 WHERE EXISTS (SELECT 1 FROM (SELECT unnest([{_ALLOWED}]) AS d) WHERE host = d OR suffix(host, '.' || d))
   AND NOT ({_EXCL})
   AND (regexp_extract(path, '\\.[^./]*$', 0) = '' OR lower(regexp_extract(path, '\\.[^./]*$', 0)) IN ({_EXTS}))
-  AND strlen(html) <= {_MAXB}
-  AND NOT ({_IMGS})
-""")
-def config_filtered_pages(spark, sf_dir):
-    """S15 + F2 + F14 + F15 + F16 + F23: a JSON config read back as filter
-    tables; pages from allowed domains, not under an excluded path, with an
-    allowed or no extension, within the size cap, not images (should-index)."""
+  AND NOT ({_IMGS})"""
+
+
+def _config_pages(spark, sf_dir):
+    """S15 + F2 + F14 + F15 + F23: a JSON config read back as filter tables;
+    pages from allowed domains, not under an excluded path, with an allowed or
+    no extension, not images (should-index), and whether they fit the size cap."""
     from pagelake.plans.crawl import domain_filter
     path = scratch_path(spark, "config")
     CFG.write_config(spark, path, CONFIG)
@@ -195,7 +301,6 @@ def config_filtered_pages(spark, sf_dir):
     lists = CFG.filter_lists(cfg)  # one config document: bounded
     max_bytes = int(cfg.select("crawler.max_file_size_mb").first()[0] * 1024 * 1024)
     pages = table(spark, sf_dir, "pages").withColumn("path", U.urlparse_path("url"))
-    kept = domain_filter(pages, "url", CFG.filter_table(cfg, "allowed_domains"), "suffix")
     excluded = F.lit(False)
     for prefix in lists["excluded_paths"]:
         excluded = excluded | F.col("path").startswith(prefix)
@@ -203,6 +308,18 @@ def config_filtered_pages(spark, sf_dir):
     is_img = F.lit(False)
     for e in lists["image_extensions"]:
         is_img = is_img | F.lower("url").endswith(e)
-    kept = kept.where(~excluded & ((ext == "") | ext.isin(*lists["allowed_extensions"]))
-                      & (F.octet_length("html") <= max_bytes) & ~is_img)
-    return kept.select("page_id", "url")
+    kept = domain_filter(pages, "url", CFG.filter_table(cfg, "allowed_domains"), "suffix").where(
+        ~excluded & ((ext == "") | ext.isin(*lists["allowed_extensions"])) & ~is_img)
+    return kept.withColumn("bytes", F.octet_length("html").cast("bigint")).withColumn("fits", F.col("bytes") <= max_bytes)
+
+
+@register("config_filtered_pages", f"SELECT page_id, url {_CONFIG_SQL} AND strlen(html) <= {_MAXB}")
+def config_filtered_pages(spark, sf_dir):
+    """F16: the configured pages within the size cap."""
+    return _config_pages(spark, sf_dir).where("fits").select("page_id", "url")
+
+
+@register("config_refused_pages", f"SELECT page_id, url, CAST(strlen(html) AS BIGINT) AS bytes {_CONFIG_SQL} AND strlen(html) > {_MAXB}")
+def config_refused_pages(spark, sf_dir):
+    """F16: the side table of the pages that the size cap refuses."""
+    return _config_pages(spark, sf_dir).where("NOT fits").select("page_id", "url", "bytes")

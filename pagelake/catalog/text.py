@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagelake.catalog import register
 from pagelake.catalog._sql import crawled_pages as CP
 from pagelake.functions import text as TX
+from pagelake.functions.html import TITLE_RE
 from pagelake.operators import features as FE
 from pagelake.plans import fixtures as FX
 from pagelake.session import table
@@ -138,27 +139,99 @@ def language_accuracy(spark, sf_dir):
                                    F.count_if(F.col("detected") == F.col("lang")).alias("correct"))
 
 
-@register("document_features", _LANG_SQL + f"""
-SELECT det.doc_id, det.detected AS language,
-       coalesce(regexp_matches({pre_sql('d.text')}, '{_SPAM}'), false) AS is_spam,
-       CAST(len(regexp_extract_all(regexp_replace(d.text, '<[^>]*>', '', 'g'), '\\b[A-Z][a-z]+\\b', 0)) AS BIGINT)
-         AS n_entities,
-       CAST(len({words_sql('d.text')}) AS BIGINT) AS n_words
-FROM det JOIN documents d USING (doc_id)
+_FEATURES_SQL = _LANG_SQL + f""",
+tops AS (SELECT lang AS language, list(word ORDER BY rank) AS topics FROM (
+  SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY tf * ln(n_groups / gdf) DESC, word) AS rank
+  FROM (SELECT lang, word, count(*) AS tf FROM (SELECT lang, unnest({words_sql('text')}) AS word FROM documents) GROUP BY 1, 2)
+  JOIN (SELECT word, count(DISTINCT lang) AS gdf FROM (SELECT lang, unnest({words_sql('text')}) AS word FROM documents) GROUP BY 1) USING (word),
+  (SELECT count(DISTINCT lang) AS n_groups FROM documents WHERE len({words_sql('text')}) > 0)) WHERE rank <= 3 GROUP BY 1),
+qw AS (SELECT unnest({words_sql("'" + "the idiot of a thing" + "'")}) AS w),
+rel AS (SELECT d.doc_id, least(1.0, count(qw.w) * 0.2) AS relevance
+        FROM documents d LEFT JOIN qw ON contains({pre_sql('d.text')}, qw.w) GROUP BY 1),
+f AS (SELECT det.doc_id, det.detected AS language, array_to_string(coalesce(t.topics, []), ',') AS topics,
+        CAST(rel.relevance AS DOUBLE) AS relevance,
+        coalesce(regexp_matches({pre_sql('d.text')}, '{_SPAM}'), false) AS is_spam,
+        CAST(len(regexp_extract_all(regexp_replace(d.text, '<[^>]*>', '', 'g'), '\\b[A-Z][a-z]+\\b', 0)) AS BIGINT) AS n_entities,
+        CAST(len({words_sql('d.text')}) AS BIGINT) AS n_words
+  FROM det JOIN documents d USING (doc_id) JOIN rel USING (doc_id) LEFT JOIN tops t ON t.language = det.detected)
+"""
+_FEATURE_QUERY = "the idiot of a thing"
+
+
+def _document_features(spark, sf_dir):
+    """The full feature struct per document: detected language, that
+    language's topic terms, relevance to one query, spam verdict, entities."""
+    d = table(spark, sf_dir, "documents")
+    topics = (FE.topics_by_group(d, "lang", 3).groupBy(F.col("lang").alias("language"))
+              .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("topics")))
+    words = TX.words(TX.preprocess(F.lit(_FEATURE_QUERY)))
+    pre = TX.preprocess(F.col("text"))
+    hits = F.size(F.filter(words, lambda w: F.contains(F.col("pre"), w)))
+    feats = d.select("doc_id", "text", pre.alias("pre")).select(
+        "doc_id", FE.detected_language(F.col("text")).alias("language"), TX.relevance_from_hits(hits).alias("relevance"),
+        TX.is_spam(F.col("text")).alias("is_spam"), TX.entities(F.col("text")).alias("entities"),
+        F.size(TX.words(F.col("pre"))).cast("bigint").alias("n_words"))
+    # as many rows as languages
+    return feats.join(F.broadcast(topics), "language", "left").withColumn(
+        "topics", F.coalesce("topics", F.array().cast("array<string>")))
+
+
+@register("document_features", _FEATURES_SQL + """
+SELECT doc_id, language, topics, round(relevance, 6) AS relevance, is_spam, n_entities, n_words FROM f
 """)
 def document_features(spark, sf_dir):
-    """The feature struct per document (language, spam verdict,
-    entities), flattened for comparison."""
-    d = table(spark, sf_dir, "documents")
-    lang = FE.language_vote(d.select("doc_id", "text"))
-    feats = d.select("doc_id", F.struct(
-        TX.is_spam(F.col("text")).alias("is_spam"),
-        TX.entities(F.col("text")).alias("entities"),
-        F.size(TX.words(TX.preprocess(F.col("text")))).alias("n_words")).alias("f"))
-    j = feats.join(lang, "doc_id")
-    return j.select("doc_id", F.col("detected").alias("language"), F.col("f.is_spam").alias("is_spam"),
-                    F.size("f.entities").cast("bigint").alias("n_entities"),
-                    F.col("f.n_words").cast("bigint").alias("n_words"))
+    """The feature struct per document, flattened for comparison."""
+    return _document_features(spark, sf_dir).select(
+        "doc_id", "language", F.array_join("topics", ",").alias("topics"), F.round("relevance", 6).alias("relevance"),
+        "is_spam", F.size("entities").cast("bigint").alias("n_entities"), "n_words")
+
+
+@register("feature_strings", _FEATURES_SQL + """
+SELECT doc_id, 'Language: ' || language || ', Topics: '
+  || array_to_string(list_transform(string_split(topics, ','), lambda t: t || ', '), '')
+  || 'Relevance: ' || printf('%g', round(relevance, 6)) || ', IsSpam: ' || CASE WHEN is_spam THEN '1' ELSE '0' END AS features
+FROM f
+""")
+def feature_strings(spark, sf_dir):
+    """The features of each document as one line of text."""
+    f = _document_features(spark, sf_dir).withColumn("relevance", F.round("relevance", 6))
+    return f.select("doc_id", FE.features_to_string("language", "topics", "relevance", "is_spam").alias("features"))
+
+
+@register("feature_pivot", f"""
+SELECT doc_id, CAST(n_chars AS DOUBLE) AS n_chars, CAST(len({words_sql('text')}) AS DOUBLE) AS n_words,
+       CASE WHEN coalesce(regexp_matches({pre_sql('text')}, '{_SPAM}'), false) THEN 1.0 ELSE 0.0 END AS spam
+FROM documents
+""")
+def feature_pivot(spark, sf_dir):
+    """EAV feature rows pivoted back to one row per document."""
+    return (feature_eav(spark, sf_dir).groupBy("doc_id").pivot("feature", ["n_chars", "n_words", "spam"])
+            .agg(F.first("value")))
+
+
+@register("image_descriptions", """
+SELECT vec_id, 'Detected objects: object' || CAST(label AS VARCHAR) || ' (' || printf('%g', (vec_id % 100) / 100.0) || '), object'
+  || CAST(label + 1 AS VARCHAR) || ', ' || chr(10) || 'Image categories: class' || CAST(label AS VARCHAR) || ', '
+  || CASE WHEN vec_id % 2 = 0 THEN chr(10) || 'Extracted text: v' || CAST(vec_id AS VARCHAR) ELSE '' END AS description
+FROM embeddings
+""")
+def image_descriptions(spark, sf_dir):
+    """S16 + M2: an image table with objects, confidences, labels and text,
+    written and read back with its schema, described in words."""
+    from pagelake.sources import files as FS
+    from pagelake.session import scratch_path
+    e = table(spark, sf_dir, "embeddings")
+    name = lambda c: F.concat(F.lit("object"), c.cast("string"))
+    rows = e.select(
+        F.concat(F.lit("http://h/"), F.col("vec_id").cast("string")).alias("url"), "vec_id",
+        F.array(F.concat(F.lit("class"), F.col("label").cast("string"))).alias("labels"),
+        F.array((F.col("vec_id") % 100) / 100.0).alias("confidence"),
+        F.when(F.col("vec_id") % 2 == 0, F.concat(F.lit("v"), F.col("vec_id").cast("string"))).otherwise("").alias("ocr_text"),
+        F.array(name(F.col("label")), name(F.col("label") + 1)).alias("objects"), (F.col("label") == 0).alias("is_nsfw"))
+    path = scratch_path(spark, "images")
+    FS.write_images(rows, path)
+    back = FS.read_images(spark, path)
+    return back.select("vec_id", FE.describe_image("objects", "confidence", "labels", "ocr_text").alias("description"))
 
 
 @register("feature_eav", f"""
@@ -190,38 +263,65 @@ def spam_vs_labels(spark, sf_dir):
     return FE.spam_confusion(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@register("page_metadata", """
-SELECT page_id,
-  CAST(len(regexp_extract_all(html, '(?is)<meta\\b[^>]*\\bname\\s*=[^>]*>', 0)) AS BIGINT) AS n_meta,
+_META_PAGES = """(SELECT page_id, url, '<html lang="' || CASE page_id % 2 WHEN 0 THEN 'en' ELSE 'fr' END
+  || '"><meta name="Author" content="a' || CAST(page_id AS VARCHAR) || '"><meta content=''d &amp; e'' name=description>'
+  || CASE WHEN page_id % 3 = 0 THEN '<link rel="canonical" href="https://canon.example.com/' || CAST(page_id // 6 AS VARCHAR) || '">'
+     ELSE '' END || html AS html FROM pages)"""
+
+
+def _meta_pages(spark, sf_dir):
+    """Derived fixture: pages with named meta tags, a language and, for every
+    third, a canonical link shared by two of them."""
+    n = F.col("page_id").cast("string")
+    return table(spark, sf_dir, "pages").withColumn("html", F.concat(
+        F.lit('<html lang="'), F.when(F.col("page_id") % 2 == 0, "en").otherwise("fr"),
+        F.lit('"><meta name="Author" content="a'), n, F.lit("\"><meta content='d &amp; e' name=description>"),
+        F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<link rel="canonical" href="https://canon.example.com/'),
+                                                   F.expr("string(page_id div 6)"), F.lit('">'))).otherwise(F.lit("")), F.col("html")))
+
+
+@register("page_metadata", f"""
+SELECT page_id, CAST(len(regexp_extract_all(html, '(?is)<meta\\b[^>]*\\bname\\s*=[^>]*>', 0)) AS BIGINT) AS n_meta,
+  'author=a' || CAST(page_id AS VARCHAR) || ';description=d &amp; e' AS first_meta,
   regexp_extract(html, '(?is)<html\\b[^>]*\\blang\\s*=\\s*["'']?([A-Za-z0-9_-]+)', 1) AS html_lang,
   lower(regexp_extract(html, '(?is)<meta\\b[^>]*\\bcharset\\s*=\\s*["'']?([A-Za-z0-9_-]+)', 1)) AS charset
-FROM pages
+FROM {_META_PAGES}
 """)
 def page_metadata(spark, sf_dir):
     """Meta entries, html lang and charset per page."""
-    m = FE.page_metadata(table(spark, sf_dir, "pages"))
-    return m.select("page_id", F.size("meta").cast("bigint").alias("n_meta"), "html_lang", "charset")
+    m = FE.page_metadata(_meta_pages(spark, sf_dir))
+    first = F.array_join(F.transform(F.slice("meta", 1, 2), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return m.select("page_id", F.size("meta").cast("bigint").alias("n_meta"), first.alias("first_meta"), "html_lang", "charset")
 
 
 @register("content_search", """
-SELECT b.item_id AS query_id, p.url FROM pages p,
-  (SELECT item_id, split_part(trim(text), ' ', 1) AS q FROM benchmark) b
-WHERE contains(p.html, b.q)
+SELECT DISTINCT t.query_id, p.url FROM pages p, (
+  SELECT 't' || CAST(page_id AS VARCHAR) AS query_id, regexp_extract(html, '<title>([^<]+)</title>', 1) AS q FROM pages
+  UNION ALL SELECT 'b' || CAST(item_id AS VARCHAR), text FROM benchmark) t
+WHERE regexp_matches(t.q, '[^ \\t\\n\\x0B\\f\\r]') AND contains(p.html, t.q)
 """)
 def content_search(spark, sf_dir):
-    """case-sensitive full-text contains search over stored pages; each
-    benchmark item's first word is a query.  Matches come from one
-    Aho-Corasick pass per page against the (size-checked) query list."""
+    """case-sensitive full-text contains search over stored pages; the
+    queries are every page's title and every benchmark text, whole."""
+    pages = table(spark, sf_dir, "pages")
+    qs = pages.select(F.concat(F.lit("t"), F.col("page_id").cast("string")).alias("query_id"),
+                      F.regexp_extract("html", TITLE_RE, 1).alias("q"))
+    qs = qs.unionByName(table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("query_id"), F.col("text").alias("q")))
+    return FE.search_pages(pages, qs)
+
+
+@register("word_search", """
+SELECT w AS word, count(*) AS pages, min(url) AS first_url FROM pages p, (
+  SELECT DISTINCT unnest(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+')) AS w FROM benchmark) q
+WHERE q.w <> '' AND contains(p.html, q.w) GROUP BY w
+""")
+def word_search(spark, sf_dir):
+    """F20 for single words: pages that hold each word of the benchmark texts."""
     pages = table(spark, sf_dir, "pages")
-    qs = table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.split(F.trim("text"), " ").getItem(0).alias("q"))
-    from pagelake.session import row_count_at_most
-    distinct_q = qs.select("q").distinct()
-    if not row_count_at_most(distinct_q, FE.QUERY_WORD_LIMIT):
-        raise ValueError("query list too large to ship with tasks")
-    terms = [r.q for r in distinct_q.collect()]  # bounded by the check above
-    hits = pages.select("url", F.explode(FE.matched_terms(F.col("html"), terms)).alias("q"))
-    return hits.join(F.broadcast(qs), "q").select("query_id", "url")
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", r"[ \t\n\x0B\f\r]+")).alias("q")).where("q <> ''").distinct()
+    hits = FE.search_pages(pages, words.select(F.col("q").alias("query_id"), "q"))
+    return hits.groupBy(F.col("query_id").alias("word")).agg(F.count("*").alias("pages"), F.min("url").alias("first_url"))
 
 
 @register("embedding_softmax", """
@@ -261,16 +361,16 @@ def crawl_times(spark, sf_dir):
     return cp.select("page_id", TX.epoch_to_text(F.col("ts_epoch")).alias("crawled_at"))
 
 
-@register("canonical_keys", """
+@register("canonical_keys", f"""
 SELECT page_id, coalesce(nullif(
   regexp_extract(regexp_extract(html, '(?i)<link\\b[^>]*\\brel=["'']?canonical["'']?[^>]*>', 0),
                  '(?is)[\\s<]href\\s*=\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s"''>]+))', 1), ''), url) AS page_key
-FROM pages
+FROM {_META_PAGES}
 """)
 def canonical_keys(spark, sf_dir):
     """the page key is the declared canonical URL when present."""
     from pagelake.functions.html import CANONICAL_TAG_RE, attr
-    p = table(spark, sf_dir, "pages")
+    p = _meta_pages(spark, sf_dir)
     tag = F.regexp_extract("html", CANONICAL_TAG_RE, 0)
     canon = attr(tag, "href")
     return p.select("page_id", F.when(canon != "", canon).otherwise(F.col("url")).alias("page_key"))

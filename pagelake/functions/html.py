@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,8 +25,6 @@ TITLE_ICASE_RE = r"(?i)<title>([^<]*)</title>"                            # X12
 A_TAG_RE = r"(?is)<a\b[^>]*>"                                             # X6 tag scan
 IMG_TAG_RE = r"(?is)<img\b[^>]*>"                                         # X9 tag scan
 CANONICAL_TAG_RE = r"""(?i)<link\b[^>]*\brel=["']?canonical["']?[^>]*>"""  # F22
-NAMED_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                  ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]  # amp last
 # ---------------------------------------------------------------------------
 
 
@@ -46,25 +46,38 @@ def has_attr(tag, name: str) -> Column:
     return _c(tag).rlike(r"(?is)[\s<]" + name + r"\s*=")
 
 
+ENTITY_RE = r"&(?:#[0-9]{1,9};?|#[xX][0-9a-fA-F]{1,8};?|[A-Za-z][A-Za-z0-9]*;?)"
+
+
+def _entity_map() -> Column:
+    """All named references of HTML 5 (with or without the closing semicolon,
+    as the standard lists them), as one constant map."""
+    from html.entities import html5
+    return F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+
+
 def decode_entities(x) -> Column:
-    """Named XML/HTML basics plus decimal and hex character references in the
-    Basic Multilingual Plane.  ``&amp;`` is replaced last so ``&amp;lt;``
-    becomes ``&lt;``, not ``<``."""
+    """Named, decimal and hexadecimal character references, each decoded once
+    (``&amp;lt;`` and ``&#38;lt;`` become ``&lt;``).  As browsers do, codes 128
+    to 159 are read as Windows-1252 and codes that are no character become
+    U+FFFD; unknown names stay as they are."""
     s = _c(x)
-    # numeric references: split around them and decode each piece natively
-    pieces = F.split(s, r"(?=&#)|(?<=&#[0-9]{1,7};)|(?<=&#[xX][0-9a-fA-F]{1,6};)")
+    names = _entity_map()
+    # fixed by rule: what Windows-1252 has at 128 to 159
+    old = F.create_map(*[F.lit(v) for c in range(128, 160) for v in (c, bytes([c]).decode("cp1252", "ignore") or chr(c))])
 
     def decode_piece(p):
-        dec = F.regexp_extract(p, r"^&#([0-9]{1,7});$", 1)
-        hx = F.regexp_extract(p, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1)
-        code = F.when(dec != "", dec.cast("long")).when(hx != "", F.conv(hx, 16, 10).cast("long"))
-        as_char = F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
-        return F.when(code.isNotNull() & (code > 0) & (code < 0xD800), as_char).otherwise(p)
-
-    out = F.array_join(F.transform(pieces, decode_piece), "")
-    for ent, ch in NAMED_ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+        dec = F.regexp_extract(p, r"^&#([0-9]{1,9});?$", 1)
+        hx = F.regexp_extract(p, r"^&#[xX]([0-9a-fA-F]{1,8});?$", 1)
+        code = F.when(dec != "", dec.try_cast("long")).when(hx != "", F.conv(hx, 16, 10).try_cast("long"))
+        bad = (code == 0) | ((code >= 0xD800) & (code < 0xE000)) | (code > 0x10FFFF)
+        char = (F.when(bad, F.lit("\ufffd")).when((code >= 128) & (code < 160), old[code.cast("int")])
+                .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
+        return F.when(code.isNotNull(), char).otherwise(F.coalesce(names[F.substring(p, 2, 64)], p))
+
+    found = F.transform(F.regexp_extract_all(s, F.lit(ENTITY_RE), F.lit(0)), decode_piece)
+    joined = F.array_join(F.zip_with(F.split(s, ENTITY_RE, -1), found, lambda gap, e: F.concat(gap, F.coalesce(e, F.lit("")))), "")
+    return F.when(s.contains("&"), joined).otherwise(s)
 
 
 def first_title(html, pattern: str = TITLE_RE, default: str = "No title") -> Column:

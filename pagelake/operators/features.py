@@ -2,52 +2,43 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelake.functions import text as TX
-from pagelake.session import row_count_at_most
-
-QUERY_WORD_LIMIT = 200_000
-
-_AUTOMATA: dict = {}
-
-
-def _automaton(words: tuple[str, ...]):
-    a = _AUTOMATA.get(words)
-    if a is None:
-        import ahocorasick
-        a = ahocorasick.Automaton()
-        for w in words:
-            a.add_word(w, w)
-        a.make_automaton()
-        _AUTOMATA.clear()
-        _AUTOMATA[words] = a
-    return a
-
-
-def matched_terms(processed, terms: list[str]):
-    """Distinct ``terms`` occurring as substrings of each text (overlaps
-    included), one Aho-Corasick pass per text inside an Arrow-batched
-    pandas UDF.  ``terms`` is a size-checked rule list shipped with the task."""
-    words = tuple(sorted(set(t for t in terms if t)))
-
-    @F.pandas_udf("array<string>")
-    def _match(texts: pd.Series) -> pd.Series:
-        if not words:
-            return pd.Series([[] for _ in range(len(texts))])
-        a = _automaton(words)
-        out = []
-        for t in texts:
-            if t is None:
-                out.append([])
-                continue
-            found = {w for _, w in a.iter(t)}
-            out.append(sorted(found))
-        return pd.Series(out)
-
-    return _match(processed)
+from pagelake.session import bounded_broadcast
+
+
+def contained(tokens_: DataFrame, words: DataFrame) -> DataFrame:
+    """(token, w): the words ``w`` that stand inside each token.
+
+    The distinct tokens are cut into their substrings of the lengths that
+    occur among the words (one number per different length goes through the
+    driver), which equi-join the words: no pair of token and word is formed
+    that does not match."""
+    words = words.select("w").where(F.length("w") > 0).distinct()
+    lengths = sorted(r.n for r in words.select(F.length("w").alias("n")).distinct().collect())
+    sizes = "array(" + ", ".join(map(str, lengths or [0])) + ")"
+    pieces = F.expr(f"""array_distinct(flatten(transform(filter({sizes}, n -> n > 0 AND n <= length(token)),
+        n -> transform(sequence(1, length(token) - n + 1), i -> substring(token, i, n)))))""")
+    cut = tokens_.select("token").distinct().select("token", F.explode(pieces).alias("w"))
+    return cut.join(bounded_broadcast(words), "w")
+
+
+def search_pages(pages: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, url) for every page whose text holds the whole query
+    string, case-sensitively.  Each query's longest word finds the candidate
+    pages by ``contained``; the text is then searched for the whole query.
+    Queries without a word match nothing."""
+    space = r"[ \t\n\x0B\f\r]+"
+    qs = (queries.select("query_id", "q", F.filter(F.split("q", space), lambda w: w != "").alias("ws"))
+          .where(F.size("ws") > 0)
+          .select("query_id", "q", F.array_max(F.transform("ws", lambda w: F.struct(F.length(w), w.alias("w"))))["w"].alias("w")))
+    tok = pages.select("url", F.explode(F.array_distinct(F.split("html", space))).alias("token"))
+    hits = tok.join(contained(tok, qs), "token").select("url", "w").distinct()
+    pairs = hits.join(bounded_broadcast(qs), "w").select("query_id", "q", "url")
+    return (pairs.join(pages.select("url", "html"), "url").where(F.contains("html", F.col("q")))
+            .select("query_id", "url").distinct())
 
 
 def relevance_top_k(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -55,17 +46,15 @@ def relevance_top_k(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFram
     of the preprocessed document; repeated query words count again), and the
     top-k documents per query (ties by doc id).
 
-    No query x document product is formed: documents emit only the query
-    words they contain, which then equi-join the (broadcast, size-checked)
-    query-word table.
+    Preprocessed words hold no spaces, so a hit lies inside one token:
+    distinct tokens meet the query words once (``contained``), and only
+    documents that hold a word join its queries.
     """
     qw = (queries.select(F.col("query_id"), F.explode(TX.words(TX.preprocess(F.col("text")))).alias("w"))
           .groupBy("query_id", "w").agg(F.count("*").alias("mult")))
-    if not row_count_at_most(qw, QUERY_WORD_LIMIT):
-        raise ValueError("query word table too large to ship with tasks")
-    vocab = [r.w for r in qw.select("w").distinct().collect()]  # bounded by the check above
-    hits = docs.select("doc_id", F.explode(matched_terms(TX.preprocess(F.col("text")), vocab)).alias("w"))
-    rel = (hits.join(F.broadcast(qw), "w")
+    tok = docs.select("doc_id", F.explode(F.array_distinct(TX.words(TX.preprocess(F.col("text"))))).alias("token"))
+    hits = tok.join(bounded_broadcast(contained(tok, qw)), "token").select("doc_id", "w").distinct()
+    rel = (hits.join(bounded_broadcast(qw), "w")
            .groupBy("query_id", "doc_id").agg(F.sum("mult").alias("hits"))
            .withColumn("relevance", TX.relevance_from_hits(F.col("hits"))))
     w = Window.partitionBy("query_id").orderBy(F.desc("relevance"), F.asc("doc_id"))
@@ -107,21 +96,25 @@ def topics_by_group(docs: DataFrame, group: str, k: int = 3) -> DataFrame:
             .select(group, "word", "score", "rank"))
 
 
-def stop_word_table(spark) -> DataFrame:
-    rows = [(lang, w) for lang, ws in sorted(TX.STOP_WORDS.items()) for w in ws]
-    return spark.createDataFrame(rows, "lang string, word string")
+def detected_language(text, default: str = "en"):
+    """T7 as an expression: the language with most stop-word hits among the
+    words of a text (ties by language code), ``default`` without any hit."""
+    from pagelake.functions.rfc import let
+
+    def hits(ws, stop):
+        return F.size(F.filter(ws, lambda w: w.isin(*stop)))
+
+    def votes(ws):
+        return F.greatest(*[F.struct(hits(ws, stop).alias("hits"), F.lit(-place).alias("order"), F.lit(lang).alias("lang"))
+                            for place, (lang, stop) in enumerate(sorted(TX.STOP_WORDS.items()))])
+
+    best = let(TX.words(TX.preprocess(text)), votes)
+    return let(best, lambda v: F.when(v["hits"] > 0, v["lang"]).otherwise(F.lit(default)))
 
 
 def language_vote(docs: DataFrame, default: str = "en") -> DataFrame:
-    """language = most stop-word hits (ties by language code); documents
-    without any hit get ``default``."""
-    sw = stop_word_table(docs.sparkSession)
-    hits = (tokens(docs).join(F.broadcast(sw), "word")
-            .groupBy("doc_id", "lang").agg(F.count("*").alias("hits")))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("hits"), F.asc("lang"))
-    best = hits.withColumn("r", F.row_number().over(w)).where("r = 1").select("doc_id", F.col("lang").alias("detected"))
-    return (docs.select("doc_id").join(best, "doc_id", "left")
-            .select("doc_id", F.coalesce("detected", F.lit(default)).alias("detected")))
+    """(doc_id, detected), one narrow pass."""
+    return docs.select("doc_id", detected_language(F.col("text"), default).alias("detected"))
 
 
 def spam_confusion(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -34,9 +34,9 @@ def domain_filter(df: DataFrame, url_col: str, allowed: DataFrame | list[str] |
     * suffix (F2): host equals one or ends with ``.domain``: the host's
       dot-suffixes are exploded and equi-joined, so it scales with long lists
       (no nested-loop join).
-    * substring (F3): domain text anywhere in the host: the distinct hosts
-      are matched against the (size-checked) rule list with one Aho-Corasick
-      pass each, then the rows equi-semi-join the matching hosts.
+    * substring (F3): domain text anywhere in the host: the distinct hosts'
+      substrings of the rules' lengths equi-join the rules, then the rows
+      equi-semi-join the matching hosts.
     An empty or missing list allows everything.
     """
     if allowed is None:
@@ -60,14 +60,9 @@ def domain_filter(df: DataFrame, url_col: str, allowed: DataFrame | list[str] |
                     .select("__host").distinct())
         return df.join(bounded_broadcast(ok_hosts), host == F.col("__host"), "left_semi")
     if rule == "substring":
-        # one Aho-Corasick pass over the distinct hosts, then an equi semi join
-        from pagelake.operators.features import matched_terms
-        from pagelake.session import BROADCAST_ROW_LIMIT, row_count_at_most
-        if not row_count_at_most(allowed, BROADCAST_ROW_LIMIT):
-            raise ValueError("substring rule list too large to ship with tasks")
-        terms = [r.allowed for r in allowed.collect()]  # bounded by the check above
-        hosts = df.select(host.alias("__host")).distinct()
-        ok_hosts = hosts.where(F.size(matched_terms(F.col("__host"), terms)) > 0)
+        from pagelake.operators.features import contained
+        hosts = df.select(host.alias("token")).distinct()
+        ok_hosts = contained(hosts, allowed.select(F.col("allowed").alias("w"))).select(F.col("token").alias("__host")).distinct()
         return df.join(bounded_broadcast(ok_hosts), host == F.col("__host"), "left_semi")
     raise ValueError(f"rule must be one of {DOMAIN_RULES}")
 

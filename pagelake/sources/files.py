@@ -1,4 +1,5 @@
-"""File sources and sinks with fixed schemas.
+"""File sources and sinks with fixed schemas (S2-S9, S16, S20).  Stored pages are rows of
+Parquet tables, one page a row; the crawlers' file per page is the row's name.
 
 Every scan passes an explicit ``StructType``: no inference pass over the
 data, and a malformed row is kept in a corrupt-record column instead of
@@ -20,10 +21,16 @@ DISCOVERED_IMAGES_SCHEMA = T.StructType([
     T.StructField("Image_Type", T.StringType()), T.StructField("Size_KB", T.IntegerType()),
     T.StructField("Timestamp", T.LongType())])
 
-METADATA_SCHEMA = T.StructType([
-    T.StructField("URL", T.StringType()), T.StructField("Filename", T.StringType()),
-    T.StructField("Title", T.StringType()), T.StructField("Timestamp", T.LongType()),
-    T.StructField("_corrupt_record", T.StringType())])
+#: Headers of the metadata files of stored pages and images
+CONTENT_METADATA_HEADER = "URL,Filename,Title,Timestamp"
+IMAGE_METADATA_HEADER = "URL,Filename,Alt,Timestamp"
+METADATA_RE = r'^(.*?),([^,"]*),"(.*)",(\d+)$'
+
+IMAGE_SCHEMA = T.StructType([
+    T.StructField("url", T.StringType()), T.StructField("vec_id", T.LongType()),
+    T.StructField("labels", T.ArrayType(T.StringType())), T.StructField("confidence", T.ArrayType(T.FloatType())),
+    T.StructField("ocr_text", T.StringType()), T.StructField("objects", T.ArrayType(T.StringType())),
+    T.StructField("is_nsfw", T.BooleanType())])
 
 PAGE_FILE_RE = r"([^/]+)_(\d+)_(\d+)\.html$"
 
@@ -40,27 +47,45 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
             .option("columnNameOfCorruptRecord", "_corrupt_record").csv(path))
 
 
-def write_metadata_lines(df: DataFrame, path: str, url: str, filename: str, title: str, ts: str) -> None:
+def write_metadata_lines(df: DataFrame, path: str, url: str, filename: str, title: str, ts: str,
+                         header: str = CONTENT_METADATA_HEADER) -> None:
     """``URL,Filename,"Title",Timestamp`` with the title quoted but
-    inner quotes left unescaped, written as raw text lines (header first)."""
-    lines = df.select(F.concat(F.col(url), F.lit(","), F.col(filename), F.lit(',"'), F.col(title),
-                               F.lit('",'), F.col(ts).cast("string")).alias("value"))
-    lines.write.mode("append").text(path)
-
-
-def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """S4/S5 scan: quoted field parsed with ``"`` quotes; a title with an
-    unescaped inner quote or comma becomes a corrupt record, kept in
-    ``_corrupt_record`` rather than failing the scan."""
-    return (spark.read.schema(METADATA_SCHEMA).option("header", False).option("quote", '"')
-            .option("escape", "\\").option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_corrupt_record").csv(path))
+    inner quotes left unescaped, as raw text lines; every part file starts
+    with the header line."""
+    row = F.concat(F.col(url), F.lit(","), F.col(filename), F.lit(',"'), F.col(title), F.lit('",'), F.col(ts).cast("string"))
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    df.select(F.when(first, F.concat(F.lit(header + "\n"), row)).otherwise(row).alias("value")).write.mode("append").text(path)
+
+
+def read_metadata(spark: SparkSession, path: str, header: str = CONTENT_METADATA_HEADER) -> DataFrame:
+    """S4/S5 scan: header lines are skipped; the quoted field runs from the
+    quote behind the file name to the last quote of the line, so inner quotes
+    and commas are kept; a line of another shape is kept in ``_corrupt_record``."""
+    names = header.split(",")
+    lines = spark.read.text(path).where(F.col("value") != header)
+    ok = F.col("value").rlike(METADATA_RE)
+    part = lambda k: F.when(ok, F.regexp_extract("value", METADATA_RE, k))
+    return lines.select(part(1).alias(names[0]), part(2).alias(names[1]), part(3).alias(names[2]),
+                        part(4).cast("long").alias(names[3]), F.when(~ok, F.col("value")).alias("_corrupt_record"))
+
+
+def write_images(images: DataFrame, path: str) -> None:
+    """The image table with its parallel arrays."""
+    images.select(*[F.col(f.name).cast(f.dataType) for f in IMAGE_SCHEMA]).write.mode("overwrite").parquet(path)
 
 
-def write_page_files(pages: DataFrame, path: str) -> None:
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(IMAGE_SCHEMA).parquet(path)
+
+
+def write_page_files(pages: DataFrame, path: str, salts: int = 16) -> None:
     """Page corpus sink partitioned by host directory, one
-    ``{domain}_{depth}_{id}.html`` name per page kept in the row."""
-    pages.write.mode("overwrite").partitionBy("domain").parquet(path)
+    ``{domain}_{depth}_{id}.html`` name per page kept in the row.  Rows are
+    dealt by host and salt first, so a host has at most ``salts`` files and a
+    host with a third of all pages is written by many tasks."""
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64("file_name"), F.lit(salts))
+    pages.repartition(n, F.col("domain"), salt).write.mode("overwrite").partitionBy("domain").parquet(path)
 
 
 def decode_page_file_name(path_col) -> tuple:
@@ -68,14 +93,3 @@ def decode_page_file_name(path_col) -> tuple:
     p = F.col(path_col) if isinstance(path_col, str) else path_col
     return (F.regexp_extract(p, PAGE_FILE_RE, 1), F.regexp_extract(p, PAGE_FILE_RE, 2).try_cast("int"),
             F.regexp_extract(p, PAGE_FILE_RE, 3).try_cast("long"))
-
-
-def write_html_files(pages: DataFrame, path: str) -> None:
-    """One text file per page (``wholetext`` scan reads each back as one
-    row); the directory per host keeps file counts per folder bounded."""
-    pages.select("domain", "html").write.mode("overwrite").partitionBy("domain").text(path)
-
-
-def read_html_files(spark: SparkSession, path: str) -> DataFrame:
-    return (spark.read.option("wholetext", True).text(path)
-            .select(F.col("value").alias("html"), F.input_file_name().alias("file"), "domain"))

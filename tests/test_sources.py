@@ -51,6 +51,10 @@ def test_metadata_csv_quoted_title(spark):
     FS.write_metadata_lines(df, path, "url", "file", "title", "ts")
     rows = {r.URL: r for r in FS.read_metadata(spark, path).collect()}
     assert rows["http://h/1"].Title == "Plain, with comma" and rows["http://h/1"]._corrupt_record is None
+    assert rows["http://h/2"].Title == 'Bad "inner" quote' and len(rows) == 2
+    spark.createDataFrame([("not a metadata line",)], "value string").write.mode("append").text(path)
+    bad = FS.read_metadata(spark, path).where("_corrupt_record IS NOT NULL").collect()
+    assert [r._corrupt_record for r in bad] == ["not a metadata line"]
 
 
 def test_page_file_name_decode(spark):
