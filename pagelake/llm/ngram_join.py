@@ -12,15 +12,19 @@ A document's set holds its distinct word n-grams; two documents link when
    Sizes are cut into levels of ratio ``percent``; a set signs for its level
    and the next, so neighbours in size meet.  One row per signature is
    shuffled (about a quarter of the n-grams); sets equal within an Arrow batch
-   sign once.  Signatures that occur once are dropped.
+   sign once, and all equal sets count as one from there on.  Signatures of
+   one set are dropped.
 2. Groups.  A set goes to the family of the least set it shares a signature
-   with; families are cut by hash into groups of about ``GROUP`` sets.  For
-   each group its members' tokens and their union (the matrix row) are stored.
-3. Pairs of groups that meet in a signature are bounded: a query of one group
-   opens the other only if the union holds ``percent`` of its tokens.  Opened
-   groups are compared as incidence matrices in one product, inside a task:
-   no row per pair of documents is made.  A task emits a spanning forest of the
-   links it found and each set's number of links.
+   with; families are cut by hash into groups of about ``GROUP`` sets.
+   Signatures that bring the same groups together are taken once, with their
+   number, and a pair of groups stays only with as many common signatures as
+   linked sets of their sizes have at least.
+3. For each group its members' tokens and their union (the matrix row) are
+   stored.  In a pair, a query of one group opens the other only if the union
+   holds ``percent`` of its tokens.  Opened groups are compared as incidence
+   matrices in one product, inside a task: no row per pair of documents is
+   made.  A task emits a spanning forest of the links it found and each set's
+   number of links.
 4. Components of those links.  Nothing is sampled or capped: every linked pair
    shares a signature, hence its groups are compared.
 
@@ -47,7 +51,9 @@ from pagelake.llm.graph import components
 
 WORDS, PERCENT = 3, 90
 #: Sets of a group, on average, and ids that are broadcast at most.
-GROUP, ID_LIMIT = 32, 1_000_000
+GROUP, ID_LIMIT = 64, 1_000_000
+#: Low bits of a signature that hold its size level.
+LEVEL_BITS = 10
 #: Bytes hashed together; texts are cut between words to fit.
 BLOCK = 1 << 20
 
@@ -155,6 +161,11 @@ def size_levels(percent: int, most: int) -> np.ndarray:
     return np.array(firsts, np.int64)
 
 
+def parts_of(firsts: np.ndarray, tag: np.ndarray, percent: int) -> np.ndarray:
+    """Parts for sets that sign for level ``tag``: two more than linked sets up to it can differ in."""
+    return 2 * (firsts[tag + 1] - 1) * (100 - percent) // (100 + percent) + 2
+
+
 def signatures(owner: np.ndarray, token: np.ndarray, size: np.ndarray, percent: int):
     """(set number, signature) of sets given as sorted (owner, token)."""
     if not len(token):
@@ -165,8 +176,7 @@ def signatures(owner: np.ndarray, token: np.ndarray, size: np.ndarray, percent:
     low, high = (spread & _U(0xFFFFFFFF)).astype(np.float64), (spread >> _U(32)).astype(np.float64)
     sets, signs = [], []
     for tag in (level, level + 1):
-        most = 2 * (firsts[tag + 1] - 1)
-        parts = np.where(size > 0, most * (100 - percent) // (100 + percent) + 2, 0)
+        parts = np.where(size > 0, parts_of(firsts, tag, percent), 0)
         begin = np.cumsum(parts) - parts
         slot = begin[owner] + ((token >> _U(11)) % parts[owner].astype(np.uint64)).astype(np.int64)
         total = int(parts.sum())
@@ -178,21 +188,21 @@ def signatures(owner: np.ndarray, token: np.ndarray, size: np.ndarray, percent:
         empties = np.bincount(own[~full], minlength=len(size))
         use = full | (empties[own] >= 2)
         key = _mix(value + _U(_BASE) * (tag[own].astype(np.uint64) * _U(1 << 32) + part.astype(np.uint64)) + full.astype(np.uint64))
+        key = key >> _U(LEVEL_BITS) << _U(LEVEL_BITS) | tag[own].astype(np.uint64)
         sets.append(own[use])
         signs.append(key[use])
     return np.concatenate(sets), np.concatenate(signs)
 
 
-def _collapse(owner, token, size):
-    """Number of the first set equal to each set."""
-    sums = [np.zeros(len(size), np.uint64) for _ in range(2)]
-    for k, salt in enumerate((0x632BE59BD9B4E019, 0x2545F4914F6CDD1D)):
+def _digests(owner, token, size) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each set."""
+    out = []
+    for salt in (0x632BE59BD9B4E019, 0x2545F4914F6CDD1D):
         spread = _mix(token ^ _U(salt))
         low = np.bincount(owner, (spread & _U(0xFFFFFFFF)).astype(np.float64), len(size)).astype(np.uint64)
         high = np.bincount(owner, (spread >> _U(32)).astype(np.float64), len(size)).astype(np.uint64)
-        sums[k] = low + (high << _U(32))
-    seen: dict[tuple, int] = {}
-    return np.array([seen.setdefault(k, i) for i, k in enumerate(zip(size.tolist(), sums[0].tolist(), sums[1].tolist()))], np.int64)
+        out.append(_mix(low + (high << _U(32)) + size.astype(np.uint64)))
+    return out[0], out[1]
 
 
 def _text_runs(batches):
@@ -203,7 +213,7 @@ def _text_runs(batches):
             text = text.as_py().encode()
             held.append((node, text))
             size += len(text)
-            if size > 4 * BLOCK:
+            if size > 2 * BLOCK:
                 yield sorted(held)
                 held, size = [], 0
         if held:
@@ -211,24 +221,25 @@ def _text_runs(batches):
 
 
 def _sign_task(words: int, percent: int):
-    """Rows (sig, node, rep, n): n >= 0 for a document (rep is the first equal
-    set of its batch), -1 for a signature."""
+    """Rows (sig, more, node, n): of a document its two digests and n >= 0, of
+    a signature n = -1.  Of equal sets in a batch only the first signs."""
     def task(batches):
         for run in _text_runs(batches):
             node = np.array([r[0] for r in run], np.int64)
             owner, token = token_sets([r[1] for r in run], words)
             size = np.bincount(owner, minlength=len(run))
-            rep = _collapse(owner, token, size)
-            alone = (rep == np.arange(len(run))) | (size == 0)
-            rep = np.where(size == 0, np.arange(len(run)), rep)
-            use = alone[owner]
-            sets, signs = signatures(owner[use], token[use], np.where(alone, size, 0), percent)
+            one, two = _digests(owner, token, size)
+            seen: set[tuple] = set()
+            first = np.array([(k not in seen, seen.add(k))[0] for k in zip(one.tolist(), two.tolist())], bool)
+            use = first[owner]
+            sets, signs = signatures(owner[use], token[use], np.where(first, size, 0), percent)
             n, m = len(run), len(sets)
-            spread = _mix(node.view(np.uint64) + _U(_BASE)).view(np.int64)
+            spread = _mix(node.view(np.uint64) + _U(_BASE))  # documents without words are no copies of each other
+            one = np.where(size > 0, one, spread)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate((spread, signs.view(np.int64)))), pa.array(np.concatenate((node, node[sets]))),
-                 pa.array(np.concatenate((node[rep], np.zeros(m, np.int64)))),
-                 pa.array(np.concatenate((size, np.full(m, -1))))], ["sig", "node", "rep", "n"])
+                [pa.array(np.concatenate((one, signs)).view(np.int64)), pa.array(np.concatenate((two.view(np.int64), np.zeros(m, np.int64)))),
+                 pa.array(np.concatenate((node, node[sets]))), pa.array(np.concatenate((size, np.full(m, -1))))],
+                ["sig", "more", "node", "n"])
     return task
 
 
@@ -336,26 +347,54 @@ def _nodes(docs: DataFrame) -> tuple[DataFrame, bool]:
     return rows.select(node.alias("node"), "doc_id", "text"), plain
 
 
+def _group_pairs(shared: DataFrame, member: DataFrame, percent: int) -> DataFrame:
+    """(g1, g2), g1 <= g2: groups that may hold linked sets."""
+    meets = spill(shared.join(member.select("node", "gid"), "node").select("sig", "gid").distinct(), "meets")
+    level = F.col("sig").bitwiseAND(F.lit((1 << LEVEL_BITS) - 1)).cast("int")
+    wide = lambda *c: F.xxhash64(*c).cast("decimal(38,0)")
+    company = meets.groupBy("sig").agg(F.sum(wide("gid")).alias("c1"), F.sum(wide("gid", F.lit(1))).alias("c2"), F.count("*").alias("size"))
+    once = (company.where("size > 1").groupBy("c1", "c2", "size", level.alias("level"))
+            .agg(F.min("sig").alias("sig"), F.count("*").alias("times")).select("sig", "level", "times"))
+    one = meets.join(once, "sig").select("sig", "level", "times", F.col("gid").alias("g1"))
+    met = (one.join(meets.select("sig", F.col("gid").alias("g2")), "sig").where("g1 < g2")
+           .groupBy("g1", "g2", "level").agg(F.sum("times").alias("times")))
+    most = member.groupBy("gid").agg(F.max("n").alias("most"), F.count("*").alias("sets"))
+    largest = most.agg(F.max("most")).first()[0] or 1
+    firsts = size_levels(percent, largest)
+    parts = F.element_at(F.array(*[F.lit(int(p)) for p in parts_of(firsts, np.arange(len(firsts) - 1), percent)]), F.col("level") + 1)
+    differ = F.floor((F.col("m1") + F.col("m2")) * (100 - percent) / (100 + percent))
+    met = (met.join(most.select(F.col("gid").alias("g1"), F.col("most").alias("m1")), "g1")
+           .join(most.select(F.col("gid").alias("g2"), F.col("most").alias("m2")), "g2")
+           .where(F.col("times") >= parts - differ - 1).select("g1", "g2").distinct())
+    return met.unionByName(most.where("sets > 1").select(F.col("gid").alias("g1"), F.col("gid").alias("g2")))
+
+
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, node, n_shingles, component_id, n_links) of every row."""
     rows, plain = _nodes(docs)
-    same = Window.partitionBy("sig")
-    signed = (map_batches(rows.select("node", "text"), _sign_task(words, percent), "sig long, node long, rep long, n long")
-              .repartition("sig").withColumn("leader", F.min("node").over(same)).withColumn("shared", F.max("node").over(same) != F.min("node").over(same)))
+    same = Window.partitionBy("sig", "more", "n")
+    signed = (map_batches(rows.select("node", "text"), _sign_task(words, percent), "sig long, more long, node long, n long")
+              .repartition("sig").withColumn("leader", F.min("node").over(same))
+              .withColumn("shared", F.max("node").over(same) != F.col("leader")))
     marks = spill(signed.where("n >= 0 OR shared"), "signed")
-    sets = marks.where("n >= 0").select("node", "rep", "n").distinct()
-    shared = marks.where("n < 0").select("sig", "node", "leader")
-
-    family = spill(shared.groupBy("node").agg(F.min("leader").alias("family")), "family")
+    sets = marks.where("n >= 0").select("node", F.when(F.col("n") > 0, F.col("leader")).otherwise(F.col("node")).alias("rep"), "n").distinct()
+    sets = spill(sets, "sets")
+    copy = sets.where("node <> rep").select("node")
+    shared = marks.where("n < 0").select("sig", "node").join(bounded_broadcast(copy, ID_LIMIT), "node", "left_anti")
+    by_sig = Window.partitionBy("sig")
+    shared = (shared.repartition("sig").withColumn("leader", F.min("node").over(by_sig))
+              .withColumn("last", F.max("node").over(by_sig)).where("leader <> last").select("sig", "node", "leader"))
+    shared = spill(shared, "shared")
+
+    family = shared.groupBy("node").agg(F.min("leader").alias("family"))
     chunks = family.groupBy("family").agg(F.ceil(F.count("*") / GROUP).alias("chunks"))
     copies = sets.groupBy(F.col("rep").alias("node")).agg(F.count("*").alias("copies"))
-    member = (family.join(chunks, "family").join(copies, "node")
-              .select("node", "copies", F.xxhash64("family", F.pmod(F.xxhash64("node"), F.col("chunks"))).alias("gid")))
+    member = (family.join(chunks, "family").join(copies, "node").join(sets.select("node", "n"), "node")
+              .select("node", "copies", "n", F.xxhash64("family", F.pmod(F.xxhash64("node"), F.col("chunks"))).alias("gid")))
     member = spill(member, "members")
-    meets = spill(shared.join(member.select("node", "gid"), "node").select("sig", "gid").distinct(), "meets")
-    pairs = (meets.select("sig", F.col("gid").alias("g1")).join(meets.select("sig", F.col("gid").alias("g2")), "sig")
-             .where("g1 < g2").select("g1", "g2").distinct())
-    inside = member.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gid").alias("g1"), F.col("gid").alias("g2"))
+    pairs = spill(_group_pairs(shared, member, percent), "pairs")
+    member = member.join(pairs.select(F.explode(F.array("g1", "g2")).alias("gid")).distinct(), "gid", "left_semi")
+    member = member.select("node", "copies", "gid")
 
     texts = rows.join(bounded_broadcast(member.select("node"), ID_LIMIT), "node", "left_semi").select("node", "text")
     if not plain:
@@ -364,8 +403,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     groups = (tokens.join(member, "node").groupBy("gid")
               .agg(F.collect_list(F.struct("node", "copies", "tokens")).alias("members")))
     groups = spill(map_batches(groups, _union_task, f"gid long, members {_MEMBERS}, tokens binary"), "groups")
-    told = (pairs.unionByName(inside)
-            .join(groups.select(F.col("gid").alias("g1"), F.col("members").alias("one")), "g1")
+    told = (pairs.join(groups.select(F.col("gid").alias("g1"), F.col("members").alias("one")), "g1")
             .join(groups.select(F.col("gid").alias("g2"), F.col("members").alias("other"), "tokens"), "g2"))
     told = spill(map_batches(told, _compare_task(percent), "a long, b long, links long"), "told")
 
