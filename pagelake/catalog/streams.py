@@ -15,8 +15,12 @@ from pagelake.streaming import jobs as SJ
 
 
 def _table_stream(spark, sf_dir, name):
-    """File stream over one driver table: the table folder, filtered to its file."""
-    schema = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")).schema
+    """File stream over one driver table, be it a file or a folder of parts."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    schema = spark.read.parquet(path).schema
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return spark.readStream.schema(schema).parquet(path)
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
@@ -34,6 +38,17 @@ def stream_first_seen_urls(spark, sf_dir):
     return spark.read.parquet(out).select("url")
 
 
+@register("stream_first_seen_bounded", """
+SELECT DISTINCT 'https://h' || CAST(user_id AS VARCHAR) || '.example.com/' || event_type AS url FROM events
+""")
+def stream_first_seen_bounded(spark, sf_dir):
+    """ST1 with bounded state: a URL is forgotten 400 days after it was seen
+    (longer than the log, so the result is that of the unbounded form)."""
+    out, ck = scratch_path(spark, "st1b_out"), scratch_path(spark, "st1b_ck")
+    SJ.first_seen_urls(_events_stream(spark, sf_dir), out, ck, within="400 days")
+    return spark.read.parquet(out).select("url")
+
+
 @register("stream_live_counters", """
 SELECT event_type, count(*) AS events, round(sum(value), 6) AS value_sum FROM events GROUP BY 1
 """)
@@ -59,11 +74,23 @@ def stream_daily_counts(spark, sf_dir):
                                           "event_type", "events")
 
 
+@register("stream_daily_counts_complete", """
+SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS events
+FROM events GROUP BY 1, 2
+""")
+def stream_daily_counts_complete(spark, sf_dir):
+    """ST3 in complete mode: all windows, also those still open."""
+    out, ck = scratch_path(spark, "st3c_out"), scratch_path(spark, "st3c_ck")
+    SJ.windowed_counts(_events_stream(spark, sf_dir), out, ck, complete=True)
+    return spark.read.parquet(out).select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+                                          "event_type", "events")
+
+
 @register("stream_rate_limit", _fold_sql("events", "user_id", f"INTERVAL {RATE_WINDOW_S} SECOND",
                                          RATE_CAP, False, "allowed"))
 def stream_rate_limit(spark, sf_dir):
     """ST4: the A21 limiter online (applyInPandasWithState, one state row per
-    key), fed in two time-ordered increments resumed from one checkpoint."""
+    live key, evicted by event time), fed in two time-ordered increments resumed from one checkpoint."""
     e = table(spark, sf_dir, "events")
     lo, hi = e.agg(F.min("ts"), F.max("ts")).first()
     mid = lo + (hi - lo) / 2

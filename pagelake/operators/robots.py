@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pagelake.functions import urls as U
 from pagelake.functions.text import C_SPACE
-from pagelake.session import bounded_broadcast
+from pagelake.session import bounded_broadcast, cut_lineage
 
 
 def parse_robots(robots: DataFrame, domain: str = "domain", content: str = "content") -> DataFrame:
@@ -68,7 +68,7 @@ def robots_decisions(urls: DataFrame, rules: DataFrame, user_agent: str, url_col
                      compat_empty_disallow: bool = True) -> DataFrame:
     """Add ``allowed`` for every URL.
 
-    The URL's domain (U3) equi-joins the exploded rules of that domain.  In
+    The URL's domain (U3) and its pieces equi-join the exploded rules.  In
     group order, a group for ``*`` or ``user_agent`` decides on its first
     disallow path found in the URL (substring, deny) before its allow paths
     (allow); no deciding group -> allowed.  ``compat_empty_disallow`` keeps
@@ -83,9 +83,15 @@ def robots_decisions(urls: DataFrame, rules: DataFrame, user_agent: str, url_col
     if not compat_empty_disallow:
         flat = flat.where(F.col("path") != "")
     keyed = urls.withColumn("__dom", U.search_domain(F.col(url_col)))
-    hits = (keyed.select(F.col(url_col).alias("__u"), "__dom").distinct()
-            .join(bounded_broadcast(flat), F.col("__dom") == F.col("domain"))
-            .where(F.col("__u").contains(F.col("path"))))
+    # a rule applies when its path is a piece of the URL: pieces of the lengths that occur
+    # among the paths (one number per length goes through the driver) equi-join the rules
+    flat = cut_lineage(flat)
+    lengths = sorted(r.n for r in flat.select(F.length("path").alias("n")).distinct().collect())
+    sizes = "array(" + ", ".join(map(str, lengths or [0])) + ")"
+    pieces = F.expr(f"""array_distinct(flatten(transform(filter({sizes}, n -> n <= length(__u)), n -> IF(n = 0, array(''),
+        transform(sequence(1, length(__u) - n + 1), i -> substring(__u, i, n))))))""")
+    cut = keyed.select(F.col(url_col).alias("__u"), F.col("__dom").alias("domain")).distinct().withColumn("path", F.explode(pieces))
+    hits = cut.join(bounded_broadcast(flat), ["domain", "path"])
     decided = hits.groupBy("__u").agg(F.min(F.struct("group_id", "order")).alias("first"))
     decided = decided.select("__u", (F.col("first.order") == 1).alias("__allowed"))
     out = keyed.join(decided, keyed[url_col] == decided["__u"], "left")

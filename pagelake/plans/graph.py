@@ -5,9 +5,10 @@ distributed join + de-duplication + anti-join, followed by a reliable
 checkpoint that cuts the lineage (a lost executor recomputes at most one
 level).  Per level:
 
-* frontier ⋈ edges on ``src``.  The frontier is broadcast only when its
-  counted size is under a bound; otherwise both sides shuffle on the key and
-  AQE may split skewed partitions (a hub node with a third of all edges).
+* frontier ⋈ edges on ``src``.  The edges are dealt once by (src, salt of
+  dst), so a hub with a third of all edges lies in ``SALTS`` partitions.  The
+  frontier is broadcast only when its counted size is under a bound; otherwise
+  each frontier row is repeated per salt and joins on (src, salt).
 * ``distinct`` / ``sum`` of the discovered nodes is partially aggregated on
   the map side, so a popular target costs one row per map task, not one per
   in-link.
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from pagelake.session import bounded_broadcast, cut_lineage
 
 FRONTIER_BROADCAST_ROWS = 200_000
+#: Partitions over which the edges of one node are spread.
+SALTS = 32
 
 
 def _partitions(df: DataFrame) -> int:
@@ -38,7 +41,15 @@ def _expand(frontier: DataFrame, edges: DataFrame, value_cols: list[str], size:
         f = bounded_broadcast(frontier, bound)
     else:
         f = F.broadcast(frontier) if 0 < bound and size <= bound else frontier
-    return f.join(edges, f["node"] == edges["src"]).select(F.col("dst").alias("node"), *value_cols)
+    f = f.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return (f.join(edges, (f["node"] == edges["src"]) & (f["salt"] == edges["salt"]))
+            .select(F.col("dst").alias("node"), *value_cols))
+
+
+def salted_edges(edges: DataFrame, partitions: int) -> DataFrame:
+    """(src, dst, salt), each edge once, dealt by (src, salt)."""
+    e = edges.select("src", "dst").distinct().withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int"))
+    return e.repartition(partitions, "src", "salt")
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, count_paths: bool = False,
@@ -55,8 +66,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, count_paths: bool =
     until the budget is used (O3).
     """
     n = _partitions(edges)
-    edges = edges.select("src", "dst").distinct()
-    edges = cut_lineage(edges.repartition(n, "src"))
+    edges = cut_lineage(salted_edges(edges, n))
     vals = ["paths"] if count_paths else []
 
     level = seeds.select("node").distinct()

@@ -46,22 +46,28 @@ def live_counters(stream: DataFrame, out: str, ckpt: str) -> None:
     run_available(agg.writeStream.outputMode("complete").foreachBatch(_overwrite_to(out)), ckpt)
 
 
-def windowed_counts(stream: DataFrame, out: str, ckpt: str, window: str = "1 day", delay: str = "1 day") -> None:
-    """ST3: requests per tumbling window and type; append mode emits a window
-    once the watermark (max event time - delay) passes its end."""
-    agg = (stream.withWatermark("ts", delay)
-           .groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("events")))
+def windowed_counts(stream: DataFrame, out: str, ckpt: str, window: str = "1 day", delay: str = "1 day",
+                    complete: bool = False) -> None:
+    """ST3: requests per tumbling window and type.  Append mode emits a window
+    once the watermark (max event time - delay) passes its end; ``complete``
+    keeps and rewrites all windows, also the open ones."""
+    if not complete:
+        stream = stream.withWatermark("ts", delay)
+    agg = stream.groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("events"))
     agg = agg.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
                      "event_type", "events")
-    run_available(agg.writeStream.outputMode("append").format("parquet").option("path", out), ckpt)
+    if complete:
+        run_available(agg.writeStream.outputMode("complete").foreachBatch(_overwrite_to(out)), ckpt)
+    else:
+        run_available(agg.writeStream.outputMode("append").format("parquet").option("path", out), ckpt)
 
 
-def limiter_step(window_us: int, cap: int, idle_ms: int | None = None):
+def limiter_step(window_us: int, cap: int):
     """ST4 state function: per-key fixed-window limiter with O(1) state
     (window start micros, count).  Rows of a micro-batch are processed in
-    time order; input must arrive in time order across batches.  Idle-key
-    eviction (A22) runs as the batch ``idle_keys`` job: processing-time
-    state timeouts kept ``availableNow`` runs from terminating here."""
+    time order; input must arrive in time order across batches.  A key whose
+    window ended before the watermark is evicted (A22): its next request opens
+    a window anyway, so the verdicts do not change."""
 
     def step(key, batches, state):
         if state.hasTimedOut:
@@ -79,6 +85,7 @@ def limiter_step(window_us: int, cap: int, idle_ms: int | None = None):
                 cnt += 1
                 allowed.append(True)
         state.update((start, cnt))
+        state.setTimeoutTimestamp(max((start + window_us) // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "allowed": allowed})
 
     return step
@@ -86,33 +93,36 @@ def limiter_step(window_us: int, cap: int, idle_ms: int | None = None):
 
 def rate_limited(stream: DataFrame, key: str, window_seconds: int, cap: int, out: str, ckpt: str) -> None:
     """ST4: run the limiter over a stream of (key, ts, event_id); one small
-    state row per key in the state store."""
-    src = stream.select(F.col(key).alias("k"), F.unix_micros(F.col("ts")).alias("t"), "event_id")
+    state row per live key in the state store."""
+    src = (stream.withWatermark("ts", "0 seconds")
+           .select(F.col(key).alias("k"), F.unix_micros(F.col("ts")).alias("t"), "event_id", "ts"))
     res = src.groupBy("k").applyInPandasWithState(
-        limiter_step(window_seconds * 1_000_000, cap, window_seconds * 1000),
+        limiter_step(window_seconds * 1_000_000, cap),
         outputStructType="event_id LONG, allowed BOOLEAN", stateStructType="start LONG, cnt INT",
-        outputMode="append", timeoutConf="NoTimeout")
+        outputMode="append", timeoutConf="EventTimeTimeout")
     run_available(res.writeStream.format("parquet").option("path", out), ckpt)
 
 
-def page_ingest(stream: DataFrame, table_dir: str, ckpt: str) -> None:
-    """ST5: new page files -> link extraction -> log-structured tables: each
-    micro-batch appends its pages and links tagged with the batch id; the
-    read side keeps the latest version per URL (W2 merge-on-read)."""
+def write_ingested(batch: DataFrame, epoch: int, table_dir: str) -> None:
+    """One micro-batch of pages and their links, each in the folder of its
+    batch; a replayed batch overwrites its own folders."""
     from pagelake.operators.extract import link_edges
+    pages = batch.select("page_id", "url", F.octet_length("html").alias("bytes"))
+    pages.write.mode("overwrite").parquet(f"{table_dir}/pages/batch={epoch}")
+    link_edges(batch, "strict").select("page_id", "pos", "target").write.mode("overwrite").parquet(
+        f"{table_dir}/links/batch={epoch}")
 
-    def upsert(batch: DataFrame, epoch: int) -> None:
-        pages = batch.select("page_id", "url", F.octet_length("html").alias("bytes"), F.lit(epoch).alias("batch"))
-        pages.write.mode("append").parquet(f"{table_dir}/pages")
-        links = link_edges(batch, "strict").select("page_id", "pos", "target", F.lit(epoch).alias("batch"))
-        links.write.mode("append").parquet(f"{table_dir}/links")
 
-    run_available(stream.writeStream.foreachBatch(upsert), ckpt)
+def page_ingest(stream: DataFrame, table_dir: str, ckpt: str) -> None:
+    """ST5: new page files -> link extraction -> log-structured tables, one
+    folder per micro-batch; the read side keeps the latest version per URL (W2
+    merge-on-read; of several rows of a URL in one batch the largest page_id)."""
+    run_available(stream.writeStream.foreachBatch(lambda b, epoch: write_ingested(b, epoch, table_dir)), ckpt)
 
 
 def read_ingested(spark: SparkSession, table_dir: str) -> tuple[DataFrame, DataFrame]:
-    from pagelake.operators.tables import upsert_last
-    pages = upsert_last(spark.read.parquet(f"{table_dir}/pages"), "url", "batch")
+    pages = (spark.read.parquet(f"{table_dir}/pages").groupBy("url")
+             .agg(F.max(F.struct("batch", "page_id", "bytes")).alias("v")).select("url", "v.*"))
     links = spark.read.parquet(f"{table_dir}/links").join(pages.select("page_id", "batch"), ["page_id", "batch"])
     return pages, links
 

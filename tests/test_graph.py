@@ -82,3 +82,12 @@ def test_fixture_level_sizes_sf001(spark):
     out = entry.queries()["bfs_host_word"](spark, SF_CHECK)
     sizes = [r["n"] for r in out.groupBy("depth").agg(F.count("*").alias("n")).orderBy("depth").collect()]
     assert sizes[:5] == [1, 12, 6, 119, 47]
+
+
+def test_hub_edges_are_spread(spark):
+    """A hub with a third of the edges fills no partition above twice the mean."""
+    from pagelake.plans.graph import salted_edges
+    rows = [("hub", f"n{i}") for i in range(20_000)] + [(f"n{i}", f"m{i % 977}") for i in range(40_000)]
+    e = spark.createDataFrame(rows, "src string, dst string")
+    sizes = [r["count"] for r in salted_edges(e, 16).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 60_000 and max(sizes) < 2 * 60_000 / 16
