@@ -204,9 +204,22 @@ def exact_duplicate_texts(spark, sf_dir):
             .where(F.col("copies") > 1))
 
 
-@register("near_duplicate_docs")
+@register("near_duplicate_docs", f"""
+WITH d AS (SELECT doc_id, md5({pre_sql('text')}) AS h,
+             list_filter(string_split({pre_sql('text')}, ' '), lambda x: x <> '') AS ws FROM documents),
+u AS (SELECT h, min(doc_id) AS doc_id, arg_min(ws, doc_id) AS ws FROM d GROUP BY h),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS sh
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM u WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS rep_id, b.doc_id, count(*) AS inter FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2)
+SELECT d.doc_id, u.doc_id AS rep_id, 1.0::DOUBLE AS jaccard FROM d JOIN u USING (h) WHERE d.doc_id <> u.doc_id
+UNION ALL
+SELECT c.doc_id, c.rep_id, round(c.inter::DOUBLE / (x.n + y.n - c.inter), 6)
+FROM c JOIN n x ON x.doc_id = c.rep_id JOIN n y ON y.doc_id = c.doc_id WHERE c.inter::DOUBLE / (x.n + y.n - c.inter) >= 0.8
+""")
 def near_duplicate_docs(spark, sf_dir):
-    """B5 near: MinHash-LSH candidates verified by exact shingle Jaccard
-    (rows-only check here; tests/test_dedupe.py compares with brute force)."""
+    """B5 near: copies with their representative, and all pairs of
+    representatives with a shingle Jaccard similarity of 0.8 or more."""
     from pagelake.operators.dedupe import near_duplicates
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "rep_id", F.round("jaccard", 6).alias("jaccard"))

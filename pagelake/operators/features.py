@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelake.functions import text as TX
-from pagelake.session import bounded_broadcast
+from pagelake.session import bounded_broadcast, cut_lineage
 
 
 def contained(tokens_: DataFrame, words: DataFrame) -> DataFrame:
@@ -71,8 +71,7 @@ def keywords_tfidf(docs: DataFrame, k: int = 3) -> DataFrame:
     """T5: top-k words per document by tf x ln(N / df), ties by word.
     df is a grouped count (map-side combined, so a word in every document is
     one row per task); tf joins df on the word with AQE skew handling."""
-    tok = tokens(docs)
-    tf = tok.groupBy("doc_id", "word").agg(F.count("*").alias("tf"))
+    tf = cut_lineage(tokens(docs).groupBy("doc_id", "word").agg(F.count("*").alias("tf")))  # texts are read once
     df_ = tf.groupBy("word").agg(F.count("*").alias("df"))
     n_docs = docs.count()  # one scalar, used as a literal (no join)
     scored = tf.join(df_, "word").withColumn("score", F.col("tf") * F.log(F.lit(float(n_docs)) / F.col("df")))
@@ -85,11 +84,9 @@ def topics_by_group(docs: DataFrame, group: str, k: int = 3) -> DataFrame:
     """Class-TF-IDF topic terms per group: tf in the group x
     ln(groups / groups containing the word); top-k per group, ties by word."""
     tok = docs.select(group, F.explode(TX.words(TX.preprocess(F.col("text")))).alias("word"))
-    tf = tok.groupBy(group, "word").agg(F.count("*").alias("tf"))
+    tf = cut_lineage(tok.groupBy(group, "word").agg(F.count("*").alias("tf")))  # texts are read once
     gdf = tf.groupBy("word").agg(F.count("*").alias("gdf"))
-    # groups holding at least one token; counted without the token shuffle
-    n_groups = (docs.where(F.size(TX.words(TX.preprocess(F.col("text")))) > 0)
-                .select(group).distinct().count())
+    n_groups = tf.agg(F.countDistinct(group)).first()[0]  # groups holding at least one token
     scored = tf.join(gdf, "word").withColumn("score", F.col("tf") * F.log(F.lit(float(n_groups)) / F.col("gdf")))
     w = Window.partitionBy(group).orderBy(F.desc("score"), F.asc("word"))
     return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
