@@ -5,17 +5,18 @@ A document's set holds its distinct word n-grams; two documents link when
 
 1. Candidates.  Linked sets of sizes up to s differ in at most
    D = floor(2 s (100 - percent) / (100 + percent)) n-grams.  Cut the n-gram
-   space by hash into D + 2 parts: at least two parts then hold the same
+   space by hash into D + 1 + e parts: at least 1 + e parts then hold the same
    n-grams in both sets.  The hash of a part's n-grams is a signature, so
    linked sets share a signature that is not that of an empty part, unless
-   both have two empty parts or more, and for such sets empty parts count too.
+   both have more than e empty parts, and such (rare) sets sign for those too.
    Sizes are cut into levels of ratio ``percent``; a set signs for its level
    and the next, so neighbours in size meet.  One row per signature is
    shuffled (about a quarter of the n-grams); sets equal within an Arrow batch
    sign once, and all equal sets count as one from there on.  Signatures of
    one set are dropped.
-2. Groups.  A set goes to the family of the least set it shares a signature
-   with; families are cut by hash into groups of about ``GROUP`` sets.
+2. Groups.  Each signature names its least set; a set goes to the family of
+   the set that most of its signatures name.  Families are cut by size level
+   and hash into groups of about ``GROUP`` sets.
    Signatures that bring the same groups together are taken once, with their
    number, and a pair of groups stays only with as many common signatures as
    linked sets of their sizes have at least.
@@ -41,6 +42,8 @@ columns are not read.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -61,6 +64,7 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
+_FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -79,16 +83,16 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def _blocks(text: bytes):
-    """Pieces of at most BLOCK bytes that end between words (a longer word is
-    cut every BLOCK bytes, the same way wherever it stands)."""
+    """Pieces of at most BLOCK bytes that end between words; a word that is
+    longer stands in by its digest."""
+    if len(text) > BLOCK:
+        text = b" ".join(w if len(w) < BLOCK else b"\0" + hashlib.blake2b(w.translate(_FOLD)).hexdigest().encode()
+                         for w in text.split())
     at = 0
     while len(text) - at > BLOCK:
-        piece = text[at:at + BLOCK]
-        cut = max(piece.rfind(c) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) + 1
-        if not cut:  # one word fills the block: start it afresh so that its pieces do not depend on its place
-            cut = BLOCK
-        yield text[at:at + cut]
-        at += cut
+        cut = text.rfind(b" ", at, at + BLOCK) + 1
+        yield text[at:cut]
+        at = cut
     yield text[at:]
 
 
@@ -161,9 +165,13 @@ def size_levels(percent: int, most: int) -> np.ndarray:
     return np.array(firsts, np.int64)
 
 
-def parts_of(firsts: np.ndarray, tag: np.ndarray, percent: int) -> np.ndarray:
-    """Parts for sets that sign for level ``tag``: two more than linked sets up to it can differ in."""
-    return 2 * (firsts[tag + 1] - 1) * (100 - percent) // (100 + percent) + 2
+def parts_of(firsts: np.ndarray, tag: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parts of the sets that sign for level ``tag``, and how many of them may
+    be empty without being signed: linked sets up to that level differ in at
+    most D n-grams, so D + 1 + empty parts hold one that is equal and signed."""
+    differ = 2 * (firsts[tag + 1] - 1) * (100 - percent) // (100 + percent)
+    empty = 1 + differ // 12
+    return differ + 1 + empty, empty
 
 
 def signatures(owner: np.ndarray, token: np.ndarray, size: np.ndarray, percent: int):
@@ -176,7 +184,8 @@ def signatures(owner: np.ndarray, token: np.ndarray, size: np.ndarray, percent:
     low, high = (spread & _U(0xFFFFFFFF)).astype(np.float64), (spread >> _U(32)).astype(np.float64)
     sets, signs = [], []
     for tag in (level, level + 1):
-        parts = np.where(size > 0, parts_of(firsts, tag, percent), 0)
+        parts, spare = parts_of(firsts, tag, percent)
+        parts = np.where(size > 0, parts, 0)
         begin = np.cumsum(parts) - parts
         slot = begin[owner] + ((token >> _U(11)) % parts[owner].astype(np.uint64)).astype(np.int64)
         total = int(parts.sum())
@@ -186,7 +195,7 @@ def signatures(owner: np.ndarray, token: np.ndarray, size: np.ndarray, percent:
         own = np.repeat(np.arange(len(size)), parts)
         part = np.arange(total) - begin[own]
         empties = np.bincount(own[~full], minlength=len(size))
-        use = full | (empties[own] >= 2)
+        use = full | (empties > spare)[own]
         key = _mix(value + _U(_BASE) * (tag[own].astype(np.uint64) * _U(1 << 32) + part.astype(np.uint64)) + full.astype(np.uint64))
         key = key >> _U(LEVEL_BITS) << _U(LEVEL_BITS) | tag[own].astype(np.uint64)
         sets.append(own[use])
@@ -361,11 +370,12 @@ def _group_pairs(shared: DataFrame, member: DataFrame, percent: int) -> DataFram
     most = member.groupBy("gid").agg(F.max("n").alias("most"), F.count("*").alias("sets"))
     largest = most.agg(F.max("most")).first()[0] or 1
     firsts = size_levels(percent, largest)
-    parts = F.element_at(F.array(*[F.lit(int(p)) for p in parts_of(firsts, np.arange(len(firsts) - 1), percent)]), F.col("level") + 1)
+    signed = [p - e for p, e in zip(*map(np.ndarray.tolist, parts_of(firsts, np.arange(len(firsts) - 1), percent)))]
+    signed = F.element_at(F.array(*map(F.lit, signed)), F.col("level") + 1)
     differ = F.floor((F.col("m1") + F.col("m2")) * (100 - percent) / (100 + percent))
     met = (met.join(most.select(F.col("gid").alias("g1"), F.col("most").alias("m1")), "g1")
            .join(most.select(F.col("gid").alias("g2"), F.col("most").alias("m2")), "g2")
-           .where(F.col("times") >= parts - differ - 1).select("g1", "g2").distinct())
+           .where(F.col("times") >= signed - differ).select("g1", "g2").distinct())
     return met.unionByName(most.where("sets > 1").select(F.col("gid").alias("g1"), F.col("gid").alias("g2")))
 
 
@@ -386,11 +396,16 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
               .withColumn("last", F.max("node").over(by_sig)).where("leader <> last").select("sig", "node", "leader"))
     shared = spill(shared, "shared")
 
-    family = shared.groupBy("node").agg(F.min("leader").alias("family"))
-    chunks = family.groupBy("family").agg(F.ceil(F.count("*") / GROUP).alias("chunks"))
+    named = shared.groupBy("node", "leader").agg(F.count("*").alias("times"))
+    family = named.groupBy("node").agg(F.max(F.struct("times", -F.col("leader"), "leader"))["leader"].alias("family"))
+    firsts = size_levels(percent, sets.agg(F.max("n")).first()[0] or 1)
+    starts = "array(" + ", ".join(map(str, firsts.tolist())) + ")"
     copies = sets.groupBy(F.col("rep").alias("node")).agg(F.count("*").alias("copies"))
-    member = (family.join(chunks, "family").join(copies, "node").join(sets.select("node", "n"), "node")
-              .select("node", "copies", "n", F.xxhash64("family", F.pmod(F.xxhash64("node"), F.col("chunks"))).alias("gid")))
+    family = (family.join(copies, "node").join(sets.select("node", "n"), "node")
+              .withColumn("level", F.expr(f"size(filter({starts}, x -> x <= n))")))
+    chunks = family.groupBy("family", "level").agg(F.ceil(F.count("*") / GROUP).alias("chunks"))
+    member = (family.join(chunks, ["family", "level"])
+              .select("node", "copies", "n", F.xxhash64("family", "level", F.pmod(F.xxhash64("node"), F.col("chunks"))).alias("gid")))
     member = spill(member, "members")
     pairs = spill(_group_pairs(shared, member, percent), "pairs")
     member = member.join(pairs.select(F.explode(F.array("g1", "g2")).alias("gid")).distinct(), "gid", "left_semi")

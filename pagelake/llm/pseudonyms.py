@@ -40,7 +40,7 @@ KINDS = ("secret", "email", "iban", "date", "ip", "phone", "card")
 
 SECRET = r'(?i:\b(?:token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}"?[A-Za-z0-9+/_-]{8,})'
 CLOUD_KEY = r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){1,20}"
 IBAN = r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b"
 DATE = r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?!\d)"
 IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d)(?!\.\d)"

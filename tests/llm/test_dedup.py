@@ -70,6 +70,17 @@ def test_ngram_join_awkward_rows(spark):
     assert ngram_join.join(docs.limit(0), 3, 90).count() == 0
 
 
+def test_words_longer_than_a_block(monkeypatch):
+    giant = b"Q" * 300
+    texts = [b"a b c " * 20 + giant + b" d", b"x " + giant.lower() + b" d e", b"a b c"]
+    whole = ngram_join.token_sets(texts, 2)
+    monkeypatch.setattr(ngram_join, "BLOCK", 256)
+    owner, token = ngram_join.token_sets(texts, 2)
+    sets = [set(token[owner == i].tolist()) for i in range(3)]
+    assert [len(s) for s in sets] == [len(set(whole[1][whole[0] == i].tolist())) for i in range(3)]
+    assert len(sets[0] & sets[1]) == 1  # the giant word and its follower
+
+
 def test_part_signatures_meet_for_every_linked_pair():
     import numpy as np
     r = random.Random(4)
