@@ -18,8 +18,9 @@ DRIVER_TABLES = (
 ).split()
 
 # Rule tables (domain lists, lexicons, robots rules, query texts) are broadcast
-# only when a bounded probe proves they are below this many rows.
+# only when a bounded probe proves they are below this many rows and bytes.
 BROADCAST_ROW_LIMIT = 100_000
+BROADCAST_BYTES = 64 << 20
 
 
 def _preset() -> set[str]:
@@ -126,15 +127,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def row_count_at_most(df: DataFrame, limit: int) -> bool:
-    """Bounded probe: reads at most limit+1 rows, so it is cheap on big inputs."""
-    return df.limit(limit + 1).count() <= limit
+def small_enough(df: DataFrame, rows: int, size: int) -> bool:
+    """Bounded probe: whether ``df`` has at most ``rows`` rows and about
+    ``size`` bytes; it reads at most rows + 1 rows, so it is cheap on big inputs."""
+    wide = [F.octet_length(f"`{f.name}`") if f.dataType.typeName() in ("string", "binary") else F.size(f"`{f.name}`") * 64
+            for f in df.schema.fields if f.dataType.typeName() in ("string", "binary", "array", "map")]
+    width = sum((F.coalesce(w.cast("long"), F.lit(0)) for w in wide), F.lit(16 * len(df.columns)).cast("long"))
+    n, held = df.limit(rows + 1).agg(F.count("*"), F.sum(width)).first()
+    return n <= rows and (held or 0) <= size
 
 
 def bounded_broadcast(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only when its size is proven small; otherwise leave the
-    join to a shuffle (sort-merge / shuffled-hash chosen by AQE)."""
+    """Broadcast ``df`` only when its rows and bytes are proven small; otherwise
+    leave the join to a shuffle (sort-merge / shuffled-hash chosen by AQE)."""
     limit = BROADCAST_ROW_LIMIT if limit is None else limit
-    if limit > 0 and row_count_at_most(df, limit):
+    if limit > 0 and small_enough(df, limit, BROADCAST_BYTES):
         return F.broadcast(df)
     return df
