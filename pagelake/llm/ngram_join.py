@@ -456,6 +456,22 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     return docs.withColumn(no, key).join(bounded_broadcast(gone, ID_LIMIT), no, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
-@register("op4_ngram_join")
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS sh FROM (
+  SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * inter >= 90 * (x.n + y.n - inter)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+k AS (SELECT a, count(*) AS n_links FROM e GROUP BY 1)
+SELECT r.a AS doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.b) AS component_id, coalesce(max(k.n_links), 0) AS n_links
+FROM r LEFT JOIN n ON n.doc_id = r.a LEFT JOIN k ON k.a = r.a GROUP BY 1
+"""
+
+
+@register("op4_ngram_join", ORACLE)
 def op4_ngram_join(spark, sf_dir):
     return join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "n_links")

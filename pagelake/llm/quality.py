@@ -170,7 +170,27 @@ def ablation(book: DataFrame, policies=tuple(POLICIES)) -> DataFrame:
                                               F.sum("dropped").alias("n_dropped"))
 
 
-@register("op2_quality_rules")
+ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS gram FROM (
+  SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g), (SELECT unnest(range(0, 8)) AS k) WHERE n > 1 GROUP BY 1),
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (
+  SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, coalesce(n_lines, 0) AS n_lines,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_alpha_words,
+  coalesce(list_max(list_transform(w, lambda x: strlen(x))), 0) AS longest_word
+  FROM d LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)),
+b AS (SELECT *, CAST(""" + " + ".join(f"CASE WHEN {failed} THEN {BIT[name]} ELSE 0 END" for name, failed in RULES) + """ AS BIGINT) AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
+"""
+
+
+@register("op2_quality_rules", ORACLE)
 def op2_quality_rules(spark, sf_dir):
     return ledger(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
