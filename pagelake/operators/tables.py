@@ -1,9 +1,10 @@
 """Keyed page/URL/image tables: upserts, ids, lookups and set operations.
 
-W1/W2 use ``min_by``/``max_by`` hash aggregation instead of a window: the
-aggregate combines partially on the map side, so a URL that holds a third of
-all rows costs one row per map task before the shuffle (a window would sort
-the whole hot key in one task).
+W1/W2 use ``min_by``/``max_by`` aggregation instead of a window: the aggregate
+combines partially on the map side, so a URL that holds a third of all rows
+costs one row per map task before the shuffle (a window would sort the whole
+hot key in one task).  With string columns in the row Spark sorts each map
+partition by key for the partial step; only winners are shuffled.
 """
 
 from __future__ import annotations
