@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagelake.session import bounded_broadcast, scratch_path, ship_package, table
 
-__all__ = ["ASCII_SPACE", "BYTE_LIMIT", "bounded_broadcast", "column", "documents", "fresh", "map_batches", "register",
+__all__ = ["ASCII_SPACE", "BYTE_LIMIT", "bounded_broadcast", "column", "documents", "free", "fresh", "map_batches", "register",
            "scratch", "spill", "table", "text_or_empty"]
 
 #: The white space of every word contract here: space and tab to carriage return.
@@ -70,6 +72,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables that nothing refers to any
+    more: its cleaner only learns of them when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def spill(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared checkpoint folder and read it
     back: lineage ends there, a lost executor costs no recomputation, and later

@@ -20,13 +20,16 @@ A document's set holds its distinct word n-grams; two documents link when
    Signatures that bring the same groups together are taken once, with their
    number, and a pair of groups stays only with as many common signatures as
    linked sets of their sizes have at least.
-3. For each group its members' tokens and their union (the matrix row) are
+3. Bounds.  Parity sketches of the sets (a bit for each hash place) differ in at
+   most as many bits as the sets in n-grams; pairs of groups without a pair of
+   members that may link by their sketches are not opened.
+4. For each group left its members' tokens and their union (the matrix row) are
    stored.  In a pair, a query of one group opens the other only if the union
    holds ``percent`` of its tokens.  Opened groups are compared as incidence
    matrices in one product, inside a task: no row per pair of documents is
    made.  A task emits a spanning forest of the links it found and each set's
    number of links.
-4. Components of those links.  Nothing is sampled or capped: every linked pair
+5. Components of those links.  Nothing is sampled or capped: every linked pair
    shares a signature, hence its groups are compared.
 
 Texts are read twice; the second time only those with a shared signature are
@@ -49,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import bounded_broadcast, documents, fresh, map_batches, register, spill, text_or_empty
+from pagelake.llm.common import bounded_broadcast, documents, free, fresh, map_batches, register, spill, text_or_empty
 from pagelake.llm.graph import components
 
 WORDS, PERCENT = 3, 90
@@ -263,6 +266,71 @@ def _token_task(words: int):
     return task
 
 
+def sketch_bits(n: int) -> int:
+    """Bits of the parity sketch of a set of ``n`` tokens."""
+    return max(1024, 1 << (2 * n - 1).bit_length())
+
+
+def parity_sketch(token: np.ndarray) -> np.ndarray:
+    """Bytes whose bits tell whether an even or odd number of tokens hash there.
+    Two sets differ in at least as many tokens as their sketches do in bits."""
+    bits = sketch_bits(len(token))
+    place = (_mix(token ^ _U(0x3C6EF372FE94F82B)) % _U(bits)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8))
+
+
+def _folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """The sketch of the same set with fewer bits: places are taken modulo the new number."""
+    while len(sketch) > size:
+        half = len(sketch) // 2
+        sketch = sketch[:half] ^ sketch[half:]
+    return sketch
+
+
+def _sketch_task(words: int):
+    def task(batches):
+        for run in _text_runs(batches):
+            owner, token = token_sets([r[1] for r in run], words)
+            cut = np.flatnonzero(np.diff(owner)) + 1
+            nodes = [run[i][0] for i in owner[np.concatenate(([0], cut))]] if len(owner) else []
+            rows = [parity_sketch(t).tobytes() for t in np.split(token, cut)] if len(owner) else []
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(rows, pa.binary())], ["node", "sketch"])
+    return task
+
+
+def may_link(one: list[dict], other: list[dict], percent: int, same: bool) -> bool:
+    """Whether the sketches leave room for a linked pair of two groups."""
+    theirs = [(np.frombuffer(m["sketch"], np.uint8), m["n"]) for m in other]
+    sizes = {len(s) for s, _ in theirs}
+    for i, m in enumerate(one):
+        mine = np.frombuffer(m["sketch"], np.uint8)
+        for size in sizes:
+            low = min(size, len(mine))
+            at = [j for j, (s, _) in enumerate(theirs) if len(s) == size and (not same or j > i)]
+            if not at:
+                continue
+            block = np.stack([_folded(theirs[j][0], low) for j in at])
+            apart = np.bitwise_count(block ^ _folded(mine, low)).sum(axis=1)
+            both = m["n"] + np.array([theirs[j][1] for j in at])
+            if (apart <= both * (100 - percent) // (100 + percent)).any():
+                return True
+    return False
+
+
+_SKETCHES = "array<struct<n: long, sketch: binary>>"
+
+
+def _bound_task(percent: int):
+    def task(batches):
+        for b in batches:
+            for at in range(0, len(b), 256):
+                kept = [(r["g1"], r["g2"]) for r in b.slice(at, 256).to_pylist()
+                        if may_link(r["one"], r["other"], percent, r["g1"] == r["g2"])]
+                if kept:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*kept)], ["g1", "g2"])
+    return task
+
+
 def _union_task(batches):
     """Matrix rows: the union of the tokens of each group's members."""
     for b in batches:
@@ -321,7 +389,7 @@ def _compare_task(percent: int):
     """Rows (a, b, links): an edge of the spanning forest (links null), or a
     set's number of linked documents found here (b null)."""
     def task(batches):
-        for b in batches:
+        for b in (whole.slice(at, 64) for whole in batches for at in range(0, len(whole), 64)):
             found: list[tuple] = []
             for r in b.to_pylist():
                 one, other, same = r["one"], r["other"], r["g1"] == r["g2"]
@@ -356,6 +424,12 @@ def _nodes(docs: DataFrame) -> tuple[DataFrame, bool]:
     return rows.select(node.alias("node"), "doc_id", "text"), plain
 
 
+def _with_groups(pairs: DataFrame, groups: DataFrame, *more: str) -> DataFrame:
+    """Pairs (g1, g2) with the members of both groups and ``more`` of the second."""
+    return (pairs.join(groups.select(F.col("gid").alias("g1"), F.col("members").alias("one")), "g1")
+            .join(groups.select(F.col("gid").alias("g2"), F.col("members").alias("other"), *more), "g2"))
+
+
 def _group_pairs(shared: DataFrame, member: DataFrame, percent: int) -> DataFrame:
     """(g1, g2), g1 <= g2: groups that may hold linked sets."""
     meets = spill(shared.join(member.select("node", "gid"), "node").select("sig", "gid").distinct(), "meets")
@@ -381,12 +455,15 @@ def _group_pairs(shared: DataFrame, member: DataFrame, percent: int) -> DataFram
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, node, n_shingles, component_id, n_links) of every row."""
+    spark = docs.sparkSession
     rows, plain = _nodes(docs)
     same = Window.partitionBy("sig", "more", "n")
     signed = (map_batches(rows.select("node", "text"), _sign_task(words, percent), "sig long, more long, node long, n long")
               .repartition("sig").withColumn("leader", F.min("node").over(same))
               .withColumn("shared", F.max("node").over(same) != F.col("leader")))
     marks = spill(signed.where("n >= 0 OR shared"), "signed")
+    del signed
+    free(spark)
     sets = marks.where("n >= 0").select("node", F.when(F.col("n") > 0, F.col("leader")).otherwise(F.col("node")).alias("rep"), "n").distinct()
     sets = spill(sets, "sets")
     copy = sets.where("node <> rep").select("node")
@@ -408,18 +485,27 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
               .select("node", "copies", "n", F.xxhash64("family", "level", F.pmod(F.xxhash64("node"), F.col("chunks"))).alias("gid")))
     member = spill(member, "members")
     pairs = spill(_group_pairs(shared, member, percent), "pairs")
-    member = member.join(pairs.select(F.explode(F.array("g1", "g2")).alias("gid")).distinct(), "gid", "left_semi")
-    member = member.select("node", "copies", "gid")
-
-    texts = rows.join(bounded_broadcast(member.select("node"), ID_LIMIT), "node", "left_semi").select("node", "text")
-    if not plain:
-        texts = texts.dropDuplicates(["node"])
-    tokens = map_batches(texts, _token_task(words), "node long, tokens binary")
+    free(spark)
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        texts = rows.join(bounded_broadcast(some.select("node"), ID_LIMIT), "node", "left_semi").select("node", "text")
+        return texts if plain else texts.dropDuplicates(["node"])
+
+    def of_pairs(some: DataFrame) -> DataFrame:
+        return spill(member.join(some.select(F.explode(F.array("g1", "g2")).alias("gid")).distinct(), "gid", "left_semi"), "compared")
+
+    met = of_pairs(pairs)
+    sketches = (map_batches(texts_of(met), _sketch_task(words), "node long, sketch binary").join(met, "node")
+                .groupBy("gid").agg(F.collect_list(F.struct("n", "sketch")).alias("members")))
+    sketches = spill(sketches, "sketches")
+    pairs = spill(map_batches(_with_groups(pairs, sketches), _bound_task(percent), "g1 long, g2 long"), "bounded")
+    free(spark)
+    member = of_pairs(pairs)
+    tokens = map_batches(texts_of(member), _token_task(words), "node long, tokens binary")
     groups = (tokens.join(member, "node").groupBy("gid")
               .agg(F.collect_list(F.struct("node", "copies", "tokens")).alias("members")))
     groups = spill(map_batches(groups, _union_task, f"gid long, members {_MEMBERS}, tokens binary"), "groups")
-    told = (pairs.join(groups.select(F.col("gid").alias("g1"), F.col("members").alias("one")), "g1")
-            .join(groups.select(F.col("gid").alias("g2"), F.col("members").alias("other"), "tokens"), "g2"))
+    told = _with_groups(pairs, groups, "tokens")
     told = spill(map_batches(told, _compare_task(percent), "a long, b long, links long"), "told")
 
     links = told.where("b IS NOT NULL").select("a", "b").unionByName(
