@@ -10,6 +10,10 @@ another address of the same shape.  The permutation depends on the key and the
 value alone, so equal values stay equal in all documents, and different values
 of one kind and shape never meet.
 
+A digit run of several groups is tested at its group borders, so a card keeps
+its pseudonym beside an expiry, a check code or another number; digits of the
+run that are no card stay.
+
 The network: halves a and b, ``ROUNDS`` times (a, b) -> (b, a + F(b)), where +
 adds symbol by symbol modulo the alphabet and F is SHA-512 of key, kind, round
 and b.  Dates walk the cycle of a six-digit permutation until they are again a
@@ -47,8 +51,17 @@ IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d)(?!\.\d)"
 PHONE = (r"(?<![\w+])\+?\d{0,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
          r"|(?<![\w+])\+\d{1,3}(?:[ .-]?\d){9,12}(?!\d)"
          r"|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])")
-CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
-CANDIDATE = "|".join([SECRET, CLOUD_KEY, EMAIL, IBAN, DATE, IP, PHONE, CARD])
+#: Telephone numbers that also stand among the groups of a digit run.
+BARE = r"(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"
+#: A digit run ends where another candidate begins.
+STOP = "|".join([DATE, IP, EMAIL, r"\d{1,3}\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)"])
+#: Digit groups with single spaces or dashes between them, 13 digits or more;
+#: possessive, so that long runs need no stack.
+RUN = rf"(?<!\d)\d(?:\d|[ -](?!{STOP})\d){{12,}}+"
+CANDIDATE = "|".join([SECRET, CLOUD_KEY, EMAIL, IBAN, DATE, IP, PHONE, RUN])
+#: How cards are printed, and the first digits that issuers have.
+PRINTED = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5})$"
+ISSUER = r"^(?:[3-6]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720)"
 #: Every candidate has one of these characters.
 HINT = "[0-9@=:]"
 
@@ -192,8 +205,77 @@ def kind_of(m: str) -> str:
       WHEN {m} RLIKE {full(IBAN)} THEN CASE WHEN {mod97(f"concat(substr({m}, 5), substr({m}, 1, 4))")} = 1 THEN 'iban' END
       WHEN {m} RLIKE {full(DATE)} THEN CASE WHEN year({_as_date(m)}) BETWEEN 1000 AND 2999 THEN 'date' END
       WHEN {m} RLIKE {full(IP)} THEN CASE WHEN forall(split({m}, '[.]'), o -> int(o) <= 255) THEN 'ip' END
-      WHEN {m} RLIKE {full(PHONE)} THEN 'phone'
-      WHEN luhn_check({_only(m, "0-9")}) AND {_only(m, "0-9")} RLIKE '[1-9]' THEN 'card' END"""
+      WHEN {m} RLIKE {full(PHONE)} THEN 'phone' END"""
+
+
+_PIECE = "named_struct('m', {}, 'kind', {})"
+
+
+def _groups(i: str, j: str) -> str:
+    """SQL: the digit groups ``i`` to ``j`` of the arrays grp and sep as written."""
+    return (f"array_join(transform(sequence({i}, {j}), "
+            f"t -> concat(get(grp, t), CASE WHEN t < {j} THEN get(sep, t) ELSE '' END)), '')")
+
+
+def _valid_runs(runs: str, rank: str, more: str) -> str:
+    """SQL: of the group borders ``runs`` (structs i, j), those whose digits are
+    a card and that meet ``more``, with a rank: the smaller, the more like one."""
+    c = _only("r.m", "0-9")
+    return (f"transform(filter(transform({runs}, r -> named_struct('i', r.i, 'j', r.j, 'm', {_groups('r.i', 'r.j')})), "
+            f"r -> length({c}) BETWEEN 13 AND 19 AND luhn_check({c}) AND {c} RLIKE '[1-9]' AND {more}), "
+            f"r -> named_struct('i', r.i, 'j', r.j, 'm', r.m, "
+            f"'rank', 2 * ({rank}) + CASE WHEN length({c}) = 16 THEN 0 ELSE 1 END))")
+
+
+def _cards(run: str) -> str:
+    """SQL: the cards in a digit run as structs i, j, m, in order.  First the
+    sub-runs whose groups but the last have four digits or more; where there is
+    none, the whole run, and what begins or ends it in groups of two or more
+    unless a telephone number is among them.  Of sub-runs that overlap the
+    better rank stays, then the first."""
+    last = "size(grp) - 1"
+    near = (f"flatten(transform(sequence(0, {last}), b -> transform(sequence(b, least(b + 4, {last})), "
+            "e -> named_struct('i', b, 'j', e))))")
+    printed = _valid_runs(near, f"CASE WHEN r.m RLIKE {_q(PRINTED)} THEN CASE WHEN r.m RLIKE {_q(ISSUER)} THEN 0 ELSE 1 END ELSE 2 END",
+                          f"r.m RLIKE {_q(r'^(?:[0-9]{4,}[ -])*[0-9]+$')}")
+    ends = (f"array_distinct(concat(transform(sequence(0, least(18, {last})), e -> named_struct('i', 0, 'j', e)), "
+            f"transform(sequence(greatest(0, {last} - 18), {last}), b -> named_struct('i', b, 'j', {last}))))")
+    whole = f"(r.i = 0 AND r.j = {last})"
+    other = _valid_runs(ends, f"CASE WHEN {whole} THEN 0 ELSE 1 END",
+                        f"({whole} OR (r.m RLIKE {_q(r'^(?:[0-9]{2,}[ -])*[0-9]+$')} AND NOT {run} RLIKE {_q(BARE)}))")
+    best = ("filter(val, (x, k) -> NOT exists(slice(val, greatest(1, k - 39), 80), "
+            "y -> y.rank < x.rank AND y.i <= x.j AND y.j >= x.i))")
+    taken = (f"aggregate({best}, named_struct('last', -1, 'out', filter(val, x -> false)), "
+             "(h, x) -> CASE WHEN x.i > h.last THEN named_struct('last', x.j, 'out', concat(h.out, array(x))) ELSE h END, h -> h.out)")
+    return _let(printed, "prt", _let(f"CASE WHEN size(prt) > 0 THEN prt ELSE {other} END", "val", taken))
+
+
+def _phones(text: str) -> str:
+    """SQL: ``text`` as pieces, cut at its telephone numbers."""
+    return (f"filter(flatten(zip_with(split({text}, {_q(BARE)}, -1), regexp_extract_all({text}, {_q(BARE)}, 0), (gap, tel) -> array("
+            + _PIECE.format("gap", "string(null)") + ", " + _PIECE.format("tel", "'phone'") + "))), v -> v.m IS NOT NULL)")
+
+
+def _run_pieces(run: str) -> str:
+    """SQL: a digit run as pieces: its cards, and what is between them."""
+    low = "CASE WHEN n = 0 THEN 0 ELSE get(crd, n - 1).j + 1 END"
+    high = "CASE WHEN n = size(crd) THEN size(grp) - 1 ELSE get(crd, n).i - 1 END"
+    between = (f"CASE WHEN lo <= hi THEN concat(CASE WHEN n > 0 THEN get(sep, lo - 1) ELSE '' END, {_groups('lo', 'hi')}, "
+               "CASE WHEN n < size(crd) THEN get(sep, hi) ELSE '' END) "
+               "WHEN n > 0 AND n < size(crd) THEN get(sep, lo - 1) ELSE '' END")
+    parts = _let(low, "lo", _let(high, "hi", _let(between, "btw", _phones("btw"))))
+    card = f"CASE WHEN n < size(crd) THEN array({_PIECE.format('get(crd, n).m', chr(39) + 'card' + chr(39))}) ELSE array() END"
+    pieces = f"flatten(transform(sequence(0, size(crd)), n -> concat({parts}, {card})))"
+    return _let(f"split({run}, '[ -]')", "grp", _let(f"regexp_extract_all({run}, '[ -]', 0)", "sep",
+                                                      _let(_cards(run), "crd", pieces)))
+
+
+def pieces_of(m: str) -> str:
+    """SQL: a candidate as structs m, kind that make it up, kind null for what
+    stays: itself if it validates, else the cards and numbers in its digit runs."""
+    runs = (f"flatten(zip_with(split({m}, {_q(RUN)}, -1), regexp_extract_all({m}, {_q(RUN)}, 0), (gap, run) -> concat("
+            f"{_phones('gap')}, CASE WHEN run IS NULL THEN array() ELSE {_run_pieces('run')} END)))")
+    return _let(kind_of(m), "knd", f"CASE WHEN knd IS NOT NULL THEN array({_PIECE.format(m, 'knd')}) ELSE {runs} END")
 
 
 def pseudonym(m: str, kind: str, key: str) -> str:
@@ -208,12 +290,12 @@ def pseudonymise(docs: DataFrame, key: str = KEY, kinds: str = "private_kinds")
     out = docs.withColumn(text, F.col("text").cast("string"))
     out = out.withColumn(found, F.when(F.col(text).rlike(HINT), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
                          .otherwise(F.array().cast("array<string>")))
-    out = out.withColumn(known, F.expr(f"transform({found}, m -> named_struct('m', m, 'kind', {kind_of('m')}))"))
-    out = out.withColumn(made, F.expr(f"transform({known}, v -> {pseudonym('v.m', 'v.kind', key)})"))
-    whole = F.when(F.expr(f"exists({known}, v -> v.kind IS NOT NULL)"), F.array_join(F.zip_with(
+    out = out.withColumn(known, F.expr(f"transform({found}, m -> {pieces_of('m')})"))
+    out = out.withColumn(made, F.expr(f"transform({known}, c -> array_join(transform(c, v -> {pseudonym('v.m', 'v.kind', key)}), ''))"))
+    whole = F.when(F.expr(f"exists(flatten({known}), v -> v.kind IS NOT NULL)"), F.array_join(F.zip_with(
         F.split(text, CANDIDATE, -1), made, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), "")).otherwise(F.col(text))
     rest = [whole.alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*rest, F.expr(f"filter(transform({known}, v -> v.kind), k -> k IS NOT NULL)").alias(kinds))
+    return out.select(*rest, F.expr(f"filter(transform(flatten({known}), v -> v.kind), k -> k IS NOT NULL)").alias(kinds))
 
 
 @register("op8_pseudonyms")

@@ -157,3 +157,33 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert re.fullmatch(r"\d\d/\d\d/\d{4}", c) and c != "31/12/1999"
     assert pseudonyms.pseudonymise(docs.limit(0)).count() == 0
     assert pseudonyms.pseudonymise(H.table(spark, H.awkward())).count() == len(H.awkward())
+
+
+def test_cards_beside_other_digit_groups(spark):
+    spaced, plain, amex = "4111 1111 1111 1111", "4111111111111111", "3782 822463 10005"
+    made = {c: pseudonyms_of(spark, [c])[0][0] for c in (spaced, plain, amex)}
+    assert made[spaced].replace(" ", "") == made[plain] != plain and _luhn(made[amex].replace(" ", ""))
+    cases = ["{s} 12/26", "{s} 123", "{s} 12/26 123", "2024 {s}", "1 {p}", "12 {s} 1226 123", "{p} 2024-01-32", "{p}-123",
+             "{a} 1234", "77 {a}", "{s} {s}", "{p} {a} {s}", "7 {p} 8 {s} 9", "{s}-{p}", "x{p}y", "41 {p} 11 11"]
+    texts = [c.format(s=spaced, p=plain, a=amex) for c in cases]
+    for case, (text, kinds) in zip(cases, pseudonyms_of(spark, texts)):
+        assert text == case.format(s=made[spaced], p=made[plain], a=made[amex]), case
+        assert kinds == ["card"] * case.count("{"), case
+
+
+def test_digit_runs_leave_other_values_their_kind(spark):
+    card = "4111 1111 1111 1111"
+    got = pseudonyms_of(spark, [f"{card} {x}" for x in (
+        "2024-02-29", "31/12/1999", "10.1.2.3", "12@mail.example.com", "555-123-4567", "1(555)123-4567")])
+    assert [k for _, k in got] == [["card", x] for x in ("date", "date", "ip", "email", "phone", "phone")]
+    still = ["4111 1111 1111 1112 12/26", "0000 0000 0000 0000 12", "1" * 40, "12 34 " * 2, " ".join(["7"] * 20_000)]
+    assert pseudonyms_of(spark, still[:-1]) == [(t, []) for t in still[:-1]]
+    assert len(pseudonyms_of(spark, still[-1:])[0][0]) == len(still[-1])
+    pairs = "41 11 11 11 11 11 11 11"
+    assert [k for _, k in pseudonyms_of(spark, [pairs, pairs + " 12/26", "12 " + pairs])] == [["card"]] * 3
+
+
+def pseudonyms_of(spark, texts):
+    """(text, kinds) in the order of ``texts``."""
+    out = pseudonyms.pseudonymise(H.table(spark, list(enumerate(texts))), key="k").collect()
+    return [(r.text, list(r.private_kinds)) for r in sorted(out, key=lambda r: r.doc_id)]
