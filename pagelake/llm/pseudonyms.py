@@ -1,8 +1,10 @@
 """Format-preserving pseudonyms for personal data, in SQL functions only.
 
 Candidates are found by one pattern; a candidate is personal only when its
-kind validates: payment cards by Luhn, IBANs by mod 97, IPv4 octets, real
-dates, telephone numbers by their digits, mail addresses and secrets by form.
+kind validates: payment cards by Luhn, IBANs by mod 97 (in one word, or in
+groups of four with the length of their country), IPv4 octets, real dates
+(with slashes dd/mm, else mm/dd, which stays a date of only that reading),
+telephone numbers by their digits, mail addresses and secrets by form.
 Its symbols are permuted by a keyed Feistel network within their own alphabet
 and the value is put back in its own layout, with check digits recomputed:
 a card becomes another valid card, a date another real date, an address
@@ -45,6 +47,15 @@ KINDS = ("secret", "email", "iban", "date", "ip", "phone", "card")
 SECRET = r'(?i:\b(?:token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}"?[A-Za-z0-9+/_-]{8,})'
 CLOUD_KEY = r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){1,20}"
+#: Countries by the length of their IBANs, for the printed form: groups of four
+#: with single spaces, whose end only the length tells.
+LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+           22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+           25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+           29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+SPACED = r"\b(?:" + "|".join(
+    f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" [A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    for n, c in LENGTHS.items()) + r")\b"
 IBAN = r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b"
 DATE = r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?!\d)"
 IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d)(?!\.\d)"
@@ -52,13 +63,17 @@ PHONE = (r"(?<![\w+])\+?\d{0,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
          r"|(?<![\w+])\+\d{1,3}(?:[ .-]?\d){9,12}(?!\d)"
          r"|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])")
 #: Telephone numbers that also stand among the groups of a digit run.
-BARE = r"(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"
+BARE = (r"(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"
+        r"|(?<![\w+.-])(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-]|\.\d)")
 #: A digit run ends where another candidate begins.
-STOP = "|".join([DATE, IP, EMAIL, r"\d{1,3}\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)"])
+STOP = "|".join([DATE, IP, EMAIL, r"\d{1,3}\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
+                 r"(?:1[ .-])?\d{3}(?:\.\d{3}[ .-]|[ -]\d{3}\.)\d{4}(?![\d-]|\.\d)|1\.\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-]|\.\d)"])
 #: Digit groups with single spaces or dashes between them, 13 digits or more;
 #: possessive, so that long runs need no stack.
-RUN = rf"(?<!\d)\d(?:\d|[ -](?!{STOP})\d){{12,}}+"
-CANDIDATE = "|".join([SECRET, CLOUD_KEY, EMAIL, IBAN, DATE, IP, PHONE, RUN])
+NEXT = rf"(?:\d|[ -](?!{STOP})\d)"
+RUN = rf"(?<!\d)\d{NEXT}{{12,}}+"
+#: What follows a printed IBAN belongs to its candidate, in case it is none.
+CANDIDATE = "|".join([SECRET, CLOUD_KEY, EMAIL, IBAN, SPACED + NEXT + "*+", DATE, IP, PHONE, RUN, BARE])
 #: How cards are printed, and the first digits that issuers have.
 PRINTED = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5})$"
 ISSUER = r"^(?:[3-6]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720)"
@@ -142,7 +157,7 @@ def _card(m: str, key: str) -> str:
 
 def _iban(m: str, key: str) -> str:
     return _let(by_class(f"substr({m}, 5)", "iban", key), "acct", (
-        f"concat(substr({m}, 1, 2), lpad(string(98 - " + mod97(f"concat(acct, substr({m}, 1, 2), '00')")
+        f"concat(substr({m}, 1, 2), lpad(string(98 - " + mod97(f"concat(replace(acct, ' ', ''), substr({m}, 1, 2), '00')")
         + "), 2, '0'), acct)"))
 
 
@@ -152,20 +167,26 @@ _FIRST_DAY, _DAYS = "DATE'1000-01-01'", 730_485
 
 def _as_date(m: str) -> str:
     """SQL: the date that ``m`` writes, null when there is none.  Built from
-    its numbers, and compared with ``m`` again, so 31 April is no date."""
-    when = " ".join(
-        f"WHEN {m} RLIKE {_q(r)} THEN try_make_timestamp(int(substr({m}, {y}, 4)), int(substr({m}, {mo}, 2)), "
-        f"int(substr({m}, {d}, 2)), 0, 0, 0)"
-        for (r, _), (y, mo, d) in zip(_FORMATS, ((1, 6, 9), (7, 4, 1), (7, 4, 1))))
-    return f"date(CASE {when} END)"
+    its numbers, so 31 April is no date; with slashes, mm/dd is read where
+    dd/mm is none."""
+    made = lambda y, mo, d: (f"try_make_timestamp(int(substr({m}, {y}, 4)), int(substr({m}, {mo}, 2)), "
+                             f"int(substr({m}, {d}, 2)), 0, 0, 0)")
+    return (f"date(CASE WHEN {m} RLIKE {_q(_FORMATS[0][0])} THEN {made(1, 6, 9)} WHEN {m} RLIKE {_q(_FORMATS[1][0])} "
+            f"THEN coalesce({made(7, 4, 1)}, {made(7, 1, 4)}) WHEN {m} RLIKE {_q(_FORMATS[2][0])} THEN {made(7, 4, 1)} END)")
+
+
+def _month_first(m: str) -> str:
+    """SQL: whether the date ``m`` is read as mm/dd: its day is no month."""
+    return f"({m} RLIKE {_q(_FORMATS[1][0])} AND int(substr({m}, 4, 2)) > 12)"
 
 
 def _date(m: str, key: str) -> str:
     step = "int(" + permute("lpad(string(x.d), 6, '0')", DIGITS, "date", key) + ")"
     walk = (f"aggregate(sequence(1, 200), named_struct('d', datediff({_as_date(m)}, {_FIRST_DAY}), 'n', 0), "
-            f"(x, w) -> CASE WHEN x.n > 0 AND x.d < {_DAYS} THEN x ELSE named_struct('d', {step}, 'n', 1) END, x -> x.d)")
+            f"(x, w) -> CASE WHEN x.n > 0 AND x.d < {_DAYS} AND (NOT mdy OR day(date_add({_FIRST_DAY}, x.d)) > 12) THEN x ELSE named_struct('d', {step}, 'n', 1) END, x -> x.d)")
     when = " ".join(f"WHEN {m} RLIKE {_q(r)} THEN date_format(date_add({_FIRST_DAY}, day), '{f}')" for r, f in _FORMATS)
-    return _let(walk, "day", f"CASE {when} END")
+    when = f"WHEN mdy THEN date_format(date_add({_FIRST_DAY}, day), 'MM/dd/yyyy') {when}"
+    return _let(_month_first(m), "mdy", _let(walk, "day", f"CASE {when} END"))
 
 
 def _ip(m: str, key: str) -> str:
@@ -203,9 +224,10 @@ def kind_of(m: str) -> str:
       WHEN {m} LIKE '%@%' AND {m} RLIKE {full(EMAIL)} THEN 'email'
       WHEN {m} RLIKE {full(SECRET + "|" + CLOUD_KEY)} THEN 'secret'
       WHEN {m} RLIKE {full(IBAN)} THEN CASE WHEN {mod97(f"concat(substr({m}, 5), substr({m}, 1, 4))")} = 1 THEN 'iban' END
+      WHEN {m} RLIKE {_q("^" + SPACED)} THEN NULL
       WHEN {m} RLIKE {full(DATE)} THEN CASE WHEN year({_as_date(m)}) BETWEEN 1000 AND 2999 THEN 'date' END
       WHEN {m} RLIKE {full(IP)} THEN CASE WHEN forall(split({m}, '[.]'), o -> int(o) <= 255) THEN 'ip' END
-      WHEN {m} RLIKE {full(PHONE)} THEN 'phone' END"""
+      WHEN {m} RLIKE {full(PHONE + "|" + BARE)} THEN 'phone' END"""
 
 
 _PIECE = "named_struct('m', {}, 'kind', {})"
@@ -272,10 +294,16 @@ def _run_pieces(run: str) -> str:
 
 def pieces_of(m: str) -> str:
     """SQL: a candidate as structs m, kind that make it up, kind null for what
-    stays: itself if it validates, else the cards and numbers in its digit runs."""
-    runs = (f"flatten(zip_with(split({m}, {_q(RUN)}, -1), regexp_extract_all({m}, {_q(RUN)}, 0), (gap, run) -> concat("
+    stays: itself if it validates, else a printed IBAN at its start if that
+    does, and the cards and numbers in the digit runs of the rest."""
+    runs = (f"flatten(zip_with(split(rst, {_q(RUN)}, -1), regexp_extract_all(rst, {_q(RUN)}, 0), (gap, run) -> concat("
             f"{_phones('gap')}, CASE WHEN run IS NULL THEN array() ELSE {_run_pieces('run')} END)))")
-    return _let(kind_of(m), "knd", f"CASE WHEN knd IS NOT NULL THEN array({_PIECE.format(m, 'knd')}) ELSE {runs} END")
+    bare = "replace(spc, ' ', '')"
+    head = (_let(f"regexp_extract({m}, {_q('^' + SPACED)}, 0)", "spc",
+                 f"CASE WHEN spc <> '' AND {mod97(f'concat(substr({bare}, 5), substr({bare}, 1, 4))')} = 1 THEN spc ELSE '' END"))
+    iban = f"CASE WHEN hed = '' THEN array() ELSE array({_PIECE.format('hed', chr(39) + 'iban' + chr(39))}) END"
+    rest = _let(head, "hed", f"concat({iban}, " + _let(f"substr({m}, length(hed) + 1)", "rst", runs) + ")")
+    return _let(kind_of(m), "knd", f"CASE WHEN knd IS NOT NULL THEN array({_PIECE.format(m, 'knd')}) ELSE {rest} END")
 
 
 def pseudonym(m: str, kind: str, key: str) -> str:

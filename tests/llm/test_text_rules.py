@@ -183,6 +183,44 @@ def test_digit_runs_leave_other_values_their_kind(spark):
     assert [k for _, k in pseudonyms_of(spark, [pairs, pairs + " 12/26", "12 " + pairs])] == [["card"]] * 3
 
 
+def _mod97(iban):
+    return int("".join(str(int(x, 36)) for x in iban[4:] + iban[:4])) % 97
+
+
+def test_printed_ibans(spark):
+    printed = ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "AT61 1904 3002 3457 3201", "NO93 8601 1117 947"]
+    for iban in printed:
+        texts = [iban, iban.replace(" ", ""), f"IBAN {iban} 2024 OK", f"{iban}, {iban}", f"{iban} 4111 1111 1111 1111"]
+        (one, kinds), (word, _), (said, _), (two, _), (card, both) = pseudonyms_of(spark, texts)
+        assert kinds == ["iban"] and one != iban and word == one.replace(" ", "") and _mod97(word) == 1
+        assert [len(g) for g in one.split()] == [len(g) for g in iban.split()]
+        assert said == f"IBAN {one} 2024 OK" and two == f"{one}, {one}" and card.startswith(one) and both == ["iban", "card"]
+    wrong = "DE88 3704 0044 0532 0130 00"
+    assert pseudonyms_of(spark, [wrong])[0] == (wrong, [])
+    text, kinds = pseudonyms_of(spark, ["AT12 2024 4111 1111 1111 1111 x"])[0]
+    assert kinds == ["card"] and text.startswith("AT12 2024 ") and "4111" not in text[10:]
+
+
+def test_month_first_dates_and_phone_separators(spark):
+    texts = ["12/31/2024", "31/12/2024", "02/30/2024", "13/13/2024"]
+    (us, one), (eu, two), *no = pseudonyms_of(spark, texts)
+    assert one == two == ["date"] and us != texts[0] and no == [(t, []) for t in texts[2:]]
+    assert re.fullmatch(r"(0[1-9]|1[0-2])/(1[3-9]|2\d|3[01])/[12]\d{3}", us) and re.fullmatch(r"\d\d/(0[1-9]|1[0-2])/\d{4}", eu)
+    days = [f"{m:02d}/{d}/{y}" for m in range(1, 13) for d in range(13, 29) for y in (1999, 2000)]
+    made = [t for t, _ in pseudonyms_of(spark, days)]
+    assert len(set(made)) == len(days) and all(12 < int(t[3:5]) for t in made)
+    tel = ["555.123.4567", "555 123 4567", "555-123-4567", "555 123-4567", "1 555 123 4567", "1.555.123.4567", "+1 555 123 4567"]
+    got = pseudonyms_of(spark, tel)
+    digits = {re.sub(r"\D", "", t)[-10:] for t, _ in got}
+    assert len(digits) == 1 and digits != {"5551234567"} and [k for _, k in got] == [["phone"]] * len(tel)
+    assert [re.sub(r"\d", "5", t) for t, _ in got] == [re.sub(r"\d", "5", t) for t in tel]
+    card = "4111 1111 1111 1111"
+    mixed = pseudonyms_of(spark, [f"{card} {t}" for t in tel[:4]] + [f"123 456 {card}", f"{tel[1]} {card}", f"{tel[1]} {tel[1]}"])
+    assert [k for _, k in mixed] == [["card", "phone"]] * 4 + [["card"], ["phone", "card"], ["phone", "phone"]]
+    still = ["555 123 45678", "1.2.555.123.4567", "5551234567", "v555.123.4567", "555.123.4567.8"]
+    assert pseudonyms_of(spark, still) == [(t, []) for t in still]
+
+
 def pseudonyms_of(spark, texts):
     """(text, kinds) in the order of ``texts``."""
     out = pseudonyms.pseudonymise(H.table(spark, list(enumerate(texts))), key="k").collect()
