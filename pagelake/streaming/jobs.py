@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelake.session import cut_lineage
 from pagelake.sources import logs as LG
 
 def run_available(writer, checkpoint: str) -> None:
@@ -65,9 +66,10 @@ def windowed_counts(stream: DataFrame, out: str, ckpt: str, window: str = "1 day
 def limiter_step(window_us: int, cap: int):
     """ST4 state function: per-key fixed-window limiter with O(1) state
     (window start micros, count).  Rows of a micro-batch are processed in
-    time order; input must arrive in time order across batches.  A key whose
-    window ended before the watermark is evicted (A22): its next request opens
-    a window anyway, so the verdicts do not change."""
+    time order; a row of a later batch that is older than the open window
+    counts in it.  A key whose window ended before the watermark is evicted
+    (A22): its next request opens a window anyway, so the verdicts do not
+    change."""
 
     def step(key, batches, state):
         if state.hasTimedOut:
@@ -91,10 +93,13 @@ def limiter_step(window_us: int, cap: int):
     return step
 
 
-def rate_limited(stream: DataFrame, key: str, window_seconds: int, cap: int, out: str, ckpt: str) -> None:
+def rate_limited(stream: DataFrame, key: str, window_seconds: int, cap: int, out: str, ckpt: str,
+                 delay: str = "1 minute") -> None:
     """ST4: run the limiter over a stream of (key, ts, event_id); one small
-    state row per live key in the state store."""
-    src = (stream.withWatermark("ts", "0 seconds")
+    state row per live key in the state store.  Rows may be as late as
+    ``delay``; Spark drops those at or below the watermark (newest ts of the
+    batches before, less ``delay``), which ``late_verdicts`` answers."""
+    src = (stream.withWatermark("ts", delay)
            .select(F.col(key).alias("k"), F.unix_micros(F.col("ts")).alias("t"), "event_id", "ts"))
     res = src.groupBy("k").applyInPandasWithState(
         limiter_step(window_seconds * 1_000_000, cap),
@@ -103,6 +108,19 @@ def rate_limited(stream: DataFrame, key: str, window_seconds: int, cap: int, out
     run_available(res.writeStream.format("parquet").option("path", out), ckpt)
 
 
+def late_verdicts(requests: DataFrame, key: str, window_seconds: int, cap: int, out: str) -> DataFrame:
+    """The requests that ``rate_limited`` left without a verdict in ``out``, as
+    (event_id, allowed): A21 in batch over all requests of their keys, as if
+    they had come in time.  Verdicts given before stay."""
+    from pagelake.operators.limits import anchored_windows
+    given = requests.sparkSession.read.schema("event_id LONG, allowed BOOLEAN").parquet(out)
+    late = cut_lineage(requests.join(given, "event_id", "left_anti").select("event_id", F.col(key).alias("__k")))
+    keys = late.select("__k").distinct()
+    rows = requests.join(keys, requests[key].eqNullSafe(keys["__k"]), "left_semi").select(key, "ts", "event_id")
+    return (anchored_windows(rows, key, "ts", "event_id", window_seconds, cap)
+            .join(late, "event_id", "left_semi").select("event_id", "allowed"))
+
+
 def write_ingested(batch: DataFrame, epoch: int, table_dir: str) -> None:
     """One micro-batch of pages and their links, each in the folder of its
     batch; a replayed batch overwrites its own folders."""

@@ -26,3 +26,29 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
         found, links = SJ.read_ingested(spark, where)
         seen.append((found.count(), links.count()))
     assert seen[0] == seen[1] == seen[2] and seen[0][0] == pages.select("url").distinct().count()
+
+
+def test_limiter_answers_equal_and_late_timestamps(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from pagelake.operators.limits import anchored_windows
+    from pagelake.streaming import jobs as SJ
+    schema = "event_id long, user_id long, ts timestamp"
+    src, out, ckpt = (str(tmp_path / x) for x in ("src", "out", "ckpt"))
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    batches = [[(1, 1, at(0)), (2, 1, at(7000)), (3, 2, at(7000)), (4, None, at(7000))],
+               [(5, 1, at(7000)), (6, 2, at(7000)), (7, 3, at(7000)), (8, None, at(7000)), (9, 1, at(7001))],
+               [(10, 1, at(10)), (11, 4, at(10)), (12, None, at(20))]]
+    seen = []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        SJ.rate_limited(spark.readStream.schema(schema).parquet(src), "user_id", 60, 2, out, ckpt)
+        seen.append({r.event_id: r.allowed for r in spark.read.parquet(out).collect()})
+    requests = spark.read.parquet(src)
+    in_time = requests.where("event_id < 10")
+    want = {r.event_id: r.allowed for r in anchored_windows(in_time, "user_id", "ts", "event_id", 60, 2).collect()}
+    assert seen[1] == want and set(want) == set(range(1, 10)) and seen[2] == want
+    late = {r.event_id: r.allowed for r in SJ.late_verdicts(requests, "user_id", 60, 2, out).collect()}
+    everything = {r.event_id: r.allowed for r in anchored_windows(requests, "user_id", "ts", "event_id", 60, 2).collect()}
+    assert late == {i: everything[i] for i in (10, 11, 12)}
+    assert SJ.late_verdicts(in_time, "user_id", 60, 2, out).count() == 0
