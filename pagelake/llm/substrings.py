@@ -1,10 +1,10 @@
-"""Repeated passages by suffix buckets whose pointers are refined.
+"""Repeated passages by suffix buckets, refined by content hashes.
 
 A byte goes when a string of ``LENGTH`` bytes that covers it also starts
 earlier in the corpus (in a smaller document, or further up in the same one).
-Suffix positions are put into buckets by q-gram and the buckets are refined by
-the identifiers of buckets at later offsets until each holds one string of
-``LENGTH`` bytes; identifiers made once are reused by the next refinement.
+Suffix positions are put into buckets by q-gram, and buckets with more than one
+string of ``LENGTH`` bytes are refined by a hash of that string; there are no
+rounds of pointers to the bucket ids of later offsets.
 
 Not every position needs a bucket.  Of each window of ``LENGTH`` bytes the
 q-gram with the smallest hash decides, so equal windows meet in the bucket of
