@@ -9,10 +9,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.session import bounded_broadcast, scratch_path, ship_package, table
+from pagelake.session import bounded_broadcast, scratch_path, ship_package, small_enough, table
 
 __all__ = ["ASCII_SPACE", "BYTE_LIMIT", "bounded_broadcast", "column", "documents", "free", "fresh", "map_batches", "register",
-           "scratch", "spill", "table", "text_or_empty"]
+           "scratch", "small_enough", "spill", "table", "text_or_empty"]
 
 #: The white space of every word contract here: space and tab to carriage return.
 ASCII_SPACE = r"[\x20\x09-\x0D]"
