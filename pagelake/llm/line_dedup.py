@@ -1,8 +1,8 @@
 """Line de-duplication over levelled sorted runs of line hashes.
 
 A line's key is the line without ASCII white space at both ends, A-Z in lower
-case; its hash is the first 128 bits of the key's SHA-256.  A key found in
-``min_docs`` documents or more is frequent and loses all its lines.
+case; its hash is the first 128 bits of a SHA-256.  A key found in ``min_docs``
+documents or more is frequent and loses all its lines.
 
 ``LineRuns`` counts documents per key as a log-structured store:
 
@@ -49,15 +49,22 @@ FANOUT = 2
 HEAVY_KEYS = 100_000
 
 _BLANKS = " \t\n\x0b\f\r"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def split_lines(text: Column | str = "text") -> Column:
-    return F.split(text_or_empty(text), "\n", -1)
+def split_lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
 
 
-def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(_BLANKS)), _UPPER, _LOWER)
+def folded(text: Column | str = "text") -> Column:
+    """A form of the text that is equal for texts equal but for the case of A-Z,
+    and only for them.  The UTF-8 bytes are lower-cased as ISO-8859-1, which is much
+    faster than mapping letters.  Of the bytes above 0x7F only lead bytes C0-DE
+    change, to E0-FE; the number of bytes that follow still tells which one it was."""
+    return F.lower(F.decode(text_or_empty(text).cast("binary"), "ISO-8859-1"))
+
+
+def trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(_BLANKS))
 
 
 def key_hash(key: Column) -> Column:
@@ -66,9 +73,9 @@ def key_hash(key: Column) -> Column:
 
 def line_keys(docs: DataFrame, *keep: Column) -> DataFrame:
     """``keep`` columns and the hash ``k`` of each distinct key of a document."""
-    keys = F.array_distinct(F.transform(split_lines(), line_key))
-    return (docs.select(*keep, F.explode(keys).alias("key")).where(F.col("key") != "")
-            .select(*[c for c in docs.select(*keep).columns], key_hash(F.col("key")).alias("k")))
+    keys = F.array_distinct(F.transform(split_lines(folded()), trimmed))
+    names = docs.select(*keep).columns
+    return docs.select(*keep, F.explode(keys).alias("key")).where("key <> ''").select(*names, key_hash(F.col("key")).alias("k"))
 
 
 class LineRuns:
@@ -171,22 +178,23 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES
         taken.append(fresh(taken, base))
         return taken[-1]
 
-    row, sha, gone, lines = name("row"), name("sha"), name("gone"), name("lines")
+    row, sha, gone = name("row"), name("sha"), name("gone")
     total, dropped = name("n_lines"), name("n_dropped")
     # Rows with the same doc_id and text lose the same lines, so these two are the key.
     ident = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(row), key_hash(text_or_empty()).alias(sha)]
-    places = (docs.select(*ident, F.posexplode(split_lines()).alias("pos", "line"))
-              .select(row, sha, "pos", line_key(F.col("line")).alias("key")).where(F.col("key") != "")
+    places = (docs.select(*ident, F.posexplode(split_lines(folded())).alias("pos", "line"))
+              .select(row, sha, "pos", trimmed(F.col("line")).alias("key")).where("key <> ''")
               .select(row, sha, "pos", key_hash(F.col("key")).alias("k")))
     losses = matched(places, frequent).groupBy(row, sha).agg(F.collect_set("pos").alias(gone))
-    names = [f"`{c}`" for c in docs.columns]
-    out = (docs.select(*names, *ident, split_lines().alias(lines)).join(losses, [row, sha], "left")
-           .withColumn(total, F.size(lines).cast("long"))
-           .withColumn(dropped, F.coalesce(F.size(F.col(gone)), F.lit(0)).cast("long")))
-    kept = F.array_except(F.sequence(F.lit(0), (F.col(total) - 1).cast("int")), F.col(gone))
-    text = F.when(F.col(dropped) == 0, text_or_empty()).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.get(F.col(lines), i)), "\n"))
-    return out.select(*[text.alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns], total, dropped)
+    out = docs.select("*", *ident).join(losses, [row, sha], "left")
+    lines = split_lines(text_or_empty())
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    # The outer transform binds the lines once.
+    joined = F.transform(F.array(lines), lambda own: F.array_join(F.transform(kept, lambda i: F.get(own, i)), "\n"))
+    text = F.when(F.col(gone).isNull(), text_or_empty()).otherwise(F.get(joined, F.lit(0)))
+    return out.select(*[text.alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns],
+                      F.size(lines).cast("long").alias(total),
+                      F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(dropped))
 
 
 @register("op12_line_dedup", r"""
