@@ -6,8 +6,8 @@ import importlib
 
 from pagelake.llm import common
 
-MODULES = ["archives", "bpe", "exact_dedup", "licenses", "line_dedup", "merkle", "mixing", "ngram_join", "pseudonyms",
-           "quality", "substrings", "toxicity"]
+MODULES = ["archives", "bpe", "exact_dedup", "licenses", "line_dedup", "merkle", "mixing", "ngram_join", "periodic",
+           "pseudonyms", "quality", "substrings", "toxicity"]
 
 for _m in MODULES:
     importlib.import_module(f"pagelake.llm.{_m}")
