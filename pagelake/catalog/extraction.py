@@ -129,28 +129,74 @@ def links_wiki(spark, sf_dir):
         "page_id", F.col("pos").cast("bigint").alias("pos"), "href", "target")
 
 
-_PARSER_ATTR = r"""(?is)[\s<]href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+# The same tokens for DuckDB, whose patterns have no lookaround and never backtrack.
+_ATTR = r"""[^\s/>][^\s/=>]*(?:\s*=+\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)?)?"""
+_ATTRS = rf"(?:[\s/]+|{_ATTR})*"
 
 
-@register("links_parser", f"""
+def _wanted_sql(wanted: str) -> str:
+    """List of what ``wanted`` (with one group) matches outside comments, scripts and other tags."""
+    raw = "|".join(rf"<{n}(?:[\s/]{_ATTRS})?>.*?(?:</{n}[\s/>]|\z)" for n in H.RAW_TEXT)
+    pattern = rf"(?is)<!--.*?(?:--\s*>|\z)|<[!?][^>]*(?:>|\z)|{raw}|{wanted}|</?[a-z][^\s/>]*{_ATTRS}(?:>|\z)"
+    return f"list_filter(regexp_extract_all(html, {q(pattern)}, 1), lambda x: x <> '')"
+
+
+def _tags_sql(name: str, source: str) -> str:
+    return f"""SELECT page_id, url, unnest(l) AS tag, CAST(unnest(range(len(l))) AS BIGINT) AS pos
+  FROM (SELECT page_id, url, {_wanted_sql(rf"(<{name}(?:[\s/]{_ATTRS})?>)")} AS l FROM {source})"""
+
+
+def _decoded_sql(e: str) -> str:
+    for ref, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+        e = f"replace({e}, '{ref}', '{char}')"
+    return e
+
+
+def _attr_sql(tag: str, name: str) -> str:
+    own = (f"list_filter(regexp_extract_all(regexp_replace({tag}, '^<[^\\s/>]+', ''), {q('(?s)' + _ATTR)}, 0), "
+           f"lambda a: regexp_matches(a, {q(rf'(?is)^{name}(?:[=]|[ ]*=|$)')}))[-1]")
+    value = f"regexp_replace({own}, {q(r'(?s)^[^\s=]+(?:\s*=+\s*)?')}, '')"
+    return _decoded_sql(f"regexp_replace({value}, {q(chr(40) + '?s)^[' + chr(34) + chr(39) + '](.*)[' + chr(34) + chr(39) + ']$')}, '\\1')")
+
+
+def _absolute_sql(ref: str) -> str:
+    return f"""CASE WHEN regexp_matches({ref}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {ref}
+         WHEN prefix({ref}, '/') AND NOT prefix({ref}, '//')
+           THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || {ref} END"""
+
+
+def _parser_links_sql(source: str) -> str:
+    return f"""
 SELECT page_id, pos, href, target FROM (
-  SELECT page_id, pos, href,
-    CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href
-         WHEN prefix(href, '/') AND NOT prefix(href, '//')
-           THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || href
-    END AS target
-  FROM (
-    SELECT page_id, url, pos,
-      replace(replace(replace(replace(replace(replace(replace(
-        regexp_extract(tag, {q(_PARSER_ATTR)}, 1) || regexp_extract(tag, {q(_PARSER_ATTR)}, 2)
-          || regexp_extract(tag, {q(_PARSER_ATTR)}, 3),
-        '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '),
-        '&amp;', '&') AS href
-    FROM ({_exploded_sql(H.A_TAG_RE, group=0, name='tag')})
-    WHERE regexp_matches(tag, '(?is)[\\s<]href\\s*='))
+  SELECT page_id, pos, href, {_absolute_sql('href')} AS target
+  FROM (SELECT page_id, url, pos, {_attr_sql('tag', 'href')} AS href FROM ({_tags_sql('a', source)}))
   WHERE href <> '' AND NOT prefix(href, '#') AND NOT prefix(href, 'javascript:'))
 WHERE NOT ({" OR ".join(f"suffix(lower(regexp_extract(target, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1)), {q(e)})" for e in U.NON_PAGE_EXTENSIONS)})
-""")
+"""
+
+
+def _parser_images_sql(source: str) -> str:
+    return f"""
+SELECT page_id, pos, src, alt, {_absolute_sql('src')} AS target
+FROM (SELECT page_id, url, pos, {_attr_sql('tag', 'src')} AS src, coalesce({_attr_sql('tag', 'alt')}, '') AS alt
+      FROM ({_tags_sql('img', source)}))
+WHERE src <> ''
+"""
+
+
+def _title_sql() -> str:
+    """X14: 'No Title' without a title element, null without one text in the first."""
+    first = f"""({_wanted_sql(rf"(<title(?:[\s/]{_ATTRS})?>.*?)(?:</title[\s/>]|\z)")})[1]"""
+    text = f"regexp_replace({first}, {q(rf'(?is)^<title(?:[\s/]{_ATTRS})?>')}, '')"
+    return f"""CASE WHEN {first} IS NULL THEN 'No Title'
+    WHEN {text} <> '' AND NOT regexp_matches({text}, '<[A-Za-z/!?]') THEN {_decoded_sql(text)} END"""
+
+
+_TRICKY_PAGES = (f"(SELECT page_id, url, replace([{', '.join(q(h) for h in X.TRICKY_HEADS)}][page_id % 4 + 1], '%d', page_id::VARCHAR) "
+                 f"|| html || replace({q(X.TRICKY_TAIL)}, '%d', page_id::VARCHAR) AS html FROM pages)")
+
+
+@register("links_parser", _parser_links_sql("pages"))
 def links_parser(spark, sf_dir):
     """X6 + U13 + F6 + F7: parser-style links, RFC-resolved, web pages only.
     (The SQL oracle covers the corpus's root-relative and absolute hrefs.)"""
@@ -158,6 +204,27 @@ def links_parser(spark, sf_dir):
         "page_id", F.col("pos").cast("bigint").alias("pos"), "href", "target")
 
 
+@register("links_structured", _parser_links_sql(_TRICKY_PAGES))
+def links_structured(spark, sf_dir):
+    """X6 over pages with links in comments, scripts and attribute values, custom
+    elements, repeated and bare attributes (derived fixture)."""
+    return X.link_edges(X.derive_tricky_pages(_pages(spark, sf_dir)), "parser").select(
+        "page_id", F.col("pos").cast("bigint").alias("pos"), "href", "target")
+
+
+@register("images_structured", _parser_images_sql(_TRICKY_PAGES))
+def images_structured(spark, sf_dir):
+    """X9 over the same fixture."""
+    return X.image_refs(X.derive_tricky_pages(_pages(spark, sf_dir)), "parser").select(
+        "page_id", F.col("pos").cast("bigint").alias("pos"), "src", "alt", "target")
+
+
+@register("titles_structured", f"SELECT page_id, {_title_sql()} AS title FROM {_TRICKY_PAGES}")
+def titles_structured(spark, sf_dir):
+    """X14 over the same fixture: titles in comments and scripts do not count."""
+    return X.derive_tricky_pages(_pages(spark, sf_dir)).select("page_id", X.parsed_title("html").alias("title"))
+
+
 @register("images_strict", f"""
 SELECT page_id, pos, src, {_resolve_strict_sql('src')} AS target
 FROM ({_exploded_sql(H.IMG_ANY_QUOTE_RE, _IMG_PAGES, name='src')})
@@ -189,24 +256,7 @@ def images_with_alt(spark, sf_dir):
         "page_id", F.col("pos").cast("bigint").alias("pos"), "src", "alt", "target")
 
 
-_SRC_ATTR = _PARSER_ATTR.replace("href", "src")
-
-
-@register("images_parser", f"""
-SELECT page_id, pos, src, alt,
-  CASE WHEN regexp_matches(src, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN src
-       WHEN prefix(src, '/') AND NOT prefix(src, '//')
-         THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || src END AS target
-FROM (
-  SELECT page_id, url, pos,
-    regexp_extract(tag, {q(_SRC_ATTR)}, 1) || regexp_extract(tag, {q(_SRC_ATTR)}, 2)
-      || regexp_extract(tag, {q(_SRC_ATTR)}, 3) AS src,
-    regexp_extract(tag, {q(_ALT_ATTR)}, 1) || regexp_extract(tag, {q(_ALT_ATTR)}, 2)
-      || regexp_extract(tag, {q(_ALT_ATTR)}, 3) AS alt
-  FROM ({_exploded_sql(H.IMG_TAG_RE, _IMG_PAGES, group=0, name='tag')})
-  WHERE regexp_matches(tag, '(?is)[\\s<]src\\s*='))
-WHERE src <> ''
-""")
+@register("images_parser", _parser_images_sql(_IMG_PAGES))
 def images_parser(spark, sf_dir):
     """Any attribute order, RFC resolution, alt default ""."""
     pages = X.derive_image_pages(_pages(spark, sf_dir))
@@ -216,7 +266,6 @@ def images_parser(spark, sf_dir):
 
 _T = q(H.TITLE_RE)
 _TI = q(H.TITLE_ICASE_RE)
-_TD = q(r"(?is)<title\b[^>]*>([^<]+)</title>")
 
 
 @register("page_titles", f"""
@@ -225,11 +274,7 @@ SELECT page_id,
   CASE WHEN regexp_matches(html, {_T}) THEN regexp_extract(html, {_T}, 1) ELSE 'Untitled' END AS title_basic,
   CASE WHEN regexp_matches(html, {_TI}) THEN regexp_extract(html, {_TI}, 1) ELSE 'No Title' END AS title_icase,
   CASE WHEN regexp_matches(html, {_T}) THEN regexp_extract(html, {_T}, 1) ELSE '' END AS title_plain,
-  CASE WHEN regexp_matches(html, {_TD}) THEN
-    replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, {_TD}, 1),
-      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '),
-      '&amp;', '&')
-  ELSE 'No Title' END AS title_decoded,
+  {_title_sql()} AS title_decoded,
   'Page ' || url AS title_placeholder,
   regexp_matches(html, {_TI}) AND regexp_extract(html, {_TI}, 1) = '' AS title_empty
 FROM pages

@@ -22,8 +22,6 @@ IMG_WITH_ALT_RE = (r"""<img\s+[^>]*src=["']([^"']+)["'][^>]*"""
                    r"""(?:alt=["']([^"']*)["'])?[^>]*>""")               # X8
 TITLE_RE = r"<title>([^<]+)</title>"                                      # X10, X11, X13
 TITLE_ICASE_RE = r"(?i)<title>([^<]*)</title>"                            # X12
-A_TAG_RE = r"(?is)<a\b[^>]*>"                                             # X6 tag scan
-IMG_TAG_RE = r"(?is)<img\b[^>]*>"                                         # X9 tag scan
 CANONICAL_TAG_RE = r"""(?i)<link\b[^>]*\brel=["']?canonical["']?[^>]*>"""  # F22
 # ---------------------------------------------------------------------------
 
@@ -42,8 +40,52 @@ def attr(tag, name: str) -> Column:
                     F.regexp_extract(t, pat, 3))
 
 
-def has_attr(tag, name: str) -> Column:
-    return _c(tag).rlike(r"(?is)[\s<]" + name + r"\s*=")
+# One attribute: a name, perhaps with a value that is quoted or bare.  A quote that
+# never closes begins no value, so the tag still ends at its ">".
+_ATTR = r"""[^\s/>][^\s/=>]*+(?:\s*+=++\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+))?+"""
+_ATTRS = rf"(?:[\s/]++|{_ATTR})*+"
+_NAME_END = r"(?=[\s/>])"
+RAW_TEXT = ("script", "style")
+
+
+def token_pattern(wanted: str) -> str:
+    """Pattern of the tokens of a page, for one scan from left to right; group 1
+    is what ``wanted`` matches where a tag may begin.
+
+    Comments, declarations, script and style elements, and all other tags are
+    tokens too, so nothing inside them is taken for a tag: neither a link in a
+    comment or in a script's string, nor a ">" in a quoted value.  An unclosed comment,
+    script or tag reaches to the end of the page.  Every repetition is possessive
+    or lazy over single characters: no backtracking, no recursion, linear time."""
+    raw = "|".join(rf"<{n}{_NAME_END}{_ATTRS}(?<!/)>.*?(?:</{n}{_NAME_END}|\z)" for n in RAW_TEXT)
+    return (rf"(?is)<!--.*?(?:--\s*+>|\z)|<[!?][^>]*+(?:>|\z)|{raw}|({wanted})"
+            rf"|</?[a-z][^\s/>]*+{_ATTRS}(?:>|\z)")
+
+
+def _wanted(html, pattern: str) -> Column:
+    return F.filter(F.regexp_extract_all(_c(html), F.lit(token_pattern(pattern)), F.lit(1)), lambda t: t != "")
+
+
+def tags(html, name: str) -> Column:
+    """Start tags of elements ``name`` of a page, as written, in document order."""
+    return _wanted(html, rf"<{name}{_NAME_END}{_ATTRS}>")
+
+
+def tag_attr(tag, name: str) -> Column:
+    """Attribute ``name`` of a start tag, character references decoded: "" without
+    a value, null if absent; of repeated attributes the last one counts."""
+    body = F.regexp_replace(_c(tag), r"^<[^\s/>]++", "")
+    own = F.filter(F.regexp_extract_all(body, F.lit(f"(?s){_ATTR}"), F.lit(0)), lambda a: a.rlike(rf"(?is)^{name}(?:\s*=|\z)"))
+    value = F.regexp_replace(F.try_element_at(own, F.lit(-1)), r"(?s)^[^\s=]++(?:\s*+=++\s*+)?+", "")
+    return decode_entities(F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2"))
+
+
+def element_text(html, name: str) -> Column:
+    """Raw texts of the elements ``name`` of a page, from the start tag to the next
+    end tag of that name or the end of the page."""
+    start = rf"<{name}{_NAME_END}{_ATTRS}>"
+    return F.transform(_wanted(html, rf"{start}.*?(?=</{name}{_NAME_END}|\z)"),
+                       lambda t: F.regexp_replace(t, rf"(?is)^{start}", ""))
 
 
 ENTITY_RE = r"&(?:#[0-9]{1,9};?|#[xX][0-9a-fA-F]{1,8};?|[A-Za-z][A-Za-z0-9]*;?)"

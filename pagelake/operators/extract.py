@@ -35,7 +35,8 @@ def link_edges(pages: DataFrame, variant: str = "strict", keep: tuple[str, ...]
       valid (U16) and not an excluded extension (F5), so relative links vanish.
     * wiki (X5): ``/wiki/`` paths without ``#``/``:``, prefixed with the wiki
       origin, distinct per page in first-occurrence order.
-    * parser (X6): every ``<a>`` tag with an href in any attribute order and
+    * parser (X6): every ``<a>`` element that a parser sees (none in comments,
+      scripts, styles or attribute values) with an href in any attribute order and
       quote style, entities decoded, ``#``/``javascript:`` skipped (F7),
       RFC 3986 resolution (U13), web pages only (F6).
     """
@@ -62,12 +63,9 @@ def link_edges(pages: DataFrame, variant: str = "strict", keep: tuple[str, ...]
         return (pages.select(*keep, F.posexplode(paths).alias("pos", "href"))
                 .withColumn("target", F.concat(F.lit(H.WIKI_ORIGIN), F.col("href"))))
     if variant == "parser":
-        tags = pages.select(*keep, F.posexplode(F.regexp_extract_all(F.col("html"), F.lit(H.A_TAG_RE), 0))
-                            .alias("pos", "tag"))
-        e = (tags.where(H.has_attr(F.col("tag"), "href"))
-             .withColumn("href", H.decode_entities(H.attr(F.col("tag"), "href")))
-             .where((F.col("href") != "") & U.is_followable_href(F.col("href")))
-             .drop("tag"))
+        e = (pages.select(*keep, F.posexplode(H.tags("html", "a")).alias("pos", "tag"))
+             .withColumn("href", H.tag_attr("tag", "href")).drop("tag")
+             .where((F.col("href") != "") & U.is_followable_href(F.col("href"))))
         return with_urljoin(e, "url", "href", "target").where(U.is_webpage_url(F.col("target")))
     raise ValueError(f"unknown link variant {variant!r}; choose from {LINK_VARIANTS}")
 
@@ -81,7 +79,8 @@ def image_refs(pages: DataFrame, variant: str = "strict", compat: bool = False,
       (U16) only.  The source pattern's greedy ``[^>]*`` before its optional
       alt group means alt is always ""; ``compat=True`` reproduces that,
       the default reads the real ``alt`` attribute of the matched tag.
-    * parser (X9): any attribute order, RFC 3986 resolution, alt default "".
+    * parser (X9): every ``<img>`` element that a parser sees, any attribute order,
+      RFC 3986 resolution, alt default "".
     """
     keep = list(keep)
     base = F.col("url")
@@ -97,17 +96,24 @@ def image_refs(pages: DataFrame, variant: str = "strict", compat: bool = False,
         e = e.withColumn("target", U.normalize_fragment_slash(F.col("src")))
         return e.where((F.col("target") != "") & U.pattern_valid(F.col("target")))
     if variant == "parser":
-        tags = pages.select(*keep, F.posexplode(F.regexp_extract_all(F.col("html"), F.lit(H.IMG_TAG_RE), 0))
-                            .alias("pos", "tag"))
-        e = (tags.where(H.has_attr(F.col("tag"), "src"))
-             .withColumn("src", H.decode_entities(H.attr(F.col("tag"), "src")))
+        e = (pages.select(*keep, F.posexplode(H.tags("html", "img")).alias("pos", "tag"))
+             .withColumn("src", H.tag_attr("tag", "src"))
              .where(F.col("src") != "")
-             .withColumn("alt", H.decode_entities(H.attr(F.col("tag"), "alt")))
+             .withColumn("alt", F.coalesce(H.tag_attr("tag", "alt"), F.lit("")))
              .drop("tag"))
         return with_urljoin(e, "url", "src", "target")
     raise ValueError(f"unknown image variant {variant!r}")
 
 
+def parsed_title(html) -> F.Column:
+    """Decoded text of the first title element that a parser sees; "No Title"
+    without one, null where it holds no text or more than one text."""
+    texts = H.element_text(html, "title")
+    first = F.try_element_at(texts, F.lit(1))
+    return (F.when(F.size(texts) == 0, F.lit("No Title"))
+            .when((first != "") & ~first.rlike("<[A-Za-z/!?]"), H.decode_entities(first)))
+
+
 def page_titles(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """X10-X15 title variants side by side."""
     h = F.col("html")
@@ -118,9 +124,7 @@ def page_titles(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) ->
         H.first_title(h, H.TITLE_RE, "Untitled").alias("title_basic"),      # X11
         H.first_title(h, H.TITLE_ICASE_RE, "No Title").alias("title_icase"),  # X12
         H.first_title(h, H.TITLE_RE, "").alias("title_plain"),              # X13
-        F.when(h.rlike(r"(?is)<title\b[^>]*>[^<]+</title>"),
-               H.decode_entities(F.regexp_extract(h, r"(?is)<title\b[^>]*>([^<]+)</title>", 1)))
-         .otherwise(F.lit("No Title")).alias("title_decoded"),              # X14
+        parsed_title(h).alias("title_decoded"),                             # X14
         F.concat(F.lit("Page "), F.col("url")).alias("title_placeholder"),  # X15
         (h.rlike(H.TITLE_ICASE_RE) & (first_icase == "")).alias("title_empty"),
     )
@@ -155,3 +159,19 @@ def derive_image_pages(pages: DataFrame, origin: str = "", tag: str = "img") ->
     attr = "src" if tag == "img" else "href"
     return pages.withColumn("html", F.regexp_replace(
         "html", r'<a href="([^"]*)">', f'<{tag} {attr}="{origin}$1.png" alt="$1">'))
+
+
+#: Markup in which a bare tag pattern goes wrong, with the page's id for ``%d``.
+TRICKY_HEADS = ['<!-- <title>hidden</title> -->', '<script>var t = "<title>s</title>";</script>',
+                '<title lang="a>b">First &amp; %d</title>', '<title></title>']
+TRICKY_TAIL = """<!-- <a href="/c%d"> <img src="/c%d.png"> --><script>var s = '<a href="/s%d"><img src="/s%d.png">';</script>
+<style>a > b {}</style><a-x href="/x%d"><img-x src="/x%d.png"><a title="a>b" href="/ok%d"><img alt="a>b &lt;" src="/ok%d.png">
+<A class=k HREF='/up%d'><a href="/one" href="/last%d"><a data-href="/d%d"><IMG SRC=/bare%d.png></A><a href="/cut%d" """
+
+
+def derive_tricky_pages(pages: DataFrame) -> DataFrame:
+    """Derived fixture: every page gets a head and a tail with comments, scripts,
+    custom elements, quoted ``>``, repeated and bare attributes, a cut tag."""
+    pid = F.col("page_id").cast("string")
+    head = F.element_at(F.array(*[F.lit(h) for h in TRICKY_HEADS]), (F.pmod("page_id", F.lit(4)) + 1).cast("int"))
+    return pages.withColumn("html", F.concat(F.replace(head, F.lit("%d"), pid), "html", F.replace(F.lit(TRICKY_TAIL), F.lit("%d"), pid)))
