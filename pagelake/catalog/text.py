@@ -9,8 +9,9 @@ from pagelake.catalog._sql import crawled_pages as CP
 from pagelake.functions import text as TX
 from pagelake.functions.html import TITLE_RE
 from pagelake.operators import features as FE
+from pagelake.operators.page_index import PageIndex
 from pagelake.plans import fixtures as FX
-from pagelake.session import table
+from pagelake.session import scratch_path, table
 
 from pagelake.catalog._sql import pre_sql
 
@@ -294,6 +295,14 @@ def page_metadata(spark, sf_dir):
     return m.select("page_id", F.size("meta").cast("bigint").alias("n_meta"), first.alias("first_meta"), "html_lang", "charset")
 
 
+def _index(spark, pages) -> PageIndex:
+    """Index of all pages, ingested in two batches."""
+    index = PageIndex(spark, scratch_path(spark, "page-index"))
+    for part in (0, 1):
+        index.add(pages.where(F.pmod("page_id", F.lit(2)) == part).select("url", "html"))
+    return index
+
+
 @register("content_search", """
 SELECT DISTINCT t.query_id, p.url FROM pages p, (
   SELECT 't' || CAST(page_id AS VARCHAR) AS query_id, regexp_extract(html, '<title>([^<]+)</title>', 1) AS q FROM pages
@@ -308,7 +317,7 @@ def content_search(spark, sf_dir):
                       F.regexp_extract("html", TITLE_RE, 1).alias("q"))
     qs = qs.unionByName(table(spark, sf_dir, "benchmark").select(
         F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("query_id"), F.col("text").alias("q")))
-    return FE.search_pages(pages, qs)
+    return _index(spark, pages).search(qs)
 
 
 @register("word_search", """
@@ -320,7 +329,7 @@ def word_search(spark, sf_dir):
     """F20 for single words: pages that hold each word of the benchmark texts."""
     pages = table(spark, sf_dir, "pages")
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", r"[ \t\n\x0B\f\r]+")).alias("q")).where("q <> ''").distinct()
-    hits = FE.search_pages(pages, words.select(F.col("q").alias("query_id"), "q"))
+    hits = _index(spark, pages).search(words.select(F.col("q").alias("query_id"), "q"))
     return hits.groupBy(F.col("query_id").alias("word")).agg(F.count("*").alias("pages"), F.min("url").alias("first_url"))
 
 

@@ -103,3 +103,28 @@ def format_g(x) -> Column:
 def epoch_to_text(epoch) -> Column:
     """Epoch seconds -> ``%Y-%m-%d %H:%M:%S`` (session time zone UTC)."""
     return F.date_format(F.timestamp_seconds(_c(epoch)), "yyyy-MM-dd HH:mm:ss")
+
+
+GRAM = 3
+
+
+def qgrams(text, sizes=range(1, GRAM + 1)) -> Column:
+    """Distinct hashes of the ``sizes``-character substrings of a text.  The text is
+    cut into characters once, so the time is linear in its length."""
+    from pagelake.functions.rfc import let
+
+    def of(chars, k):
+        starts = F.slice(chars, F.lit(1), F.greatest(F.size(chars) - (k - 1), F.lit(0)))
+        return F.transform(starts, lambda a, i: F.xxhash64(a, *[F.get(chars, i + j) for j in range(1, k)]))
+
+    return F.array_distinct(let(F.split(_c(text), ""), lambda chars: F.concat(*[of(chars, k) for k in sizes])))
+
+
+def word_grams(word) -> Column:
+    """The q-grams that a text must have to hold ``word``: those of ``GRAM``
+    characters, or the word itself if it is shorter."""
+    w = _c(word)
+    short = F.lit(None).cast("array<long>")
+    for k in range(1, GRAM):
+        short = F.when(F.length(w) == k, qgrams(w, [k])).otherwise(short)
+    return F.when(F.length(w) >= GRAM, qgrams(w, [GRAM])).otherwise(short)

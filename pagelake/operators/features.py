@@ -12,33 +12,21 @@ from pagelake.session import bounded_broadcast, cut_lineage
 def contained(tokens_: DataFrame, words: DataFrame) -> DataFrame:
     """(token, w): the words ``w`` that stand inside each token.
 
-    The distinct tokens are cut into their substrings of the lengths that
-    occur among the words (one number per different length goes through the
-    driver), which equi-join the words: no pair of token and word is formed
-    that does not match."""
-    words = words.select("w").where(F.length("w") > 0).distinct()
-    lengths = sorted(r.n for r in words.select(F.length("w").alias("n")).distinct().collect())
-    sizes = "array(" + ", ".join(map(str, lengths or [0])) + ")"
-    pieces = F.expr(f"""array_distinct(flatten(transform(filter({sizes}, n -> n > 0 AND n <= length(token)),
-        n -> transform(sequence(1, length(token) - n + 1), i -> substring(token, i, n)))))""")
-    cut = tokens_.select("token").distinct().select("token", F.explode(pieces).alias("w"))
-    return cut.join(bounded_broadcast(words), "w")
-
-
-def search_pages(pages: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, url) for every page whose text holds the whole query
-    string, case-sensitively.  Each query's longest word finds the candidate
-    pages by ``contained``; the text is then searched for the whole query.
-    Queries without a word match nothing."""
-    space = r"[ \t\n\x0B\f\r]+"
-    qs = (queries.select("query_id", "q", F.filter(F.split("q", space), lambda w: w != "").alias("ws"))
-          .where(F.size("ws") > 0)
-          .select("query_id", "q", F.array_max(F.transform("ws", lambda w: F.struct(F.length(w), w.alias("w"))))["w"].alias("w")))
-    tok = pages.select("url", F.explode(F.array_distinct(F.split("html", space))).alias("token"))
-    hits = tok.join(contained(tok, qs), "token").select("url", "w").distinct()
-    pairs = hits.join(bounded_broadcast(qs), "w").select("query_id", "q", "url")
-    return (pairs.join(pages.select("url", "html"), "url").where(F.contains("html", F.col("q")))
-            .select("query_id", "url").distinct())
+    The distinct tokens are cut into q-grams, in time linear in their length;
+    those that occur among the words are kept.  Each word looks up its rarest
+    q-gram, and the tokens found there are searched for the word.  No pair of
+    token and word is formed that does not share that q-gram."""
+    ws = cut_lineage(words.select("w").where(F.length("w") > 0).distinct())
+    of_word = ws.select("w", F.explode(TX.word_grams("w")).alias("g"))
+    wanted = bounded_broadcast(of_word.select("g").distinct())
+    held = cut_lineage(tokens_.select("token").distinct().select("token", F.explode(TX.qgrams("token")).alias("g"))
+                       .join(wanted, "g", "left_semi"))
+    df = held.groupBy("g").agg(F.count("*").alias("n"))
+    # A q-gram that no token has rules its words out.
+    least = (of_word.join(df, "g", "left").groupBy("w")
+             .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("rarest")).where("rarest.n > 0"))
+    keyed = cut_lineage(least.select("w", F.col("rarest.g").alias("g")))
+    return held.join(bounded_broadcast(keyed), "g").where(F.contains("token", F.col("w"))).select("w", "token")
 
 
 def relevance_top_k(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -53,7 +41,8 @@ def relevance_top_k(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFram
     qw = (queries.select(F.col("query_id"), F.explode(TX.words(TX.preprocess(F.col("text")))).alias("w"))
           .groupBy("query_id", "w").agg(F.count("*").alias("mult")))
     tok = docs.select("doc_id", F.explode(F.array_distinct(TX.words(TX.preprocess(F.col("text"))))).alias("token"))
-    hits = tok.join(bounded_broadcast(contained(tok, qw)), "token").select("doc_id", "w").distinct()
+    inside = cut_lineage(contained(tok, qw))  # found once, then probed for its size and joined
+    hits = tok.join(bounded_broadcast(inside), "token").select("doc_id", "w").distinct()
     rel = (hits.join(bounded_broadcast(qw), "w")
            .groupBy("query_id", "doc_id").agg(F.sum("mult").alias("hits"))
            .withColumn("relevance", TX.relevance_from_hits(F.col("hits"))))
