@@ -12,7 +12,8 @@ convolution, taken as a number-theoretic transform modulo ``PRIME``.  The
 arithmetic is exact: a true occurrence gives zero, and a sum that is zero only
 modulo the prime is refused when its distance seeds an extension, which compares
 words.  Distances are extended in both directions to the maximal stretch.
-Scales ascend, so a block whose occurrence lies in a run of a smaller period is
+A block with a word that does not come again within its window cannot occur there
+and is not transformed.  Scales ascend, so a block whose occurrence lies in a run of a smaller period is
 a multiple of that period and is left out.
 
 Documents are rows: Spark deals them to tasks and nothing is shuffled.  In a
@@ -46,8 +47,8 @@ MIN_PERIODS = 4
 #: 15 * 2^27 + 1: transforms of up to 2^27 numbers, products below 2^62.
 PRIME, ROOT = 2013265921, 31
 #: Numbers transformed at a time, and bytes of text laid end to end.
-SLAB = 1 << 19
-RUN_BYTES = 1 << 21
+SLAB = 1 << 16
+RUN_BYTES = 1 << 20
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -107,9 +108,10 @@ def _backward(x: np.ndarray) -> np.ndarray:
 
 
 def occurrences(x: np.ndarray, starts: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, distance) of the blocks of ``x`` at ``starts`` and their places in
-    the windows at distances block to 2 * block - 1.  ``x`` must go on for three
-    blocks from each start; distances may be false where words differ."""
+    """(start, distance) of the blocks of ``x`` at ``starts`` (ascending multiples of
+    the block) and their places in the windows at distances block to 2 * block - 1.
+    ``x`` must go on for three blocks from each start; distances may be false where
+    words differ."""
     size = 2 * block
     scale = pow(size, PRIME - 2, PRIME)
     mirror = _mirror(size)
@@ -119,12 +121,17 @@ def occurrences(x: np.ndarray, starts: np.ndarray, block: int) -> tuple[np.ndarr
     for lo in range(0, len(starts), step):
         own = starts[lo:lo + step]
         # The window is two blocks; each block is transformed once, padded with zeros.
-        at = np.unique(np.concatenate([own, own + block, own + 2 * block]))
+        number = (own - own[0]) // block
+        needed = np.zeros(number[-1] + 3, bool)
+        for m in range(3):
+            needed[number + m] = True
+        at = own[0] + np.flatnonzero(needed) * block
         padded = np.zeros((size, len(at)), np.int64)
         padded[:block] = x[at[None, :] + np.arange(block)[:, None]]
         squares = (padded[:block] * padded[:block] % PRIME)
         freq = _forward(padded)
-        i, j, k = (np.searchsorted(at, own + m * block) for m in range(3))
+        place = np.cumsum(needed) - 1
+        i, j, k = (place[number + m] for m in range(3))
         window = (freq[:, j] + sign * freq[:, k]) % PRIME
         corr = _backward(freq[mirror][:, i] * window % PRIME)[:block]
         corr = corr * scale % PRIME
@@ -181,10 +188,16 @@ def runs(x: np.ndarray, first: np.ndarray, end: np.ndarray) -> list[tuple[int, i
     document of each place, and places between documents hold numbers of their own."""
     out: list[tuple[int, int, int]] = []
     longest = int((end - first).max()) if len(x) else 0
+    # Distance of each word to its next occurrence, and the largest one of a block.
+    order = np.argsort(x, kind="stable")
+    again = np.full(len(x), len(x), np.int64)
+    same = x[order[1:]] == x[order[:-1]]
+    again[order[:-1][same]] = (order[1:] - order[:-1])[same]
     block = 1
     while MIN_PERIODS * block <= longest:
         starts = np.arange(0, len(x) - 3 * block + 1, block)
-        starts = starts[starts + 3 * block <= end[starts]]
+        # A block with a word that does not come again in its window is not in the window.
+        starts = starts[(starts + 3 * block <= end[starts]) & (again[:len(starts)] < 2 * block)]
         if out and len(starts):
             # Furthest end of a run known so far among those that begin at or before a place.
             known = np.array(sorted((s, s + n) for s, n, _ in out), np.int64)
@@ -212,6 +225,7 @@ def runs(x: np.ndarray, first: np.ndarray, end: np.ndarray) -> list[tuple[int, i
                     out.append((left, right + q - left, q))
                 i = max(i + 1, int(np.searchsorted(own, right)))  # the others up to there seed the same stretch
         block *= 2
+        again = np.maximum(again, np.append(again[1:], len(x)))[::2] if len(again) > 1 else again
     return sorted(out, key=lambda r: (r[0], r[2]))
 
 
@@ -281,7 +295,9 @@ def _hash_words(words, places: np.ndarray) -> str:
     h = hashlib.sha256()
     for lo in range(0, len(places), 1 << 16):
         part = words.take(pa.array(places[lo:lo + (1 << 16)]))
-        h.update((b" " if lo else b"") + b" ".join(part.to_pylist()))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), pa.scalar(b" ", pa.large_binary()))
+        h.update(b" " if lo else b"")
+        h.update(joined[0].as_buffer())
     return h.hexdigest()
 
 
