@@ -9,12 +9,13 @@ from pagelake.catalog._sql import crawled_pages as CP
 from pagelake.catalog._sql import discovered_images as DI
 from pagelake.catalog._sql import pre_sql, q, search_domain
 from pagelake.catalog._sql import url_log as UL
-from pagelake.catalog.extraction import _resolve_strict_sql
+from pagelake.catalog.extraction import _KEY_SQL, _resolve_strict_sql
 from pagelake.functions.html import LINK_ANY_QUOTE_RE
 from pagelake.functions.text import SPAM_TERMS
 from pagelake.functions import urls as U
 from pagelake.operators import tables as T
-from pagelake.operators.extract import link_edges, page_titles
+from pagelake.operators import visited as V
+from pagelake.operators.extract import link_edges, page_records, page_titles
 from pagelake.plans import fixtures as FX
 from pagelake.session import table
 
@@ -124,10 +125,50 @@ def mark_visited_urls(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     urls = (FX.url_log(spark, sf_dir).select("url").union(pages.select("url")).distinct()
             .withColumn("visited", F.lit(False)))
-    updated, _unmatched = T.mark_visited(urls, pages.select("url"))
+    updated, _ = T.mark_visited(urls, pages.select("url"))
     return updated.select("url", "visited")
 
 
+@register("mark_visited_outcomes", f"""
+WITH known AS (SELECT DISTINCT target AS url FROM {_RESOLVED_LINKS} UNION SELECT url FROM pages WHERE page_id % 2 = 0),
+done AS (SELECT url FROM pages UNION SELECT url FROM {UL()})
+SELECT url, CASE WHEN url IN (SELECT url FROM done) THEN 'marked' ELSE 'untouched' END AS outcome FROM known
+UNION ALL SELECT url, 'unmatched' FROM done WHERE url NOT IN (SELECT url FROM known)
+""")
+def mark_visited_outcomes(spark, sf_dir):
+    """J3 in full: what marking did to each row of a URL table (link targets and
+    half of the pages), and the finished URLs that the table does not have."""
+    pages = table(spark, sf_dir, "pages")
+    known = (link_edges(pages, "strict").select(F.col("target").alias("url"))
+             .unionByName(pages.where("page_id % 2 = 0").select("url")).distinct().withColumn("visited", F.lit(False)))
+    done = pages.select("url").unionByName(FX.url_log(spark, sf_dir).select("url"))
+    updated, unmatched = T.mark_visited(known, done)
+    return (updated.select("url", F.when(F.col("visited"), "marked").otherwise("untouched").alias("outcome"))
+            .unionByName(unmatched.select("url", F.lit("unmatched").alias("outcome"))))
+
+
+@register("url_lookups", f"""
+WITH asked AS (SELECT DISTINCT url FROM (SELECT url FROM {UL()} UNION ALL SELECT url FROM pages UNION ALL SELECT image_url FROM {DI()})),
+page AS (SELECT url, min({_KEY_SQL}) AS path FROM pages GROUP BY url),
+image AS (SELECT image_url AS url, min('images/' || md5(image_url) || '.' || image_type) AS path FROM {DI()} GROUP BY image_url)
+SELECT a.url, coalesce(p.path, '') AS path, coalesce(i.path, '') AS image_path, p.url IS NOT NULL AS visited
+FROM asked a LEFT JOIN page p USING (url) LEFT JOIN image i USING (url)
+""")
+def url_lookups(spark, sf_dir):
+    """Page path, image path and visited flag of every URL mentioned, with the
+    defaults "" and false for unknown ones."""
+    pages = table(spark, sf_dir, "pages")
+    images = FX.discovered_images(spark, sf_dir)
+    asked = (FX.url_log(spark, sf_dir).select("url").unionByName(pages.select("url"))
+             .unionByName(images.select(F.col("image_url").alias("url"))).distinct())
+    paths = page_records(pages).groupBy("url").agg(F.min("file_path").alias("path"))
+    stored = F.concat(F.lit("images/"), F.md5("image_url"), F.lit("."), "image_type")
+    image_paths = images.select(F.col("image_url").alias("url"), stored.alias("image_path")).groupBy("url").agg(F.min("image_path").alias("image_path"))
+    out = T.lookup(asked, paths, "url", "path", "")
+    out = T.lookup(out, image_paths, "url", "image_path", "")
+    return T.lookup(out, pages.select("url").distinct().withColumn("visited", F.lit(True)), "url", "visited", False)
+
+
 @register("unvisited_first100", f"""
 SELECT url FROM (SELECT DISTINCT url FROM {UL()}) WHERE url NOT IN (SELECT url FROM pages)
 ORDER BY url LIMIT 100
@@ -139,6 +180,60 @@ def unvisited_first100(spark, sf_dir):
     return pending.orderBy("url").limit(100)
 
 
+_SEEN = f"(SELECT url FROM pages UNION SELECT image_url FROM {DI()})"
+_ASKED = f"(SELECT target AS url FROM {_RESOLVED_LINKS} UNION SELECT url FROM {UL()} UNION SELECT url FROM pages)"
+
+
+def _asked_and_seen(spark, sf_dir):
+    """URLs that a crawl asks for, and the two sets it has: pages and images."""
+    pages = table(spark, sf_dir, "pages")
+    images = FX.discovered_images(spark, sf_dir).select(F.col("image_url").alias("url"))
+    links = link_edges(pages, "strict").select(F.col("target").alias("url"))
+    asked = links.unionByName(FX.url_log(spark, sf_dir).select("url")).unionByName(pages.select("url")).distinct()
+    return asked, pages.select("url").distinct(), images.distinct()
+
+
+def _both(pages, images):
+    """Filter of both sets, merged from one of each; the size follows the total."""
+    n = V.buckets_for(pages.count() + images.count())
+    return V.VisitedFilter.of(pages, "url", n).merge(V.VisitedFilter.of(images, "url", n))
+
+
+@register("unvisited_links", f"SELECT url FROM {_ASKED} WHERE url NOT IN (SELECT url FROM {_SEEN})")
+def unvisited_links(spark, sf_dir):
+    """URLs asked for and neither a page nor an image yet; the merged
+    visited filter spares new URLs the anti-join."""
+    asked, pages, images = _asked_and_seen(spark, sf_dir)
+    return V.new_keys(asked, pages.unionByName(images), "url", _both(pages, images))
+
+
+def _hex_number(e: str, start: int, digits: int) -> str:
+    return f"CAST('0x' || substring(md5({e}), {start}, {digits}) AS BIGINT)"
+
+
+_PLACES = ", ".join(f"{_hex_number('url', 9 + 4 * i, 4)} % {V.BUCKET_BITS}" for i in range(V.BITS))
+
+
+@register("visited_filter_report", f"""
+WITH seen AS {_SEEN}, asked AS {_ASKED},
+size AS (SELECT CAST(pow(2, greatest(0, ceil(log2(n * {V.BITS_PER_KEY} / {V.BUCKET_BITS})))) AS BIGINT) AS buckets
+         FROM (SELECT (SELECT count(DISTINCT url) FROM pages) + (SELECT count(DISTINCT image_url) FROM {DI()}) AS n)),
+bits AS (SELECT DISTINCT {_hex_number('url', 1, 8)} % buckets AS bucket, unnest([{_PLACES}]) AS place FROM seen, size),
+found AS (SELECT url, count(bits.place) = {V.BITS} AS maybe FROM (
+            SELECT url, {_hex_number('url', 1, 8)} % buckets AS bucket, unnest([{_PLACES}]) AS place FROM asked, size) a
+          LEFT JOIN bits USING (bucket, place) GROUP BY url)
+SELECT count(*) AS n_keys, count(*) FILTER (NOT maybe) AS n_passed, count(*) FILTER (maybe) AS n_checked,
+       count(*) FILTER (maybe AND url NOT IN (SELECT url FROM seen)) AS n_false,
+       count(*) FILTER (NOT maybe AND url IN (SELECT url FROM seen)) AS n_missed
+FROM found
+""")
+def visited_filter_report(spark, sf_dir):
+    """What the merged filter saves: keys passed without a join, keys sent on, false
+    positives (counted exactly; missed keys are always 0)."""
+    asked, pages, images = _asked_and_seen(spark, sf_dir)
+    return V.filter_report(asked, pages.unionByName(images), "url", _both(pages, images))
+
+
 @register("failed_fetches", f"""
 SELECT count(*) AS failed, count(DISTINCT url) AS failed_urls
 FROM {UL()} WHERE url NOT IN (SELECT url FROM pages)
