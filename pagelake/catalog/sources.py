@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from pagelake.catalog import register
 from pagelake.catalog._sql import crawled_pages as CP
 from pagelake.catalog._sql import discovered_images as DI
+from pagelake.catalog._sql import url_log as UL
 from pagelake.catalog.extraction import _KEY_SQL
 from pagelake.functions import http as HT
 from pagelake.functions import urls as U
+from pagelake.operators.limits import retention
+from pagelake.operators.page_index import PageIndex
 from pagelake.plans import fixtures as FX
 from pagelake.session import scratch_path, table
 from pagelake.sources import config as CFG
@@ -135,47 +138,20 @@ def page_table_shapes(spark, sf_dir):
     return out.select("shape", "id", "url", "title", F.md5("content").alias("content_md5"), "depth", "visited")
 
 
-@register("content_by_url", """
+@register("content_by_url", f"""
 SELECT w.url, md5(p.html) AS content_md5, CAST(strlen(p.html) AS BIGINT) AS bytes
-FROM (SELECT DISTINCT url FROM pages WHERE page_id % 3 = 0) w JOIN pages p USING (url)
+FROM (SELECT url FROM {UL()} UNION SELECT url FROM pages UNION SELECT image_url FROM {DI()}) w JOIN pages p USING (url)
 """)
 def content_by_url(spark, sf_dir):
-    """Stored content of the wanted URLs; unknown URLs have no row."""
+    """Stored content of every URL that the crawl tables mention (requests,
+    pages, images), loaded from the page index; unknown URLs have no row."""
     pages = table(spark, sf_dir, "pages")
-    wanted = (pages.where(F.col("page_id") % 3 == 0).select("url")
-              .union(FX.url_log(spark, sf_dir).select("url"))).distinct()
-    return (pages.join(wanted, "url", "left_semi")
-            .select("url", F.md5("html").alias("content_md5"), F.octet_length("html").cast("bigint").alias("bytes")))
-
-
-_TYPES = ["text/html", "text/html; charset=utf-8", "application/pdf", "image/png", "application/json", "application/xml", ""]
-_STATUS = [200, 404, 200, 500, 200]
-
-
-@register("fetch_log_flags", f"""
-WITH f AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN url || '.png' ELSE url END AS url,
-    [{", ".join(map(str, _STATUS))}][page_id % 5 + 1] AS status,
-    [{", ".join(f"'{t}'" for t in _TYPES)}][page_id % 7 + 1] AS content_type, page_id % 3 <> 0 AS robots FROM pages),
-g AS (SELECT *, NOT (contains(content_type, 'text/') OR contains(content_type, 'application/json')
-                     OR contains(content_type, 'application/xml')) AS is_binary FROM f)
-SELECT page_id, status = 200 AS ok, content_type, contains(content_type, 'text/html') OR page_id % 4 = 0 AS accepted,
-  content_type IN ({", ".join(f"'{t}'" for t in HT.SUPPORTED_CONTENT_TYPES)}) AS supported, is_binary, NOT is_binary AND robots AS follow
-FROM g
-""")
-def fetch_log_flags(spark, sf_dir):
-    """F8-F13 over a fetch log derived from the pages: status, raw response
-    headers and the verdict of the robots rules."""
-    at = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("page_id") % n + 1).cast("int"))
-    kind = at(_TYPES, 7)
-    log = table(spark, sf_dir, "pages").select(
-        "page_id", F.when(F.col("page_id") % 4 == 0, F.concat("url", F.lit(".png"))).otherwise(F.col("url")).alias("url"),
-        at(_STATUS, 5).alias("status"), (F.col("page_id") % 3 != 0).alias("robots"),
-        F.concat(F.lit("HTTP/1.1 200 OK\r\nServer: x\r\n"), F.when(kind != "", F.concat(F.lit("Content-Type: "), kind, F.lit("\r\n")))
-                 .otherwise("")).alias("headers"))
-    log = log.withColumn("content_type", HT.header_content_type("headers"))
-    return log.select("page_id", HT.is_ok_status("status").alias("ok"), "content_type",
-                      HT.accepts_body("url", "content_type").alias("accepted"), HT.is_supported_type("content_type").alias("supported"),
-                      HT.is_binary_type("content_type").alias("is_binary"), HT.should_follow("content_type", "robots").alias("follow"))
+    index = PageIndex(spark, scratch_path(spark, "page-store"))
+    index.add(pages.select("url", "html"))
+    wanted = (FX.url_log(spark, sf_dir).select("url").unionByName(pages.select("url"))
+              .unionByName(FX.discovered_images(spark, sf_dir).select(F.col("image_url").alias("url"))))
+    return index.load(wanted).select("url", F.md5("html").alias("content_md5"),
+                                     F.octet_length("html").cast("bigint").alias("bytes"))
 
 
 @register("page_corpus_by_host", f"""
@@ -200,6 +176,72 @@ def page_corpus_by_host(spark, sf_dir):
                        F.octet_length("html").cast("bigint").alias("bytes"), "file_name")
 
 
+@register("page_file_listing", f"""
+SELECT domain, CAST(crawl_depth AS INTEGER) AS depth, page_id AS n, bytes,
+       domain || '_' || CAST(crawl_depth AS VARCHAR) || '_' || CAST(page_id AS VARCHAR) || '.html' AS name
+FROM {CP()}
+""")
+def page_file_listing(spark, sf_dir):
+    """One file a page, written under its name; domain, depth, number and size
+    come from the listing, the files are not opened."""
+    path = _stored_pages(spark, sf_dir)
+    # a text file ends with a line feed
+    return FS.list_pages(spark, path).select("domain", "depth", "n", (F.col("bytes") - 1).alias("bytes"), "name")
+
+
+def _stored_pages(spark, sf_dir) -> str:
+    path = scratch_path(spark, "page_files")
+    names = FX.crawled_pages(spark, sf_dir).select(
+        "page_id", F.format_string("%s_%d_%d.html", "domain", "crawl_depth", "page_id").alias("file_name"))
+    FS.write_page_folders(names.join(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id"), path)
+    return path
+
+
+@register("file_retention", f"""
+SELECT 'an hour old' AS age, CAST(0 AS BIGINT) AS removed, CAST(0 AS BIGINT) AS bytes_freed, count(*) AS kept FROM {CP()}
+UNION ALL SELECT 'two days old', count(*), CAST(coalesce(sum(bytes + 1), 0) AS BIGINT), 0 FROM {CP()}
+""")
+def file_retention(spark, sf_dir):
+    """A24 over real files: a day's retention by the modification times of the
+    listing, an hour and two days after the newest file."""
+    listed = FS.list_pages(spark, _stored_pages(spark, sf_dir)).select(F.unix_timestamp("modified").alias("modified"), "bytes")
+    newest = listed.agg(F.max("modified")).first()[0] or 0
+    return (retention(listed, "modified", "bytes", newest + 3600, 86_400).select(F.lit("an hour old").alias("age"), "*")
+            .unionByName(retention(listed, "modified", "bytes", newest + 2 * 86_400, 86_400).select(F.lit("two days old").alias("age"), "*")))
+
+
+_BUSY = f"(SELECT to_timestamp({FX.EPOCH0} + event_id // 3 + event_id // 100 * 5)::TIMESTAMP AS ts, CAST(user_id % 8 AS VARCHAR) AS thread FROM events)"
+
+
+@register("log_lines_per_second", f"""
+WITH c AS (SELECT ts AS second, count(*) AS lines FROM {_BUSY} GROUP BY ts)
+SELECT strftime(second, '%Y-%m-%d %H:%M:%S') AS second, coalesce(lines, 0) AS lines
+FROM (SELECT unnest(generate_series((SELECT min(second) FROM c), (SELECT max(second) FROM c), INTERVAL 1 SECOND)) AS second)
+LEFT JOIN c USING (second)
+""")
+def log_lines_per_second(spark, sf_dir):
+    """Lines of the processing log per second, seconds without a line included."""
+    path = scratch_path(spark, "busy_log")
+    FX.crawl_log_lines(spark, sf_dir, busy=True).write.text(path)
+    per = LG.lines_per_second(LG.parse_processing_log(spark.read.text(path)))
+    return per.select(F.date_format("second", "yyyy-MM-dd HH:mm:ss").alias("second"), "lines")
+
+
+@register("log_worker_sessions", f"""
+WITH d AS (SELECT *, coalesce(date_diff('second', lag(ts) OVER (PARTITION BY thread ORDER BY ts), ts) > 3, true) AS starts FROM {_BUSY}),
+s AS (SELECT *, sum(starts::INTEGER) OVER (PARTITION BY thread ORDER BY ts RANGE UNBOUNDED PRECEDING) AS session FROM d)
+SELECT thread, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts, count(*) AS lines
+FROM s GROUP BY thread, session
+""")
+def log_worker_sessions(spark, sf_dir):
+    """Stretches of work per worker thread, split at pauses of over three seconds."""
+    path = scratch_path(spark, "busy_log")
+    FX.crawl_log_lines(spark, sf_dir, busy=True).write.text(path)
+    sessions = LG.worker_sessions(LG.parse_processing_log(spark.read.text(path)))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return sessions.select("thread", stamp("first_ts"), stamp("last_ts"), "lines")
+
+
 def _level_case(col: str) -> str:
     return "CASE " + " ".join(f"WHEN {col} = '{k}' THEN '{v}'" for k, v in LEVEL_OF_TYPE.items()) + " END"
 

@@ -50,9 +50,14 @@ def url_log(spark, sf_dir) -> DataFrame:
                  F.col("event_type")).alias("url"))
 
 
-def crawl_log_lines(spark, sf_dir) -> DataFrame:
-    """Simulator log format: ``ts [Thread n] Processing URL: u (depth: d)``."""
+def crawl_log_lines(spark, sf_dir, busy: bool = False) -> DataFrame:
+    """Simulator log format: ``ts [Thread n] Processing URL: u (depth: d)``.
+    ``busy``: three lines a second, with a pause of five seconds after every
+    hundred lines, in place of the events' times."""
     e = url_log(spark, sf_dir)
+    if busy:
+        seconds = F.lit(EPOCH0) + F.expr("event_id div 3") + F.expr("event_id div 100") * 5
+        e = e.withColumn("ts", F.timestamp_seconds(seconds))
     return e.select(F.format_string(
         "%s [Thread %d] Processing URL: %s (depth: %d)",
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), (F.col("user_id") % 8).cast("int"),

@@ -93,3 +93,29 @@ def decode_page_file_name(path_col) -> tuple:
     p = F.col(path_col) if isinstance(path_col, str) else path_col
     return (F.regexp_extract(p, PAGE_FILE_RE, 1), F.regexp_extract(p, PAGE_FILE_RE, 2).try_cast("int"),
             F.regexp_extract(p, PAGE_FILE_RE, 3).try_cast("long"))
+
+
+def write_page_folders(pages: DataFrame, path: str) -> None:
+    """S6 as the crawlers store it, one file a page: rows (file_name, html) become
+    ``file_name=<name>/part-*.txt``, so that a listing shows the name.  For corpora
+    that other tools read file by file; ``write_page_files`` is the form to query."""
+    pages.select("file_name", "html").write.mode("overwrite").partitionBy("file_name").text(path)
+
+
+def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, name, bytes, modified) of all files under ``path``, from the file system's
+    listing alone: no content is read.  The folder of a page written by
+    ``write_page_folders`` counts as its name."""
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+              .select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified")))
+    name = F.regexp_extract("path", r"([^/=]+)(?:/part-[^/]*)?$", 1)
+    return listed.select("path", name.alias("name"), "bytes", "modified")
+
+
+def list_pages(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(domain, depth, n, name, bytes, modified) of the page files under ``path``,
+    decoded from their names; files with other names are left out."""
+    listed = list_files(spark, path, pattern)
+    domain, depth, n = decode_page_file_name("name")
+    return listed.where(F.col("name").rlike(PAGE_FILE_RE)).select(
+        domain.alias("domain"), depth.alias("depth"), n.alias("n"), "name", "bytes", "modified")

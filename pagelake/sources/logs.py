@@ -55,3 +55,21 @@ def parse_ctime_log(lines: DataFrame, col: str = "value") -> DataFrame:
     return ok.select(F.to_timestamp(text, "MMM d HH:mm:ss yyyy").alias("ts"),
                      (F.regexp_extract(v, CTIME_RE, 6) != "").alias("is_error"),
                      F.regexp_extract(v, CTIME_RE, 7).alias("message"))
+
+
+def lines_per_second(log: DataFrame) -> DataFrame:
+    """(second, lines) from the first to the last second of a parsed log, with
+    0 for seconds without a line.  The series is a distributed range."""
+    counts = log.groupBy(F.date_trunc("second", "ts").alias("second")).agg(F.count("*").alias("lines")).where("second IS NOT NULL")
+    first, last = counts.agg(F.unix_timestamp(F.min("second")), F.unix_timestamp(F.max("second"))).first()
+    spark = log.sparkSession
+    series = spark.range(first or 0, last + 1 if last is not None else 0).select(F.timestamp_seconds("id").alias("second"))
+    return series.join(counts, "second", "left").select("second", F.coalesce("lines", F.lit(0)).alias("lines"))
+
+
+def worker_sessions(log: DataFrame, gap: str = "3 seconds") -> DataFrame:
+    """Per worker thread the stretches of work without a pause longer than
+    ``gap``: first and last line and how many."""
+    return (log.where("ts IS NOT NULL").groupBy("thread", F.session_window("ts", gap).alias("s"))
+            .agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("lines"))
+            .select("thread", "first_ts", "last_ts", "lines"))

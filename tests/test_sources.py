@@ -78,3 +78,38 @@ def test_http_predicates(spark):
     assert [x.body for x in r] == [True, True, False]
     assert [x.sup for x in r] == [False, False, True]
     assert [x.bin for x in r] == [False, True, False]
+
+
+def test_page_files_from_the_listing(spark, tmp_path):
+    import os
+    for i, name in enumerate(["a.example.com_2_17.html", "b_c.org_0_3.html", "notes.txt", "x_y.html"]):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        f = tmp_path / "in" / name
+        f.write_bytes(b"x" * (10 + i))
+        os.utime(f, (1_700_000_000 + i * 100, 1_700_000_000 + i * 100))
+    listed = FS.list_pages(spark, str(tmp_path))
+    assert sorted((r.domain, r.depth, r.n, r.bytes) for r in listed.collect()) == [("a.example.com", 2, 17, 10), ("b_c.org", 0, 3, 11)]
+    scan = listed._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in scan.split("ReadSchema:")[1].split("\n")[0]
+    from pagelake.operators.limits import retention
+    from pyspark.sql import functions as F
+    files = FS.list_files(spark, str(tmp_path)).select(F.unix_timestamp("modified").alias("m"), "bytes")
+    row = retention(files, "m", "bytes", 1_700_000_350, 200).first()
+    assert (row.removed, row.bytes_freed, row.kept) == (2, 21, 2)
+
+
+def test_page_folders_show_their_names(spark, tmp_path):
+    pages = spark.createDataFrame([("h.org_1_5.html", "<p>é"), ("h.org_2_6.html", "")], "file_name string, html string")
+    FS.write_page_folders(pages, str(tmp_path / "out"))
+    assert sorted((r.name, r.bytes) for r in FS.list_pages(spark, str(tmp_path / "out")).collect()) == [("h.org_1_5.html", 6), ("h.org_2_6.html", 1)]
+
+
+def test_seconds_without_lines(spark):
+    from pagelake.sources import logs
+    lines = [f"2024-01-01 00:00:{s:02d} [Thread {t}] Processing URL: http://h/{s} (depth: 1)" for s, t in
+             [(1, 1), (1, 2), (2, 1), (5, 1), (9, 1), (9, 2)]] + ["other"]
+    log = logs.parse_processing_log(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert [r.lines for r in logs.lines_per_second(log).orderBy("second").collect()] == [2, 1, 0, 0, 1, 0, 0, 0, 2]
+    got = sorted((r.thread, r.first_ts.second, r.last_ts.second, r.lines) for r in logs.worker_sessions(log).collect())
+    assert got == [("1", 1, 5, 3), ("1", 9, 9, 1), ("2", 1, 1, 1), ("2", 9, 9, 1)]
+    assert logs.lines_per_second(log.limit(0)).count() == 0
