@@ -8,9 +8,11 @@ from pagelake.catalog import register
 from pagelake.catalog._sql import crawled_pages as CP
 from pagelake.catalog._sql import discovered_images as DI
 from pagelake.catalog._sql import url_log as UL
+from pagelake.operators import metrics as M
 from pagelake.operators import reports as R
+from pagelake.operators import sketches as S
 from pagelake.plans import fixtures as FX
-from pagelake.session import table
+from pagelake.session import cut_lineage, table
 
 
 @register("database_stats", f"""
@@ -155,6 +157,89 @@ def recent_metrics(spark, sf_dir):
         F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("avg_value"))
 
 
+WINDOW_MINUTES = 4_000
+
+
+@register("metric_windows", f"""
+WITH asked AS (SELECT event_id AS id, event_type AS name, ts AS "end", 1 + event_id * 7 % {WINDOW_MINUTES} AS minutes FROM events)
+SELECT id, any_value(name) AS name, any_value(minutes) AS minutes, count(value) AS n,
+       CAST(round(sum(value) * 100) AS BIGINT) / count(value) / 100.0::DOUBLE AS avg_value, min(value) AS least, max(value) AS greatest,
+       CASE WHEN count(value) <= {M.K} THEN list_sort(list(value))[(count(value) + 1) // 2] END AS median
+FROM asked JOIN events ON event_type = name AND ts BETWEEN "end" - to_minutes(minutes) AND "end" GROUP BY id
+""")
+def metric_windows(spark, sf_dir):
+    """One question (name, end, minutes) per event, windows of up to three days
+    answered from panes.  The median is given where the quantile sketch is exact."""
+    e = table(spark, sf_dir, "events")
+    asked = e.select(F.col("event_id").alias("id"), F.col("event_type").alias("name"), F.col("ts").alias("end"),
+                     (F.lit(1) + F.col("event_id") * 7 % WINDOW_MINUTES).alias("minutes"))
+    s = M.series(e.select(F.col("event_type").alias("name"), "value", "ts"), asked, WINDOW_MINUTES)
+    return s.select("id", "name", "minutes", "n", (F.round(F.col("total") * 100).cast("long") / F.col("n") / 100.0).alias("avg_value"), "least", "greatest",
+                    F.when(F.col("n") <= M.K, M.quantile("kll", 0.5)).alias("median"))
+
+
+@register("distinct_urls_daily", f"""
+SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, count(DISTINCT url) AS urls, true AS near
+FROM {UL()} GROUP BY ALL
+""")
+def distinct_urls_daily(spark, sf_dir):
+    """A7/A18 by sketches: distinct URLs per day and type, exact, and whether both
+    sketches are as near as promised."""
+    log = FX.url_log(spark, sf_dir)
+    sk = S.distinct_sketches(log, "ts", "url", ["event_type"])
+    exact = log.groupBy(F.window("ts", "1 day").start.alias("start"), "event_type").agg(F.countDistinct("url").alias("urls"))
+    urls = F.col("urls")
+    return sk.join(exact, ["start", "event_type"]).select(
+        F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", "urls",
+        (S.within(S.distinct_hll(), urls) & S.within(S.distinct_theta(), urls)).alias("near"))
+
+
+@register("distinct_urls_rollup", f"""
+SELECT coalesce(event_type, 'all') AS event_type, count(*) AS n, count(DISTINCT url) AS urls, true AS near, true AS same
+FROM {UL()} GROUP BY ROLLUP (event_type)
+""")
+def distinct_urls_rollup(spark, sf_dir):
+    """The daily sketches merged per type and to one: near the exact count, and the
+    same as a sketch of the whole log."""
+    log = FX.url_log(spark, sf_dir)
+    daily = cut_lineage(S.distinct_sketches(log, "ts", "url", ["event_type"]))
+    every = lambda df: df.withColumn("event_type", F.lit("all"))
+    merged = S.rolled_up(daily, ["event_type"]).unionByName(S.rolled_up(every(daily), ["event_type"]))
+    at_once = log.withColumn("ts", F.lit(0).cast("timestamp"))
+    whole = S.distinct_sketches(at_once, "ts", "url", ["event_type"]).unionByName(S.distinct_sketches(every(at_once), "ts", "url", ["event_type"]))
+    whole = S.rolled_up(whole, ["event_type"]).select("event_type", S.distinct_hll().alias("once"))
+    exact = (log.groupBy("event_type").agg(F.countDistinct("url").alias("urls"))
+             .unionByName(log.agg(F.countDistinct("url").alias("urls")).withColumn("event_type", F.lit("all"))))
+    urls = F.col("urls")
+    return merged.join(whole, "event_type").join(exact, "event_type").select(
+        "event_type", "n", "urls", (S.within(S.distinct_hll(), urls) & S.within(S.distinct_theta(), urls)).alias("near"),
+        (S.distinct_hll() == F.col("once")).alias("same"))
+
+
+@register("new_urls_daily", f"""
+WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day, url FROM {UL()})
+SELECT strftime(a.day, '%Y-%m-%d') AS day, count(*) FILTER (b.url IS NULL) AS new_urls, count(b.url) AS old_urls, true AS near
+FROM d a LEFT JOIN d b ON b.url = a.url AND b.day = a.day - 1 GROUP BY a.day
+""")
+def new_urls_daily(spark, sf_dir):
+    """URLs per day that the day before did not have, and that it had: exact, and by
+    subtracting and intersecting the days' theta sketches."""
+    log = FX.url_log(spark, sf_dir)
+    day = F.to_date("ts").alias("day")
+    seen = log.select(day, "url").distinct()
+    before = seen.select(F.date_add("day", 1).alias("day"), "url", F.lit(True).alias("old"))
+    exact = (seen.join(before, ["day", "url"], "left").groupBy("day")
+             .agg(F.count_if(F.col("old").isNull()).alias("new_urls"), F.count("old").alias("old_urls")))
+    sk = cut_lineage(S.distinct_sketches(log, "ts", "url", []).select(F.to_date("start").alias("day"), "theta"))
+    pairs = sk.join(sk.select(F.date_add("day", 1).alias("day"), F.col("theta").alias("before")), "day", "left")
+    new = F.when(F.col("before").isNull(), S.distinct_theta()).otherwise(S.newcomers("theta", "before"))
+    old = F.when(F.col("before").isNull(), F.lit(0)).otherwise(S.returning("theta", "before"))
+    total = F.col("new_urls") + F.col("old_urls")
+    return exact.join(pairs, "day").select(
+        F.date_format("day", "yyyy-MM-dd").alias("day"), "new_urls", "old_urls",
+        (S.within(new, F.col("new_urls"), total * 2) & S.within(old, F.col("old_urls"), total * 2)).alias("near"))
+
+
 @register("domain_counts_lookup", f"""
 SELECT d.domain, coalesce(c.pages, 0) AS pages
 FROM (SELECT DISTINCT regexp_extract(url, 'https?://([^/]+)', 1) AS domain FROM {UL()}
