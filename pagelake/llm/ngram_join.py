@@ -431,17 +431,19 @@ def _with_groups(pairs: DataFrame, groups: DataFrame, *more: str) -> DataFrame:
 
 
 def _group_pairs(shared: DataFrame, member: DataFrame, percent: int) -> DataFrame:
-    """(g1, g2), g1 <= g2: groups that may hold linked sets."""
-    meets = spill(shared.join(member.select("node", "gid"), "node").select("sig", "gid").distinct(), "meets")
+    """(g1, g2), g1 <= g2: groups that may hold linked sets of different components
+    (``part``: the component that all sets of a group are known to lie in, or null)."""
+    meets = spill(shared.join(member.select("node", "gid", "part"), "node").select("sig", "gid", "part").distinct(), "meets")
     level = F.col("sig").bitwiseAND(F.lit((1 << LEVEL_BITS) - 1)).cast("int")
     wide = lambda *c: F.xxhash64(*c).cast("decimal(38,0)")
     company = meets.groupBy("sig").agg(F.sum(wide("gid")).alias("c1"), F.sum(wide("gid", F.lit(1))).alias("c2"), F.count("*").alias("size"))
     once = (company.where("size > 1").groupBy("c1", "c2", "size", level.alias("level"))
             .agg(F.min("sig").alias("sig"), F.count("*").alias("times")).select("sig", "level", "times"))
-    one = meets.join(once, "sig").select("sig", "level", "times", F.col("gid").alias("g1"))
-    met = (one.join(meets.select("sig", F.col("gid").alias("g2")), "sig").where("g1 < g2")
+    one = meets.join(once, "sig").select("sig", "level", "times", F.col("gid").alias("g1"), F.col("part").alias("p1"))
+    met = (one.join(meets.select("sig", F.col("gid").alias("g2"), F.col("part").alias("p2")), "sig")
+           .where("g1 < g2 AND (p1 IS NULL OR p2 IS NULL OR p1 <> p2)")
            .groupBy("g1", "g2", "level").agg(F.sum("times").alias("times")))
-    most = member.groupBy("gid").agg(F.max("n").alias("most"), F.count("*").alias("sets"))
+    most = member.groupBy("gid", "part").agg(F.max("n").alias("most"), F.count("*").alias("sets"))
     largest = most.agg(F.max("most")).first()[0] or 1
     firsts = size_levels(percent, largest)
     signed = [p - e for p, e in zip(*map(np.ndarray.tolist, parts_of(firsts, np.arange(len(firsts) - 1), percent)))]
@@ -450,11 +452,29 @@ def _group_pairs(shared: DataFrame, member: DataFrame, percent: int) -> DataFram
     met = (met.join(most.select(F.col("gid").alias("g1"), F.col("most").alias("m1")), "g1")
            .join(most.select(F.col("gid").alias("g2"), F.col("most").alias("m2")), "g2")
            .where(F.col("times") >= signed - differ).select("g1", "g2").distinct())
-    return met.unionByName(most.where("sets > 1").select(F.col("gid").alias("g1"), F.col("gid").alias("g2")))
+    return met.unionByName(most.where("sets > 1 AND part IS NULL").select(F.col("gid").alias("g1"), F.col("gid").alias("g2")))
 
 
-def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, node, n_shingles, component_id, n_links) of every row."""
+def _stars(member: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of each family's leader, as a group of its own, with the family's
+    groups, and the members of all these groups."""
+    leader = member.select("family").distinct().join(
+        sets.where("node = rep").select(F.col("node").alias("family"), "n"), "family")
+    leader = leader.select(F.col("family").alias("node"), F.lit(1).cast("long").alias("copies"), "n",
+                           F.xxhash64("family", F.lit("leader")).alias("gid"))
+    pairs = member.where("node <> family").select(F.xxhash64("family", F.lit("leader")).alias("g1"), F.col("gid").alias("g2")).distinct()
+    return pairs, member.select("node", "copies", "n", "gid").unionByName(leader)
+
+
+def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, count_links: bool = True) -> DataFrame:
+    """(doc_id, node, n_shingles, component_id, n_links) of every row.
+
+    Without ``count_links`` (n_links is null then) sets that are known to be
+    connected need not be compared: first each family is compared with its
+    leader only, and the components found so far are contracted.  Signatures
+    whose sets all lie in one component are done; in the others, groups are of
+    one component or of sets without a link, and pairs within a component are
+    left out."""
     spark = docs.sparkSession
     rows, plain = _nodes(docs)
     same = Window.partitionBy("sig", "more", "n")
@@ -480,42 +500,73 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     copies = sets.groupBy(F.col("rep").alias("node")).agg(F.count("*").alias("copies"))
     family = (family.join(copies, "node").join(sets.select("node", "n"), "node")
               .withColumn("level", F.expr(f"size(filter({starts}, x -> x <= n))")))
-    chunks = family.groupBy("family", "level").agg(F.ceil(F.count("*") / GROUP).alias("chunks"))
-    member = (family.join(chunks, ["family", "level"])
-              .select("node", "copies", "n", F.xxhash64("family", "level", F.pmod(F.xxhash64("node"), F.col("chunks"))).alias("gid")))
-    member = spill(member, "members")
-    pairs = spill(_group_pairs(shared, member, percent), "pairs")
-    free(spark)
+
+    def grouped(some: DataFrame, *by: str) -> DataFrame:
+        """``some`` with groups of about ``GROUP`` sets of equal ``by`` and size level."""
+        chunks = some.groupBy(*by, "level").agg(F.ceil(F.count("*") / GROUP).alias("chunks"))
+        hold = [F.col(c).eqNullSafe(F.col("__" + c)) for c in (*by, "level")]
+        chunks = chunks.select(*[F.col(c).alias("__" + c) for c in (*by, "level")], "chunks")
+        cond = hold[0]
+        for h in hold[1:]:
+            cond = cond & h
+        return some.join(chunks, cond).withColumn("gid", F.xxhash64(*by, "level", F.pmod(F.xxhash64("node"), F.col("chunks"))))
 
     def texts_of(some: DataFrame) -> DataFrame:
-        texts = rows.join(bounded_broadcast(some.select("node"), ID_LIMIT), "node", "left_semi").select("node", "text")
+        texts = rows.join(bounded_broadcast(some.select("node").distinct(), ID_LIMIT), "node", "left_semi").select("node", "text")
         return texts if plain else texts.dropDuplicates(["node"])
 
-    def of_pairs(some: DataFrame) -> DataFrame:
-        return spill(member.join(some.select(F.explode(F.array("g1", "g2")).alias("gid")).distinct(), "gid", "left_semi"), "compared")
-
-    met = of_pairs(pairs)
-    sketches = (map_batches(texts_of(met), _sketch_task(words), "node long, sketch binary").join(met, "node")
-                .groupBy("gid").agg(F.collect_list(F.struct("n", "sketch")).alias("members")))
-    sketches = spill(sketches, "sketches")
-    pairs = spill(map_batches(_with_groups(pairs, sketches), _bound_task(percent), "g1 long, g2 long"), "bounded")
+    def compared(pairs: DataFrame, member: DataFrame) -> DataFrame:
+        """Links found in the pairs of groups: see ``_compare_task``."""
+        def of_pairs(some: DataFrame) -> DataFrame:
+            return spill(member.join(some.select(F.explode(F.array("g1", "g2")).alias("gid")).distinct(), "gid", "left_semi"), "compared")
+
+        met = of_pairs(pairs)
+        sketches = (map_batches(texts_of(met), _sketch_task(words), "node long, sketch binary").join(met, "node")
+                    .groupBy("gid").agg(F.collect_list(F.struct("n", "sketch")).alias("members")))
+        sketches = spill(sketches, "sketches")
+        pairs = spill(map_batches(_with_groups(pairs, sketches), _bound_task(percent), "g1 long, g2 long"), "bounded")
+        free(spark)
+        met = of_pairs(pairs)
+        tokens = map_batches(texts_of(met), _token_task(words), "node long, tokens binary")
+        groups = (tokens.join(met, "node").groupBy("gid")
+                  .agg(F.collect_list(F.struct("node", "copies", "tokens")).alias("members")))
+        groups = spill(map_batches(groups, _union_task, f"gid long, members {_MEMBERS}, tokens binary"), "groups")
+        found = map_batches(_with_groups(pairs, groups, "tokens"), _compare_task(percent), "a long, b long, links long")
+        found = spill(found, "told")
+        free(spark)
+        return found
+
+    equal = sets.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    edges = lambda told: told.where("b IS NOT NULL").select("a", "b")
+    family = spill(family, "families")
+    if count_links:
+        member = grouped(family, "family").withColumn("part", F.lit(None).cast("long"))
+        links = equal
+    else:
+        pairs, member = _stars(spill(grouped(family, "family").select("node", "copies", "n", "gid", "family"), "members"), sets)
+        links = spill(edges(compared(spill(pairs, "stars"), member)), "star_links")
+        part = spill(components(links), "parts")
+        placed = shared.join(part, "node", "left").withColumn("part", F.coalesce("component", "node"))
+        ends = placed.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("sig")
+        shared = spill(shared.join(ends, "sig", "left_semi"), "open")
+        family = (family.join(shared.select("node").distinct(), "node", "left_semi")
+                  .join(part.withColumnRenamed("component", "part"), "node", "left")
+                  .withColumn("family", F.when(F.col("part").isNull(), F.col("family"))))
+        member = grouped(family, "family", "part")
+        links = links.unionByName(equal)
+    member = spill(member.select("node", "copies", "n", "gid", "part"), "members")
+    pairs = spill(_group_pairs(shared, member, percent), "pairs")
     free(spark)
-    member = of_pairs(pairs)
-    tokens = map_batches(texts_of(member), _token_task(words), "node long, tokens binary")
-    groups = (tokens.join(member, "node").groupBy("gid")
-              .agg(F.collect_list(F.struct("node", "copies", "tokens")).alias("members")))
-    groups = spill(map_batches(groups, _union_task, f"gid long, members {_MEMBERS}, tokens binary"), "groups")
-    told = _with_groups(pairs, groups, "tokens")
-    told = spill(map_batches(told, _compare_task(percent), "a long, b long, links long"), "told")
-
-    links = told.where("b IS NOT NULL").select("a", "b").unionByName(
-        sets.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")))
+    told = compared(pairs, member.drop("part"))
+    links = edges(told).unionByName(links)
     part = components(links)
     counted = told.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     zero = F.lit(0).cast("long")
     per = (sets.join(part, "node", "left").join(counted, "rep", "left").join(copies.withColumnRenamed("node", "rep"), "rep")
            .select("node", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"),
                    (F.coalesce("links", zero) + F.col("copies") - 1).alias("n_links")))
+    if not count_links:
+        per = per.withColumn("n_links", F.lit(None).cast("long"))
     if plain:
         return per.select(F.col("node").alias("doc_id"), "node", "n_shingles", "component_id", "n_links")
     per = rows.select("node", "doc_id").join(per, "node")
@@ -527,7 +578,7 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component (that of the smallest
     doc_id); documents without links, also those without words, all stay."""
     docs_id = _nodes(docs)[1]
-    found = join(docs, words, percent)
+    found = join(docs, words, percent, count_links=False)
     no = fresh(docs.columns, "node")
     if docs_id:
         gone = found.where("doc_id <> component_id").select(F.col("node").alias(no))

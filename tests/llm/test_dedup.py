@@ -167,3 +167,27 @@ def test_substrings_across_blocks(spark, monkeypatch):
     assert max(p >> 8 for p in batch["place"]) > 150
     got = {r.doc_id: [tuple(r)[1:]] for r in substrings.cut_repeats(H.table(spark, rows)).collect()}
     assert got == H.cut(rows)
+
+
+def test_keep_one_links_away_from_the_leader(spark, monkeypatch):
+    """Members of a family that link with each other but not with its least document, and
+    chains whose ends do not link."""
+    monkeypatch.setattr(ngram_join, "GROUP", 2)
+    r = random.Random(11)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    rows = []
+    for f in range(6):
+        base = [word() for _ in range(200)]
+        rows.append((100 * f, " ".join(base[:130] + [word() for _ in range(70)])))  # shares much, links with none
+        for i in range(1, 12):
+            own = list(base)
+            own[150 + i] = word()
+            rows.append((100 * f + i, " ".join(own)))
+        for i in range(20, 40):  # each shifted by ten words against the one before
+            rows.append((100 * f + i, " ".join(base[i - 20:] + [f"t{f}x{j}" for j in range(i - 20)])))
+    expected = H.components(rows, 5, 80)
+    assert len({c for _, _, c, _ in expected}) < len(rows) / 2
+    kept = ngram_join.keep_one(H.table(spark, rows), 5, 80)
+    assert sorted(x.doc_id for x in kept.collect()) == sorted({c for _, _, c, _ in expected})
+    found = ngram_join.join(H.table(spark, rows), 5, 80, count_links=False)
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in found.collect()) == [e[:3] for e in expected]
