@@ -12,6 +12,7 @@ from pagelake.functions import html as H
 from pagelake.functions import urls as U
 from pagelake.operators import robots as RB
 from pagelake.operators.extract import link_edges
+from pagelake.operators.limits import running_agg
 from pagelake.session import table
 
 AGENT = "pagelake-bot"
@@ -51,10 +52,10 @@ rules AS (SELECT domain, group_id, coalesce(agent, CASE WHEN group_id = 0 THEN '
 _WITH = f"WITH {_LINKS},\n{_CORPUS},\n{_PARSE}\n"
 
 
-def _rules(spark, sf_dir):
+def _files(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     links = link_edges(pages, "strict").select("url", U.search_domain("url").alias("domain"), "href", "target")
-    return links, RB.parse_robots(RB.robots_corpus(links))
+    return links, RB.robots_corpus(links)
 
 
 @register("robots_groups", _WITH + """
@@ -63,12 +64,23 @@ SELECT domain, group_id, user_agent, crawl_delay, array_to_string(allow, ' ') AS
 """)
 def robots_groups(spark, sf_dir):
     """Rule groups parsed from every host's robots.txt."""
-    _, rules = _rules(spark, sf_dir)
+    rules = RB.parse_robots(_files(spark, sf_dir)[1])
     return rules.select("domain", F.col("group_id").cast("bigint"), "user_agent",
                         F.col("crawl_delay").cast("bigint"),
                         F.array_join("allow", " ").alias("allow"), F.array_join("disallow", " ").alias("disallow"))
 
 
+@register("robots_rules", _WITH + """
+SELECT domain, group_id, user_agent, crawl_delay, kind, CAST(row_number() OVER (PARTITION BY domain ORDER BY ln) AS BIGINT) AS place, value AS path
+FROM g JOIN rules USING (domain, group_id) WHERE kind IN ('allow', 'disallow')
+""")
+def robots_rules(spark, sf_dir):
+    """S13/W4 as rows, one for each rule line, numbered within its file."""
+    rules = RB.robots_rules(_files(spark, sf_dir)[1])
+    placed = running_agg(rules, "domain", ["ln"], F.lit(1).cast("long"), "place", "sum")
+    return placed.select("domain", F.col("group_id").cast("bigint"), "user_agent", F.col("crawl_delay").cast("bigint"), "kind", "place", "path")
+
+
 @register("robots_verdicts", _WITH + f"""
 , flat AS (SELECT domain, group_id, 0 AS ord, unnest(disallow) AS path FROM rules WHERE user_agent IN ('*', '{AGENT}')
   UNION ALL SELECT domain, group_id, 1 AS ord, unnest(allow) AS path FROM rules WHERE user_agent IN ('*', '{AGENT}')),
@@ -80,9 +92,9 @@ FROM (SELECT u.url, coalesce(d.first % 2 = 1, true) AS allowed FROM urls u LEFT
 """)
 def robots_verdicts(spark, sf_dir):
     """Allow decision for every discovered link target, per domain."""
-    links, rules = _rules(spark, sf_dir)
+    links, lines = _files(spark, sf_dir)
     urls = links.select(F.col("target").alias("url")).distinct()
-    dec = RB.robots_decisions(urls, rules, AGENT)
+    dec = RB.robots_decisions(urls, RB.robots_rules(lines), AGENT)
     return dec.groupBy(U.search_domain("url").alias("domain")).agg(
         F.count_if(F.col("allowed")).alias("allowed"), F.count_if(~F.col("allowed")).alias("denied"))
 
@@ -95,6 +107,6 @@ LEFT JOIN (SELECT domain, arg_min(crawl_delay, group_id) AS crawl_delay FROM rul
 """)
 def crawl_delays(spark, sf_dir):
     """Crawl delay of each host (first ``*`` group, default 0)."""
-    links, rules = _rules(spark, sf_dir)
-    out = RB.crawl_delays(rules, links.select("domain"))
+    links, lines = _files(spark, sf_dir)
+    out = RB.crawl_delays(RB.robots_rules(lines), links.select("domain"))
     return out.select("domain", F.col("crawl_delay").cast("bigint"))

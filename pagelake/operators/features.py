@@ -9,24 +9,25 @@ from pagelake.functions import text as TX
 from pagelake.session import bounded_broadcast, cut_lineage
 
 
-def contained(tokens_: DataFrame, words: DataFrame) -> DataFrame:
-    """(token, w): the words ``w`` that stand inside each token.
+def contained(tokens_: DataFrame, words: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(``by``, w, token): the words ``w`` that stand inside each token with the same
+    ``by`` columns.
 
     The distinct tokens are cut into q-grams, in time linear in their length;
     those that occur among the words are kept.  Each word looks up its rarest
     q-gram, and the tokens found there are searched for the word.  No pair of
     token and word is formed that does not share that q-gram."""
-    ws = cut_lineage(words.select("w").where(F.length("w") > 0).distinct())
-    of_word = ws.select("w", F.explode(TX.word_grams("w")).alias("g"))
-    wanted = bounded_broadcast(of_word.select("g").distinct())
-    held = cut_lineage(tokens_.select("token").distinct().select("token", F.explode(TX.qgrams("token")).alias("g"))
-                       .join(wanted, "g", "left_semi"))
-    df = held.groupBy("g").agg(F.count("*").alias("n"))
+    ws = cut_lineage(words.select(*by, "w").where(F.length("w") > 0).distinct())
+    of_word = ws.select(*by, "w", F.explode(TX.word_grams("w")).alias("g"))
+    wanted = bounded_broadcast(of_word.select(*by, "g").distinct())
+    held = cut_lineage(tokens_.select(*by, "token").distinct().select(*by, "token", F.explode(TX.qgrams("token")).alias("g"))
+                       .join(wanted, [*by, "g"], "left_semi"))
+    df = held.groupBy(*by, "g").agg(F.count("*").alias("n"))
     # A q-gram that no token has rules its words out.
-    least = (of_word.join(df, "g", "left").groupBy("w")
+    least = (of_word.join(df, [*by, "g"], "left").groupBy(*by, "w")
              .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("rarest")).where("rarest.n > 0"))
-    keyed = cut_lineage(least.select("w", F.col("rarest.g").alias("g")))
-    return held.join(bounded_broadcast(keyed), "g").where(F.contains("token", F.col("w"))).select("w", "token")
+    keyed = cut_lineage(least.select(*by, "w", F.col("rarest.g").alias("g")))
+    return held.join(bounded_broadcast(keyed), [*by, "g"]).where(F.contains("token", F.col("w"))).select(*by, "w", "token")
 
 
 def relevance_top_k(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:

@@ -90,9 +90,9 @@ def anchored_windows(df: DataFrame, key: str, ts: str, event_id: str, window_sec
     return df.join(flagged, F.col(event_id).cast("long") == F.col("__eid")).drop("__eid")
 
 
-def running_agg(df: DataFrame, key: str, order: list, value, out: str, how: str = "sum") -> DataFrame:
+def running_agg(df: DataFrame, key: str, order: list, value, out: str, how: str = "sum", exclusive: bool = False) -> DataFrame:
     """Running ``sum``, ``max`` or ``min`` of ``value`` per ``key`` in ``order``
-    (inclusive) without putting a hot key in one task: range-partition on
+    (inclusive, or of the rows before if ``exclusive``) without putting a hot key in one task: range-partition on
     (key, order), aggregate within each (key, partition) slice, and combine
     with the aggregate of the key's earlier slices (one small row per slice).
     The aggregates are associative, so slice results compose exactly.  A null
@@ -103,7 +103,7 @@ def running_agg(df: DataFrame, key: str, order: list, value, out: str, how: str
     v = F.col(value) if isinstance(value, str) else value
     r = cut_lineage(df.withColumns({"__v": v, "__key": _key_code(key)}).repartitionByRange(n, "__key", *order)
                     .withColumn("__pid", F.spark_partition_id()))
-    w_local = Window.partitionBy("__key", "__pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    w_local = Window.partitionBy("__key", "__pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     local = r.withColumn("__local", fn("__v").over(w_local))
     slices = r.groupBy("__key", "__pid").agg(fn("__v").alias("__slice"))
     w_carry = Window.partitionBy("__key").orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)

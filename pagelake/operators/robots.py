@@ -1,36 +1,35 @@
 """robots.txt: parse to rule groups (S13, W4), allow decisions (J6, F12,
 F24) and crawl delays (J7).
 
-Parsing is line-level and set-based: lines are exploded with their number,
-each ``User-agent:`` line that follows a rule line (ignoring other lines)
-opens a group, and a running sum of that flag numbers the groups.  Only the
-lines of one robots file share a window partition, and a robots file is
-bounded in size, so no data-sized group lands in one task.
+A file is rows (domain, ln, line).  Reading it is an automaton over its lines
+whose state is the kind of the last structural line (agent or rule) and the
+number of groups opened: a ``User-agent:`` line that follows a rule line
+opens a group.  Both parts of the state compose (the latest line wins, numbers
+add up), so lines are dealt in ranges of (domain, ln), each range becomes one
+state transition, and the ranges are joined by their carries
+(``running_agg``): a host with a third of all lines spans many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.functions import urls as U
 from pagelake.functions.text import C_SPACE
+from pagelake.operators.features import contained
+from pagelake.operators.limits import running_agg
+from pagelake.operators.tables import with_global_rank
 from pagelake.session import bounded_broadcast, cut_lineage
 
 
-def parse_robots(robots: DataFrame, domain: str = "domain", content: str = "content") -> DataFrame:
-    """``robots(domain, content)`` -> one row per rule group:
-    ``(domain, group_id, user_agent, crawl_delay, allow array, disallow array)``.
+def robots_lines(robots: DataFrame, domain: str = "domain", content: str = "content") -> DataFrame:
+    """(domain, ln, line) of files that come as one text each."""
+    return robots.select(F.col(domain).alias("domain"), F.posexplode(F.split(F.col(content), "\n")).alias("ln", "line"))
 
-    Directives are case-sensitive first tokens (``User-agent:``, ``Allow:``,
-    ``Disallow:``, ``Crawl-delay:``); the value is the next token ("" when
-    absent).  A ``User-agent:`` line only opens a group when the current one
-    has rules, otherwise it overwrites the agent; the first group defaults to
-    ``*``; groups without rules are dropped; a delay that does not parse as an
-    integer is 0.
-    """
-    lines = robots.select(F.col(domain).alias("domain"),
-                          F.posexplode(F.split(F.col(content), "\n")).alias("ln", "line"))
+
+def _directives(lines: DataFrame) -> DataFrame:
+    """(domain, ln, kind, value, has_value, group_id) of the lines that count."""
     toks = F.filter(F.split(F.col("line"), C_SPACE + "+"), lambda t: t != "")
     lines = lines.select("domain", "ln", F.get(toks, 0).alias("directive"),
                          F.coalesce(F.get(toks, 1), F.lit("")).alias("value"),
@@ -39,63 +38,70 @@ def parse_robots(robots: DataFrame, domain: str = "domain", content: str = "cont
             .when(F.col("directive") == "Allow:", F.lit("allow"))
             .when(F.col("directive") == "Disallow:", F.lit("disallow"))
             .when(F.col("directive") == "Crawl-delay:", F.lit("delay")))
-    lines = lines.withColumn("kind", kind).where(F.col("kind").isNotNull())
-    w_prev = Window.partitionBy("domain").orderBy("ln").rowsBetween(Window.unboundedPreceding, -1)
-    struct_kind = F.when(F.col("kind").isin("ua", "allow", "disallow"), F.col("kind"))
-    lines = lines.withColumn("prev_struct", F.last(struct_kind, ignorenulls=True).over(w_prev))
-    opens = F.coalesce((F.col("kind") == "ua") & F.col("prev_struct").isin("allow", "disallow"), F.lit(False))
-    w_run = Window.partitionBy("domain").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("group_id", F.sum(opens.cast("int")).over(w_run))
-
-    delay_val = F.coalesce(F.regexp_extract(F.col("value"), r"^[+-]?[0-9]+", 0).try_cast("int"), F.lit(0))
-    rule = F.struct(F.col("ln"), F.col("value"))
-    g = lines.groupBy("domain", "group_id").agg(
+    lines = lines.withColumn("kind", kind).where(F.col("kind").isNotNull()).drop("directive")
+    structural = F.when(F.col("kind") != "delay", F.struct("ln", "kind"))
+    lines = running_agg(lines, "domain", ["ln"], structural, "before", "max", exclusive=True)
+    opens = F.coalesce((F.col("kind") == "ua") & F.col("before.kind").isin("allow", "disallow"), F.lit(False))
+    lines = lines.withColumn("opens", opens.cast("int")).drop("before")
+    return running_agg(lines, "domain", ["ln"], "opens", "group_id", "sum").drop("opens")
+
+
+def robots_rules(lines: DataFrame) -> DataFrame:
+    """W4 as rows: (domain, group_id, user_agent, crawl_delay, ln, kind, path), one for
+    each ``Allow:`` and ``Disallow:`` line, whatever the size of its group.
+
+    Directives are case-sensitive first tokens (``User-agent:``, ``Allow:``,
+    ``Disallow:``, ``Crawl-delay:``); the value is the next token ("" when
+    absent).  A ``User-agent:`` line only opens a group when the current one
+    has rules, otherwise it overwrites the agent; the first group defaults to
+    ``*``; groups without rules are dropped; a delay that does not parse as an
+    integer is 0.
+    """
+    d = cut_lineage(_directives(lines))
+    delay = F.coalesce(F.regexp_extract(F.col("value"), r"^[+-]?[0-9]+", 0).try_cast("int"), F.lit(0))
+    head = d.groupBy("domain", "group_id").agg(
         # last value of each directive in the group (max of (line, value) ignores other lines)
         F.max(F.when((F.col("kind") == "ua") & F.col("has_value"), F.struct("ln", "value")))["value"].alias("agent"),
-        F.max(F.when(F.col("kind") == "delay", F.struct(F.col("ln"), delay_val.alias("d"))))["d"].alias("crawl_delay"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "allow", rule))).alias("allow_rules"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "disallow", rule))).alias("disallow_rules"))
-    g = g.where((F.size("allow_rules") > 0) | (F.size("disallow_rules") > 0))
-    return g.select(
-        "domain", "group_id",
-        F.coalesce(F.col("agent"), F.when(F.col("group_id") == 0, F.lit("*")).otherwise(F.lit(""))).alias("user_agent"),
-        F.coalesce(F.col("crawl_delay"), F.lit(0)).alias("crawl_delay"),
-        F.transform("allow_rules", lambda r: r["value"]).alias("allow"),
-        F.transform("disallow_rules", lambda r: r["value"]).alias("disallow"))
+        F.max(F.when(F.col("kind") == "delay", F.struct(F.col("ln"), delay.alias("d"))))["d"].alias("delay"))
+    head = head.select(
+        "domain", "group_id", F.coalesce(F.col("agent"), F.when(F.col("group_id") == 0, F.lit("*")).otherwise(F.lit(""))).alias("user_agent"),
+        F.coalesce(F.col("delay"), F.lit(0)).alias("crawl_delay"))
+    rules = d.where(F.col("kind").isin("allow", "disallow")).select("domain", "group_id", "ln", "kind", F.col("value").alias("path"))
+    return rules.join(head, ["domain", "group_id"]).select("domain", "group_id", "user_agent", "crawl_delay", "ln", "kind", "path")
+
+
+def parse_robots(lines: DataFrame) -> DataFrame:
+    """One row per rule group with its paths as arrays: ``(domain, group_id,
+    user_agent, crawl_delay, allow, disallow)``; see ``robots_rules``."""
+    of = lambda kind: F.transform(F.array_sort(F.collect_list(
+        F.when(F.col("kind") == kind, F.struct("ln", "path")))), lambda r: r["path"]).alias(kind)
+    return (robots_rules(lines).groupBy("domain", "group_id", "user_agent", "crawl_delay").agg(of("allow"), of("disallow")))
 
 
 def robots_decisions(urls: DataFrame, rules: DataFrame, user_agent: str, url_col: str = "url",
                      compat_empty_disallow: bool = True) -> DataFrame:
-    """Add ``allowed`` for every URL.
+    """Add ``allowed`` for every URL, by ``robots_rules`` rows.
 
-    The URL's domain (U3) and its pieces equi-join the exploded rules.  In
-    group order, a group for ``*`` or ``user_agent`` decides on its first
-    disallow path found in the URL (substring, deny) before its allow paths
-    (allow); no deciding group -> allowed.  ``compat_empty_disallow`` keeps
-    the source behaviour where an empty ``Disallow:`` matches every URL.
+    In group order, a group of the URL's domain (U3) for ``*`` or
+    ``user_agent`` decides on its first disallow path found in the URL
+    (substring, deny) before its allow paths (allow); no deciding group ->
+    allowed.  Paths meet the URLs of their domain by q-grams (``contained``).
+    ``compat_empty_disallow`` keeps the source behaviour where an empty
+    ``Disallow:`` matches every URL.
     """
-    flat = rules.where(F.col("user_agent").isin("*", user_agent)).select(
-        "domain", "group_id",
-        F.explode(F.concat(
-            F.transform("disallow", lambda p: F.struct(F.lit(0).alias("order"), p.alias("path"))),
-            F.transform("allow", lambda p: F.struct(F.lit(1).alias("order"), p.alias("path"))))).alias("r"))
-    flat = flat.select("domain", "group_id", F.col("r.order").alias("order"), F.col("r.path").alias("path"))
-    if not compat_empty_disallow:
-        flat = flat.where(F.col("path") != "")
+    flat = cut_lineage(rules.where(F.col("user_agent").isin("*", user_agent)).groupBy("domain", F.col("path").alias("w")).agg(
+        F.min(F.struct("group_id", (F.col("kind") == "allow").cast("int").alias("order"))).alias("rule")))
     keyed = urls.withColumn("__dom", U.search_domain(F.col(url_col)))
-    # a rule applies when its path is a piece of the URL: pieces of the lengths that occur
-    # among the paths (one number per length goes through the driver) equi-join the rules
-    flat = cut_lineage(flat)
-    lengths = sorted(r.n for r in flat.select(F.length("path").alias("n")).distinct().collect())
-    sizes = "array(" + ", ".join(map(str, lengths or [0])) + ")"
-    pieces = F.expr(f"""array_distinct(flatten(transform(filter({sizes}, n -> n <= length(__u)), n -> IF(n = 0, array(''),
-        transform(sequence(1, length(__u) - n + 1), i -> substring(__u, i, n))))))""")
-    cut = keyed.select(F.col(url_col).alias("__u"), F.col("__dom").alias("domain")).distinct().withColumn("path", F.explode(pieces))
-    hits = cut.join(bounded_broadcast(flat), ["domain", "path"])
-    decided = hits.groupBy("__u").agg(F.min(F.struct("group_id", "order")).alias("first"))
-    decided = decided.select("__u", (F.col("first.order") == 1).alias("__allowed"))
+    asked = keyed.select(F.col("__dom").alias("domain"), F.col(url_col).alias("token")).distinct()
+    hits = contained(asked, flat.select("domain", "w"), by=("domain",)).join(bounded_broadcast(flat), ["domain", "w"])
+    decided = hits.groupBy(F.col("token").alias("__u")).agg(F.min("rule").alias("__first"))
     out = keyed.join(decided, keyed[url_col] == decided["__u"], "left")
-    return out.withColumn("allowed", F.coalesce(F.col("__allowed"), F.lit(True))).drop("__u", "__allowed", "__dom")
+    first = F.col("__first")
+    if compat_empty_disallow:
+        always = flat.where("w = ''").select(F.col("domain").alias("__any"), F.col("rule").alias("__always"))
+        out = out.join(bounded_broadcast(always), F.col("__dom") == F.col("__any"), "left")
+        first = F.least("__first", "__always")  # nulls are skipped
+    return out.withColumn("allowed", F.coalesce(first["order"] == 1, F.lit(True))).select(*urls.columns, "allowed")
 
 
 def crawl_delays(rules: DataFrame, domains: DataFrame) -> DataFrame:
@@ -107,17 +113,17 @@ def crawl_delays(rules: DataFrame, domains: DataFrame) -> DataFrame:
 
 
 def robots_corpus(links: DataFrame) -> DataFrame:
-    """Derived fixture: one robots.txt per host built from its own links:
-    ``*`` disallows every capitalised link path, a named agent group
-    disallows ``/private`` and allows the short lowercase paths, and the
-    crawl delay is the host's page count."""
-    by_host = links.groupBy("domain").agg(
-        F.countDistinct("url").alias("n_pages"),
-        F.array_sort(F.collect_set(F.when(F.col("href").rlike("^/[A-Z]"), F.col("href")))).alias("dis"),
-        F.array_sort(F.collect_set(F.when(F.col("href").rlike("^/[a-z]{1,3}$"), F.col("href")))).alias("alw"))
-    content = F.concat_ws(
-        "\n", F.lit("User-agent: *"), F.concat(F.lit("Crawl-delay: "), F.col("n_pages").cast("string")),
-        F.array_join(F.transform("dis", lambda p: F.concat(F.lit("Disallow: "), p)), "\n"),
-        F.lit("User-agent: pagelake-bot"), F.lit("Disallow: /private"),
-        F.array_join(F.transform("alw", lambda p: F.concat(F.lit("Allow: "), p)), "\n"))
-    return by_host.select("domain", content.alias("content"))
+    """Derived fixture: one robots.txt per host built from its own links, as rows
+    (domain, ln, line): ``*`` disallows every capitalised link path, a named agent
+    group disallows ``/private`` and allows the short lowercase paths, and the crawl
+    delay is the host's page count.  ``ln`` ascends within a host."""
+    part = lambda df, no, line: df.select("domain", F.lit(no).alias("part"), line.alias("line"))
+    hosts = links.groupBy("domain").agg(F.countDistinct("url").alias("n_pages"))
+    paths = links.select("domain", "href").distinct()
+    rows = (part(hosts, 0, F.lit("User-agent: *"))
+            .unionByName(part(hosts, 1, F.concat(F.lit("Crawl-delay: "), F.col("n_pages").cast("string"))))
+            .unionByName(part(paths.where(F.col("href").rlike("^/[A-Z]")), 2, F.concat(F.lit("Disallow: "), "href")))
+            .unionByName(part(hosts, 3, F.lit("User-agent: pagelake-bot")))
+            .unionByName(part(hosts, 4, F.lit("Disallow: /private")))
+            .unionByName(part(paths.where(F.col("href").rlike("^/[a-z]{1,3}$")), 5, F.concat(F.lit("Allow: "), "href"))))
+    return with_global_rank(rows, ["domain", "part", "line"], "ln").select("domain", "ln", "line")
