@@ -16,7 +16,8 @@ A document's set holds its distinct word n-grams; two documents link when
    one set are dropped.
 2. Groups.  Each signature names its least set; a set goes to the family of
    the set that most of its signatures name.  Families are cut by size level
-   and hash into groups of about ``GROUP`` sets.
+   and hash into groups of about ``GROUP`` sets (``WIDE_GROUP`` where only
+   components are wanted) and ``GROUP_TOKENS`` n-grams.
    Signatures that bring the same groups together are taken once, with their
    number, and a pair of groups stays only with as many common signatures as
    linked sets of their sizes have at least.
@@ -56,8 +57,9 @@ from pagelake.llm.common import bounded_broadcast, documents, free, fresh, map_b
 from pagelake.llm.graph import components
 
 WORDS, PERCENT = 3, 90
-#: Sets of a group, on average, and ids that are broadcast at most.
-GROUP, ID_LIMIT = 64, 1_000_000
+#: Sets of a group, on average, where links are counted and where only components
+#: are wanted; n-grams of a group; ids that are broadcast at most.
+GROUP, WIDE_GROUP, GROUP_TOKENS, ID_LIMIT = 64, 256, 1 << 17, 1_000_000
 #: Low bits of a signature that hold its size level.
 LEVEL_BITS = 10
 #: Bytes hashed together; texts are cut between words to fit.
@@ -298,22 +300,34 @@ def _sketch_task(words: int):
     return task
 
 
+def _stacked(members: list[dict]) -> dict[int, tuple]:
+    """Sketches by their size: (places among the members, matrix, set sizes)."""
+    by: dict[int, list[int]] = {}
+    for i, m in enumerate(members):
+        by.setdefault(len(m["sketch"]), []).append(i)
+    return {size: (np.array(at), np.frombuffer(b"".join(members[i]["sketch"] for i in at), np.uint8).reshape(len(at), size),
+                   np.array([members[i]["n"] for i in at])) for size, at in by.items()}
+
+
+def _folded_rows(sketches: np.ndarray, size: int) -> np.ndarray:
+    while sketches.shape[1] > size:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
 def may_link(one: list[dict], other: list[dict], percent: int, same: bool) -> bool:
     """Whether the sketches leave room for a linked pair of two groups."""
-    theirs = [(np.frombuffer(m["sketch"], np.uint8), m["n"]) for m in other]
-    sizes = {len(s) for s, _ in theirs}
-    for i, m in enumerate(one):
-        mine = np.frombuffer(m["sketch"], np.uint8)
-        for size in sizes:
-            low = min(size, len(mine))
-            at = [j for j, (s, _) in enumerate(theirs) if len(s) == size and (not same or j > i)]
-            if not at:
-                continue
-            block = np.stack([_folded(theirs[j][0], low) for j in at])
-            apart = np.bitwise_count(block ^ _folded(mine, low)).sum(axis=1)
-            both = m["n"] + np.array([theirs[j][1] for j in at])
-            if (apart <= both * (100 - percent) // (100 + percent)).any():
-                return True
+    left, right = _stacked(one), _stacked(other)
+    for size, (at, mine, n) in left.items():
+        for size2, (at2, theirs, m) in right.items():
+            low = min(size, size2)
+            a, b = _folded_rows(mine, low), np.ascontiguousarray(_folded_rows(theirs, low))
+            for i in range(len(a)):
+                some = at2 > at[i] if same else slice(None)
+                apart = np.bitwise_count((b[some] ^ a[i]).view(np.uint64)).sum(axis=1)
+                if (apart <= (m[some] + n[i]) * (100 - percent) // (100 + percent)).any():
+                    return True
     return False
 
 
@@ -323,8 +337,8 @@ _SKETCHES = "array<struct<n: long, sketch: binary>>"
 def _bound_task(percent: int):
     def task(batches):
         for b in batches:
-            for at in range(0, len(b), 256):
-                kept = [(r["g1"], r["g2"]) for r in b.slice(at, 256).to_pylist()
+            for at in range(0, len(b), 16):
+                kept = [(r["g1"], r["g2"]) for r in b.slice(at, 16).to_pylist()
                         if may_link(r["one"], r["other"], percent, r["g1"] == r["g2"])]
                 if kept:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*kept)], ["g1", "g2"])
@@ -389,7 +403,7 @@ def _compare_task(percent: int):
     """Rows (a, b, links): an edge of the spanning forest (links null), or a
     set's number of linked documents found here (b null)."""
     def task(batches):
-        for b in (whole.slice(at, 64) for whole in batches for at in range(0, len(whole), 64)):
+        for b in (whole.slice(at, 8) for whole in batches for at in range(0, len(whole), 8)):
             found: list[tuple] = []
             for r in b.to_pylist():
                 one, other, same = r["one"], r["other"], r["g1"] == r["g2"]
@@ -455,23 +469,38 @@ def _group_pairs(shared: DataFrame, member: DataFrame, percent: int) -> DataFram
     return met.unionByName(most.where("sets > 1 AND part IS NULL").select(F.col("gid").alias("g1"), F.col("gid").alias("g2")))
 
 
-def _stars(member: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of each family's leader, as a group of its own, with the family's
-    groups, and the members of all these groups."""
-    leader = member.select("family").distinct().join(
-        sets.where("node = rep").select(F.col("node").alias("family"), "n"), "family")
-    leader = leader.select(F.col("family").alias("node"), F.lit(1).cast("long").alias("copies"), "n",
-                           F.xxhash64("family", F.lit("leader")).alias("gid"))
-    pairs = member.where("node <> family").select(F.xxhash64("family", F.lit("leader")).alias("g1"), F.col("gid").alias("g2")).distinct()
-    return pairs, member.select("node", "copies", "n", "gid").unionByName(leader)
+def _named(shared: DataFrame) -> DataFrame:
+    """(node, leader, times): the centre of each signature is the set whose
+    signatures are the most frequent in sum, one near to many others."""
+    sizes = shared.groupBy("sig").agg(F.count("*").alias("size"))
+    fame = shared.join(sizes, "sig").groupBy("node").agg(F.sum("size").alias("fame"))
+    centre = (shared.join(fame, "node").groupBy("sig")
+              .agg(F.max(F.struct("fame", -F.col("node"), "node"))["node"].alias("leader")))
+    return shared.select("sig", "node").join(centre, "sig").groupBy("node", "leader").agg(F.count("*").alias("times"))
+
+
+def _apart_task(percent: int):
+    """Rows (node, leader, apart) of the pairs whose sketches leave room for a link."""
+    def task(batches):
+        for b in batches:
+            kept = []
+            for node, leader, n, m, one, two in zip(*(c.to_pylist() for c in b.columns)):
+                one, two = np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)
+                size = min(len(one), len(two))
+                apart = int(np.bitwise_count(_folded(one, size) ^ _folded(two, size)).sum())
+                if apart <= (n + m) * (100 - percent) // (100 + percent):
+                    kept.append((node, leader, apart))
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*kept)], ["node", "leader", "apart"])
+    return task
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, count_links: bool = True) -> DataFrame:
     """(doc_id, node, n_shingles, component_id, n_links) of every row.
 
     Without ``count_links`` (n_links is null then) sets that are known to be
-    connected need not be compared: first each family is compared with its
-    leader only, and the components found so far are contracted.  Signatures
+    connected need not be compared: first each set is compared with the centre of
+    its signatures only, and the components found so far are contracted.  Signatures
     whose sets all lie in one component are done; in the others, groups are of
     one component or of sets without a link, and pairs within a component are
     left out."""
@@ -502,8 +531,10 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, count_link
               .withColumn("level", F.expr(f"size(filter({starts}, x -> x <= n))")))
 
     def grouped(some: DataFrame, *by: str) -> DataFrame:
-        """``some`` with groups of about ``GROUP`` sets of equal ``by`` and size level."""
-        chunks = some.groupBy(*by, "level").agg(F.ceil(F.count("*") / GROUP).alias("chunks"))
+        """``some`` with groups of sets of equal ``by`` and size level, of about so many
+        sets and n-grams."""
+        most = GROUP if count_links else WIDE_GROUP
+        chunks = some.groupBy(*by, "level").agg(F.ceil(F.greatest(F.count("*") / most, F.sum("n") / GROUP_TOKENS)).alias("chunks"))
         hold = [F.col(c).eqNullSafe(F.col("__" + c)) for c in (*by, "level")]
         chunks = chunks.select(*[F.col(c).alias("__" + c) for c in (*by, "level")], "chunks")
         cond = hold[0]
@@ -515,18 +546,19 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, count_link
         texts = rows.join(bounded_broadcast(some.select("node").distinct(), ID_LIMIT), "node", "left_semi").select("node", "text")
         return texts if plain else texts.dropDuplicates(["node"])
 
-    def compared(pairs: DataFrame, member: DataFrame) -> DataFrame:
+    def compared(pairs: DataFrame, member: DataFrame, bounded: bool = False) -> DataFrame:
         """Links found in the pairs of groups: see ``_compare_task``."""
         def of_pairs(some: DataFrame) -> DataFrame:
             return spill(member.join(some.select(F.explode(F.array("g1", "g2")).alias("gid")).distinct(), "gid", "left_semi"), "compared")
 
         met = of_pairs(pairs)
-        sketches = (map_batches(texts_of(met), _sketch_task(words), "node long, sketch binary").join(met, "node")
-                    .groupBy("gid").agg(F.collect_list(F.struct("n", "sketch")).alias("members")))
-        sketches = spill(sketches, "sketches")
-        pairs = spill(map_batches(_with_groups(pairs, sketches), _bound_task(percent), "g1 long, g2 long"), "bounded")
-        free(spark)
-        met = of_pairs(pairs)
+        if not bounded:
+            sketches = (map_batches(texts_of(met), _sketch_task(words), "node long, sketch binary").join(met, "node")
+                        .groupBy("gid").agg(F.collect_list(F.struct("n", "sketch")).alias("members")))
+            sketches = spill(sketches, "sketches")
+            pairs = spill(map_batches(_with_groups(pairs, sketches), _bound_task(percent), "g1 long, g2 long"), "bounded")
+            free(spark)
+            met = of_pairs(pairs)
         tokens = map_batches(texts_of(met), _token_task(words), "node long, tokens binary")
         groups = (tokens.join(met, "node").groupBy("gid")
                   .agg(F.collect_list(F.struct("node", "copies", "tokens")).alias("members")))
@@ -536,6 +568,26 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, count_link
         free(spark)
         return found
 
+    def star_links() -> DataFrame:
+        """Links of sets with the centre that most of their signatures name, or the
+        next one, if the sketches of both leave room for a link."""
+        order = Window.partitionBy("node").orderBy(F.desc("times"), "leader")
+        asked = _named(shared).where("node <> leader").withColumn("place", F.row_number().over(order)).where("place <= 2")
+        asked = spill(asked.select("node", "leader"), "asked")
+        ends = asked.select(F.explode(F.array("node", "leader")).alias("node")).distinct()
+        sketch = spill(map_batches(texts_of(ends), _sketch_task(words), "node long, sketch binary").join(sets.select("node", "n"), "node"), "ends")
+        near = (asked.join(sketch, "node").join(sketch.select(F.col("node").alias("leader"), F.col("n").alias("m"), F.col("sketch").alias("other")), "leader")
+                .select("node", "leader", "n", "m", "sketch", "other"))
+        near = map_batches(near, _apart_task(percent), "node long, leader long, apart long")
+        near = spill(near.groupBy("node").agg(F.min(F.struct("apart", "leader"))["leader"].alias("leader")), "near")
+        chunks = near.groupBy("leader").agg(F.ceil(F.count("*") / GROUP).alias("chunks"))
+        own = F.xxhash64("leader", F.lit("leader"))
+        placed = spill(near.join(chunks, "leader").select(
+            "node", own.alias("g1"), F.xxhash64("leader", F.pmod(F.xxhash64("node"), F.col("chunks"))).alias("g2")), "placed")
+        member = placed.select("node", F.col("g2").alias("gid")).unionByName(
+            near.select("leader").distinct().select(F.col("leader").alias("node"), own.alias("gid")))
+        return edges(compared(placed.select("g1", "g2").distinct(), member.withColumn("copies", F.lit(1).cast("long")), bounded=True))
+
     equal = sets.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     edges = lambda told: told.where("b IS NOT NULL").select("a", "b")
     family = spill(family, "families")
@@ -543,8 +595,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, count_link
         member = grouped(family, "family").withColumn("part", F.lit(None).cast("long"))
         links = equal
     else:
-        pairs, member = _stars(spill(grouped(family, "family").select("node", "copies", "n", "gid", "family"), "members"), sets)
-        links = spill(edges(compared(spill(pairs, "stars"), member)), "star_links")
+        links = spill(star_links(), "star_links")
         part = spill(components(links), "parts")
         placed = shared.join(part, "node", "left").withColumn("part", F.coalesce("component", "node"))
         ends = placed.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("sig")
