@@ -89,8 +89,13 @@ def stream_daily_counts_complete(spark, sf_dir):
 @register("stream_rate_limit", _fold_sql("events", "user_id", f"INTERVAL {RATE_WINDOW_S} SECOND",
                                          RATE_CAP, False, "allowed"))
 def stream_rate_limit(spark, sf_dir):
-    """ST4: the A21 limiter online (applyInPandasWithState, one state row per
-    live key, evicted by event time), fed in two time-ordered increments resumed from one checkpoint."""
+    """ST4: the A21 limiter online (transformWithState, one state row per key), fed
+    in two time-ordered increments resumed from one checkpoint."""
+    return spark.read.parquet(_limited(spark, sf_dir)[0]).select("event_id", "allowed")
+
+
+def _limited(spark, sf_dir, keep_seconds: int = 0) -> tuple[str, str]:
+    """Run the limiter over the events; the folders of its output and checkpoint."""
     e = table(spark, sf_dir, "events")
     lo, hi = e.agg(F.min("ts"), F.max("ts")).first()
     mid = lo + (hi - lo) / 2
@@ -99,8 +104,22 @@ def stream_rate_limit(spark, sf_dir):
     for part in (e.where(F.col("ts") < F.lit(mid)), e.where(F.col("ts") >= F.lit(mid))):
         part.write.mode("append").parquet(src)
         stream = spark.readStream.schema(schema).parquet(src).withColumn("ts", F.col("ts").cast("timestamp"))
-        SJ.rate_limited(stream, "user_id", RATE_WINDOW_S, RATE_CAP, out, ck)
-    return spark.read.parquet(out).select("event_id", "allowed")
+        SJ.rate_limited(stream, "user_id", RATE_WINDOW_S, RATE_CAP, out, ck, keep_seconds=keep_seconds)
+    return out, ck
+
+
+@register("stream_limiter_state", """
+SELECT CAST(user_id AS BIGINT) AS user_id, CAST(epoch_us(max(ts)) AS BIGINT) AS last_request,
+       max(ts) < (SELECT max(ts) FROM events) - INTERVAL 1 DAY AS idle FROM events GROUP BY user_id
+""")
+def stream_limiter_state(spark, sf_dir):
+    """A22 from the limiter's own state: the newest request of each key, and whether
+    it was idle for a day at the newest request of all.  Keys are kept for longer than
+    the log, so that none is evicted."""
+    state = SJ.limiter_state(spark, _limited(spark, sf_dir, keep_seconds=400 * 86_400)[1])
+    newest = state.agg(F.max("last")).first()[0]
+    return state.select(F.col("key").cast("long").alias("user_id"), F.col("last").alias("last_request"),
+                        (F.col("last") < F.lit(newest) - 86_400_000_000).alias("idle"))
 
 
 @register("stream_page_ingest", """

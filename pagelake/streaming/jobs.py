@@ -9,13 +9,21 @@ incremental runs resumed from its checkpoint.
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
-from pagelake.session import cut_lineage
 from pagelake.sources import logs as LG
 
+# The driver's own Python runner of stateful streams does not see shipped packages.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def run_available(writer, checkpoint: str) -> None:
     """Start with trigger(availableNow) and wait for it to drain."""
     q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -63,62 +71,94 @@ def windowed_counts(stream: DataFrame, out: str, ckpt: str, window: str = "1 day
         run_available(agg.writeStream.outputMode("append").format("parquet").option("path", out), ckpt)
 
 
-def limiter_step(window_us: int, cap: int):
-    """ST4 state function: per-key fixed-window limiter with O(1) state
-    (window start micros, count).  Rows of a micro-batch are processed in
-    time order; a row of a later batch that is older than the open window
-    counts in it.  A key whose window ended before the watermark is evicted
-    (A22): its next request opens a window anyway, so the verdicts do not
-    change."""
-
-    def step(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["t", "event_id"], kind="mergesort")
-        start, cnt = state.get if state.exists else (None, 0)
-        allowed = []
-        for t in pdf["t"].to_numpy():
-            if start is None or t - start > window_us:
-                start, cnt = int(t), 0
-            if cnt >= cap:
-                allowed.append(False)
-            else:
-                cnt += 1
-                allowed.append(True)
-        state.update((start, cnt))
-        state.setTimeoutTimestamp(max((start + window_us) // 1000, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "allowed": allowed})
-
-    return step
+def window_verdicts(t: np.ndarray, start: int | None, count: int, window_us: int, cap: int):
+    """Fixed-window limiter over ascending times of one key, continuing a window that
+    began at ``start`` with ``count`` requests let through: (allowed, start, count).
+    Works window by window; times before the open window count in it."""
+    allowed = np.zeros(len(t), bool)
+    i = 0
+    while i < len(t):
+        if start is None or t[i] - start > window_us:
+            start, count = int(t[i]), 0
+        end = int(np.searchsorted(t, start + window_us, side="right"))
+        passed = min(cap - count, end - i)
+        if passed > 0:
+            allowed[i:i + passed] = True
+            count += passed
+        i = end
+    return allowed, start, count
+
+
+class Limiter(StatefulProcessor):
+    """ST4: one state row per key: start of the open window, requests let through in
+    it, newest request.  A key's rows arrive in pieces of an Arrow batch; only
+    their times and ids are held (16 bytes a row) to be put in time order, so a hot
+    key costs little more than its rows in the state store's task."""
+
+    def __init__(self, window_us: int, cap: int, forget_us: int):
+        self.window_us, self.cap, self.forget_us = window_us, cap, forget_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", "start LONG, cnt INT, last LONG")
+
+    def handleInputRows(self, key, rows, timerValues):
+        pieces = [(p["t"].to_numpy(), p["event_id"].to_numpy()) for p in rows]
+        t, ids = (np.concatenate(c) for c in zip(*pieces))
+        order = np.lexsort((ids, t))
+        t, ids = t[order], ids[order]
+        start, count, last = self.window.get() if self.window.exists() else (None, 0, None)
+        allowed, start, count = window_verdicts(t, start, count, self.window_us, self.cap)
+        last = max(int(t[-1]), last if last is not None else int(t[-1]))
+        self.window.update((start, count, last))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer((last + self.forget_us) // 1000 + 1)
+        for lo in range(0, len(t), 1 << 16):
+            yield pd.DataFrame({"event_id": ids[lo:lo + (1 << 16)], "allowed": allowed[lo:lo + (1 << 16)]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.window.clear()  # its next request opens a window anyway
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def rate_limited(stream: DataFrame, key: str, window_seconds: int, cap: int, out: str, ckpt: str,
-                 delay: str = "1 minute") -> None:
-    """ST4: run the limiter over a stream of (key, ts, event_id); one small
-    state row per live key in the state store.  Rows may be as late as
-    ``delay``; Spark drops those at or below the watermark (newest ts of the
-    batches before, less ``delay``), which ``late_verdicts`` answers."""
+                 delay: str = "1 minute", keep_seconds: int = 0) -> None:
+    """ST4: run the limiter over a stream of (key, ts, event_id) with
+    ``transformWithState``; the state lies in RocksDB under the checkpoint.  Every
+    row gets a verdict, however late: one older than its key's open window counts in
+    that window.  A timer forgets a key once the watermark (newest ts of the batches
+    before, less ``delay``) is a window and ``keep_seconds`` past its newest request.
+    A batch's rows bound the memory, so limit batches with ``maxFilesPerTrigger`` or
+    ``maxBytesPerTrigger`` on the source."""
+    spark = stream.sparkSession
+    # The watermark drives the timers; the rows themselves carry a plain number, so none is dropped as late.
     src = (stream.withWatermark("ts", delay)
-           .select(F.col(key).alias("k"), F.unix_micros(F.col("ts")).alias("t"), "event_id", "ts"))
-    res = src.groupBy("k").applyInPandasWithState(
-        limiter_step(window_seconds * 1_000_000, cap),
-        outputStructType="event_id LONG, allowed BOOLEAN", stateStructType="start LONG, cnt INT",
-        outputMode="append", timeoutConf="EventTimeTimeout")
-    run_available(res.writeStream.format("parquet").option("path", out), ckpt)
-
-
-def late_verdicts(requests: DataFrame, key: str, window_seconds: int, cap: int, out: str) -> DataFrame:
-    """The requests that ``rate_limited`` left without a verdict in ``out``, as
-    (event_id, allowed): A21 in batch over all requests of their keys, as if
-    they had come in time.  Verdicts given before stay."""
-    from pagelake.operators.limits import anchored_windows
-    given = requests.sparkSession.read.schema("event_id LONG, allowed BOOLEAN").parquet(out)
-    late = cut_lineage(requests.join(given, "event_id", "left_anti").select("event_id", F.col(key).alias("__k")))
-    keys = late.select("__k").distinct()
-    rows = requests.join(keys, requests[key].eqNullSafe(keys["__k"]), "left_semi").select(key, "ts", "event_id")
-    return (anchored_windows(rows, key, "ts", "event_id", window_seconds, cap)
-            .join(late, "event_id", "left_semi").select("event_id", "allowed"))
+           .select(F.col(key).alias("k"), F.unix_micros(F.col("ts")).alias("t"), "event_id"))
+    res = src.groupBy("k").transformWithStateInPandas(
+        Limiter(window_seconds * 1_000_000, cap, (window_seconds + keep_seconds) * 1_000_000),
+        outputStructType="event_id LONG, allowed BOOLEAN", outputMode="append", timeMode="EventTime")
+    before = spark.conf.get(STATE_PROVIDER)
+    spark.conf.set(STATE_PROVIDER, ROCKSDB)
+    try:
+        run_available(res.writeStream.format("parquet").option("path", out), ckpt)
+    finally:
+        spark.conf.set(STATE_PROVIDER, before)
+
+
+def limiter_state(spark: SparkSession, ckpt: str) -> DataFrame:
+    """The limiter's state as a table, read from its checkpoint: (key, start, allowed,
+    last), times in microseconds."""
+    rows = spark.read.format("statestore").option("stateVarName", "window").load(ckpt)
+    return rows.select(F.col("key.k").alias("key"), F.col("value.start").alias("start"),
+                       F.col("value.cnt").alias("allowed"), F.col("value.last").alias("last"))
 
 
 def write_ingested(batch: DataFrame, epoch: int, table_dir: str) -> None:
