@@ -10,7 +10,7 @@ from pagelake.catalog.extraction import _resolve_strict_sql
 from pagelake.functions import html as H
 from pagelake.plans import crawl
 from pagelake.plans.graph import bfs, host_word_edges
-from pagelake.session import table
+from pagelake.session import cut_lineage, table
 
 MAX_DEPTH = 6
 CRAWL_ALLOWED = ["example.com", "example.org"]
@@ -59,6 +59,26 @@ def bfs_host_word(spark, sf_dir):
     return out.select("node", F.col("depth").cast("bigint").alias("depth"))
 
 
+@register("bfs_incremental", _host_word_levels_sql(MAX_DEPTH, paths=False))
+def bfs_incremental(spark, sf_dir):
+    """G1/G4 kept up to date: the first third of the pages gives the plan, two more
+    batches of pages change it from their new edges only."""
+    from pagelake.functions import urls as U
+    from pagelake.operators.extract import link_edges
+    from pagelake.plans.graph import bfs_update
+    pages = table(spark, sf_dir, "pages")
+    seed = pages.select(F.min(U.search_domain("url")).alias("node"))
+    links = link_edges(pages, "strict").select("page_id", U.search_domain("url").alias("domain"), "href")
+    batch = lambda keep: cut_lineage(host_word_edges(links.where(keep)))
+    edges = batch("page_id % 3 = 0")
+    plan = bfs(edges, seed, MAX_DEPTH)
+    for i in (1, 2):
+        new = batch(f"page_id % 3 = {i}")
+        edges = edges.unionByName(new)
+        plan = cut_lineage(bfs_update(plan, edges, new, MAX_DEPTH))
+    return plan.select("node", F.col("depth").cast("bigint").alias("depth"))
+
+
 @register("bfs_path_counts", _host_word_levels_sql(MAX_DEPTH, paths=True))
 def bfs_path_counts(spark, sf_dir):
     """Level-synchronous crawl that de-duplicates only against earlier

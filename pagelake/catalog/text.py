@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from pagelake.catalog import register
 from pagelake.catalog._sql import crawled_pages as CP
+from pagelake.functions import html as H
 from pagelake.functions import text as TX
 from pagelake.functions.html import TITLE_RE
+from pagelake.functions.rfc import with_urljoin
 from pagelake.operators import features as FE
 from pagelake.operators.page_index import PageIndex
 from pagelake.plans import fixtures as FX
+from pagelake.plans.graph import resolve_chains
 from pagelake.session import scratch_path, table
 
 from pagelake.catalog._sql import pre_sql
@@ -385,6 +388,35 @@ def canonical_keys(spark, sf_dir):
     return p.select("page_id", F.when(canon != "", canon).otherwise(F.col("url")).alias("page_key"))
 
 
+# Every page declares another one canonical by its number: chains, loops of two, pages
+# that lead into a loop, targets that are no page, and pages without a declaration.
+_CANON_OF = "CASE page_id % 9 WHEN 0 THEN NULL WHEN 1 THEN page_id + 1 WHEN 2 THEN page_id - 1 WHEN 8 THEN page_id * 1000 + 999 ELSE page_id - 1 END"
+
+
+@register("canonical_chains", f"""
+WITH RECURSIVE p AS (SELECT a.page_id, a.url AS key, coalesce(b.url, CASE WHEN t IS NULL THEN NULL ELSE 'http://gone.example/' || t END) AS target
+  FROM (SELECT page_id, url, {_CANON_OF} AS t FROM pages) a LEFT JOIN pages b ON b.page_id = a.t),
+w AS (
+  SELECT key, key AS cur, [key] AS path, target AS next FROM p
+  UNION ALL
+  SELECT w.key, w.next, list_append(path, w.next), p.target FROM w LEFT JOIN p ON p.key = w.next
+  WHERE w.next IS NOT NULL AND NOT list_contains(path, w.next))
+SELECT key AS url, CASE WHEN next IS NULL THEN cur ELSE list_min(path[list_position(path, next):]) END AS page_key, next IS NOT NULL AS loop
+FROM w WHERE next IS NULL OR list_contains(path, next)
+""")
+def canonical_chains(spark, sf_dir):
+    """canonical declarations read from the pages and followed to their ends;
+    pages of a loop share its smallest URL."""
+    p = table(spark, sf_dir, "pages").withColumn("t", F.expr(_CANON_OF))
+    known = p.select(F.col("page_id").alias("t"), F.col("url").alias("other"))
+    said = p.join(known, "t", "left").withColumn("other", F.coalesce("other", F.concat(F.lit("http://gone.example/"), F.col("t").cast("string"))))
+    head = F.when(F.col("other").isNotNull(), F.concat(F.lit('<link rel="Canonical nofollow" href="'), F.replace("other", F.lit("&"), F.lit("&amp;")), F.lit('">')))
+    pages = said.select("url", F.concat(F.coalesce(head, F.lit("")), "html").alias("html"))
+    declared = with_urljoin(pages.select("url", H.canonical_link("html").alias("href")), "url", "href", "target")
+    ends = resolve_chains(declared.select(F.col("url").alias("key"), F.when(F.col("href").isNotNull(), F.col("target")).alias("target")))
+    return ends.join(pages.select(F.col("url").alias("key")), "key", "left_semi").select(F.col("key").alias("url"), F.col("end").alias("page_key"), "loop")
+
+
 @register("quarantine_split", """
 SELECT count(*) FILTER (WHERE coalesce(l.toxic, 0) <> 1) AS stored,
        count(*) FILTER (WHERE l.toxic = 1) AS quarantined

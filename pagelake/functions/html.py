@@ -88,6 +88,12 @@ def element_text(html, name: str) -> Column:
                        lambda t: F.regexp_replace(t, rf"(?is)^{start}", ""))
 
 
+def canonical_link(html) -> Column:
+    """the href of the first ``<link>`` whose rel holds "canonical"; null without one."""
+    links = F.filter(tags(html, "link"), lambda t: F.array_contains(F.split(F.lower(F.coalesce(tag_attr(t, "rel"), F.lit(""))), r"\s+"), "canonical"))
+    return F.nullif(tag_attr(F.try_element_at(links, F.lit(1)), "href"), F.lit(""))
+
+
 ENTITY_RE = r"&(?:#[0-9]{1,9};?|#[xX][0-9a-fA-F]{1,8};?|[A-Za-z][A-Za-z0-9]*;?)"
 
 

@@ -1,10 +1,9 @@
 """Keyed page/URL/image tables: upserts, ids, lookups and set operations.
 
-W1/W2 use ``min_by``/``max_by`` aggregation instead of a window: the aggregate
-combines partially on the map side, so a URL that holds a third of all rows
-costs one row per map task before the shuffle (a window would sort the whole
-hot key in one task).  With string columns in the row Spark sorts each map
-partition by key for the partial step; only winners are shuffled.
+W1/W2 first find the winning (order, row hash) of each key, a grouping of narrow
+rows that combines on the map side, so a URL that holds a third of all rows
+costs one row per map task before the shuffle; then the wide rows semi-join the
+winners.  Only rows that repeat a winner entirely meet once more.
 """
 
 from __future__ import annotations
@@ -18,22 +17,27 @@ TOP_K_LIMIT = 100_000
 
 
 def _keep_by(df: DataFrame, key: list[str], order: str, pick) -> DataFrame:
-    rest = [c for c in df.columns if c not in key]
-    packed = F.struct(*[F.col(c) for c in rest])
-    agg = df.groupBy(*key).agg(pick(packed, F.col(order)).alias("__row"))
-    return agg.select(*key, *[F.col("__row")[c].alias(c) for c in rest])
+    quoted = [F.col(f"`{c}`") for c in df.columns]
+    late = F.col(order).isNull() if pick is F.min else F.col(order).isNotNull()  # a null order wins last
+    placed = df.withColumn("__place", F.struct(late.alias("l"), F.col(order).alias("o"), F.xxhash64(*quoted).alias("h")))
+    won = placed.groupBy(*key).agg(pick("__place").alias("__won")).select(*[F.col(c).alias(f"__{c}") for c in key], "__won")
+    same = F.col("__place").eqNullSafe(F.col("__won"))
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    kept = placed.join(won, same, "left_semi").drop("__place")
+    return kept.dropDuplicates(key).select(*key, *[c for c in df.columns if c not in key])
 
 
 def insert_or_ignore(df: DataFrame, key: str | list[str], order: str) -> DataFrame:
     """The first row per key (smallest ``order``) wins."""
     key = [key] if isinstance(key, str) else key
-    return _keep_by(df, key, order, F.min_by)
+    return _keep_by(df, key, order, F.min)
 
 
 def upsert_last(df: DataFrame, key: str | list[str], order: str) -> DataFrame:
     """The last row per key (largest ``order``) wins."""
     key = [key] if isinstance(key, str) else key
-    return _keep_by(df, key, order, F.max_by)
+    return _keep_by(df, key, order, F.max)
 
 
 def with_global_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:

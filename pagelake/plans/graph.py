@@ -12,17 +12,22 @@ level).  Per level:
 * ``distinct`` / ``sum`` of the discovered nodes is partially aggregated on
   the map side, so a popular target costs one row per map task, not one per
   in-link.
-* anti-join with the visited set.  The visited set is hash-partitioned on
-  ``node`` into a fixed number of partitions and checkpointed that way, so
-  only the new candidates shuffle each level.
+* anti-join with the visited set, a table bucketed by ``node`` to which each
+  level is appended: only the new candidates shuffle and only they are written.
+
+``bfs_update`` changes a stored plan by new edges: smaller depths spread from the
+edges' ends only.  ``resolve_chains`` follows forwarding pointers (canonical
+URLs) to their ends, loops included.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.session import bounded_broadcast, cut_lineage
+from pagelake.session import bounded_broadcast, cut_lineage, scratch_path
 
 FRONTIER_BROADCAST_ROWS = 200_000
 #: Partitions over which the edges of one node are spread.
@@ -52,6 +57,27 @@ def salted_edges(edges: DataFrame, partitions: int) -> DataFrame:
     return e.repartition(partitions, "src", "salt")
 
 
+class _Visited:
+    """Rows appended level by level to a table bucketed by ``node``."""
+
+    def __init__(self, spark, buckets: int):
+        self.spark, self.buckets = spark, buckets
+        self.name = f"visited_{uuid.uuid4().hex}"
+        self.path = scratch_path(spark, self.name)
+
+    def add(self, level: DataFrame) -> None:
+        (level.write.mode("append").bucketBy(self.buckets, "node").option("path", self.path).saveAsTable(self.name))
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def close(self) -> DataFrame:
+        """All rows; the name goes, the files stay."""
+        rows = self.rows()
+        self.spark.sql(f"DROP TABLE {self.name}")
+        return rows
+
+
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, count_paths: bool = False,
         expandable: DataFrame | None = None, budget: int | None = None) -> DataFrame:
     """Nodes reachable from ``seeds`` within ``max_depth`` hops.
@@ -75,7 +101,8 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, count_paths: bool =
     level = level.withColumn("depth", F.lit(0))
     level = _apply_budget(level, budget, 0)
     level = cut_lineage(level.repartition(n, "node"))
-    visited = level
+    visited = _Visited(edges.sparkSession, n)
+    visited.add(level)
     size = level.count()
     accepted = size
     depth = 0
@@ -88,16 +115,76 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, count_paths: bool =
             found = found.groupBy("node").agg(F.sum("paths").alias("paths"))
         else:
             found = found.distinct()
-        found = found.repartition(n, "node").join(visited.select("node"), "node", "left_anti")
+        found = found.repartition(n, "node").join(visited.rows().select("node"), "node", "left_anti")
         found = found.withColumn("depth", F.lit(depth + 1))
         found = _apply_budget(found, None if budget is None else budget - accepted, depth + 1)
         level = cut_lineage(found)
         size = level.count()
         accepted += size
-        visited = cut_lineage(visited.unionByName(level).repartition(n, "node"))
+        visited.add(level)
         depth += 1
     cols = ["node", "depth"] + vals
-    return visited.select(*cols)
+    return visited.close().select(*cols)
+
+
+def bfs_update(plan: DataFrame, edges: DataFrame, new_edges: DataFrame, max_depth: int) -> DataFrame:
+    """``plan`` (node, depth) of the graph ``edges`` minus ``new_edges`` brought up
+    to date: as ``bfs`` over all of ``edges``, which hold the new ones too.
+
+    The first candidates are the ends of new edges; a node whose depth falls (or
+    that is new) hands its depth + 1 on over all its edges, until nothing falls.
+    Untouched parts of the plan are only read by the joins with the candidates."""
+    n = _partitions(edges)
+    edges = cut_lineage(salted_edges(edges, n))
+    plan = cut_lineage(plan.select("node", F.col("depth").cast("int").alias("depth")))
+    changed = None
+    front = (plan.where(F.col("depth") < max_depth).join(new_edges.select("src", "dst").distinct(), F.col("node") == F.col("src"))
+             .select(F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")))
+    while True:
+        found = front.groupBy("node").agg(F.min("depth").alias("depth"))
+        known = plan if changed is None else plan.unionByName(changed).groupBy("node").agg(F.min("depth").alias("depth"))
+        better = (found.join(known.withColumnRenamed("depth", "old"), "node", "left")
+                  .where("old IS NULL OR depth < old").select("node", "depth"))
+        better = cut_lineage(better)
+        if better.isEmpty():
+            break
+        changed = better if changed is None else cut_lineage(
+            changed.unionByName(better).groupBy("node").agg(F.min("depth").alias("depth")))
+        front = _expand(better.where(F.col("depth") < max_depth), edges, [(F.col("depth") + 1).alias("depth")])
+    if changed is None:
+        return plan
+    return plan.unionByName(changed).groupBy("node").agg(F.min("depth").alias("depth"))
+
+
+def resolve_chains(pointers: DataFrame) -> DataFrame:
+    """(key, end, loop) for pointers (key, target): where following the targets ends.
+    A target without a pointer of its own, or that points to itself, is an end; a
+    loop's keys, and those that lead into it, end at its smallest key.
+
+    Pointer jumping: each round doubles the steps taken, so a chain of n keys takes
+    log n joins.  The rounds stop when the keys reached are no longer fewer (they
+    are ends and loops then) and no loop's smallest key changes any more."""
+    p = pointers.where("key IS NOT NULL").groupBy("key").agg(F.min("target").alias("target"))
+    p = p.select("key", F.coalesce("target", "key").alias("jump"))
+    ends = p.select(F.col("jump").alias("key")).distinct().join(p.select("key"), "key", "left_anti")
+    step = cut_lineage(p.unionByName(ends.select("key", F.col("key").alias("jump")))
+                       .select("key", "jump", F.col("key").alias("least"), (F.col("key") == F.col("jump")).alias("fixed")))
+    fixed = step.where("fixed").select(F.col("key").alias("jump"), F.lit(True).alias("is_end"))
+    state = None
+    while True:
+        # rows (key, jump, least): the key 2^r steps on and the smallest of the first 2^r keys
+        far = step.select(F.col("key").alias("jump"), F.col("jump").alias("far"), F.col("least").alias("ahead"))
+        step = cut_lineage(step.join(far, "jump").select("key", F.col("far").alias("jump"), F.least("least", "ahead").alias("least")))
+        reached = step.select("jump").distinct()
+        held = step.join(reached.withColumnRenamed("jump", "key"), "key", "left_semi")
+        now = tuple(held.agg(F.count("*"), F.sum(F.xxhash64("key", "least").cast("decimal(38,0)"))).first())
+        if now == state:
+            break
+        state = now
+    last = step.select(F.col("key").alias("jump"), F.col("least").alias("end"))
+    out = step.select("key", "jump").join(last, "jump").join(fixed, "jump", "left")
+    return out.select("key", F.when(F.col("is_end"), F.col("jump")).otherwise(F.col("end")).alias("end"),
+                      F.col("is_end").isNull().alias("loop"))
 
 
 def _apply_budget(level: DataFrame, remaining: int | None, depth: int) -> DataFrame:

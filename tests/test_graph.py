@@ -91,3 +91,64 @@ def test_hub_edges_are_spread(spark):
     e = spark.createDataFrame(rows, "src string, dst string")
     sizes = [r["count"] for r in salted_edges(e, 16).groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 60_000 and max(sizes) < 2 * 60_000 / 16
+
+
+def test_plan_updates_equal_a_new_plan(spark):
+    """After each of three batches of new edges, at several depths."""
+    import random
+
+    from pagelake.plans.graph import bfs_update
+    r = random.Random(9)
+    seed = spark.createDataFrame([("n0",)], "node string")
+    for most in (2, 5, 30):
+        chain = [(f"n{i}", f"n{i + 1}") for i in range(40)]
+        edges, plan = chain[:20], bfs(spark.createDataFrame(chain[:20], "src string, dst string"), seed, most)
+        for batch in (chain[20:] + [("n3", "n30")], [(f"n{r.randrange(41)}", f"n{r.randrange(60)}") for _ in range(12)], [("n0", "n17"), ("x", "y"), ("n59", "n0")]):
+            edges = edges + batch
+            e, new = (spark.createDataFrame(x, "src string, dst string") for x in (edges, batch))
+            plan = bfs_update(plan, e, new, most)
+            depth, _ = py_bfs(edges, "n0", most)
+            assert {x.node: x.depth for x in plan.collect()} == depth
+
+
+def test_chains_loops_and_ends(spark):
+    import random
+
+    from pagelake.plans.graph import resolve_chains
+
+    def follow(ptr, k):
+        path = [k]
+        while ptr.get(path[-1], path[-1]) not in path:
+            path.append(ptr[path[-1]])
+        end = ptr.get(path[-1], path[-1])
+        return (end, False) if end == path[-1] else (min(path[path.index(end):]), True)
+
+    r = random.Random(6)
+    cases = [{f"c{i:02}": f"c{i + 1:02}" for i in range(50)}, {"a": "b", "b": "c", "c": "d", "d": "b", "e": "e", "f": None},
+             {f"k{i}": f"k{(i + 1) % 17}" for i in range(17)}, {f"r{i}": f"r{r.randrange(40)}" for i in range(30)}, {}]
+    for ptr in cases:
+        df = spark.createDataFrame(list(ptr.items()) * 2 + [(None, "a")], "key string, target string")
+        got = {x.key: (x.end, x.loop) for x in resolve_chains(df).collect()}
+        plain = {k: v if v is not None else k for k, v in ptr.items()}
+        assert {k: got[k] for k in ptr} == {k: follow(plain, k) for k in ptr}
+
+
+def test_levels_are_appended(spark):
+    """Each level is written once: the visited table holds every node in one file set."""
+    e, s = frames(spark)
+    out = bfs(e, s, 10)
+    assert out.count() == len(py_bfs(EDGES, "a", 10)[0])
+    assert all("visited_" in f for f in out.inputFiles())
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("visited_")]
+
+
+def test_upserts_with_nulls_ties_and_repeats(spark):
+    from pagelake.operators.tables import insert_or_ignore, upsert_last
+    rows = [("a", 1, "x"), ("a", 2, "y"), ("b", None, "n"), ("c", 3, "t"), ("c", 3, "t"), (None, 5, "k"), (None, 4, "j"), ("d", None, "p"), ("d", 7, "q")]
+    df = spark.createDataFrame(rows, "key string, at int, v string").repartition(3)
+    first = sorted((str(x.key), x.at, x.v) for x in insert_or_ignore(df, "key", "at").collect())
+    assert first == [("None", 4, "j"), ("a", 1, "x"), ("b", None, "n"), ("c", 3, "t"), ("d", 7, "q")]
+    last = sorted((str(x.key), x.at, x.v) for x in upsert_last(df, "key", "at").collect())
+    assert last == [("None", 5, "k"), ("a", 2, "y"), ("b", None, "n"), ("c", 3, "t"), ("d", 7, "q")]
+    tied = spark.createDataFrame([("a", 1, "x"), ("a", 1, "y")], "key string, at int, v string")
+    assert insert_or_ignore(tied, "key", "at").count() == 1
