@@ -7,6 +7,8 @@ import zlib
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from pagelake.llm import licenses, pseudonyms, quality, toxicity
 from tests.conftest import SF_CHECK
 from tests.llm import helpers as H
@@ -24,6 +26,19 @@ def _base_licences(text):
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
 
 
+@pytest.mark.parametrize("text,labels", [
+    ("it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+     "gpl,gpl-3.0"),
+    ("under the GNU General Public License as published by the Free Software Foundation", "gpl"),
+    ("SPDX-License-Identifier: MIT", "mit"), ("// SPDX-License-Identifier: BSD-3-Clause", "bsd-3-clause"), ("Licensed under MPL 2.0", "mpl-2.0"),
+    ("Creative Commons Attribution-ShareAlike 4.0", "cc-by-sa"), ("Creative Commons Attribution 4.0", "cc-by"),
+    ("CC BY-SA 4.0", "cc-by,cc-by-sa"), ("version 3 of the License " + "word " * 300 + "GNU General Public License as published by the Free "
+     "Software Foundation", "gpl"), ("no licence here, but a version 2 of something", "")])
+def test_licence_labels(text, labels):
+    index = licenses.Index({w: 1.0 + len(w) for w in licenses.vocabulary()})
+    assert index.scan(licenses.words_of(text))[4] == labels
+
+
 def test_licence_scan(spark):
     r = random.Random(3)
     pool = "GNU general public License apache license cc by mit license CC-BY. über version 3 2 0 nc É license, of\n K".split(" ")
