@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.llm.common import documents, map_batches, register, text_or_empty
+from pagelake.llm.wordcut import cut_words, word_numbers
 
 MIN_LENGTH = 6
 MIN_PERIODS = 4
@@ -50,9 +51,6 @@ PRIME, ROOT = 2013265921, 31
 SLAB = 1 << 16
 RUN_BYTES = 1 << 20
 
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-
 
 @lru_cache(maxsize=64)
 def _roots(size: int, inverse: bool) -> np.ndarray:
@@ -229,21 +227,6 @@ def runs(x: np.ndarray, first: np.ndarray, end: np.ndarray) -> list[tuple[int, i
     return sorted(out, key=lambda r: (r[0], r[2]))
 
 
-def _words(texts: list[bytes]):
-    """Words of texts laid end to end: (Arrow array of them, how many each text has)."""
-    # A blank after each text ends its last word.
-    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    blank = _BLANK[data]
-    ends = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
-    begins = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    counts = np.diff(np.concatenate([[0], np.searchsorted(begins, np.cumsum(sizes))]))
-    offsets = np.concatenate([[0], np.cumsum(ends - begins)]).astype(np.int64)
-    words = pa.Array.from_buffers(pa.large_binary(), len(begins),
-                                  [None, pa.py_buffer(offsets), pa.py_buffer(data[~blank].tobytes())])
-    return words, counts
-
-
 def repeats_planted(n: int, doc_id: int | None) -> np.ndarray:
     """For each of n words, the number of the original word that stands there: in a
     tenth of the documents, fixed by doc_id, a tail repeats with some period."""
@@ -260,8 +243,8 @@ def repeats_planted(n: int, doc_id: int | None) -> np.ndarray:
 def scan(texts: list[bytes], origins=None):
     """For each text (words' numbers, runs with starts from the text's first word,
     words as Arrow array); ``origins(i, n)`` may rearrange the n words of text i."""
-    words, counts = _words(texts)
-    ids = words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    words, counts = cut_words(texts)
+    ids = word_numbers(words)
     start = np.concatenate([[0], np.cumsum(counts)])
     place = [(origins(i, int(n)) if origins else np.arange(n)) + start[i] for i, n in enumerate(counts)]
     # One place between documents, each with a number that no word has.

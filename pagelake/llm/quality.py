@@ -7,8 +7,8 @@ each rule changes (its ablation) comes from counting the distinct bit patterns,
 of which there are at most 2^rules, without touching the texts again.
 
 The measurements need the words in order, so they run in Arrow batches: words
-are hashed, windows of eight are hashed over them, and only windows whose hash
-occurs twice in the same document are compared word by word.  The pass is
+are cut and numbered without a Python object each, windows of eight are hashed over
+the numbers, and windows of one hash are compared word by word.  The pass is
 narrow, a document of any length is one row, nothing is shuffled.
 
 Defined results: null text has no words and no lines; an empty text fails
@@ -22,10 +22,12 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.llm.common import documents, map_batches, register, text_or_empty
+from pagelake.llm.wordcut import cut_words, word_numbers
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -55,80 +57,95 @@ POLICIES = {
 }
 CURRENT = "v2"
 
-_STRIP = str.maketrans("", "", SYMBOLS)
+_SYMBOL, _LETTER, _LEAD = (np.zeros(256, bool) for _ in range(3))
+_SYMBOL[list(SYMBOLS.encode())] = True
+_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True  # any byte of a non-ASCII character counts
+_LEAD[[*range(128), *range(192, 256)]] = True  # first byte of a code point
 _POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                     0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
-def repeat_words(docs: list[list[bytes]]) -> list[int]:
-    """Words inside a window of eight that occurs twice or more in its document."""
-    out = [0] * len(docs)
-    size = np.array([len(w) for w in docs], np.int64)
-    if size.sum() < WINDOW:
-        return out
-    word = np.fromiter((hash(w) for own in docs for w in own), np.int64, int(size.sum())).view(np.uint64)
-    owner = np.repeat(np.arange(len(docs)), size)
+def _per(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` between consecutive ``cuts``."""
+    return np.diff(np.concatenate([[0], np.cumsum(values, dtype=np.int64)])[cuts])
+
+
+def repeat_words(word: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Words inside a window of eight that occurs twice or more in its document, per
+    document; ``word`` numbers the words of all documents one after the other."""
     n = len(word) - WINDOW + 1
-    h = owner[:n].astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)
-    for j, p in enumerate(_POWERS):
-        h += (word[j:j + n] ^ (word[j:j + n] >> np.uint64(31))) * p
-    h ^= h >> np.uint64(29)
-    inside = owner[:n] == owner[WINDOW - 1:]
-    order = np.sort(h[inside])
-    twice = np.unique(order[1:][order[1:] == order[:-1]])
-    if not len(twice):
-        return out
-    found = np.flatnonzero(inside & np.isin(h, twice))
-    first = np.cumsum(size) - size
-    for d, at in zip(*_grouped(owner[found], found - first[owner[found]])):
-        words = docs[d]
-        grams = [tuple(words[i:i + WINDOW]) for i in at]  # the comparison word by word
-        seen = Counter(grams)
-        cover = np.zeros(len(words) + 1, np.int32)
-        for i, g in zip(at, grams):
-            if seen[g] > 1:
-                cover[i] += 1
-                cover[i + WINDOW] -= 1
-        out[d] = int((np.cumsum(cover) > 0).sum())
-    return out
-
-
-def _grouped(keys: np.ndarray, values: np.ndarray):
-    cut = np.flatnonzero(np.diff(keys)) + 1
-    return [int(k) for k in keys[np.concatenate(([0], cut))]], [g.tolist() for g in np.split(values, cut)]
-
-
-def measure(texts: list[str]) -> list[tuple]:
-    """MEASURES of every text."""
-    docs = [t.encode().split() for t in texts]  # bytes.split cuts at ASCII white space
-    repeats = repeat_words(docs)
-    out = []
-    for t, words, rep in zip(texts, docs, repeats):
-        lines = [x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
-        joined = b"".join(words).decode()
-        out.append((len(words), len(joined), len(t) - len(t.translate(_STRIP)), len(lines),
-                    len(lines) - len(set(lines)), rep, sum(map(_alphabetic, words)), max(map(len, words), default=0)))
-    return out
-
-
-def _alphabetic(word: bytes) -> bool:
-    """Has a letter (any byte of a non-ASCII character counts as one)."""
-    return word.isalpha() or word.lower() != word.upper() or not word.isascii()
+    cuts = np.concatenate([[0], np.cumsum(counts)])
+    cover = np.zeros(len(word) + 1, np.int32)
+    if n > 0:
+        owner = np.repeat(np.arange(len(counts)), counts)
+        h = owner[:n].astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)
+        for j, p in enumerate(_POWERS):
+            mixed = word[j:j + n].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            h += (mixed ^ (mixed >> np.uint64(31))) * p
+        at = np.flatnonzero(owner[:n] == owner[WINDOW - 1:])
+        at = at[np.argsort(h[at], kind="stable")]
+        new = np.ones(len(at), bool)
+        new[1:] = h[at[1:]] != h[at[:-1]]
+        group = np.cumsum(new) - 1
+        first = at[np.flatnonzero(new)][group]  # first window with the same hash
+        same = owner[at] == owner[first]
+        for j in range(WINDOW):  # the comparison word by word
+            same &= word[at + j] == word[first + j]
+        twice = np.bincount(group[same], minlength=group[-1] + 1 if len(group) else 0)[group] > 1
+        found = at[same & twice]
+        odd = at[~same]
+        if len(odd):  # different windows with one hash
+            names = [(int(owner[i]), *word[i:i + WINDOW].tolist()) for i in odd]
+            seen = Counter(names)
+            found = np.concatenate([found, [i for i, g in zip(odd, names) if seen[g] > 1]]).astype(np.int64)
+        cover[found] += 1  # each window is found once
+        cover[found + WINDOW] -= 1
+    return _per(np.cumsum(cover[:-1]) > 0, cuts)
+
+
+def line_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Per document: lines with a word, and those equal to an earlier line."""
+    parts = pc.split_pattern(pa.array(texts, pa.large_binary()), b"\n")
+    lines = parts.values  # of large lists: all lines one after the other
+    owner = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
+    full = pc.match_substring_regex(lines, r"[^\x20\x09-\x0D]").to_numpy(zero_copy_only=False)
+    ids = lines.dictionary_encode().indices.to_numpy(zero_copy_only=False)[full].astype(np.int64)
+    owner = owner[full]
+    n = np.bincount(owner, minlength=len(texts))
+    kinds = np.unique(owner * (int(ids.max()) + 1 if len(ids) else 1) + ids)
+    distinct = np.bincount(kinds // (int(ids.max()) + 1 if len(ids) else 1), minlength=len(texts))
+    return n, n - distinct
+
+
+def measure(texts: list[bytes]) -> list[np.ndarray]:
+    """MEASURES of every text (UTF-8), one array each."""
+    words, counts = cut_words(texts)
+    offsets = np.frombuffer(words.buffers()[1], np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)
+    size = np.diff(offsets)
+    cuts = np.concatenate([[0], np.cumsum(counts)])
+    ends = offsets[cuts]  # where each document's letters begin
+    alphabetic = _per(_LETTER[data], offsets) > 0
+    longest = np.zeros(len(texts), np.int64)
+    some = counts > 0
+    if some.any():
+        longest[some] = np.maximum.reduceat(size, cuts[:-1][some])
+    lines, repeated = line_counts(texts)
+    return [counts, _per(_LEAD[data], ends), _per(_SYMBOL[data], ends), lines, repeated,
+            repeat_words(word_numbers(words), counts), _per(alphabetic, cuts), longest]
 
 
 def _measure_batches(batches):
     for b in batches:
+        sizes = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False))
         at = 0
-        texts = b.column("text")
         while at < len(b):
-            run, size = [], 0
-            while at + len(run) < len(b) and (not run or size < RUN_BYTES):
-                run.append(texts[at + len(run)].as_py())
-                size += len(run[-1])
-            found = zip(*measure(run))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(run))]
-                                             + [pa.array(c, pa.int64()) for c in found], ["doc_id", *MEASURES])
-            at += len(run)
+            # As many texts as fit, one at least.
+            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + RUN_BYTES, side="right")))
+            part = b.slice(at, to - at)
+            found = measure([t.as_buffer().to_pybytes() for t in part.column("text")])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in found)], ["doc_id", *MEASURES])
+            at = to
 
 
 def failure_bits() -> Column:
@@ -148,7 +165,7 @@ def kept_by(policy: str) -> Column:
 
 def ledger(docs: DataFrame) -> DataFrame:
     """(doc_id, measurements, fail_bits) of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").cast("binary").alias("text"))
     return (map_batches(rows, _measure_batches, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
             .withColumn("fail_bits", failure_bits()))
 

@@ -240,3 +240,15 @@ def pseudonyms_of(spark, texts):
     """(text, kinds) in the order of ``texts``."""
     out = pseudonyms.pseudonymise(H.table(spark, list(enumerate(texts))), key="k").collect()
     return [(r.text, list(r.private_kinds)) for r in sorted(out, key=lambda r: r.doc_id)]
+
+
+def test_quality_of_a_very_long_text():
+    """A text of 20 MB in one worker: under 1 GB, repeats in full."""
+    import subprocess
+    import sys
+    code = ("import resource, sys; from pagelake.llm import quality as Q; "
+            "t = b'the same line of nine words again and again\\n' * 480_000; "
+            "m = dict(zip(Q.MEASURES, (int(c[0]) for c in Q.measure([t])))); "
+            "print(m['n_words'], m['n_repeat_words'], m['n_dup_lines'], resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)")
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=".").stdout.split()
+    assert got[:3] == ["4320000", "4320000", "479999"] and int(got[3]) < 1000
