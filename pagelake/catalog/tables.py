@@ -299,14 +299,16 @@ def exact_duplicate_texts(spark, sf_dir):
             .where(F.col("copies") > 1))
 
 
-@register("near_duplicate_docs", f"""
-WITH d AS (SELECT doc_id, md5({pre_sql('text')}) AS h,
+_NEAR = f"""d AS (SELECT doc_id, md5({pre_sql('text')}) AS h,
              list_filter(string_split({pre_sql('text')}, ' '), lambda x: x <> '') AS ws FROM documents),
 u AS (SELECT h, min(doc_id) AS doc_id, arg_min(ws, doc_id) AS ws FROM d GROUP BY h),
 s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS sh
       FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM u WHERE len(ws) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-c AS (SELECT a.doc_id AS rep_id, b.doc_id, count(*) AS inter FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2)
+c AS (SELECT a.doc_id AS rep_id, b.doc_id, count(*) AS inter FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2)"""
+
+
+@register("near_duplicate_docs", f"""WITH {_NEAR}
 SELECT d.doc_id, u.doc_id AS rep_id, 1.0::DOUBLE AS jaccard FROM d JOIN u USING (h) WHERE d.doc_id <> u.doc_id
 UNION ALL
 SELECT c.doc_id, c.rep_id, round(c.inter::DOUBLE / (x.n + y.n - c.inter), 6)
@@ -318,3 +320,16 @@ def near_duplicate_docs(spark, sf_dir):
     from pagelake.operators.dedupe import near_duplicates
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "rep_id", F.round("jaccard", 6).alias("jaccard"))
+
+
+@register("near_duplicate_clusters", f"""WITH RECURSIVE {_NEAR},
+e AS (SELECT c.rep_id AS a, c.doc_id AS b FROM c JOIN n x ON x.doc_id = c.rep_id JOIN n y ON y.doc_id = c.doc_id
+      WHERE c.inter::DOUBLE / (x.n + y.n - c.inter) >= 0.8),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS a, doc_id AS b FROM u UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT d.doc_id, k.cluster_id FROM d JOIN u USING (h) JOIN (SELECT a, min(b) AS cluster_id FROM r GROUP BY a) k ON k.a = u.doc_id
+""")
+def near_duplicate_clusters(spark, sf_dir):
+    """B5 near: one row per document with its cluster."""
+    from pagelake.operators.dedupe import near_duplicate_clusters as clusters
+    return clusters(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -202,3 +202,27 @@ def host_word_edges(links: DataFrame) -> DataFrame:
     ``links(domain, href)``."""
     fwd = links.select(F.col("domain").alias("src"), F.col("href").alias("dst"))
     return fwd.unionByName(fwd.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node reachable over ``edges`` (a, b), either
+    way, for every node of an edge.
+
+    Each round a node and the node it hangs under learn the smallest component among
+    its neighbours, then every node moves up to what its component hangs under; the
+    rounds grow with the logarithm of a component's width.  Minima are combined
+    map-side, so a hub costs one row per task."""
+    some = edges.where("a <> b").select("a", "b")
+    both = cut_lineage(some.unionByName(some.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    place = cut_lineage(both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
+    while True:
+        near = both.join(place, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("m"))
+        seen = place.join(near, F.col("node") == F.col("a")).where("m < component").select(
+            F.explode(F.array("node", "component")).alias("hung"), "m").groupBy("hung").agg(F.min("m").alias("m"))
+        hooked = (place.join(seen, F.col("node") == F.col("hung"), "left")
+                  .select("node", F.least("component", "m").alias("component"), F.col("component").alias("old")))
+        up = hooked.select(F.col("node").alias("component"), F.col("component").alias("top"))
+        moved = cut_lineage(hooked.join(up, "component").select("node", F.col("top").alias("component"), "old"))
+        place = moved.select("node", "component")
+        if moved.where("component <> old").isEmpty():
+            return place

@@ -30,3 +30,43 @@ def test_near_duplicates_precision_and_recall(spark):
     assert frozenset({1, 2}) in linked and frozenset({1, 5}) in linked
     for x, y in combinations([4, 6], 2):
         assert frozenset({x, y}) not in linked
+
+
+def test_clusters_equal_reachable_documents(spark):
+    """One row per document; families, chains, copies and texts without shingles."""
+    import random
+
+    from pagelake.operators.dedupe import near_duplicate_clusters
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefgh", k=5))
+    rows = [(900, ""), (901, None), (902, "one"), (903, "one"), (904, "one two three")]
+    for f in range(5):
+        base = [word() for _ in range(60)]
+        for i in range(15):
+            own = list(base)
+            for _ in range(r.choice([0, 1, 1, 2, 3])):
+                own[r.randrange(60)] = word()
+            rows.append((100 * f + i, " ".join(own)))
+        rows += [(100 * f + 50 + i, " ".join(base[2 * i:] + [f"t{f}x{j}" for j in range(2 * i)])) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    pairs = [(x.doc_id, x.rep_id) for x in near_duplicates(df).collect()]
+    root = {d: d for d, _ in rows}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = top(a), top(b)
+        root[max(a, b)] = min(a, b)
+    got = {x.doc_id: x.cluster_id for x in near_duplicate_clusters(df).collect()}
+    assert got == {d: top(d) for d, _ in rows}
+    assert len(set(got.values())) < 40
+
+
+def test_components(spark):
+    from pagelake.plans.graph import components
+    edges = [(1, 2), (3, 2), (10, 11), (11, 12), (12, 13), (13, 14), (20, 20), *[(100, i) for i in range(30, 60)], *[(i, i + 1) for i in range(200, 260)]]
+    got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, **{i: 10 for i in range(10, 15)}, 100: 30, **{i: 30 for i in range(30, 60)}, **{i: 200 for i in range(200, 261)}}
