@@ -180,3 +180,35 @@ def test_pipeline_empty(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.spill(stage(spark, docs, SF_SMALL), name)
         assert docs.count() == 0
+
+
+def test_pipeline_awkward_rows(spark):
+    """Nulls in any column, blanks, a long text, ties, repeated rows, and extra columns
+    whose names clash with the stages' own."""
+    real = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    odd = H.awkward() + [(50, "one two three four five six"), (50, "one two three four five six"), (51, "ONE two three four five  six")]
+    docs = H.table(spark, odd).select("doc_id", "text", "lang", "source", "n_chars").unionByName(
+        real.limit(60).select("doc_id", "text", "lang", "source", "n_chars").withColumn("doc_id", real["doc_id"] + 1000))
+    docs = docs.unionByName(spark.createDataFrame([(None, None, None, None, None)], docs.schema))
+    extra = {c: docs["doc_id"] for c in ("node", "score", "sha", "turns", "component_id", "size", "kept")}
+    docs = corpus_pipeline.spill(docs.withColumns(extra), "awkward")
+    columns, seen = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.collect()
+        docs = corpus_pipeline.spill(stage(spark, docs, SF_SMALL), name)
+        after = docs.collect()
+        seen.append((name, len(before), len(after)))
+        if name == "byte_bpe":
+            assert len(after) == len(before)
+            continue
+        assert docs.columns == columns
+        assert {tuple(r) for r in after} <= {tuple(r) for r in before}
+        if name == "exact_dedup":
+            kinds = {H.SPACE.sub(" ", r.text or "") for r in before}
+            assert sorted(H.SPACE.sub(" ", r.text or "") for r in after) == sorted(kinds)
+        if name == "ngram_join":  # documents without words all stay
+            assert sum(not H.WORD.findall(r.text or "") for r in after) == sum(not H.WORD.findall(r.text or "") for r in before)
+        if name == "mixing":
+            words = lambda rows: sum(len(H.WORD.findall(r.text or "")) for r in rows)
+            assert words(after) <= 1.5 * words(before)
+    assert seen[0][1] == len(odd) + 61 and seen[0][2] >= len(odd) + 40
