@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's ``docs``.  All but the last return
 the columns of documents.
+
+Defined results: a null text counts as empty; of all texts that are equal but for
+white space one stays, so one blank document at most passes exact de-duplication;
+documents without words link with nothing and have size 0 in the mix; rows with a
+null or repeated doc_id are told apart by their texts; rows that repeat both are one
+document; a null source is a source of its own; further columns are carried through
+unchanged, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
