@@ -252,3 +252,44 @@ def test_quality_of_a_very_long_text():
             "print(m['n_words'], m['n_repeat_words'], m['n_dup_lines'], resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)")
     got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=".").stdout.split()
     assert got[:3] == ["4320000", "4320000", "479999"] and int(got[3]) < 1000
+
+
+def plain_features(text, words, starts):
+    """The toxicity features, one after the other over the list of words."""
+    import math
+    import re
+    from pagelake.llm import toxicity_features as T
+    low = "".join(c if c.isascii() and (c.isalnum() or c == "_") or not c.isascii() else " " for c in text.lower())
+    found = low.split(" ")
+    found = [w for w in found if w]
+    n = len(found)
+    if not n:
+        return [0.0] * len(T.FEATURES)
+    byte = [w.encode() for w in found]
+    start_of = lambda w: max(starts.get(w[:m], 0.0) for m in T.BEGINNINGS)
+    hit = [w.decode() in T.SEED_LEXICON or w in words or start_of(w) > 0 for w in byte]
+    you = [w in T.SECOND_PERSON for w in found]
+    seeds = sum(w in T.SEED_LEXICON for w in found)
+    mixed = re.findall(r"[a-z]+(?:[0-9@$*!]+[a-z]+)+", text.lower())
+    undo = dict(zip("013457@$!*", "oieastasiu"))
+    undone = ["".join(undo.get(c, c) for c in x) for x in mixed]
+    return [seeds / n, math.log1p(seeds), sum(w in words for w in byte) / n, sum(words[w] for w in set(byte) if w in words),
+            sum(start_of(w) > 0 for w in byte) / n, sum(start_of(w) for w in set(byte)), len({w for w, h in zip(found, hit) if h}),
+            sum(any(you[max(0, i - T.NEAR):i + T.NEAR + 1]) for i in range(n) if hit[i]) / n, sum(you) / n,
+            sum("A" <= c <= "Z" for c in text) / len(text), len(re.findall(r"[A-Z]{3,}", text)) / n, text.count("!") / len(text),
+            text.count("?") / len(text), len(re.findall(r"[!?.*]{2,}", text)) / n, len(mixed) / n,
+            sum(x in T.SEED_LEXICON or x.encode() in words for x in undone), math.log1p(n)]
+
+
+def test_toxicity_features_by_definition():
+    import random
+    from pagelake.llm import toxicity_features as T
+    r = random.Random(12)
+    words = {b"grr": 2.0, b"bah": 1.5, "schmähung".encode(): 3.0, b"idiot": 1.0}
+    starts = {b"nast": 1.5, b"nasty": 2.5, b"grumbl": 2.0}
+    pool = ["idiot", "IDIOT!!", "you", "YOUR", "grr", "Bah?", "1d10t", "id!ot", "nastier", "nasty", "grumbling", "the", "of", "SCHMÄHUNG",
+            "tú", "x_y", "st*pid", "...", "?!", "ABC", "ABCD", "word,word", "é", "a1b2c", "$$", "\n", "\t"]
+    lexicon = T.Lexicon(words, starts)
+    texts = ["", " ", "?!", *[r.choice([" ", "  ", "\n"]).join(r.choices(pool, k=r.randint(1, 40))) for _ in range(500)]]
+    for t in texts:
+        assert lexicon.features(t) == pytest.approx(plain_features(t, words, starts)), t
