@@ -14,7 +14,7 @@ from pagelake.operators import features as FE
 from pagelake.operators.page_index import PageIndex
 from pagelake.plans import fixtures as FX
 from pagelake.plans.graph import resolve_chains
-from pagelake.session import scratch_path, table
+from pagelake.session import bounded_broadcast, scratch_path, table
 
 from pagelake.catalog._sql import pre_sql
 
@@ -175,8 +175,7 @@ def _document_features(spark, sf_dir):
         "doc_id", FE.detected_language(F.col("text")).alias("language"), TX.relevance_from_hits(hits).alias("relevance"),
         TX.is_spam(F.col("text")).alias("is_spam"), TX.entities(F.col("text")).alias("entities"),
         F.size(TX.words(F.col("pre"))).cast("bigint").alias("n_words"))
-    # as many rows as languages
-    return feats.join(F.broadcast(topics), "language", "left").withColumn(
+    return feats.join(bounded_broadcast(topics), "language", "left").withColumn(
         "topics", F.coalesce("topics", F.array().cast("array<string>")))
 
 

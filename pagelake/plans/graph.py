@@ -39,13 +39,10 @@ def _partitions(df: DataFrame) -> int:
 
 
 def _expand(frontier: DataFrame, edges: DataFrame, value_cols: list[str], size: int | None = None) -> DataFrame:
-    """Frontier x edges.  ``size`` is the frontier's already-counted row
-    count (no extra probe); unknown sizes are probed with a bounded count."""
+    """Frontier x edges.  ``size`` is the frontier's already-counted row count: a
+    large one is not probed; else rows and bytes are, before a broadcast."""
     bound = FRONTIER_BROADCAST_ROWS
-    if size is None:
-        f = bounded_broadcast(frontier, bound)
-    else:
-        f = F.broadcast(frontier) if 0 < bound and size <= bound else frontier
+    f = frontier if size is not None and size > bound else bounded_broadcast(frontier, bound)
     f = f.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (f.join(edges, (f["node"] == edges["src"]) & (f["salt"] == edges["salt"]))
             .select(F.col("dst").alias("node"), *value_cols))
