@@ -199,9 +199,9 @@ def test_merkle_awkward_rows(spark):
 
 def test_merkle_hot_nodes_are_copied(spark, monkeypatch):
     monkeypatch.setattr(merkle, "COPIES", 4)
-    docs = H.table(spark, [(i, f"t{i}") for i in range(0, 24_000, 4)])  # one source of 6,000 leaves
+    docs = H.table(spark, [(i, f"t{i}") for i in range(0, 24_000, 4)])  # sources of 5,999 leaves and one
     tree = merkle.build(merkle.leaves(docs))
     ids = [r.id for r in tree.nodes.select("id").collect()]
-    assert Counter(i.split("/")[0] for i in ids) == {"d2": 24, "d3": 8, "d4": 4}
+    assert Counter(i.split("/")[0] for i in ids) == {"d2": 24, "d3": 8, "d4": 4, "s1": 4}
     done = merkle.climb(tree)
     assert done.where(F.col("folded_root") == tree.root).count() == 6000
