@@ -48,3 +48,20 @@ def test_sketches_merge_and_subtract(spark):
     urls = [{f"u{i % 40_000}" for i in range(n) if i % 3 == d} for d in (0, 1)]
     scale = S.ERROR * len(urls[0] | urls[1])
     assert abs(pair.new - len(urls[0] - urls[1])) <= scale and abs(pair.both - len(urls[0] & urls[1])) <= scale
+
+
+def test_busy_minutes_and_sketches_on_demand(spark):
+    """Values and questions of one minute, and windows too full for a wanted sketch."""
+    r = random.Random(5)
+    at = lambda s: datetime(2024, 3, 1) + timedelta(seconds=s)
+    values = [("a", float(r.randint(0, 99)), at(r.choice([600 + r.randint(0, 59), r.uniform(0, 1200)]))) for _ in range(800)]
+    asked = [(i, "a", at(r.choice([600 + r.randint(0, 59), r.uniform(0, 1200)])), r.choice([0, 1, 2, 5])) for i in range(300)]
+    v = spark.createDataFrame(values, "name string, value double, ts timestamp")
+    q = spark.createDataFrame(asked, "id long, name string, end timestamp, minutes int")
+    got = {x.id: x for x in M.series(v, q, 5, sketched=40).withColumn("median", M.quantile("kll", 0.5)).collect()}
+    for i, _, end, minutes in asked:
+        own = sorted(x for _, x, t in values if end - timedelta(minutes=minutes) <= t <= end)
+        assert got[i].n == len(own)
+        assert got[i].median == (own[(len(own) - 1) // 2] if 0 < len(own) <= 40 else None)
+        assert not own or (got[i].total, got[i].least, got[i].greatest) == (sum(own), own[0], own[-1])
+    assert {bool(x.kll) for x in got.values() if x.n} == {True, False}
