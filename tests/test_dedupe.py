@@ -70,3 +70,18 @@ def test_components(spark):
     edges = [(1, 2), (3, 2), (10, 11), (11, 12), (12, 13), (13, 14), (20, 20), *[(100, i) for i in range(30, 60)], *[(i, i + 1) for i in range(200, 260)]]
     got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, **{i: 10 for i in range(10, 15)}, 100: 30, **{i: 30 for i in range(30, 60)}, **{i: 200 for i in range(200, 261)}}
+
+
+def test_sets_hold_only_shingles_that_meet_others(spark):
+    """Texts that share nothing are not written; rows of one doc_id are one set."""
+    from pagelake.operators.dedupe import _prefixes
+    df = spark.createDataFrame(DOCS, "doc_id long, text string")
+    norm, sets, _ = _prefixes(df, 0.7, 3)
+    whole = {r.doc_id: r["count"] for r in shingles(df).groupBy("doc_id").count().collect()}
+    got = {r.doc_id: (r.size, len(r.held)) for r in sets.collect()}
+    assert norm.count() == len(DOCS) and set(got) == {1, 2, 5}
+    assert all(size == whole[d] and held <= size for d, (size, held) in got.items())
+    assert got[2][1] < got[2][0]
+    twice = spark.createDataFrame([*DOCS, *DOCS, (2, BASE.replace("cat", "dog"))], "doc_id long, text string")
+    assert {r.doc_id: r.size for r in _prefixes(twice, 0.7, 3)[1].collect()}[2] == len(
+        {x.shingle for x in shingles(twice.where("doc_id = 2")).select("shingle").collect()})
