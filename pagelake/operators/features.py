@@ -39,9 +39,9 @@ def relevance_top_k(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFram
     distinct tokens meet the query words once (``contained``), and only
     documents that hold a word join its queries.
     """
-    qw = (queries.select(F.col("query_id"), F.explode(TX.words(TX.preprocess(F.col("text")))).alias("w"))
+    qw = (queries.select(F.col("query_id"), F.explode(TX.plain_words(F.col("text"))).alias("w"))
           .groupBy("query_id", "w").agg(F.count("*").alias("mult")))
-    tok = docs.select("doc_id", F.explode(F.array_distinct(TX.words(TX.preprocess(F.col("text"))))).alias("token"))
+    tok = docs.select("doc_id", F.explode(F.array_distinct(TX.plain_words(F.col("text")))).alias("token"))
     inside = cut_lineage(contained(tok, qw))  # found once, then probed for its size and joined
     hits = tok.join(bounded_broadcast(inside), "token").select("doc_id", "w").distinct()
     rel = (hits.join(bounded_broadcast(qw), "w")
@@ -54,7 +54,7 @@ def relevance_top_k(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFram
 
 def tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(doc_id, word) for every whitespace token of the preprocessed text."""
-    return docs.select("doc_id", F.explode(TX.words(TX.preprocess(F.col(text_col)))).alias("word"))
+    return docs.select("doc_id", F.explode(TX.plain_words(F.col(text_col))).alias("word"))
 
 
 def keywords_tfidf(docs: DataFrame, k: int = 3) -> DataFrame:
@@ -73,7 +73,7 @@ def keywords_tfidf(docs: DataFrame, k: int = 3) -> DataFrame:
 def topics_by_group(docs: DataFrame, group: str, k: int = 3) -> DataFrame:
     """Class-TF-IDF topic terms per group: tf in the group x
     ln(groups / groups containing the word); top-k per group, ties by word."""
-    tok = docs.select(group, F.explode(TX.words(TX.preprocess(F.col("text")))).alias("word"))
+    tok = docs.select(group, F.explode(TX.plain_words(F.col("text"))).alias("word"))
     tf = cut_lineage(tok.groupBy(group, "word").agg(F.count("*").alias("tf")))  # texts are read once
     gdf = tf.groupBy("word").agg(F.count("*").alias("gdf"))
     n_groups = tf.agg(F.countDistinct(group)).first()[0]  # groups holding at least one token
@@ -95,7 +95,7 @@ def detected_language(text, default: str = "en"):
         return F.greatest(*[F.struct(hits(ws, stop).alias("hits"), F.lit(-place).alias("order"), F.lit(lang).alias("lang"))
                             for place, (lang, stop) in enumerate(sorted(TX.STOP_WORDS.items()))])
 
-    best = let(TX.words(TX.preprocess(text)), votes)
+    best = let(TX.plain_words(text), votes)
     return let(best, lambda v: F.when(v["hits"] > 0, v["lang"]).otherwise(F.lit(default)))
 
 

@@ -74,3 +74,13 @@ def test_features_to_string(spark):
                                "lang string, topics array<string>, rel double, spam boolean")
     s = df.select(FE.features_to_string("lang", "topics", "rel", "spam").alias("s")).first().s
     assert s == "Language: en, Topics: news, technology, Relevance: 0.75, IsSpam: 0"
+
+
+def test_preprocess_only_lowers_ascii(spark):
+    """Letters whose Unicode lower case is ASCII are no letters; named classes, as ranges are slow."""
+    column = lambda xs: spark.createDataFrame([(x,) for x in xs], "x string")
+    odd = ["AİKKb <b>x\n\ty</b> \U0001f600z  Q1_w<", "", "  ", "<a", "Été ÀB", None]
+    want = ["a k b x y z q1 w ", "", " ", " a", " t a b", None]
+    got = column(odd).coalesce(1).select(TX.preprocess("x").alias("p"), TX.plain_words("x").alias("w"), TX.words(TX.preprocess("x")).alias("v")).collect()
+    assert [r.p for r in got] == want and all(r.w == r.v for r in got)
+    assert column(["Abc Ab_c éAbc A Bcd9 Efgé"]).select(TX.entities("x").alias("e")).first().e == ["Abc", "Abc", "Efg"]
