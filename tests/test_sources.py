@@ -104,6 +104,14 @@ def test_page_folders_show_their_names(spark, tmp_path):
     assert sorted((r.name, r.bytes) for r in FS.list_pages(spark, str(tmp_path / "out")).collect()) == [("h.org_1_5.html", 6), ("h.org_2_6.html", 1)]
 
 
+def test_page_folders_are_written_by_all_tasks(spark, tmp_path):
+    """Few bytes, many files: they are not left to one task."""
+    pages = spark.createDataFrame([(f"h.org_1_{i}.html", "x") for i in range(60)], "file_name string, html string").coalesce(1)
+    FS.write_page_folders(pages, str(tmp_path / "out"))
+    files = [r.path for r in FS.list_files(spark, str(tmp_path / "out")).collect() if "part-" in r.path]
+    assert len(files) == 60 and len({f.split("part-")[1][:5] for f in files}) > 1
+
+
 def test_seconds_without_lines(spark):
     from pagelake.sources import logs
     lines = [f"2024-01-01 00:00:{s:02d} [Thread {t}] Processing URL: http://h/{s} (depth: 1)" for s, t in
