@@ -100,12 +100,10 @@ def write_page_folders(pages: DataFrame, path: str) -> None:
     ``file_name=<name>/part-*.txt``, so that a listing shows the name.  For corpora
     that other tools read file by file; ``write_page_files`` is the form to query.
 
-    A file takes as long to make as its page is small, so pages are dealt to all tasks
-    by name, however few bytes they are; each task moves its own files to their place
-    when it ends (version 2 of the committer), not the driver one after another."""
+    The time goes into making files, not into bytes, so pages are dealt to all tasks by
+    name, however few bytes they are."""
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (pages.select("file_name", "html").repartition(n, "file_name").write.mode("overwrite")
-     .option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("file_name").text(path))
+    pages.select("file_name", "html").repartition(n, "file_name").write.mode("overwrite").partitionBy("file_name").text(path)
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
