@@ -5,10 +5,10 @@ distributed join + de-duplication + anti-join, followed by a reliable
 checkpoint that cuts the lineage (a lost executor recomputes at most one
 level).  Per level:
 
-* frontier ⋈ edges on ``src``.  The edges are dealt once by (src, salt of
-  dst), so a hub with a third of all edges lies in ``SALTS`` partitions.  The
-  frontier is broadcast only when its counted size is under a bound; otherwise
-  each frontier row is repeated per salt and joins on (src, salt).
+* frontier ⋈ edges on ``src``.  The edges are dealt once by (src, salt): a hub
+  with a large share of all edges has them in many salts, any other node in one.
+  The frontier is broadcast, one row a node, only when its counted size is under
+  a bound; otherwise it joins on (src, salt), and only hubs are repeated per salt.
 * ``distinct`` / ``sum`` of the discovered nodes is partially aggregated on
   the map side, so a popular target costs one row per map task, not one per
   in-link.
@@ -27,11 +27,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.session import bounded_broadcast, cut_lineage, scratch_path
+from pagelake.session import BROADCAST_BYTES, cut_lineage, scratch_path, small_enough
 
 FRONTIER_BROADCAST_ROWS = 200_000
-#: Partitions over which the edges of one node are spread.
-SALTS = 32
+#: A node is a hub from this many edges on, and from this share of a partition's edges on.
+HUB_EDGES, HUB_SHARE = 100, 8
 
 
 def _partitions(df: DataFrame) -> int:
@@ -42,16 +42,27 @@ def _expand(frontier: DataFrame, edges: DataFrame, value_cols: list[str], size:
     """Frontier x edges.  ``size`` is the frontier's already-counted row count: a
     large one is not probed; else rows and bytes are, before a broadcast."""
     bound = FRONTIER_BROADCAST_ROWS
-    f = frontier if size is not None and size > bound else bounded_broadcast(frontier, bound)
-    f = f.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return (f.join(edges, (f["node"] == edges["src"]) & (f["salt"] == edges["salt"]))
-            .select(F.col("dst").alias("node"), *value_cols))
+    e = edges.select(F.col("src").alias("node"), "salt", "dst")
+    if (size is None or size <= bound) and small_enough(frontier, bound, BROADCAST_BYTES):
+        found = F.broadcast(frontier).join(e, "node")
+    else:
+        # at most HUB_SHARE hubs a partition: a bounded broadcast by construction
+        hubs = edges.where("salts > 1").select(F.col("src").alias("node"), "salts").distinct()
+        f = frontier.join(F.broadcast(hubs), "node", "left")
+        f = f.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+        found = f.join(e, ["node", "salt"])
+    return found.select(F.col("dst").alias("node"), *value_cols)
 
 
 def salted_edges(edges: DataFrame, partitions: int) -> DataFrame:
-    """(src, dst, salt), each edge once, dealt by (src, salt)."""
-    e = edges.select("src", "dst").distinct().withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int"))
-    return e.repartition(partitions, "src", "salt")
+    """(src, dst, salt, salts), each edge once, dealt by (src, salt).  Only a hub has
+    more than one salt; nothing leads over an edge from null, so there is none."""
+    e = cut_lineage(edges.select("src", "dst").where("src IS NOT NULL").distinct())
+    part = max(HUB_EDGES, e.count() // (HUB_SHARE * partitions))
+    hubs = cut_lineage(e.groupBy("src").agg(F.ceil(F.count("*") / part).cast("int").alias("salts")).where("salts > 1"))
+    e = e.join(F.broadcast(hubs), "src", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    e = e.withColumn("salt", F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int"))
+    return e.select("src", "dst", "salt", "salts").repartition(partitions, "src", "salt")
 
 
 class _Visited:
