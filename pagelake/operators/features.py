@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelake.functions import text as TX
+from pagelake.operators.tables import with_global_rank
 from pagelake.session import bounded_broadcast, cut_lineage
 
 
@@ -30,22 +31,76 @@ def contained(tokens_: DataFrame, words: DataFrame, by: tuple[str, ...] = ()) ->
     return held.join(bounded_broadcast(keyed), [*by, "g"]).where(F.contains("token", F.col("w"))).select(*by, "w", "token")
 
 
+#: Words that share a row of ``_words_held``, one bit each; characters that a word is looked
+#: up by, if it has fewer than ``LONG`` or as many.
+WORD_BITS = 60
+PREFIX = 3
+LONG = 5
+ALNUM = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def _looked_up(words: DataFrame) -> DataFrame:
+    """``words`` (w) by what a text may have at their place (key): ``LONG`` characters, or for
+    shorter words ``PREFIX``, or fewer at the end of a token.  A word of less than
+    ``PREFIX`` has a row for each way to go on."""
+    tails = [""] + list(ALNUM)
+    keyed = words.withColumn("key", F.left("w", F.when(F.length("w") < LONG, PREFIX).otherwise(LONG)))
+    for _ in range(1, PREFIX):
+        key = F.explode(F.when(F.length("key") < PREFIX, F.transform(F.array(*[F.lit(t) for t in tails]), lambda t: F.concat("key", t)))
+                        .otherwise(F.array("key")))
+        keyed = keyed.select(*words.columns, key.alias("key")).distinct()
+    return keyed
+
+
+def _words_held(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """(doc_id, block, bits): which of the ``words`` (wid, w) stand inside each document.
+
+    Each place of a distinct token looks up the words that begin with its next
+    characters.  Hits are combined map-side into bits, ``WORD_BITS`` words a row, so
+    neither tokens nor hits are shuffled one by one.  Rows of one doc_id are one document."""
+    longest = words.agg(F.max(F.length("w"))).first()[0] or 0
+    longest = max(longest, LONG)
+    cut = lambda c: F.col(c).cast("binary")  # noqa: E731  words of [a-z0-9]: cut as bytes, in time linear in a token's length
+    # a word within PREFIX stands where its key does; those of a key share a row
+    rest = F.when(F.length("w") > PREFIX, F.col("w")).otherwise("")
+    keyed = _looked_up(words).groupBy("key", rest.alias("w"), _block().alias("block")).agg(F.bit_or(_bit()).alias("bits"))
+    keyed = bounded_broadcast(cut_lineage(keyed.select(cut("key").alias("key"), cut("w").alias("w"), F.length("w").alias("n"), "block", "bits")))
+    tok = docs.select("doc_id", F.explode(F.array_distinct(TX.plain_words(F.col("text")))).alias("token"))
+    places = tok.select("doc_id", cut("token").alias("token"), F.explode(F.sequence(F.lit(1), F.length("token"))).alias("i"))
+    ahead = (places.select("doc_id", F.substr("token", F.col("i"), F.lit(longest)).alias("ahead"), F.explode(F.array(F.lit(PREFIX), F.lit(LONG))).alias("k"))
+             .where(f"k = {PREFIX} OR length(ahead) >= k").select("doc_id", "ahead", F.substr("ahead", F.lit(1), F.col("k")).alias("key")))
+    hits = ahead.join(keyed, "key").where(F.substr("ahead", F.lit(1), F.col("n")) == F.col("w"))
+    return hits.groupBy("doc_id", "block").agg(F.bit_or("bits").alias("bits"))
+
+
+def _block():
+    return F.expr(f"wid div {WORD_BITS}")
+
+
+def _bit():
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("wid", F.lit(WORD_BITS)).cast("int"))
+
+
 def relevance_top_k(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """T2 per (query, document): min(1, 0.2 x query words found as substrings
     of the preprocessed document; repeated query words count again), and the
     top-k documents per query (ties by doc id).
 
-    Preprocessed words hold no spaces, so a hit lies inside one token:
-    distinct tokens meet the query words once (``contained``), and only
-    documents that hold a word join its queries.
+    Preprocessed words hold no spaces, so a hit lies inside one token.  The bits of a
+    document (``_words_held``) meet in one task, which scores it for all queries, a
+    block of words at a time; each task passes on its top-k of a query.
     """
-    qw = (queries.select(F.col("query_id"), F.explode(TX.plain_words(F.col("text"))).alias("w"))
-          .groupBy("query_id", "w").agg(F.count("*").alias("mult")))
-    tok = docs.select("doc_id", F.explode(F.array_distinct(TX.plain_words(F.col("text")))).alias("token"))
-    inside = cut_lineage(contained(tok, qw))  # found once, then probed for its size and joined
-    hits = tok.join(bounded_broadcast(inside), "token").select("doc_id", "w").distinct()
-    rel = (hits.join(bounded_broadcast(qw), "w")
-           .groupBy("query_id", "doc_id").agg(F.sum("mult").alias("hits"))
+    qw = cut_lineage(queries.select(F.col("query_id"), F.explode(TX.plain_words(F.col("text"))).alias("w"))
+                     .groupBy("query_id", "w").agg(F.count("*").alias("mult")))
+    # frequent words share blocks, and so do the words that one query alone has
+    common = qw.groupBy("w").agg((-F.count("*")).alias("common"), F.min("query_id").alias("first"))
+    words = cut_lineage(with_global_rank(common, ["common", "first", "w"], "wid").select("wid", "w"))
+    masks = qw.join(words, "w").groupBy(_block().alias("block"), "query_id", "mult").agg(F.bit_or(_bit()).alias("mask"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = _words_held(docs, words).repartition(n, "doc_id")
+    found = F.bit_count(F.col("bits").bitwiseAND(F.col("mask"))) * F.col("mult")
+    rel = (held.join(bounded_broadcast(cut_lineage(masks)), "block").where(F.col("bits").bitwiseAND(F.col("mask")) != 0)
+           .groupBy("query_id", "doc_id").agg(F.sum(found).alias("hits"))
            .withColumn("relevance", TX.relevance_from_hits(F.col("hits"))))
     w = Window.partitionBy("query_id").orderBy(F.desc("relevance"), F.asc("doc_id"))
     return (rel.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -29,6 +29,29 @@ def test_relevance_duplicates_and_cap(spark):
     assert math.isclose(got[(10, 1)], 0.4) and math.isclose(got[(11, 2)], 1.0)
 
 
+def test_relevance_against_plain_search(spark):
+    """Hits are not shuffled one by one; rows of one doc_id are one document."""
+    import random
+    r = random.Random(3)
+    text = lambda n, k: " ".join("".join(r.choices("abc1", k=r.randint(1, k))) for _ in range(n))
+    docs = [(i % 33, text(r.choice([0, 1, 4, 12]), 9)) for i in range(40)] + [(None, "ab"), (None, "ca"), (90, None), (91, "abcab" * 2000)]
+    asked = [(i, text(r.choice([0, 2, 5]), 7)) for i in range(20)] + [(20, "a a b ccccc " + "abcab" * 3), (21, None)]
+    pres: dict = {}
+    for d, t in docs:
+        pres.setdefault(d, []).append(t or "")
+    want = {}
+    for q, t in asked:
+        hits = {d: sum(any(w in x for x in ts) for w in (t or "").split()) for d, ts in pres.items()}
+        best = sorted((-min(5, h), -1 if d is None else d) for d, h in hits.items() if h)[:3]
+        want |= {(q, None if d < 0 else d): (i + 1, round(-h * 0.2, 6)) for i, (h, d) in enumerate(best)}
+    found = FE.relevance_top_k(spark.createDataFrame(docs, "doc_id long, text string").repartition(3),
+                               spark.createDataFrame(asked, "query_id long, text string"), 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(doc_id" in plan
+    assert not [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and ("w#" in x or "token#" in x)]
+    assert {(x.query_id, x.doc_id): (x.rank, round(x.relevance, 6)) for x in found.collect()} == want
+
+
 def test_entities_ascii_boundaries(spark):
     assert one(spark, TX.entities, "Paris and Émile met Bob_x and Alice.") == ["Paris", "Alice"]
     assert one(spark, lambda c: TX.entities(c, compat=True), "Paris") == []
