@@ -191,9 +191,14 @@ def page_file_listing(spark, sf_dir):
 
 def _stored_pages(spark, sf_dir) -> str:
     path = scratch_path(spark, "page_files")
-    names = FX.crawled_pages(spark, sf_dir).select(
-        "page_id", F.format_string("%s_%d_%d.html", "domain", "crawl_depth", "page_id").alias("file_name"))
-    FS.write_page_folders(names.join(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id"), path)
+    name = F.format_string("%s_%d_%d.html", "domain", "crawl_depth", "page_id").alias("file_name")
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    unique = pages.groupBy("page_id").count().where("count > 1 AND page_id IS NOT NULL").isEmpty()
+    if unique:  # a page's name is made of its own row, so nothing is joined
+        FS.write_page_folders(FX.crawled_pages(spark, sf_dir, "html").where("page_id IS NOT NULL").select(name, "html"), path, unique=True)
+    else:
+        names = FX.crawled_pages(spark, sf_dir).select("page_id", name)
+        FS.write_page_folders(names.join(pages, "page_id"), path)
     return path
 
 

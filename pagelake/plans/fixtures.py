@@ -22,13 +22,14 @@ EPOCH0 = 1_704_067_200  # 2024-01-01T00:00:00Z
 IMAGE_TYPES = ["jpg", "png", "gif", "webp"]
 
 
-def crawled_pages(spark, sf_dir) -> DataFrame:
+def crawled_pages(spark, sf_dir, *keep: str) -> DataFrame:
+    """``keep``: further columns of the pages."""
     p = table(spark, sf_dir, "pages")
     return p.select(
         "page_id", "url", U.search_domain("url").alias("domain"),
         U.strict_depth("url").alias("crawl_depth"),
         (F.lit(EPOCH0) + F.col("page_id") * 60).cast("bigint").alias("ts_epoch"),
-        F.octet_length("html").cast("bigint").alias("bytes"))
+        F.octet_length("html").cast("bigint").alias("bytes"), *keep)
 
 
 def discovered_images(spark, sf_dir) -> DataFrame:

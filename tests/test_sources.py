@@ -112,6 +112,27 @@ def test_page_folders_are_written_by_all_tasks(spark, tmp_path):
     assert len(files) == 60 and len({f.split("part-")[1][:5] for f in files}) > 1
 
 
+def test_page_folders_are_neither_committed_nor_listed_by_the_driver(spark, tmp_path):
+    """Tasks make and list the files: rows of one name are one file, odd names are escaped."""
+    rows = [("h.org:80_1_5.html", "a"), ("h.org_2_6.html", "é"), ("h.org_2_6.html", "b"), ("x/y=z_1_7.html", None), (None, "d"), (".h_1_8.html", "")]
+    pages = spark.createDataFrame(rows, "file_name string, html string").repartition(3)
+    out = tmp_path / "out"
+    FS.write_page_folders(pages, str(out))
+    assert all(x.name.startswith("part-") and len(x.name) == 10 for x in out.iterdir())
+    (out / "_part-00000-9").mkdir()  # of an attempt that did not end
+    (out / "_part-00000-9" / "h.org_9_9.html").write_text("x")
+    files = FS.list_files(spark, str(out))
+    assert "FileScan binaryFile" not in files._jdf.queryExecution().executedPlan().toString()
+    want = [(".h_1_8.html", 1), ("__HIVE_DEFAULT_PARTITION__", 2), ("h.org%3A80_1_5.html", 2), ("h.org_2_6.html", 5), ("x%2Fy%3Dz_1_7.html", 1)]
+    assert sorted((r.name, r.bytes) for r in files.collect()) == want
+    assert sorted(r.name for r in FS.list_files(spark, str(out), "{h,x}*_[5-6].html").collect()) == [want[2][0], want[3][0]]
+    assert sorted((r.domain, r.depth, r.n) for r in FS.list_pages(spark, str(out)).collect()) == [(".h", 1, 8), ("h.org", 2, 6), ("h.org%3A80", 1, 5), ("x%2Fy%3Dz", 1, 7)]
+    FS.write_page_folders(pages.where("file_name = 'h.org_2_6.html'").limit(1), str(out), unique=True)  # replaces the others
+    assert [r.name for r in FS.list_files(spark, str(out)).collect()] == ["h.org_2_6.html"]
+    FS.write_page_folders(pages.limit(0), str(out))
+    assert FS.list_pages(spark, str(out)).count() == 0
+
+
 def test_seconds_without_lines(spark):
     from pagelake.sources import logs
     lines = [f"2024-01-01 00:00:{s:02d} [Thread {t}] Processing URL: http://h/{s} (depth: 1)" for s, t in
